@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from utxolens.llm import simhash, toxicity
+from utxolens.llm import packing, simhash, toxicity
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
