@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 #: A word is a run of anything but ASCII white space (the class that bytes.split() cuts at).
@@ -96,7 +95,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = staged(small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "edges")
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.max(F.expr("0"))).first()[:2]
+        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if seen == before or seen[0] == 0:
             break
         before = seen
@@ -120,3 +119,20 @@ def dealt_rank(df: DataFrame, groups: list[str], by: Column, name: str, buckets:
     on = [ranked[g].eqNullSafe(sums[g]) for g in [*groups, "_bucket"]]
     out = ranked.join(sums, on)
     return out.select(*[ranked[c] for c in df.columns if c[0] != "_"], (F.col("_start") + F.col("_in") - 1).alias(name))
+
+
+def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add name: the rank from 0 of each row in a total order, by ranges of rows and the counts of the ranges.
+
+    Only one count per range comes to the driver.
+    """
+    ranged = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    starts, at = [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        starts.append((r[0], at))
+        at += r[1]
+    start = F.lit(0)
+    if starts:
+        start = F.element_at(F.create_map(*[F.lit(v) for pair in starts for v in pair]), F.col("_range"))
+    inside = F.row_number().over(W.Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, (start + inside - 1).cast("long")).drop("_range")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from utxolens.llm import packing, simhash, toxicity
+from utxolens.llm import mixing, packing, sharding, simhash, toxicity
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,39 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
-
-ORACLE_SQL: dict[str, str] = {}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         md5('7:' || coalesce(doc_id::varchar, '')) as o from documents),
+s as (
+  select source, sum(size)::bigint as source_size,
+         [3, 1, 2][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int] as weight from d group by source),
+r as (
+  select *, 2.0::double * source_size as cap, 1.5::double * (sum(source_size) over ())::double as total,
+         coalesce(sum(2.0::double * source_size) over (order by 2.0::double * source_size / weight, encode(source) nulls last
+                                              rows between unbounded preceding and 1 preceding), 0.0::double) as below,
+         sum(weight) over (order by 2.0::double * source_size / weight, encode(source) nulls last
+                           rows between current row and unbounded following) as rest_weight from s),
+l as (select max((total - below) / rest_weight::double) filter (where (total - below) / rest_weight::double * weight <= cap) as level from r),
+t as (
+  select source, source_size, case when level is null or cap < level * weight then cap else level * weight end as target from r, l),
+p as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole from t),
+c as (
+  select d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size as rest,
+         coalesce(sum(size) over (partition by d.source order by o, size rows between unbounded preceding and 1 preceding), 0) as ahead
+  from d join p on d.source is not distinct from p.source)
+select doc_id, size, source_size, target,
+       ((whole + case when size > 0 and ahead + size / 2.0::double < rest then 1 else 0 end) * size)::bigint as taken from c
+""",
+}
