@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from utxolens.llm import mixing, packing, sharding, simhash, toxicity
+from utxolens.llm import mixing, packing, secrets, sharding, simhash, toxicity
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": r"""
