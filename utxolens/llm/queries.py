@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from utxolens.llm import mixing, packing, secrets, sharding, simhash, toxicity
+from utxolens.llm import mixing, packing, secrets, sharding, simhash, substrings, topk, toxicity
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +34,27 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).drop("kept")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on len(q.v) = len(c.v) and q.vec_id != c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+""",
     "op5_mixing": r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
