@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utxolens.llm import mixing, packing, secrets, sharding, simhash, substrings, topk, toxicity
+from utxolens.llm import mixing, packing, secrets, sharding, simhash, substrings, topk, toxicity, vectors
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,42 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+win as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) as k from s),
+rep as (select k from win group by k having count(*) > 1),
+cov as (select distinct doc_id, i + o as j from (select doc_id, i, unnest(range(0, 35)) as o from win join rep using (k))),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
+kept as (select word.*, cov.j is not null as gone from word left join cov on cov.doc_id = word.doc_id and cov.j = word.j),
+t as (
+  select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed,
+         coalesce(string_agg(x, ' ' order by j) filter (where not gone), '') as rest from kept group by doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(rest, '')) as kept_sha256 from d left join t on t.doc_id = d.doc_id
+""",
+    "op10_vectors": """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v),
+l as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / a.norm / b.norm >= 0.98::double),
+r as (select vec_id, vec_id as c from embeddings union select l.b, r.c from r join l on l.a = r.vec_id and r.c < l.b),
+n as (select a, count(*) as n from l group by a),
+m as (select vec_id, min(c) as c from r group by vec_id)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e left join n on n.a = e.vec_id left join m on m.vec_id = e.vec_id
+""",
     "op3_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
