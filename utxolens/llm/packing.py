@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -17,16 +18,40 @@ from utxolens.llm.common import staged
 
 _MARK = b"\x01"
 _ENCODERS: dict[str, object] = {}
+# A full stop or comma that ends a word: always a token run of its own.
+_END = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,](?=[ \n])")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+def chunks(text: str | None) -> list[bytes]:
+    """White-space free chunks of a text, in a form that gives the same ids: ASCII in lower case, word ends split off.
+
+    Texts with combining marks or with what looks like a special token are only split.
+    """
+    raw = text.encode("utf-8", "replace") if text else b""
+    if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
+        return raw.split()
+    return _END.sub(rb" \g<0>", raw.lower()).split()
 
 
 class ChunkEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit values, with a bounded memory of white-space free chunks.
 
-    The tokenizer never joins characters across ASCII white space, so a text's ids are those of its chunks in a row. New
-    chunks are encoded together, a mark of one id between them.
+    The tokenizer (byte-level BPE over runs of letters, single digits and runs of other signs; lower case; NFC) never joins
+    characters across ASCII white space, so a text's ids are those of its chunks in a row. A new chunk of Latin letters is
+    one run and goes to the BPE model itself; other new chunks are encoded together, a mark of one id between them.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,10 +62,18 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.most:
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
-        plain = [c for c in chunks if self.mark is not None and _MARK not in c]
+        rest = []
+        for c in new:
+            word = c.decode("utf-8", "replace")
+            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                run = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(_LETTERS)
+                self.known[c] = np.array([t.id for t in self.tokenizer.model.tokenize(run)], "<u4").tobytes()
+            else:
+                rest.append(c)
+        plain = [c for c in rest if self.mark is not None and _MARK not in c]
         for i in range(0, len(plain), 400):
             part = plain[i : i + 400]
             ids = self._ids((b" " + _MARK + b" ").join(part).decode("utf-8", "replace"))
@@ -51,12 +84,12 @@ class ChunkEncoder:
                 continue
             for c, own in zip(part, np.split(ids, cuts), strict=True):
                 self.known[c] = (own[1:] if c is not part[0] else own).tobytes()
-        for c in set(chunks) - set(plain):
+        for c in set(rest) - set(plain):
             self.known[c] = self._ids(c.decode("utf-8", "replace")).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
-            split = [t.encode("utf-8", "replace").split() if t else [] for t in texts[i : i + 64]]
+            split = [chunks(t) for t in texts[i : i + 64]]
             fresh = list({w for words in split for w in words if w not in self.known})
             if fresh:
                 self.learn(fresh)
