@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utxolens.llm import mixing, packing, secrets, sharding, simhash, substrings, topk, toxicity, vectors
+import corpus_pipeline
+
+from utxolens.llm import mixing, packing, secrets, sharding, simhash, substrings, topk, toxicity, urls, vectors
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +48,67 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Pages with a fetch time spread over thirty days by their id."""
+    return pages.select(F.col("page_id").alias("capture"), "url", (F.col("page_id") * 7919 % 2_592_000).alias("fetched"))
+
+
+def page_entries(pages: DataFrame) -> DataFrame:
+    """A dated URL list made from every seventh page: block or allow its domain, host, first folder or URL; half are lifted later."""
+    own = pages.filter("page_id % 7 = 0").select("page_id", urls.normalised(F.col("url")).alias("u")).filter("u is not null")
+    labels = F.split("u.host", r"\.")
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+    prefix = F.concat("u.host", F.lit("/"), F.regexp_extract("u.rest", "^/([^/?]*)", 1))
+    kind = F.element_at(F.array(*map(F.lit, urls.KINDS)), (F.col("page_id") % 4 + 1).cast("int"))
+    key = F.when(kind == "domain", domain).when(kind == "host", F.col("u.host")).when(kind == "prefix", prefix).otherwise(F.concat("u.host", "u.rest"))
+    verdict = F.when(F.col("page_id") % 3 == 0, "allow").otherwise("block")
+    at = F.col("page_id") * 104_729 % 2_592_000
+    lifted = own.filter("page_id % 2 = 0").select(kind.alias("kind"), key.alias("key"), F.lit(None).cast("string").alias("verdict"), (at + 86_400 * (1 + F.col("page_id") % 20)).alias("at"))
+    return own.select(kind.alias("kind"), key.alias("key"), verdict.alias("verdict"), at.alias("at")).unionByName(lifted)
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judged(page_captures(pages), page_entries(pages)).withColumnRenamed("capture", "page_id")
+
+
+QUERIES = {"pipeline": corpus_pipeline.run, "op4_urls": op4_urls, "op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_urls": r"""
+with c as (select page_id, regexp_replace(trim(url), '#.*$', '') as clean, page_id * 7919 % 2592000 as fetched from pages),
+h as (
+  select page_id, fetched, regexp_replace(lower(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:]+)', 1)), '\.+$', '') as host,
+         coalesce(regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([/?].*)?$', 1), '') as r from c),
+p as (
+  select page_id, fetched, nullif(host, '') as host, string_split(host, '.') as labels,
+         case when nullif(host, '') is null then null when r = '' then '/' when r[1] = '?' then '/' || r else r end as rest from h),
+e0 as (
+  select page_id, ['domain', 'host', 'prefix', 'url'][(page_id % 4 + 1)::int] as kind,
+         case page_id % 4 when 0 then array_to_string(labels[greatest(len(labels) - 1, 1):], '.') when 1 then host
+              when 2 then host || '/' || regexp_extract(rest, '^/([^/?]*)', 1) else host || rest end as key,
+         case when page_id % 3 = 0 then 'allow' else 'block' end as verdict, page_id * 104729 % 2592000 as t
+  from p where page_id % 7 = 0 and host is not null),
+e1 as (
+  select kind, key, verdict, t from e0
+  union all select kind, key, null, t + 86400 * (1 + page_id % 20) from e0 where page_id % 2 = 0),
+e2 as (select kind, key, t as since, max(verdict) as verdict from e1 group by kind, key, t),
+e as (select *, lead(since) over (partition by kind, key order by since) as until from e2),
+f as (select *, list_filter(string_split(regexp_extract(rest, '^([^?]*)', 1), '/'), lambda x: x <> '') as folders from p where host is not null),
+k as (
+  select page_id, fetched, 'host' as kind, host as key from f
+  union all select page_id, fetched, 'url', host || rest from f
+  union all select page_id, fetched, 'domain', array_to_string(labels[i:], '.') from (select *, unnest(range(1, len(labels) + 1)) as i from f)
+  union all select page_id, fetched, 'prefix', host || '/' || array_to_string(folders[1:i], '/') from (select *, unnest(range(0, len(folders) + 1)) as i from f)),
+a as (
+  select k.page_id, k.kind, k.key, e.verdict, e.since, e.until,
+         row_number() over (partition by page_id order by list_position(['domain', 'host', 'prefix', 'url'], k.kind) desc, length(k.key) desc, k.key desc) as n,
+         count(*) over (partition by page_id) as n_active
+  from k join e on k.kind = e.kind and k.key = e.key and e.since <= k.fetched and (e.until is null or k.fetched < e.until)
+  where e.verdict is not null)
+select p.page_id, p.host, p.fetched, a.verdict, a.kind, a.key, a.since, a.until, coalesce(a.n_active, 0)::bigint as n_active
+from p left join a on a.page_id = p.page_id and a.n = 1
+""",
     "op2_substrings": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
@@ -105,11 +165,16 @@ l as (select max((total - below) / rest_weight::double) filter (where (total - b
 t as (
   select source, source_size, case when level is null or cap < level * weight then cap else level * weight end as target from r, l),
 p as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole from t),
+g as (select source, o, sum(size) as words from d group by source, o),
 c as (
-  select d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size as rest,
-         coalesce(sum(size) over (partition by d.source order by o, size rows between unbounded preceding and 1 preceding), 0) as ahead
-  from d join p on d.source is not distinct from p.source)
-select doc_id, size, source_size, target,
-       ((whole + case when size > 0 and ahead + size / 2.0::double < rest then 1 else 0 end) * size)::bigint as taken from c
+  select g.source, g.o, p.source_size, p.target, p.whole,
+         coalesce(sum(words) over (partition by g.source order by g.o rows between unbounded preceding and 1 preceding), 0)
+           + words / 2.0::double < p.target - p.whole * p.source_size as more
+  from g join p on g.source is not distinct from p.source)
+select d.doc_id, d.size, c.source_size, c.target, ((c.whole + case when c.more then 1 else 0 end) * d.size)::bigint as taken
+from d join c on d.source is not distinct from c.source and d.o = c.o
 """,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -97,8 +97,8 @@ def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame
 
     Repeated rows of the representative's doc_id are cut to one. Rows with a null doc_id are kept.
     """
-    groups = near_groups(docs, width, distance)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = named.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    groups = near_groups(docs, width, distance).filter("doc_id = component_id")
+    keep = groups.groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_more"))
+    once = docs.join(keep.filter("not _more"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    more = docs.join(keep.filter("_more"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
