@@ -1,4 +1,4 @@
 """The named queries over the given tables."""
 
-from utxolens.plans import transactions  # noqa: F401
+from utxolens.plans import graph, transactions  # noqa: F401
 from utxolens.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
