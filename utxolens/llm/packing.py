@@ -90,15 +90,14 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
             split = [chunks(t) for t in texts[i : i + 64]]
-            fresh = list({w for words in split for w in words if w not in self.known})
+            found = [list(map(self.known.get, words)) for words in split]
+            fresh = {w for words, own in zip(split, found, strict=True) if None in own for w, ids in zip(words, own, strict=True) if ids is None}
             if fresh:
-                self.learn(fresh)
-            for words in split:
-                try:
-                    yield b"".join(map(self.known.__getitem__, words))
-                except KeyError:  # the memory was emptied meanwhile
-                    self.learn(list(set(words)))
-                    yield b"".join(map(self.known.__getitem__, words))
+                self.learn(list(fresh))
+            for words, own in zip(split, found, strict=True):
+                if None in own:
+                    own = [self.known[w] if ids is None else ids for w, ids in zip(words, own, strict=True)]
+                yield b"".join(own)
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -154,7 +154,9 @@ def repeated_spans(docs: DataFrame, width: int = 35, seed: int = 5) -> DataFrame
     seeds = staged(slim.mapInPandas(_seeds(width, seed), "h long, c long, d long, v long"), "seeds")
 
     # Seeds that occur once can't be part of a repeated window. One context for all: each window there is repeated.
+    # Staged, for only a join of two plain shuffles can be split where a seed is very common.
     again = seeds.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("open")).filter("n > 1")
+    again = staged(again, "again")
     seeds = staged(seeds.join(again.select("h", "open"), "h"), "candidates")
     contexts = staged(seeds.groupBy("h", "c", "open").agg(F.count("*").alias("n"), F.min(F.struct("d", "v")).alias("at")), "contexts")
     settled = seeds.join(contexts.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
