@@ -41,7 +41,7 @@ def with_address_type(df: DataFrame, address: str) -> DataFrame:
     text, low, version, check, n8, spare = (F.col(c) for c in ("_text", "_low", "_version", "_check", "_bytes", "_spare"))
     padded = (spare >= 5) | (F.col("_last") % F.pow(F.lit(2), spare).cast("long") != 0)
     segwit = (
-        F.when(F.length(text) > 90, "invalid: length").when((text != low) & (text != F.upper(text)), "invalid: mixed case").when(F.size("_values") < 7, "invalid: structure")
+        F.when(F.length(text) > 90, "invalid: length").when((text != low) & (text != F.upper(text)), "invalid: mixed case").when((F.size("_values") < 7) | F.substring(low, 4, 1000).contains("1"), "invalid: structure")
         .when(F.array_min("_values") < 0, "invalid: character").when(version > 16, "invalid: version").when(padded | (n8 < 2) | (n8 > 40), "invalid: program")
         .when(check != F.when(version == 0, 1).otherwise(BECH32M), "invalid: checksum").when(((version == 0) & ~n8.isin(20, 32)) | ((version == 1) & (n8 != 32)), "invalid: program size")
         .when(version == 1, "taproot").when((version == 0) & (n8 == 32), "segwit script").when(version == 0, "segwit").otherwise(F.concat(F.lit("segwit v"), version.cast("string")))

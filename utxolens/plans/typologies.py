@@ -75,7 +75,7 @@ v as (select *, list_transform(range(4, length(address) + 1), lambda i: strpos('
 c as (select *, case when starts_with(address, 'bc1') then list_reduce(x, lambda k, y: xor(xor(xor(xor(xor(xor((k & 33554431) << 5, y), case when (k >> 25) & 1 = 1 then 996825010 else 0 end), case when (k >> 26) & 1 = 1 then 642813549 else 0 end),
    case when (k >> 27) & 1 = 1 then 513874426 else 0 end), case when (k >> 28) & 1 = 1 then 1027748829 else 0 end), case when (k >> 29) & 1 = 1 then 705979059 else 0 end),
    list_reduce([3, 3, 0, 2, 3]::bigint[], lambda k, y: xor((k & 33554431) << 5, y), 1::bigint)) end as chk from v)
-select case when starts_with(address, 'bc1q') then case when chk = 1 then 'segwit' else 'invalid: checksum' end when starts_with(address, 'bc1p') then case when chk = 734539939 then 'taproot' else 'invalid: checksum' end
+select case when starts_with(address, 'bc1q') then case when chk = 1 then 'segwit' else 'invalid: checksum' end when starts_with(address, 'bc1p') then case when list_contains(x, -1) then 'invalid: structure' when chk = 734539939 then 'taproot' else 'invalid: checksum' end
   when starts_with(address, '1') or starts_with(address, '3') then case when regexp_matches(address, '{_B58}') and length(address) between 26 and 35 then case when starts_with(address, '1') then 'legacy' else 'script' end else 'invalid: characters or length' end
   else 'invalid: unknown' end as type, count(*) as addresses from c group by 1""")
 def address_quality(v):
