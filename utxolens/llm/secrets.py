@@ -215,7 +215,10 @@ def report(docs: DataFrame, **how) -> DataFrame:
     def text(spans):
         return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(name, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
-    count = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    def number(k):
+        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    count = [number(k) for k in range(3)]
     return found.select("doc_id", *count, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_random"))
 
 

@@ -13,6 +13,7 @@ import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utxolens.llm.common import staged, words_of
 
@@ -141,7 +142,7 @@ def _digest(width: int, texts: bool):
     return run
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _zipped(texts: pd.Series) -> pd.Series:
     press = zstandard.ZstdCompressor(level=3)
     return pd.Series([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
