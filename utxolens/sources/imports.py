@@ -42,9 +42,9 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def read_cases(spark: SparkSession, path: str, schema: str, most: int = 50) -> DataFrame:
-    """Cases of JSON files, one or a list in each: without id they go, the last of an id stays, at most `most` by id."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("n", F.monotonically_increasing_id())
+def read_cases(spark: SparkSession, path: str, schema: str, most: int = 50, multi_line: bool = True) -> DataFrame:
+    """Cases of JSON files, one or a list in each (or, without multi_line, one in each line): without id they go, the last of an id stays, at most `most` by id."""
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path).withColumn("n", F.monotonically_increasing_id())
     last = Window.partitionBy("id").orderBy(F.desc("n"))
     own = raw.filter("id is not null").withColumn("k", F.row_number().over(last)).filter("k = 1").drop("k", "n")
     return own.orderBy("id").limit(most)
