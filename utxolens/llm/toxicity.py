@@ -52,7 +52,7 @@ class Lexicon:
 
     terms: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
-    betas: tuple[float, float, float] = (-4.0, 0.0, 1.0)
+    betas: tuple[float, float, float, float] = (-4.0, 0.0, 1.0, 0.0)
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -83,13 +83,22 @@ def hits_of(automaton, text: str) -> dict[int, float]:
     return hits
 
 
-def features(automaton, text: str) -> tuple[float, float]:
-    """Hits per thousand words and plain weighted hits, both as logarithms."""
-    hits = hits_of(automaton, text)
+def features(hits: dict[int, float], text: str) -> tuple[float, float, float]:
+    """Logarithms of weighted hits per thousand words, of weighted hits, and of the hits beyond the first."""
     if not hits:
-        return 0.0, 0.0
+        return 0.0, 0.0, 0.0
     total = sum(hits.values())
-    return math.log1p(1000.0 * total / (text.count(" ") - 1)), math.log1p(total)
+    return math.log1p(1000.0 * total / (text.count(" ") - 1)), math.log1p(total), math.log1p(len(hits) - 1)
+
+
+def judged(texts, automaton, betas: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers of hits."""
+    rows = np.zeros((len(texts), 4))
+    for i, text in enumerate(texts):
+        text = folded(text)
+        hits = hits_of(automaton, text)
+        rows[i] = *features(hits, text), len(hits)
+    return 1 / (1 + np.exp(-(betas[0] + rows[:, :3] @ np.array(betas[1:])))), rows[:, 3]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
@@ -102,12 +111,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: i
 
 
 def _terms(stems: tuple[int, ...]):
-    """Per batch of texts, for each word and word stem: toxic and clean documents, toxic and clean occurrences, and, of the
-    toxic ones, marks of the words before and of the words themselves. Row '' has all words."""
+    """Per batch of texts, for each word and word stem: toxic and clean documents, those with it twice, toxic and clean
+    occurrences, and, of the toxic ones, marks of the words before and of the words themselves. Row '' has all words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found: dict[str, list] = {"": [0, 0, 0, 0, set(), set()]}
+            found: dict[str, list] = {"": [0, 0, 0, 0, set(), set(), 0, 0]}
             for text, toxic in zip(pdf["text"], pdf["_toxic"], strict=True):
                 own: dict[str, list] = {}
                 before, words = "", folded(text).split()
@@ -117,18 +126,19 @@ def _terms(stems: tuple[int, ...]):
                     before = word
                 found[""][3 - toxic] += len(words)
                 for term, (n, mark, word) in own.items():
-                    row = found.setdefault(term, [0, 0, 0, 0, set(), set()])
+                    row = found.setdefault(term, [0, 0, 0, 0, set(), set(), 0, 0])
                     row[1 - toxic] += 1
                     row[3 - toxic] += n
+                    row[7 - toxic] += n > 1
                     if toxic:
                         row[4].add(zlib.crc32(mark.encode()))
                         row[5].add(zlib.crc32(word.encode()))
-            yield pd.DataFrame([(k, *v[:4], list(v[4]), list(v[5])) for k, v in found.items()], columns=_COUNTS)
+            yield pd.DataFrame([(k, *v[:4], list(v[4]), list(v[5]), *v[6:]) for k, v in found.items()], columns=_COUNTS)
 
     return run
 
 
-_COUNTS = ["term", "toxic", "clean", "times_toxic", "times_clean", "marks", "kinds"]
+_COUNTS = ["term", "toxic", "clean", "times_toxic", "times_clean", "marks", "kinds", "twice_toxic", "twice_clean"]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -144,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     """Learn a lexicon from at most most_toxic + most_clean labelled rows whose crc32(doc_id) mod 4 is not 2.
 
     A term is a word, or a stem that starts three words or more. It enters if a likelihood-ratio statistic of at least `evidence` (about
-    one in a million by chance) ties it to toxic rows; its toxic rows count at most once for each different word before it,
+    one in a million by chance) ties it, or it
+    twice, to toxic rows; its toxic rows count at most once for each different word before it,
     so that copied passages are no evidence. Its weight is the log ratio of
     its rates in toxic and clean words. Pairs of words around a hit that only clean rows
     show (two at least) become exception phrases. A ridge logistic fit turns hits into a score. No usable labels: no terms.
@@ -154,18 +165,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not nc:
         return Lexicon({})
-    counts = sample.mapInPandas(_terms(stems), "term string, toxic long, clean long, times_toxic long, times_clean long, marks array<long>, kinds array<long>").groupBy("term")
+    counts = sample.mapInPandas(_terms(stems), "term string, toxic long, clean long, times_toxic long, times_clean long, marks array<long>, kinds array<long>, twice_toxic long, twice_clean long").groupBy("term")
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    counts = staged(counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("times_toxic").alias("ot"), F.sum("times_clean").alias("oc"), distinct("marks").alias("m"), distinct("kinds").alias("kinds")), "terms")
+    counts = staged(counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("times_toxic").alias("ot"), F.sum("times_clean").alias("oc"), distinct("marks").alias("m"), distinct("kinds").alias("kinds"), F.sum("twice_toxic").alias("t2"), F.sum("twice_clean").alias("c2")), "terms")
     words = counts.filter("term = ''").first()
-    n, share = F.col("t") + F.col("c"), nt / (nt + nc)
+    share = nt / (nt + nc)
 
-    def part(k, expected):
-        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    def evidence_of(t, c):
+        """Likelihood ratio of t toxic and c clean rows against the share of toxic rows; 0 if they are fewer than that share."""
+        n = t + c
+        part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+        return F.when(t > n * share, 2 * (part(t, n * share) + part(c, n * (1 - share)))).otherwise(0.0)
 
-    usable = counts.withColumn("t", F.least("t", "m").cast("double")).withColumn("c", F.col("c").cast("double"))
-    usable = usable.filter("term != '' and t >= 3 and (term like '% ' or kinds >= 3)")
-    usable = usable.withColumn("llr", F.when(F.col("t") > n * share, 2 * (part(F.col("t"), n * share) + part(F.col("c"), n * (1 - share)))).otherwise(0.0))
+    usable = counts.filter("term != '' and t >= 3 and (term like '% ' or kinds >= 3)")
+    usable = usable.withColumns({"t": F.least("t", "m").cast("double"), "c": F.col("c").cast("double"), "t2": F.least("t2", "m").cast("double"), "c2": F.col("c2").cast("double")})
+    usable = usable.withColumn("llr", F.greatest(evidence_of(F.col("t"), F.col("c")), evidence_of(F.col("t2"), F.col("c2"))))
     usable = usable.withColumn("w", F.log((F.col("ot") + 0.5) / (F.col("oc") + 0.5) * F.lit((words["oc"] + 1) / (words["ot"] + 1))))
     best = usable.filter((F.col("llr") >= evidence) & (F.col("w") >= 1.0)).orderBy(F.desc("llr"), "term").limit(max_terms)
     lexicon = Lexicon({r["term"]: float(r["w"]) for r in best.collect()})
@@ -193,12 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for pdf in batches:
-            x = [features(automaton, folded(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"a": [v[0] for v in x], "b": [v[1] for v in x], "y": pdf["_toxic"].astype(float)})
+            texts = [folded(t) for t in pdf["text"]]
+            x = np.array([features(hits_of(automaton, t), t) for t in texts]).reshape(-1, 3)
+            yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": pdf["_toxic"].astype(float)})
 
-    rows = np.array([tuple(r) for r in sample.mapInPandas(measured, "a double, b double, y double").collect()])  # bounded by the sample
-    beta = _logistic(np.column_stack([np.ones(len(rows)), rows[:, 0], rows[:, 1]]), rows[:, 2], ridge=0.1)
-    lexicon.betas = (float(beta[0]), max(float(beta[1]), 0.0), max(float(beta[2]), 0.0))
+    rows = np.array([tuple(r) for r in sample.mapInPandas(measured, "a double, b double, c double, y double").collect()])  # bounded by the sample
+    beta = _logistic(np.column_stack([np.ones(len(rows)), rows[:, :3]]), rows[:, 3], ridge=0.1)
+    lexicon.betas = (float(beta[0]), *(float(b) for b in beta[1:]))
     return lexicon
 
 
@@ -212,16 +227,9 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFra
     @F.pandas_udf("score double, n_hits long")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
-        b0, b1, b2 = lexicon.betas
         for texts in parts:
-            out = np.zeros((len(texts), 2))
-            for i, text in enumerate(texts):
-                text = folded(text)
-                hits = hits_of(automaton, text)
-                total = sum(hits.values())
-                rate = 1000.0 * total / max(1, text.count(" ") - 1)
-                out[i] = b0 + b1 * math.log1p(rate) + b2 * math.log1p(total), len(hits)
-            yield pd.DataFrame({"score": 1 / (1 + np.exp(-out[:, 0])), "n_hits": out[:, 1].astype("int64")})
+            score, n = judged(texts, automaton, lexicon.betas)
+            yield pd.DataFrame({"score": score, "n_hits": n.astype("int64")})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judge(F.col("text").cast("string")).alias("j"))
     return rows.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), F.col("j.score").alias("score"), (F.col("j.score") >= threshold).cast("int").alias("predicted"), F.col("j.n_hits").alias("n_hits"))
@@ -233,9 +241,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) ->
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = lexicon.automaton()
-        b0, b1, b2 = lexicon.betas
         for texts in parts:
-            a = np.array([features(automaton, folded(t)) for t in texts]).reshape(-1, 2)
-            yield pd.Series(1 / (1 + np.exp(-(b0 + b1 * a[:, 0] + b2 * a[:, 1]))) < threshold)
+            yield pd.Series(judged(texts, automaton, lexicon.betas)[0] < threshold)
 
     return docs.filter(clean(F.col("text").cast("string")))
