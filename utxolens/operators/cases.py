@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utxolens.operators import graph as G
+from utxolens.operators.iterate import numbered
 
 # Fixed values of the risk model.
 WEIGHTS = {"base": 20, "mixer": 35, "hop": 12}
@@ -45,7 +46,7 @@ def syndicates(pairs: DataFrame) -> DataFrame:
     """(case_id, syndicate): components of linked cases, numbered SYN-01 and on by their smallest case."""
     ends = pairs.select(F.concat_ws("|", "case_a", "case_b").alias("txid"), F.explode(F.array("case_a", "case_b")).alias("address"))
     found = G.clusters(ends, ends.limit(0)).withColumnRenamed("address", "case_id")
-    names = found.select("cluster").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("cluster")))  # one row per component
+    names = numbered(found.select("cluster").distinct(), [F.col("cluster")], "n")
     return found.join(names, "cluster").select("case_id", F.concat(F.lit("SYN-"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("syndicate"))
 
 

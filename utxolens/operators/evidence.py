@@ -80,11 +80,26 @@ def claims(derived: DataFrame, stored: DataFrame, reviews: DataFrame) -> DataFra
     return both.join(reviews, ["case_id", "id"], "left").select("case_id", "id", "class", "origin", F.coalesce("review", F.lit("unreviewed")).alias("review"))
 
 
-def gaps(cases: DataFrame) -> DataFrame:
-    """(case_id, gap, priority): what is missing from each row of cases, whose flags say what is there."""
-    rules = (("has_seed", "no starting point", 1), ("has_receiver", "no endpoint", 2), ("has_height", "flows without time", 3), ("has_memo", "no data carrier reviewed", 9))  # fixed values
-    found = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.struct(F.lit(g).alias("gap"), F.lit(p).alias("priority"))) for c, g, p in rules]))
-    return cases.select("case_id", F.explode(found).alias("g")).select("case_id", "g.gap", "g.priority")
+# What each missing or failing piece of evidence is called, and its priority (1 first).
+CASE_GAPS = {
+    "origin": ("origin unknown", 1), "tx_references": ("flows without transaction", 1), "time_metadata": ("flows without time", 2), "trace_method": ("method not recorded", 2), "trace_confidence": ("confidence under 70 percent", 2),
+    "all_branches": ("branches left out", 2), "full_history": ("address history incomplete", 2), "no_warnings": ("trace warnings", 2), "paths_reviewed": ("routes not reviewed", 2), "action_evidence": ("actions without evidence", 2), "followed_up": ("follow-up overdue", 1),
+}
+RECEIVER_GAPS = {"destination": ("destination type unknown", 1), "availability": ("availability unknown", 1), "contact": ("no verified contact", 2), "contact_fresh": ("contact over 90 days old", 2)}
+
+
+def gaps(cases: DataFrame, receivers: DataFrame) -> DataFrame:
+    """(case_id, subject, gap, priority): the pieces that cases(case_id, flags) and receivers(case_id, address, flags) lack.
+
+    A flag that is false or null is a gap. A stale contact counts only where there is a contact.
+    """
+
+    def missing(df: DataFrame, rules: dict, subject) -> DataFrame:
+        found = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.struct(F.lit(g).alias("gap"), F.lit(p).alias("priority"))) for c, (g, p) in rules.items()]))
+        return df.select("case_id", subject.alias("subject"), F.explode(found).alias("g")).select("case_id", "subject", "g.gap", "g.priority")
+
+    fresh = receivers.withColumn("contact_fresh", ~F.coalesce("contact", F.lit(False)) | F.coalesce("contact_fresh", F.lit(False)))
+    return missing(cases, CASE_GAPS, F.lit("case")).unionByName(missing(fresh, RECEIVER_GAPS, F.col("address")))
 
 
 def master_audit(checks: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -27,3 +28,14 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Cal
             return state, done, True
         before = now
     return state, max_rounds, False
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add name: the rank from 1 in a total order, by ranges of rows; only one count per range comes to the driver."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    starts, at = {}, 0
+    for r, n in sorted(map(tuple, ranged.groupBy("_range").count().collect())):
+        starts[r], at = at, at + n
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_range")) if starts else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, (start + inside).cast("long")).drop("_range")

@@ -82,11 +82,20 @@ def set_claims(v):
     return E.claims(derived, stored, reviews)
 
 
-@query("set_gaps", "case_node", """, c as (select case_id, bool_or(type = 'suspect') as s, bool_or(type = 'receiver' and ord % 2 = 0) as r, bool_or(block_height > 300000) as h, bool_or(type = 'mixer') as m from case_node group by case_id)
-select case_id, 'no starting point' as gap, 1 as priority from c where not s union all select case_id, 'no endpoint', 2 from c where not r union all select case_id, 'flows without time', 3 from c where not h union all select case_id, 'no data carrier reviewed', 9 from c where not m""")
+def _gap_sql() -> str:
+    case = [f"select case_id, 'case' as subject, '{g}' as gap, {p} as priority from c where k % {i + 2} = 0" for i, (g, p) in enumerate(E.CASE_GAPS.values())]
+    names = list(E.RECEIVER_GAPS.values())
+    one = [f"select case_id, address, '{g}', {p} from r where {w}" for (g, p), w in zip(names, ("part % 2 = 0", "part % 3 = 0", "part % 5 = 0", "part % 5 <> 0 and part % 7 = 0"), strict=True)]
+    return ", c as (select distinct case_id, substr(case_id, 2)::bigint // 3 as k from case_node), r as (select case_id, address, substr(address, 2)::bigint as part from case_node where type = 'receiver') " + " union all ".join(case + one)
+
+
+@query("set_gaps", "case_node", _gap_sql())
 def set_gaps(v):
-    flags = nodes(v).groupBy("case_id").agg(F.bool_or(F.col("type") == "suspect").alias("has_seed"), F.bool_or((F.col("type") == "receiver") & (F.col("ord") % 2 == 0)).alias("has_receiver"), F.bool_or(F.col("block_height") > 300_000).alias("has_height"), F.bool_or(F.col("type") == "mixer").alias("has_memo"))
-    return E.gaps(flags)
+    n = nodes(v)
+    k, part = F.expr("cast(substring(case_id, 2) as bigint) div 3"), F.expr("cast(substring(address, 2) as bigint)")
+    flags = n.select("case_id").distinct().select("case_id", *[(k % (i + 2) != 0).alias(c) for i, c in enumerate(E.CASE_GAPS)])
+    receivers = n.filter("type = 'receiver'").select("case_id", "address", *[(part % m != 0).alias(c) for m, c in zip((2, 3, 5, 7), E.RECEIVER_GAPS, strict=True)])
+    return E.gaps(flags, receivers)
 
 
 @query("aud_heuristic", "txo txi tx", _classified("null::bigint") + """, l as (select *, case (txid + vout) % 3 when 0 then 'payment' when 1 then 'change' end as label from cl)
