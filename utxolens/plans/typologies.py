@@ -64,10 +64,11 @@ def op_return_texts(v):
     return scripts(v).withColumn("text", T.carried_text(F.col("script"))).filter("text is not null").groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("l2_exits", "", f"""with s as ({_SCRIPTS}) select case when regexp_matches(script, '^5221.*52ae$') then 'two of two' when regexp_matches(script, '63a914.*88.*67.*b1') then 'hash lock' else 'none' end as protocol, count(*) as scripts from s group by 1""")
+@query("l2_exits", "", f"""with s as ({_SCRIPTS}), c as (select script, script like '%a9%' as a9, script like '%a8%' as a8, script like '%b1%' as b1, script like '%b2%' as b2, script like '%63%' as s63, script like '%67%' as s67, script like '%68%' as s68 from s),
+k as (select script, ((a9 or a8) and (b1 or b2) and (s63 or s67 or s68)) or (a9 and b1) or (s63 and s67 and b1) as swap from c)
+select case when script like '%52ae' and (script like '52%' or script like '%5221%') then 'channel funding' when swap and script like '%8763%' and script like '%b175%' then 'swap service' when swap then 'hash-locked swap' else 'none' end as protocol, count(*) as scripts from k group by 1""")
 def l2_exits(v):
-    kind = F.when(F.col("script").rlike("^5221.*52ae$"), "two of two").when(F.col("script").rlike("63a914.*88.*67.*b1"), "hash lock").otherwise("none")
-    return scripts(v).groupBy(kind.alias("protocol")).agg(F.count("*").alias("scripts"))
+    return scripts(v).groupBy(T.layer_two(F.col("script")).alias("protocol")).agg(F.count("*").alias("scripts"))
 
 
 @query("address_quality", "", f"""with recursive a as ({_ADDR}),
@@ -83,7 +84,7 @@ def address_quality(v):
 
 
 @query("address_networks", "", f"""with a as ({_ADDR}) select case when regexp_matches(address, '^0x[0-9a-fA-F]{{40}}$') then 'EVM' when regexp_matches(address, '^T[1-9A-HJ-NP-Za-km-z]{{33}}$') then 'TRON' when regexp_matches(address, '^(bc1|[13])') then 'BTC'
-  when regexp_matches(address, '^[1-9A-HJ-NP-Za-km-z]{{32,44}}$') then 'SOL?' else 'none' end as network, count(*) as addresses from a group by 1""")
+  when regexp_matches(address, '^[1-9A-HJ-NP-Za-km-z]{{32,44}}$') then 'SOL' else 'none' end as network, count(*) as addresses from a group by 1""")
 def address_networks(v):
     return addresses(v).groupBy(T.network_of(F.col("address")).alias("network")).agg(F.count("*").alias("addresses"))
 
