@@ -98,3 +98,17 @@ def entity_tags(addresses: DataFrame, entities: DataFrame) -> DataFrame:
     own = addresses.join(known, F.lower("address") == F.col("k"), "left")
     form = F.when(F.col("address").startswith("3"), "script custody?").when(F.lower("address").startswith("bc1p"), "taproot custody?")
     return own.select("address", F.coalesce("entity", form).alias("tag"), F.col("entity").isNotNull().alias("verified"))
+
+
+def bridge_cases(*found: DataFrame) -> DataFrame:
+    """Per case: bridge hops of all sources found(case_id, address, ord, value_sats, chain), each address once in any case.
+
+    Of an address the first source, then the lowest order, counts. The penalty is 15 a hop, 30 at most.
+    """
+    both = None
+    for i, f in enumerate(found):
+        own = f.select("case_id", F.lower("address").alias("address"), "ord", "value_sats", "chain", F.lit(i).alias("source"))
+        both = own if both is None else both.unionByName(own)
+    one = both.groupBy("case_id", "address").agg(F.min_by(F.struct("value_sats", "chain"), F.struct("source", "ord")).alias("f"))
+    out = one.groupBy("case_id").agg(F.count("*").alias("bridges"), F.max("f.value_sats").alias("max_sats"), F.array_join(F.array_sort(F.collect_set("f.chain")), ",").alias("chains"))  # a handful of chains
+    return out.withColumn("penalty", F.least(F.lit(30), F.col("bridges") * 15).cast("long"))

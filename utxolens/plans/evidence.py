@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from utxolens.operators import cases as C
 from utxolens.operators import evidence as E
-from utxolens.operators import graph as G
 from utxolens.operators import transactions as X
+from utxolens.operators import typologies as Y
 from utxolens.operators.iterate import settled
 from utxolens.plans.cases import edges, nodes
 from utxolens.plans.registry import query
@@ -64,11 +64,14 @@ def jn_unmix_partitions(v):
     return E.unmix_partitions(candidates(v), mixes(v))
 
 
-@query("typ_bridge_case", "case_node", """, b as (select case_id, lower(address) as a, arg_min(value_sats, ord) as v from case_node where type = 'bridge' group by all)
-select case_id, count(*) as bridges, max(v) as max_sats, least(30, 15 * count(*))::bigint as penalty from b group by case_id""")
+@query("typ_bridge_case", "case_node", """, f as (select *, substr(address, 2)::bigint as part from case_node),
+u as (select case_id, lower(address) as a, ord, value_sats, 'ETH' as chain, 0 as s from f where type = 'bridge' union all select case_id, lower(address), ord, value_sats, 'TRX', 1 from f where part % 37 = 0 union all select case_id, lower(address), ord, value_sats, 'SOL', 2 from f where part % 41 = 0),
+o as (select case_id, a, arg_min(struct_pack(v := value_sats, c := chain), struct_pack(s := s, o := ord)) as f from u group by all)
+select case_id, count(*) as bridges, max(f.v) as max_sats, array_to_string(list_sort(list(distinct f.c)), ',') as chains, least(30, 15 * count(*))::bigint as penalty from o group by case_id""")
 def typ_bridge_case(v):
-    one = nodes(v).filter("type = 'bridge'").groupBy("case_id", F.lower("address").alias("a")).agg(F.min_by("value_sats", "ord").alias("v"))
-    return one.groupBy("case_id").agg(F.count("*").alias("bridges"), F.max("v").alias("max_sats"), F.least(F.lit(30), F.count("*") * 15).cast("long").alias("penalty"))
+    n, part = nodes(v), F.expr("cast(substring(address, 2) as bigint)")
+    source = lambda when, chain: n.filter(when).withColumn("chain", F.lit(chain))
+    return Y.bridge_cases(source(F.col("type") == "bridge", "ETH"), source(part % 37 == 0, "TRX"), source(part % 41 == 0, "SOL"))
 
 
 @query("set_claims", "case_node", """, dv as (select case_id, 'onchain:' || address as id, case when type = 'hop' then 'on_chain_reference' else 'hypothesis' end as class, ord as seq from case_node),
