@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,8 +18,14 @@ from utxolens.llm.common import staged
 
 _MARK = b"\x01"
 _ENCODERS: dict[str, object] = {}
-# A full stop or comma that ends a word: always a token run of its own.
-_END = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,](?=[ \n])")
+_LATIN = frozenset([*range(0xA0, 0xB7), *range(0xB8, 0xC0)])  # second bytes of the lower-case letters U+00E0 to U+00FF
+
+
+def _ends_word(chunk: bytes) -> bool:
+    """True for a word and one full stop or comma, which is a token run of its own."""
+    if chunk[-1] not in b".," or len(chunk) < 2:
+        return False
+    return chunk[-2:-1].isalnum() or (len(chunk) > 2 and chunk[-3] == 0xC3 and chunk[-2] in _LATIN)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,14 +39,14 @@ _LETTERS = _byte_letters()
 
 
 def chunks(text: str | None) -> list[bytes]:
-    """White-space free chunks of a text, in a form that gives the same ids: ASCII in lower case, word ends split off.
+    """White-space free chunks of a text, in a form that gives the same ids: ASCII in lower case.
 
     Texts with combining marks or with what looks like a special token are only split.
     """
     raw = text.encode("utf-8", "replace") if text else b""
     if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
         return raw.split()
-    return _END.sub(rb" \g<0>", raw.lower()).split()
+    return raw.lower().split()
 
 
 class ChunkEncoder:
@@ -58,6 +64,7 @@ class ChunkEncoder:
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.marks = {ord(c): self._ids(c).tobytes() for c in ".,"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -65,12 +72,18 @@ class ChunkEncoder:
     def learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-        rest = []
+        rest, ends = [], []
         for c in new:
+            if _ends_word(c):
+                ends.append(c)
+                c = c[:-1]
+                if c in self.known:
+                    continue
             word = c.decode("utf-8", "replace")
-            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
                 run = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(_LETTERS)
-                self.known[c] = np.array([t.id for t in self.tokenizer.model.tokenize(run)], "<u4").tobytes()
+                ids = [t.id for t in self.tokenizer.model.tokenize(run)]
+                self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 rest.append(c)
         plain = [c for c in rest if self.mark is not None and _MARK not in c]
@@ -86,6 +99,8 @@ class ChunkEncoder:
                 self.known[c] = (own[1:] if c is not part[0] else own).tobytes()
         for c in set(rest) - set(plain):
             self.known[c] = self._ids(c.decode("utf-8", "replace")).tobytes()
+        for c in ends:
+            self.known[c] = self.known[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
