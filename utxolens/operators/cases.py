@@ -36,6 +36,21 @@ def joint_transactions(members: DataFrame) -> DataFrame:
     return both.groupBy("case_a", "case_b").agg(F.count("*").alias("joint_txs"))
 
 
+def joint_records(inputs: DataFrame, members: DataFrame) -> DataFrame:
+    """Each transaction of inputs(txid, address) matched to saved cases, members(case_id, address): counts and a reason code.
+
+    Recorded with two valid inputs, two matched addresses and two cases; Bech32 addresses match in any case.
+    """
+    canonical = F.when(F.lower("address").startswith("bc1"), F.lower("address")).otherwise(F.col("address"))
+    own = inputs.filter("address is not null").select("txid", canonical.alias("address")).distinct()
+    known = members.select("case_id", canonical.alias("address")).distinct()
+    n = own.groupBy("txid").agg(F.count("*").alias("inputs"))
+    hit = own.join(known, "address").groupBy("txid").agg(F.count_distinct("address").alias("matched"), F.count_distinct("case_id").alias("cases"))
+    out = n.join(hit, "txid", "left").na.fill(0)
+    reason = F.when(F.col("inputs") < 2, "TOO_FEW_INPUTS").when(F.col("matched") == 0, "NO_CASE").when(F.col("cases") < 2, "ONE_CASE").when(F.col("matched") < 2, "ONE_ADDRESS").otherwise("RECORDED")
+    return out.withColumn("reason", reason)
+
+
 def mutual_associations(recorded: DataFrame) -> DataFrame:
     """Associations that both cases have recorded, with one rationale: recorded(by_case, other_case, rationale)."""
     back = recorded.select(F.col("other_case").alias("by_case"), F.col("by_case").alias("other_case"), "rationale")

@@ -70,6 +70,13 @@ def jn_joint_tx(v):
     return C.joint_transactions(m)
 
 
+@query("jn_joint_record", "case_node txi", """, o as (select distinct txid, address from txi), k as (select distinct case_id, address from case_node where ord <= 3), n as (select txid, count(*) as inputs from o group by txid),
+h as (select txid, count(distinct o.address) as matched, count(distinct case_id) as cases from o join k on k.address = o.address group by txid)
+select n.txid, inputs, coalesce(matched, 0) as matched, coalesce(cases, 0) as cases, case when inputs < 2 then 'TOO_FEW_INPUTS' when coalesce(matched, 0) = 0 then 'NO_CASE' when cases < 2 then 'ONE_CASE' when matched < 2 then 'ONE_ADDRESS' else 'RECORDED' end as reason from n left join h on h.txid = n.txid""")
+def jn_joint_record(v):
+    return C.joint_records(v.txi.select("txid", "address"), nodes(v).filter("ord <= 3").select("case_id", "address"))
+
+
 @query("jn_manual_assoc", "case_node", """, r as (select distinct a.case_id as by_case, b.case_id as other_case, 'part ' || a.address as rationale from case_node a join case_node b on a.address = b.address and a.case_id <> b.case_id where (a.ord + b.ord) % 3 = 0 or a.ord % 2 = 0)
 select r.* from r where by_case < other_case and exists (select 1 from r q where q.by_case = r.other_case and q.other_case = r.by_case and q.rationale = r.rationale)""")
 def jn_manual_assoc(v):
