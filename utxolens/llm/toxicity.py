@@ -114,31 +114,37 @@ def _terms(stems: tuple[int, ...]):
     """Per batch of texts, for each word and word stem: toxic and clean documents, those with it twice, toxic and clean
     occurrences, and, of the toxic ones, marks of the words before and of the words themselves. Row '' has all words."""
 
+    def count(texts: list[str], labels: list[int]) -> pd.DataFrame:
+        found: dict[str, list] = {"": [0] * 6 + [None, None]}
+        for text, toxic in zip(texts, labels, strict=True):
+            own: dict[str, list] = {}
+            before, words = "", folded(text).split()
+            for word in words:
+                for term in (f" {word} ", *[f" {word[:n]}" for n in stems if len(word) > n]):
+                    own.setdefault(term, [0, before, word])[0] += 1
+                before = word
+            found[""][3 - toxic] += len(words)
+            for term, (n, mark, word) in own.items():
+                row = found.setdefault(term, [0] * 6 + [None, None])
+                row[1 - toxic] += 1
+                row[3 - toxic] += n
+                row[5 - toxic] += n > 1
+                if toxic:
+                    if row[6] is None:
+                        row[6], row[7] = set(), set()
+                    row[6].add(zlib.crc32(mark.encode()))
+                    row[7].add(zlib.crc32(word.encode()))
+        return pd.DataFrame([(k, *v[:6], list(v[6] or ()), list(v[7] or ())) for k, v in found.items()], columns=_COUNTS)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found: dict[str, list] = {"": [0, 0, 0, 0, set(), set(), 0, 0]}
-            for text, toxic in zip(pdf["text"], pdf["_toxic"], strict=True):
-                own: dict[str, list] = {}
-                before, words = "", folded(text).split()
-                for word in words:
-                    for term in (f" {word} ", *[f" {word[:n]}" for n in stems if len(word) > n]):
-                        own.setdefault(term, [0, before, word])[0] += 1
-                    before = word
-                found[""][3 - toxic] += len(words)
-                for term, (n, mark, word) in own.items():
-                    row = found.setdefault(term, [0, 0, 0, 0, set(), set(), 0, 0])
-                    row[1 - toxic] += 1
-                    row[3 - toxic] += n
-                    row[7 - toxic] += n > 1
-                    if toxic:
-                        row[4].add(zlib.crc32(mark.encode()))
-                        row[5].add(zlib.crc32(word.encode()))
-            yield pd.DataFrame([(k, *v[:4], list(v[4]), list(v[5]), *v[6:]) for k, v in found.items()], columns=_COUNTS)
+            for i in range(0, len(pdf), 200):
+                yield count(pdf["text"].tolist()[i : i + 200], pdf["_toxic"].tolist()[i : i + 200])
 
     return run
 
 
-_COUNTS = ["term", "toxic", "clean", "times_toxic", "times_clean", "marks", "kinds", "twice_toxic", "twice_clean"]
+_COUNTS = ["term", "toxic", "clean", "times_toxic", "times_clean", "twice_toxic", "twice_clean", "marks", "kinds"]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -165,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not nc:
         return Lexicon({})
-    counts = sample.mapInPandas(_terms(stems), "term string, toxic long, clean long, times_toxic long, times_clean long, marks array<long>, kinds array<long>, twice_toxic long, twice_clean long").groupBy("term")
+    counts = sample.mapInPandas(_terms(stems), "term string, toxic long, clean long, times_toxic long, times_clean long, twice_toxic long, twice_clean long, marks array<long>, kinds array<long>").groupBy("term")
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     counts = staged(counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("times_toxic").alias("ot"), F.sum("times_clean").alias("oc"), distinct("marks").alias("m"), distinct("kinds").alias("kinds"), F.sum("twice_toxic").alias("t2"), F.sum("twice_clean").alias("c2")), "terms")
     words = counts.filter("term = ''").first()
