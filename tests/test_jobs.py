@@ -27,7 +27,7 @@ def test_address_types(spark):
 def test_memos(spark):
     evm = "0x" + "ab" * 20
     cases = {"=:ETH.USDT:" + evm: ("THORChain", "ETH", "USDT", evm), "SSH:usdt:" + evm: ("SideShift", "ETH", "USDT", evm), "RETURN bridge:sol:me:usdc": ("Bridge", "SOL", "USDC", "me"), "pay " + evm: ("EVM", "ETH", "ERC-20", evm), "m:BTC.BTC:x": ("Maya", "BTC", "BTC", "x"), "hello": None}
-    got = {r["a"]: r["m"] and tuple(r["m"]) for r in T.with_memo(column(spark, [*cases, None]), "a").collect()}
+    got = {r["a"]: tuple(r)[1:] if r["protocol"] else None for r in T.with_memo(column(spark, [*cases, None]), "a").collect()}
     assert got.pop(None) is None and got == cases
 
 

@@ -95,7 +95,7 @@ def carried_text(script_hex: Column) -> Column:
 
 
 def with_memo(df: DataFrame, text: str) -> DataFrame:
-    """Adds m, struct(protocol, chain, asset, destination) of a bridge memo in column text, or null; the first form that fits.
+    """Adds protocol, chain, asset and destination of a bridge memo in column text, or nulls; the first form that fits counts.
 
     The parts of each form are columns of a step of their own, so that each pattern is matched once.
     """
@@ -118,16 +118,21 @@ def with_memo(df: DataFrame, text: str) -> DataFrame:
     def chain_of(address: Column) -> Column:
         return F.when(address.startswith("0x"), "ETH").when(address.startswith("T") & (F.length(address) >= 33), "TRX").when(address.rlike("^[1-9A-HJ-NP-Za-km-z]{32,44}$"), "SOL").otherwise("UNKNOWN")
 
-    def found(when: Column, protocol: Column, chain: Column, asset: Column, destination: str) -> Column:
-        return F.when(when, F.struct(protocol.alias("protocol"), chain.alias("chain"), asset.alias("asset"), F.col(destination).alias("destination")))
+    own = own.withColumn("_form", F.when(F.col("_swap3").isNotNull(), 1).when(F.col("_side1").isNotNull(), 2).when(F.col("_bridge1").isNotNull() & F.col("_to").isNotNull(), 3).when(F.col("_evm1").isNotNull(), 4))
 
-    m = F.coalesce(
-        found(F.col("_swap3").isNotNull(), F.when(F.lower("_clean").startswith("m"), "Maya").otherwise("THORChain"), F.upper("_swap1"), F.upper("_swap2"), "_swap3"),
-        found(F.col("_side1").isNotNull(), F.lit("SideShift"), chain_of(F.col("_at")), F.col("_coin"), "_at"),
-        found(F.col("_bridge1").isNotNull() & F.col("_to").isNotNull(), F.lit("Bridge"), F.when(F.col("_known"), F.upper("_bridge1")).otherwise(chain_of(F.col("_to"))), F.col("_kind"), "_to"),
-        found(F.col("_evm1").isNotNull(), F.lit("EVM"), F.lit("ETH"), F.lit("ERC-20"), "_evm1"),
-    )
-    return own.withColumn("m", m).select(*df.columns, "m")
+    def by_form(*columns: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for i, c in enumerate(columns, 1):
+            out = F.when(F.col("_form") == i, c).otherwise(out)
+        return out
+
+    own = own.withColumn("destination", by_form(F.col("_swap3"), F.col("_at"), F.col("_to"), F.col("_evm1")))
+    own = own.withColumn("_guess", chain_of(F.col("destination")))
+    return own.select(
+        *df.columns, by_form(F.when(F.lower("_clean").startswith("m"), "Maya").otherwise("THORChain"), F.lit("SideShift"), F.lit("Bridge"), F.lit("EVM")).alias("protocol"),
+        by_form(F.upper("_swap1"), F.col("_guess"), F.when(F.col("_known"), F.upper("_bridge1")).otherwise(F.col("_guess")), F.lit("ETH")).alias("chain"),
+        by_form(F.upper("_swap2"), F.col("_coin"), F.col("_kind"), F.lit("ERC-20")).alias("asset"), "destination",
+    )
 
 
 def template(script_hex: Column) -> Column:

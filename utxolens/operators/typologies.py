@@ -80,8 +80,8 @@ def graph_peels(flows: DataFrame, hops: DataFrame) -> DataFrame:
 
 def bridge_exits(memos: DataFrame) -> DataFrame:
     """Value by protocol and chain of memos(memo, value_sats) that name a bridge."""
-    own = T.with_memo(memos, "memo").filter("m is not null")
-    return own.groupBy("m.protocol", "m.chain").agg(F.count("*").alias("memos"), F.sum("value_sats").alias("sats"), F.count_distinct("m.destination").alias("destinations"))
+    own = T.with_memo(memos, "memo").filter("protocol is not null")
+    return own.groupBy("protocol", "chain").agg(F.count("*").alias("memos"), F.sum("value_sats").alias("sats"), F.count_distinct("destination").alias("destinations"))
 
 
 def bridge_entities(labels: DataFrame, providers: DataFrame) -> DataFrame:
