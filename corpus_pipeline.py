@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from utxolens.llm import mixing, packing, secrets, simhash, toxicity
+from utxolens.llm import mixing, neardups, packing, secrets, toxicity
 from utxolens.llm.common import staged
 
 
@@ -16,8 +16,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near-duplicates by fingerprint."""
-    return simhash.one_of_each(docs)
+    """One document, the one with the smallest doc_id, of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return neardups.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

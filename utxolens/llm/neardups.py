@@ -1,0 +1,127 @@
+"""Near-duplicates by similarity of word shingles: MinHash bands find candidates, exact sets of shingles decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from utxolens.llm.common import components, staged
+from utxolens.llm.simhash import representatives
+
+# Bands of rows. Texts of similarity s share none with a probability of (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8.
+BANDS, ROWS = 32, 4
+_TURNS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct ASCII-lower-cased word shingles; fewer words than width make one, none make none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    w = np.fromiter(map(digest, words), np.uint64, len(words))
+    width = min(width, len(w))
+    h = np.full(len(w) - width + 1, width, np.uint64)
+    for i in range(width):
+        h = _mixed(h) + w[i : len(w) - width + 1 + i]
+    return np.unique(_mixed(h))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band; the key of a band depends on the band too."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(own), 2048):
+        np.minimum(least, (own[at : at + 2048, None] * _TURNS).min(axis=0), out=least)
+    return _mixed((_mixed(least).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64))
+
+
+def _name(own: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, n, keys) of every row: fp names the set of shingles, n is its size, keys are its bands (none of an empty set)."""
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingles(t, width) for t in pdf["text"]]
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": [_name(s) for s in own], "n": [len(s) for s in own]})
+            out["keys"] = [bands(s).view(np.int64) if len(s) else None for s in own]
+            yield out
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(signed, "doc_id long, fp long, n long, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(fp, own): the hashes of the shingles of each set in wanted(fp)."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingles(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"fp": [_name(s) for s in own], "own": [s.view(np.int64) for s in own]})
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(listed, "fp long, own array<long>")
+    return rows.join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have percent or more of their union in common."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: doc_id, component_id.
+
+    Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least percent / 100; component_id is
+    the smallest doc_id that links reach. Equal sets are one node. In each bucket of a band all sets are compared with its
+    smallest; then those outside the bucket's largest component so far are compared with all sets of other components in
+    it, which leaves out only pairs that are connected anyway. Null or blank texts are near-duplicates of each other only.
+    """
+    rows = staged(signatures(docs, width), "shingles")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    member = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("hub"), F.min_by("n", "fp").alias("hub_n")).filter("c > 1").drop("c")
+    member = staged(member.join(shared, "key"), "buckets")
+    sets = staged(_sets(docs, member.select("fp").distinct(), width), "sets")
+
+    def sizes_allow(a: str, b: str):
+        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+    stars = member.filter("fp != hub").filter(sizes_allow("n", "hub_n")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    links = staged(_similar(stars, sets, percent), "links")
+    reached = components(links).withColumnRenamed("node", "fp")
+
+    placed = staged(member.join(reached, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("component")), "placed")
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
+    placed = placed.join(mixed, "key")
+    x = placed.filter("component != most").select("key", F.col("fp").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
+    y = placed.select("key", F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+    crossed = x.join(y, "key").filter("ac != bc").filter(sizes_allow("an", "bn"))
+    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(staged(_similar(crossed, sets, percent), "links"))
+
+    reached = components(links).withColumnRenamed("node", "fp")
+    label = distinct.select("fp", "least").join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "fp").join(label.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows of each group that are not its representative; see simhash.representatives()."""
+    return representatives(docs, near_groups(docs, width, percent))

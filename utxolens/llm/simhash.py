@@ -92,13 +92,17 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, seed: int =
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """docs without the rows of each group that are not its representative (the smallest doc_id).
+def representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the rows of each group(doc_id, component_id) that are not its representative (the smallest doc_id).
 
     Repeated rows of the representative's doc_id are cut to one. Rows with a null doc_id are kept.
     """
-    groups = near_groups(docs, width, distance).filter("doc_id = component_id")
-    keep = groups.groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_more"))
+    keep = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_more"))
     once = docs.join(keep.filter("not _more"), F.col("doc_id") == F.col("_keep"), "left_semi")
     more = docs.join(keep.filter("_more"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+    """docs without the rows of each group that are not its representative; see representatives()."""
+    return representatives(docs, near_groups(docs, width, distance))
