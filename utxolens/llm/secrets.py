@@ -27,10 +27,14 @@ _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwx
 ALPHABETS = {
     "hex": _DIGIT + "abcdef",
     "base32": _UPPER + "234567",
+    "base36": _DIGIT + _LOWER,
+    "BASE36": _DIGIT + _UPPER,
     "base62": _UPPER + _LOWER + _DIGIT,
     "base64": _UPPER + _LOWER + _DIGIT + "+/",
     "url64": _UPPER + _LOWER + _DIGIT + "-_",
 }
+# Where runs are cut, so that the parts of paths and compound names are tokens too.
+_CUTS = [re.compile(f"[^{c}]{{16,}}") for c in ("/", "+", "_-", "/_-", "/+_-")]
 _INDEX = {e: {c: i for i, c in enumerate(a)} for e, a in ALPHABETS.items()}
 
 
@@ -41,7 +45,7 @@ def encoding_of(token: str) -> str | None:
         return None
     if chars <= set(_DIGIT + "abcdef") or chars <= set(_DIGIT + "ABCDEF"):
         return "hex"
-    return next((e for e in ("base32", "base62", "base64", "url64") if chars <= set(ALPHABETS[e])), None)
+    return next((e for e in ("base32", "base36", "BASE36", "base62", "base64", "url64") if chars <= set(ALPHABETS[e])), None)
 
 
 def _normal_tail(z: float) -> float:
@@ -102,17 +106,27 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def _parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of a run, and of each part of 16 characters or more that cuts at some of its signs leave, once each."""
+    found = [(0, len(run))]
+    if not run.isalnum():
+        found += [m.span() for cut in _CUTS for m in cut.finditer(run)]
+    return list(dict.fromkeys(found))
+
+
 def tokens_of(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
-    """The plain spans of a text, and its tokens outside them that some encoding may have written."""
+    """The plain spans of a text, and its tokens outside them that some encoding may have written; parts overlap their runs."""
     base, tokens = base_spans(text), []
     for m in _TOKEN.finditer(text):
-        token = m[0].rstrip("=")
-        encoding = encoding_of(token)
-        if encoding and not any(a < m.end() and m.start() < b for a, _, b in base):
-            index = _INDEX[encoding]
-            symbols = np.bincount([index[c] for c in (token.lower() if encoding == "hex" else token)], minlength=64)
-            symbols = np.minimum(symbols, 65535).astype("<u2").tobytes()
-            tokens.append({"s": m.start(), "e": m.end(), "encoding": encoding, "n": len(token), "symbols": symbols, "fit": battery(token, encoding)})
+        run = m[0].rstrip("=")
+        for at, to in _parts(run):
+            token, start, end = run[at:to], m.start() + at, m.end() if to == len(run) else m.start() + to
+            encoding = encoding_of(token)
+            if encoding and not any(a < end and start < b for a, _, b in base):
+                index = _INDEX[encoding]
+                symbols = np.bincount([index[c] for c in (token.lower() if encoding == "hex" else token)], minlength=64)
+                symbols = np.minimum(symbols, 65535).astype("<u2").tobytes()
+                tokens.append({"s": start, "e": end, "encoding": encoding, "n": len(token), "symbols": symbols, "fit": battery(token, encoding)})
     return base, tokens
 
 
@@ -168,6 +182,14 @@ class Limits:
         limit = self.evidence.get((t["encoding"], _length_class(t["n"])), math.inf)
         return t["fit"] >= self.least_fit and _evidence(self.frequency, t["symbols"], t["encoding"]) >= limit
 
+    def chosen(self, tokens) -> list[dict]:
+        """The tokens that pass, in order; of those that overlap the ones that ordinary text accounts for least."""
+        out: list[dict] = []
+        for t in sorted((t for t in tokens if self.passes(t)), key=lambda t: (-_evidence(self.frequency, t["symbols"], t["encoding"]), t["s"] - t["e"], t["s"])):
+            if all(t["e"] <= x["s"] or x["e"] <= t["s"] for x in out):
+                out.append(t)
+        return sorted(out, key=lambda t: t["s"])
+
 
 def scan(docs: DataFrame, rate: float = 0.001, least_fit: float = 0.001, step: float = 0.1) -> tuple[DataFrame, Limits]:
     """(doc_id, base spans, tokens) of every row of docs, and the limits that tell which tokens are secrets.
@@ -175,7 +197,7 @@ def scan(docs: DataFrame, rate: float = 0.001, least_fit: float = 0.001, step: f
     A token of 16 characters or more outside the plain spans, in an inferred encoding, is added if the battery doesn't reject
     that its symbols are uniform and independent (combined p of at least least_fit), and if ordinary text doesn't account for
     it: the p-value from byte frequencies of all documents must pass a false-discovery rate of `rate` among all tokens of
-    its encoding and length class. Null texts are empty; repeated rows and null doc_ids are rows like any others.
+    its encoding and length class. Runs with signs are tried whole and in parts, and of those that pass the least ordinary are added. Null texts are empty; repeated rows and null doc_ids are rows like any others.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(texts.mapInPandas(_scan, _SCAN), "secrets")
@@ -193,7 +215,7 @@ def scan(docs: DataFrame, rate: float = 0.001, least_fit: float = 0.001, step: f
     token = token.withColumn("bin", F.least(F.floor(evidence("symbols", "encoding") / step), F.lit(most)).cast("int"))
     token = token.groupBy("encoding", F.least(F.floor(F.log2("n")) - 3, F.lit(8)).cast("int").alias("length"), "bin").count()
     counts: dict[tuple[str, int], np.ndarray] = {}
-    for e, length, b, n in token.collect():  # at most 5 encodings x 8 lengths x 4001 bins
+    for e, length, b, n in token.collect():  # at most 7 encodings x 8 lengths x 4001 bins
         counts.setdefault((e, length), np.zeros(most + 1))[b] += n
     limits = thresholds(counts, rate, step)
 
@@ -206,7 +228,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
     @F.pandas_udf("array<struct<s:long,k:int,e:long>>")
     def added(tokens: pd.Series) -> pd.Series:
-        return pd.Series([[{"s": t["s"], "k": 3, "e": t["e"]} for t in own if limits.passes(t)] for own in tokens])
+        return pd.Series([[{"s": t["s"], "k": 3, "e": t["e"]} for t in limits.chosen(own)] for own in tokens])
 
     none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     found = rows.withColumn("added", F.when(F.size("tokens") > 0, added("tokens")).otherwise(none))
@@ -233,7 +255,7 @@ def masked(docs: DataFrame, mask: str = "[secret]", **how) -> DataFrame:
             if text:
                 base, tokens = tokens_of(text)
                 at, parts = 0, []
-                for a, b in sorted([(a, b) for a, _, b in base] + [(t["s"], t["e"]) for t in tokens if limits.passes(t)]):
+                for a, b in sorted([(a, b) for a, _, b in base] + [(t["s"], t["e"]) for t in limits.chosen(tokens)]):
                     if b > at:
                         parts += [text[at : max(a, at)], mask if a >= at else ""]
                         at = b
