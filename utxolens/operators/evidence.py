@@ -62,7 +62,7 @@ def unmix_partitions(candidates: DataFrame, equal_outputs: DataFrame, most: int
     need = equal_outputs.select("txid", "equal_outputs")
     now = own.select("txid", F.col("mask").alias("used"), F.array("change_vout").alias("changes"), F.col("k").alias("last")).join(need, "txid").withColumn("n", F.lit(1))
     done = now.filter("n = equal_outputs")
-    for _ in range(2, 7):
+    for _ in range(2, (need.agg(F.max("equal_outputs")).first()[0] or 1) + 1):
         step = now.filter("n < equal_outputs").join(own, "txid").filter("k > last").filter(F.col("used").bitwiseAND(F.col("mask")) == 0).filter(~F.array_contains("changes", F.col("change_vout")) | (F.col("change_vout") == -1))
         now = settled(step.select("txid", F.col("used").bitwiseOR(F.col("mask")).alias("used"), F.concat("changes", F.array("change_vout")).alias("changes"), F.col("k").alias("last"), "equal_outputs", (F.col("n") + 1).alias("n")))
         done = done.unionByName(now.filter("n = equal_outputs"))
