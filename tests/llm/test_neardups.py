@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from utxolens.llm import neardups
+from utxolens.llm import simhash
 
 DOC = "doc_id long, text string"
 
@@ -55,15 +55,15 @@ def brute(docs, percent=80):
 
 def test_groups_against_all_pairs(spark):
     docs = rows()
-    got = neardups.near_groups(spark.createDataFrame(docs, DOC).repartition(3))
+    got = simhash.similar_groups(spark.createDataFrame(docs, DOC).repartition(3))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(docs), key=str)
-    assert neardups.near_groups(spark.createDataFrame([], DOC)).count() == 0
+    assert simhash.similar_groups(spark.createDataFrame([], DOC)).count() == 0
 
 
 def test_similarity_of_exactly_four_fifths(spark):
     words = [f"w{i}" for i in range(49)]  # 45 shingles; five at the end replaced: 40 of 50 in common
     docs = [(1, " ".join(words)), (2, " ".join(words[:44] + ["a", "b", "c", "d", "e"])), (3, " ".join(words[:43] + ["f", "g", "h", "i", "j", "k"]))]
-    assert {tuple(r) for r in neardups.near_groups(spark.createDataFrame(docs, DOC)).collect()} == set(brute(docs)) and brute(docs)[1] == (2, 1)
+    assert {tuple(r) for r in simhash.similar_groups(spark.createDataFrame(docs, DOC)).collect()} == set(brute(docs)) and brute(docs)[1] == (2, 1)
 
 
 def test_pipeline_stage_removes_near_copies(spark):

@@ -196,7 +196,7 @@ def test_simhash(spark, docs):
             least[top(i)] = min(d, least.get(top(i), d))
     want = sorted(((d, f"{fps[i]:016x}", least.get(top(i))) for i, (d, _, _) in enumerate(rows)), key=str)
     assert sorted(map(tuple, simhash.near_groups(docs).collect()), key=str) == want
-    kept = simhash.one_of_each(docs)
+    kept = simhash.representatives(docs, simhash.near_groups(docs))
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({d for d, _, c in want if d is not None and d == c}) and ids.count(None) == 2
     assert simhash.near_groups(docs.limit(0)).count() == 0

@@ -1,7 +1,9 @@
-"""Near-duplicates by SimHash, searched by multi-index hashing."""
+"""Near-duplicates by SimHash, searched by multi-index hashing: by distance of fingerprints, or by similarity of shingles."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -103,6 +105,153 @@ def representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
 
 
-def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """docs without the rows of each group that are not its representative; see representatives()."""
-    return representatives(docs, near_groups(docs, width, distance))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(k)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct ASCII-lower-cased word shingles; fewer words than width make one, none make none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(w))
+    h = np.full(len(w) - width + 1, width, np.uint64)
+    for i in range(width):
+        h = _mixed(h) + w[i : len(w) - width + 1 + i]
+    return np.unique(_mixed(h))
+
+
+def _name(own: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def wide_fingerprint(own: np.ndarray, bits: int, segments: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of a set in `segments` integers, and for each a mask of the `near` bits that are nearest to the majority's edge."""
+    salts = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(own), 4096):
+        drawn = _mixed(own[at : at + 4096, None] + salts[None, :])
+        ones += np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    margin = (2 * ones - len(own)).reshape(segments, -1)
+    place = 1 << np.arange(margin.shape[1])
+    edge = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :near]
+    return ((margin > 0) @ place).astype(np.int32), place[edge].sum(axis=1).astype(np.int32)
+
+
+def wide_fingerprints(docs: DataFrame, width: int, bits: int, segments: int, near: int) -> DataFrame:
+    """(doc_id, t, id, n, seg, edge) of every row: t hashes the text, id names its set of n shingles; no seg for an empty set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingle_set(t, width) for t in pdf["text"]]
+            found = [wide_fingerprint(s, bits, segments, near) if len(s) else (None, None) for s in own]
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "id": [_name(s) for s in own], "n": [len(s) for s in own]})
+            out["seg"], out["edge"] = [f[0] for f in found], [f[1] for f in found]
+            yield out
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.mapInPandas(run, "doc_id long, t long, id long, n long, seg array<int>, edge array<int>")
+
+
+def _bucketed(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
+    """(key, id, n, check): each node under its key of every segment, and under those of the ball that flips one edge bit."""
+    w = bits // segments
+    part = nodes.select("id", "n", "check", F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
+    flips = F.filter(F.array(*[F.lit(1 << i) for i in range(w)]), lambda b: b.bitwiseAND(F.col("z.edge")) != 0)
+    ball = part.select("id", "n", "check", "s", "z.seg", F.explode(F.concat(F.array(F.lit(0)), flips)).alias("flip"))
+    key = F.shiftleft(F.col("s").cast("long"), w).bitwiseOR(F.col("seg").bitwiseXOR(F.col("flip")).cast("long"))
+    return ball.select(key.alias("key"), "id", "n", "check")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, own): 32-bit hashes of the shingles of each set in wanted(id, t), from one text each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [np.unique((shingle_set(t, width) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "own": own})
+
+    text = F.col("text").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(wanted, "t").groupBy("id").agg(F.first("text").alias("text"))
+    return texts.mapInPandas(run, "id long, own array<int>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, most_bits: int) -> DataFrame:
+    """The pairs (a, b) with at most most_bits different bits whose sets have percent or more of their union in common."""
+    x = sets.select(F.col("id").alias("a"), F.col("seg").alias("as"), F.col("own").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("seg").alias("bs"), F.col("own").alias("y"))
+    apart = F.aggregate(F.zip_with("as", "bs", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common * 100 >= (F.size("x") + F.size("y") - common) * percent
+    return pairs.join(x, "a").join(y, "b").filter((apart <= most_bits) & alike).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 384, segments: int = 16, near: int = 5) -> DataFrame:
+    """One row per row of docs: doc_id, component_id, for links between texts whose sets of `width`-word shingles have a Jaccard
+    similarity of at least percent / 100; component_id is the smallest doc_id that links reach.
+
+    At a similarity of 0.8 about 15 in 100 bits of a SimHash differ, too many for balls that are complete. So the fingerprint
+    has `bits` bits, and each of its segments stands in the table under its own key and under those with one of its `near`
+    bits flipped whose majority was the closest; two texts meet where a segment differs in up to two such bits. Of 120 pairs
+    at exactly 0.8 all met in a segment (a test plants more). Complete distances and then the sets themselves (32-bit
+    hashes) decide. Tables far beyond 2 ** 30 different texts want more bits per segment, and more segments.
+
+    Equal sets are one node. A node is first compared with that smallest node of its buckets that it meets most often, then
+    with the other smallest ones, and what is still apart with all nodes of other components in its buckets but for those of
+    the bucket's largest component among each other; only pairs that are connected anyway are left out. Null or blank texts
+    are near-duplicates of each other only. Repeated rows stay; rows with null doc_id get the group's smallest doc_id (null
+    if it has none); an empty table gives an empty result; other columns are not read.
+    """
+    most_check, most_bits = 21, bits * 15 // 64
+    rows = staged(wide_fingerprints(docs, width, bits, segments, near), "wide")
+    first = F.min_by(F.struct("t", "n", "seg", "edge"), "t")
+    nodes = staged(rows.groupBy("id").agg(F.min("doc_id").alias("least"), first.alias("f")).select("id", "least", "f.*"), "nodes")
+    check = F.shiftleft(F.get("seg", F.lit(0)).cast("long"), 40).bitwiseOR(F.shiftleft(F.get("seg", F.lit(1)).cast("long"), 16)).bitwiseOR(F.get("seg", F.lit(2)).cast("long").bitwiseAND(0xFFFF))
+    keyed = _bucketed(nodes.filter("n > 0").withColumn("check", check), bits, segments)
+    state = F.struct("id", "n", "check")
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(state).alias("hub"), F.max(state).alias("last")).filter("c > 1")
+
+    def may_be(an, bn, ac, bc):
+        sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * percent
+        return sizes & (F.bit_count(F.col(ac).bitwiseXOR(F.col(bc))) <= most_check)
+
+    hubs = hubs.filter((F.col("c") > 2) | may_be("hub.n", "last.n", "hub.check", "last.check"))
+    member = staged(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
+    stars = member.filter("id != hub.id").filter(may_be("n", "hub.n", "check", "hub.check"))
+    stars = staged(stars.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count("*").alias("c")), "stars")
+    wanted = member.select("id").distinct().join(nodes.select("id", "t"), "id")
+    sets = staged(_sets(docs, wanted, width).join(nodes.select("id", "seg"), "id"), "sets")
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+    links = staged(_similar(best, sets, percent, most_bits), "links")
+
+    def placed(frame: DataFrame, node: str, name: str, reached: DataFrame) -> DataFrame:
+        return frame.join(reached.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    reached = components(links)
+    rest = placed(placed(stars, "a", "ac", reached), "b", "bc", reached).filter("ac != bc").join(best, ["a", "b"], "left_anti").select("a", "b")
+    links = links.unionByName(staged(_similar(rest, sets, percent, most_bits), "links"))
+
+    reached = components(links)
+    own = staged(placed(member.select("key", "id", "n", "check"), "id", "component", reached), "placed")
+    counts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
+    open_ = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
+    own = own.join(open_, "key")
+    x = own.filter("component != most").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("check").alias("ak"), F.col("component").alias("ac"))
+    y = own.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("check").alias("bk"), F.col("component").alias("bc"))
+    crossed = x.join(y, "key").filter("ac != bc").filter(may_be("an", "bn", "ak", "bk"))
+    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crossed = crossed.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = links.unionByName(staged(_similar(crossed, sets, percent, most_bits), "links"))
+
+    label = placed(nodes.select("id", "least"), "id", "component", components(links))
+    smallest = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "id").join(label.join(smallest, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows of each group of similar_groups() that are not its representative; see representatives()."""
+    return representatives(docs, similar_groups(docs, width, percent))
