@@ -235,17 +235,41 @@ def test_sharding(spark, docs):
 
 def test_best_fit_decreasing_is_the_textbook_one():
     dice = random.Random(4)
-    for _ in range(50):
-        sizes = [dice.randint(1, 60) for _ in range(dice.randint(0, 60))]
-        room, want = [], {}
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            fit = [(r, b) for b, r in enumerate(room) if r >= sizes[i]]
-            b = min(fit)[1] if fit else len(room)
-            if not fit:
-                room.append(100)
-            room[b] -= sizes[i]
-            want[i] = b
-        assert sharding.best_fit_decreasing(sizes, 100) == [want[i] for i in range(len(sizes))]
+
+    def textbook(sizes, capacity, most):
+        room, bins = [], collections.defaultdict(list)
+        for n in sorted(sizes, reverse=True):
+            fit = [(r, b) for b, r in enumerate(room) if r >= n]
+            if fit:
+                b = min(fit)[1]
+            elif len(room) < most:
+                b = len(room)
+                room.append(capacity)
+            else:
+                b = -max((r, -b) for b, r in enumerate(room))[1]  # ties: the bin opened first
+            room[b] -= n
+            bins[b].append(n)
+        return sorted(map(sorted, bins.values()))
+
+    for case in range(60):
+        count, most = (5000, 8) if case == 0 else (dice.randint(0, 60), dice.choice([3, 1000]))
+        sizes = [dice.randint(1, 600 if case == 0 else 60) for _ in range(count)]
+        capacity = -(-sum(sizes) // 8) if case == 0 else 100
+        bins, seen = collections.defaultdict(list), collections.defaultdict(list)
+        for n, first, end, b in sharding.best_fit_runs(list(collections.Counter(sizes).items()), capacity, most):
+            bins[b] += [n] * (end - first)
+            seen[n] += range(first, end)
+        assert sorted(map(sorted, bins.values())) == textbook(sizes, capacity, most)
+        assert {n: sorted(r) for n, r in seen.items()} == {n: list(range(c)) for n, c in collections.Counter(sizes).items()}
+
+
+def test_a_group_above_the_share_has_a_shard_of_its_own():
+    plan = sharding.planned([(5000, 2), (10, 900), (3, 100)], 8)
+    load = collections.Counter()
+    for n, first, end, b in plan:
+        load[b] += n * (end - first)
+    assert sorted(load.values())[-2:] == [5000, 5000] and max(sorted(load.values())[:6]) - min(load.values()) <= 10 and sum(load.values()) == 19300
+    assert sorted(r for n, a, b, _ in plan if n == 5000 for r in range(a, b)) == [0, 1] and sharding.planned([], 8) == []
 
 
 def test_packing(spark, docs):
