@@ -151,22 +151,71 @@ def test_mixing(spark, docs):
     assert mixing.mix_table(docs.limit(0)).count() == 0
 
 
+def plain_spans(text):
+    """The plain patterns of the contract, character by character, without regular expressions."""
+    ascii_lower = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low, found = ascii_lower(text), []
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assigned(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                to = at + len(word)
+                to += to < len(text) and text[to] in "\"'"
+                to = run(to, " ")
+                if to < len(text) and text[to] in ":=":
+                    to = run(to + 1, " ")
+                    to += to < len(text) and text[to] in "\"'"
+                    return to, run(to, value)
+        return None
+
+    at = 0
+    while at < len(text):
+        hit = assigned(at)
+        if hit and hit[1] > hit[0]:
+            found += [(at, "assign", hit[1])] if hit[1] - hit[0] >= 6 else []
+            at = hit[1]
+        else:
+            at += 1
+    for kind, start, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(start), chars) if text.startswith(start, at) else at
+            if end > at + len(start):
+                found += [(at, kind, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+
+
 def test_secrets(spark):
-    token = hashlib.sha256(b"1").hexdigest()[:22]
-    texts = ["é password = 'hunter22xx' and AKIA" + "ABCDEFGHIJ234567", f"key {token} end", "0123456789abcdef" * 2, "api_KEY:short token=abc", "aaaaaaaaaaaaaaaaaaaaaaa1", None, "", "plain words only " * 300]
+    token, dice = hashlib.sha256(b"1").hexdigest()[:22], random.Random(12)
+    texts = ["é password = 'hunter22xx' and AKIA" + "ABCDEFGHIJ234567", f"key {token} end", "0123456789abcdef" * 2, "api_KEY:short token=abc", "a" * 22 + "1", None, "", "plain words only " * 300, "a" * 23 + "1"]
+    bits = ["password", "PassWd", "token", "secret", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "=", ":=", "AKIA", "ABCDEFGHIJ234567", "x9/+.", "é", "0123abcdef", "deadbeef", "\n", "ſecret", "toKen=tokens=abcdefg"]
+    texts += ["".join(dice.choices(bits, k=dice.randint(1, 14))) for _ in range(400)]
     texts += [f"noise line {i} with ordinary text" for i in range(50)]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in secrets.report(frame(spark, rows)).collect()}
     for i, t, _ in rows:
-        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in secrets.base_spans(t or ""))
-        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
-    for r in got.values():
-        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [r["spans"].count(f"{k}:") for k in ("assign", "access", "hex")]
+        base = [f"{k}:{a}:{b}" for a, k, b in plain_spans(t or "")]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex")]
+        assert [x for x in got[i]["spans"].split(",") if x and not x.startswith("random")] == base
     assert (got[0]["n_assign"], got[0]["n_access"]) == (1, 1) and got[0]["spans"].startswith("assign:2:24")
-    assert got[1]["spans"] == "random:4:26" and got[2]["n_hex"] == 1 and got[3]["n_assign"] == 0 and got[4]["spans"] == "" and got[5]["spans"] == ""
+    assert got[1]["spans"] == "random:4:26" and got[2]["n_hex"] == 1 and got[3]["n_assign"] == 0 and got[4]["spans"] == "" and got[5]["spans"] == "" and got[8]["spans"] == "hex:0:24"
     masked = {r["doc_id"]: r for r in secrets.masked(frame(spark, rows)).collect()}
     assert masked[1]["text"] == "key [secret] end" and masked[1]["n_chars"] == 16 and masked[5]["text"] is None and len(masked) == len(rows)
-    assert secrets.report(frame(spark, rows).limit(0)).count() == 0
+    assert secrets.masked(frame(spark, rows)).columns == frame(spark, rows).columns
+    twice = secrets.report(frame(spark, [*rows, rows[1], rows[1], (None, texts[1], None), (None, None, None)])).collect()
+    assert sum(r["spans"] == "random:4:26" for r in twice) == 4 and sum(r["doc_id"] is None for r in twice) == 2
+    assert secrets.report(frame(spark, rows).limit(0)).count() == 0 and secrets.masked(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_simhash(spark, docs):

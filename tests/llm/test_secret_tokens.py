@@ -1,7 +1,9 @@
-"""Planted random tokens: base36 of either case, and keys inside paths and compound names."""
+"""Planted random tokens of every encoding, keys inside paths and compound names, and look-alikes that must stay."""
 
 import random
 
+import pyarrow.parquet as pq
+
 from utxolens.llm import secrets
 
 LOWER, UPPER = "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,3 +34,33 @@ def test_planted_keys_are_found(spark):
     assert len(whole) >= 0.9 * len(planted)
     assert sum(k not in masked[i] for i, (_, k, _) in enumerate(planted)) >= 0.97 * len(planted)
     assert all(got[1000 + i]["spans"] == "" and masked[1000 + i] == t for i, t in enumerate(plain))
+
+
+def test_recall_and_paths_on_given_texts(spark):
+    """At least nine of ten planted tokens are found among ordinary documents, and no path, date or compound name is."""
+    dice = random.Random(5)
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t][:600]
+    plain = [
+        "https://example.org/a/b/c/index2024html", "https://example.org/2024/05/some-long-article-name-7f3", "/usr/lib/python3.11/site-packages/numpy/core/multiarray.py",
+        "HttpServletRequestWrapper2Impl", "order20240512item0042", "2024-05-12T10:33:21Z", "internationalization_of_names_v2", "AbstractSingletonProxyFactoryBean1", "articles2024index12",
+    ]
+    planted, rows = 0, []
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        at = dice.randrange(len(words) + 1)
+        if i % 3 == 0:
+            alphabet = dice.choice([a for e, a in secrets.ALPHABETS.items()])
+            n = dice.choice([20, 24, 32, 40, 64])
+            token = "".join(dice.choices(alphabet, k=n))
+            if alphabet == secrets.ALPHABETS["hex"]:
+                token = token[:22].upper()
+            planted += 1
+        else:
+            token = plain[i % len(plain)] if i % 3 == 1 else ""
+        rows.append((i, " ".join([*words[:at], token, *words[at:]]), i % 3, token))
+    before = {r["doc_id"]: r["n_random"] for r in secrets.report(spark.createDataFrame([(r[0], texts[r[0]]) for r in rows], "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["n_random"] for r in secrets.report(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    found = sum(got[i] > before[i] for i, _, k, _ in rows if k == 0)
+    wrong = [t for i, _, k, t in rows if k and got[i] > before[i]]
+    assert found >= 0.9 * planted and not wrong, (found, planted, wrong)

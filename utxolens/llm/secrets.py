@@ -1,11 +1,10 @@
-"""Secret scans: plain patterns, and a battery of randomness tests under false-discovery control."""
+"""Secret scans: plain patterns, and a battery of randomness tests whose p-values enter a false-discovery control by length."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +35,10 @@ ALPHABETS = {
 # Where runs are cut, so that the parts of paths and compound names are tokens too.
 _CUTS = [re.compile(f"[^{c}]{{16,}}") for c in ("/", "+", "_-", "/_-", "/+_-")]
 _INDEX = {e: {c: i for i, c in enumerate(a)} for e, a in ALPHABETS.items()}
+_SIGNS = _UPPER + _LOWER + _DIGIT + "+/-_"
+_SYMBOLS = len(_SIGNS) + 1  # the last one stands for all other bytes
+_SYMBOL_OF = np.full(256, _SYMBOLS - 1, np.int64)
+_SYMBOL_OF[np.frombuffer(_SIGNS.encode(), np.uint8)] = np.arange(len(_SIGNS))
 
 
 def encoding_of(token: str) -> str | None:
@@ -64,8 +67,8 @@ def _chi2_tail(x: float, df: int) -> float:
 def battery(token: str, encoding: str) -> float:
     """Fisher's combination of the p-values of three tests that the symbols are uniform and independent.
 
-    Chi-squared over single symbols (over upper case, lower case, digits and signs, where symbols would be expected under
-    five times), runs above and below the middle of the alphabet, and lag-one serial correlation of the symbol values.
+    Chi-squared over single symbols (over upper case, lower case, digits and signs as four kinds, where symbols would be
+    expected under five times), runs above and below the middle of the alphabet, and lag-one serial correlation of the symbol values.
     """
     alphabet, index = ALPHABETS[encoding], _INDEX[encoding]
     values = np.array([index[c] for c in (token.lower() if encoding == "hex" else token)])
@@ -73,8 +76,8 @@ def battery(token: str, encoding: str) -> float:
     if n >= 5 * size:
         seen, expected = np.bincount(values, minlength=size), np.full(size, n / size)
     else:
-        kind = np.array([0 if c in _UPPER else 1 if c in _LOWER else 2 for c in alphabet])
-        seen, expected = np.bincount(kind[values], minlength=3), n * np.bincount(kind, minlength=3) / size
+        kind = np.array([0 if c in _UPPER else 1 if c in _LOWER else 2 if c in _DIGIT else 3 for c in alphabet])
+        seen, expected = np.bincount(kind[values], minlength=4), n * np.bincount(kind, minlength=4) / size
         seen, expected = seen[expected > 0], expected[expected > 0]
     p = [_chi2_tail(float(((seen - expected) ** 2 / expected).sum()), len(seen) - 1)]
     high = values >= size / 2
@@ -114,117 +117,155 @@ def _parts(run: str) -> list[tuple[int, int]]:
     return list(dict.fromkeys(found))
 
 
-def tokens_of(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
-    """The plain spans of a text, and its tokens outside them that some encoding may have written; parts overlap their runs."""
-    base, tokens = base_spans(text), []
+def tokens_of(text: str) -> tuple[list[tuple[int, int, int]], list[dict], list[int]]:
+    """The plain spans of a text, its tokens outside them that some encoding may have written, and the lengths of the others.
+
+    Parts overlap their runs.
+    """
+    base, tokens, others = base_spans(text), [], []
     for m in _TOKEN.finditer(text):
         run = m[0].rstrip("=")
         for at, to in _parts(run):
             token, start, end = run[at:to], m.start() + at, m.end() if to == len(run) else m.start() + to
-            encoding = encoding_of(token)
-            if encoding and not any(a < end and start < b for a, _, b in base):
-                index = _INDEX[encoding]
-                symbols = np.bincount([index[c] for c in (token.lower() if encoding == "hex" else token)], minlength=64)
-                symbols = np.minimum(symbols, 65535).astype("<u2").tobytes()
-                tokens.append({"s": start, "e": end, "encoding": encoding, "n": len(token), "symbols": symbols, "fit": battery(token, encoding)})
-    return base, tokens
+            if any(a < end and start < b for a, _, b in base):
+                continue
+            if encoding := encoding_of(token):
+                token = token.lower() if encoding == "hex" else token
+                tokens.append({"s": start, "e": end, "encoding": encoding, "n": len(token), "token": token, "fit": battery(token, encoding)})
+            else:
+                others.append(len(token))
+    return base, tokens, others
 
 
-_SCAN = "doc_id long, base array<struct<s:long,k:int,e:long>>, tokens array<struct<s:long,e:long,encoding:string,n:int,symbols:binary,fit:double>>, bytes array<long>"
+_SCAN = "base array<struct<s:long,k:int,e:long>>, tokens array<struct<s:long,e:long,encoding:string,n:int,token:string,fit:double>>, counts array<long>"
+_CLASSES = 9
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans and tokens of each row; the first row of a batch also has the counts of the batch's bytes."""
-    for pdf in batches:
-        total = np.zeros(256, np.int64)
-        rows = []
-        for text in pdf["text"]:
-            text = text or ""
-            total += np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
-            base, tokens = tokens_of(text)
-            rows.append(([{"s": a, "k": k, "e": b} for a, k, b in base], tokens))
-        out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")})
-        out["base"], out["tokens"] = [r[0] for r in rows], [r[1] for r in rows]
-        out["bytes"] = [total.tolist() if i == 0 else None for i in range(len(out))]
-        yield out
+def _length_class(n: int) -> int:
+    return min(_CLASSES - 1, int(math.log2(n)) - 3)
+
+
+def _pairs(text: str) -> np.ndarray:
+    symbols = _SYMBOL_OF[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return np.bincount(symbols[:-1] * _SYMBOLS + symbols[1:], minlength=_SYMBOLS * _SYMBOLS)
+
+
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    """Spans and tokens of each text. The first row of a batch also has the batch's counts: pairs of symbols of ordinary text,
+    that is outside the plain spans and the tokens that the battery takes for random, then tokens by length class."""
+    pairs, lengths, found = np.zeros(_SYMBOLS * _SYMBOLS, np.int64), [0] * _CLASSES, []
+    for text in texts:
+        text = text or ""
+        base, tokens, others = tokens_of(text)
+        pairs += _pairs(text)
+        at = 0
+        for a, b in sorted([(a, b) for a, _, b in base] + [(t["s"], t["e"]) for t in tokens if t["fit"] >= 0.001]):
+            if b > at:
+                pairs -= _pairs(text[max(a, at) : b])
+                at = b
+        for n in [*others, *(t["n"] for t in tokens)]:
+            lengths[_length_class(n)] += 1
+        found.append((base, tokens))
+    out = pd.DataFrame({"base": [[{"s": a, "k": k, "e": b} for a, k, b in base] for base, _ in found], "tokens": [tokens for _, tokens in found]})
+    out["counts"] = [pairs.tolist() + lengths if i == 0 else None for i in range(len(out))]
+    return out
 
 
-def _evidence(frequency: dict[str, np.ndarray], symbols: bytes, encoding: str) -> float:
-    """-log10 of the p-value that ordinary text wrote the token: one over the likelihood ratio (Markov's inequality)."""
-    n = np.frombuffer(symbols, "<u2").astype(float)
-    size = len(ALPHABETS[encoding])
-    return max(0.0, float((n[:size] * (-math.log(size) - np.log(frequency[encoding]))).sum()) / math.log(10))
+@dataclass(frozen=True)
+class TextModel:
+    """Log-probabilities that ordinary text, inside runs of token characters, writes a symbol, and a symbol after another."""
 
+    first: np.ndarray
+    then: np.ndarray
 
-def _length_class(n: int) -> int:
-    return min(8, int(math.log2(n)) - 3)
+    def evidence(self, token: str, encoding: str, fit: float) -> float:
+        """-log10 of the token's p-value against ordinary text: one over an e-value, 0 at least.
+
+        The e-value is the likelihood ratio of uniform symbols of the encoding to ordinary text, times 3 * fit ** 2, where fit
+        is the battery's p-value, over the number of encodings. As fit is uniform for uniform symbols, 3 * fit ** 2 is 1 in the
+        mean; so under ordinary text the e-value is 1 at most in the mean, and its inverse is a p-value (Markov's inequality).
+        """
+        at = _SYMBOL_OF[np.frombuffer(token.encode(), np.uint8)]
+        ratio = -len(at) * math.log(len(ALPHABETS[encoding])) - self.first[at[0]] - self.then[at[:-1], at[1:]].sum()
+        return max(0.0, float(ratio + math.log(3 / len(ALPHABETS)) + 2 * math.log(max(fit, 1e-300))) / math.log(10))
+
+
+def text_model(pairs: np.ndarray, prior: float = 50.0) -> TextModel:
+    own = pairs[:-1, :-1].astype(float)
+    first = pairs[:, :-1].sum(axis=0) + 1.0
+    first /= first.sum()
+    return TextModel(np.log(first), np.log((own + prior * first) / (own.sum(axis=1, keepdims=True) + prior)))
 
 
-def thresholds(counts: dict[tuple[str, int], np.ndarray], rate: float, step: float) -> dict[tuple[str, int], float]:
-    """Benjamini-Hochberg in each family of one encoding and length class, on a grid of -log10 p."""
+def thresholds(counts: dict[tuple[str, int], np.ndarray], tokens: dict[int, int], rate: float, step: float) -> dict[tuple[str, int], float]:
+    """Benjamini-Hochberg in each family of one encoding and length class, on a grid of -log10 p.
+
+    counts are a family's tokens by bin of evidence, tokens those of a length class in any encoding or none. With p-values
+    that are inverse e-values it holds under any dependence between tokens.
+    """
     out = {}
-    for family, n in counts.items():
+    for (encoding, length), n in counts.items():
         above = np.cumsum(n[::-1])[::-1]
-        ok = np.flatnonzero((above > 0) & (10.0 ** (-step * np.arange(len(n))) * n.sum() <= rate * above))
-        out[family] = float(step * ok[0]) if len(ok) else math.inf
+        ok = np.flatnonzero((above > 0) & (10.0 ** (-step * np.arange(len(n))) * tokens[length] <= rate * above))
+        out[encoding, length] = float(step * ok[0]) if len(ok) else math.inf
     return out
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What decides which tokens are added: byte frequencies of all texts, limits by family, the least battery p-value."""
-
-    frequency: dict[str, np.ndarray]
-    evidence: dict[tuple[str, int], float]
-    least_fit: float
+    """What decides which tokens are added: the model of all texts, and the least evidence by family."""
 
-    def passes(self, t: dict) -> bool:
-        limit = self.evidence.get((t["encoding"], _length_class(t["n"])), math.inf)
-        return t["fit"] >= self.least_fit and _evidence(self.frequency, t["symbols"], t["encoding"]) >= limit
+    model: TextModel
+    least: dict[tuple[str, int], float]
 
     def chosen(self, tokens) -> list[dict]:
-        """The tokens that pass, in order; of those that overlap the ones that ordinary text accounts for least."""
+        """The tokens that pass, in order; of those that overlap the ones with the most evidence."""
+        passed = []
+        for t in tokens:
+            found = self.model.evidence(t["token"], t["encoding"], t["fit"])
+            if found >= self.least.get((t["encoding"], _length_class(t["n"])), math.inf):
+                passed.append((-found, t["s"] - t["e"], t["s"], t))
         out: list[dict] = []
-        for t in sorted((t for t in tokens if self.passes(t)), key=lambda t: (-_evidence(self.frequency, t["symbols"], t["encoding"]), t["s"] - t["e"], t["s"])):
+        for *_, t in sorted(passed, key=lambda x: x[:3]):
             if all(t["e"] <= x["s"] or x["e"] <= t["s"] for x in out):
                 out.append(t)
         return sorted(out, key=lambda t: t["s"])
 
 
-def scan(docs: DataFrame, rate: float = 0.001, least_fit: float = 0.001, step: float = 0.1) -> tuple[DataFrame, Limits]:
-    """(doc_id, base spans, tokens) of every row of docs, and the limits that tell which tokens are secrets.
-
-    A token of 16 characters or more outside the plain spans, in an inferred encoding, is added if the battery doesn't reject
-    that its symbols are uniform and independent (combined p of at least least_fit), and if ordinary text doesn't account for
-    it: the p-value from byte frequencies of all documents must pass a false-discovery rate of `rate` among all tokens of
-    its encoding and length class. Runs with signs are tried whole and in parts, and of those that pass the least ordinary are added. Null texts are empty; repeated rows and null doc_ids are rows like any others.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(texts.mapInPandas(_scan, _SCAN), "secrets")
-    total = np.ones(256)
-    for at, n in rows.filter("bytes is not null").select(F.posexplode("bytes").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():  # 256 rows
-        total[at] += n
-    frequency = {e: np.array([total[ord(c)] for c in a]) / total[np.r_[33:256]].sum() for e, a in ALPHABETS.items()}
+def _limits(rows: DataFrame, rate: float, step: float = 0.1) -> Limits:
+    """Limits from scanned rows (base, tokens, counts)."""
+    total = np.zeros(_SYMBOLS * _SYMBOLS + _CLASSES, np.int64)
+    for at, n in rows.filter("counts is not null").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():  # 67 * 67 + 9 rows
+        total[at] = n
+    model = text_model(total[:-_CLASSES].reshape(_SYMBOLS, _SYMBOLS))
 
     @F.pandas_udf("double")
-    def evidence(symbols: pd.Series, encoding: pd.Series) -> pd.Series:
-        return pd.Series([_evidence(frequency, s, e) for s, e in zip(symbols, encoding, strict=True)], dtype=float)
+    def weighed(token: pd.Series, encoding: pd.Series, fit: pd.Series) -> pd.Series:
+        return pd.Series([model.evidence(*x) for x in zip(token, encoding, fit, strict=True)], dtype=float)
 
     most = int(400 / step)
     token = rows.select(F.explode("tokens").alias("t")).select("t.*")
-    token = token.withColumn("bin", F.least(F.floor(evidence("symbols", "encoding") / step), F.lit(most)).cast("int"))
-    token = token.groupBy("encoding", F.least(F.floor(F.log2("n")) - 3, F.lit(8)).cast("int").alias("length"), "bin").count()
+    token = token.withColumn("bin", F.least(F.floor(weighed("token", "encoding", "fit") / step), F.lit(most)).cast("int"))
+    token = token.groupBy("encoding", F.least(F.floor(F.log2("n")) - 3, F.lit(_CLASSES - 1)).cast("int").alias("length"), "bin").count()
     counts: dict[tuple[str, int], np.ndarray] = {}
     for e, length, b, n in token.collect():  # at most 7 encodings x 8 lengths x 4001 bins
         counts.setdefault((e, length), np.zeros(most + 1))[b] += n
-    limits = thresholds(counts, rate, step)
+    return Limits(model, thresholds(counts, dict(enumerate(total[-_CLASSES:].tolist())), rate, step))
 
-    return rows.select("doc_id", "base", "tokens"), Limits(frequency, thresholds(counts, rate, step), least_fit)
 
+def report(docs: DataFrame, rate: float = 0.001) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs.
 
-def report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs; see scan()."""
-    rows, limits = scan(docs, **how)
+    A token of 16 characters or more outside the plain spans, in an inferred encoding, is tested: do its symbols look uniform
+    and independent (the battery's combined p-value), and how much likelier do uniform symbols make it than ordinary text,
+    by the pairs of symbols of all documents (plain spans and random-looking tokens aside)? Both make one p-value; see evidence(). It must pass a false-discovery rate of
+    `rate` in its encoding and length class, where all tokens of the length count as tried. Runs with signs are tried whole and in parts.
+
+    Null texts are empty; repeated rows and null doc_ids are rows like any others; an empty table gives an empty result;
+    other columns are not read.
+    """
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_scan, _SCAN)(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*"), "secrets")
+    limits = _limits(rows, rate)
 
     @F.pandas_udf("array<struct<s:long,k:int,e:long>>")
     def added(tokens: pd.Series) -> pd.Series:
@@ -244,18 +285,22 @@ def report(docs: DataFrame, **how) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_random"))
 
 
-def masked(docs: DataFrame, mask: str = "[secret]", **how) -> DataFrame:
-    """docs with every span that report() lists replaced by mask in text, and n_chars to match; no row goes, nulls stay."""
-    limits = scan(docs, **how)[1]
+def masked(docs: DataFrame, mask: str = "[secret]", rate: float = 0.001) -> DataFrame:
+    """docs with every span that report() lists replaced by mask in text, and n_chars to match; no row goes, nulls stay.
+
+    Texts are scanned once; only those with spans or tokens go through Python again. Columns of any name are kept; an empty
+    table gives an empty result.
+    """
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.pandas_udf(_scan, _SCAN)(F.col("text").cast("string")).alias("x")).select("row", "x.*"), "scanned")
+    limits = _limits(rows, rate)
 
     @F.pandas_udf("string")
-    def hide(texts: pd.Series) -> pd.Series:
+    def hide(texts: pd.Series, bases: pd.Series, tokens: pd.Series) -> pd.Series:
         out = []
-        for text in texts:
+        for text, base, own in zip(texts, bases, tokens, strict=True):
             if text:
-                base, tokens = tokens_of(text)
                 at, parts = 0, []
-                for a, b in sorted([(a, b) for a, _, b in base] + [(t["s"], t["e"]) for t in limits.chosen(tokens)]):
+                for a, b in sorted([(x["s"], x["e"]) for x in base] + [(t["s"], t["e"]) for t in limits.chosen(own)]):
                     if b > at:
                         parts += [text[at : max(a, at)], mask if a >= at else ""]
                         at = b
@@ -263,5 +308,7 @@ def masked(docs: DataFrame, mask: str = "[secret]", **how) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    out = docs.withColumn("text", hide(F.col("text").cast("string")))
+    own = F.when(F.size("base") + F.size("tokens") > 0, F.col("row.text").cast("string"))
+    text = F.coalesce(hide(own, "base", "tokens"), F.col("row.text").cast("string"))
+    out = rows.select(text.alias("_text"), "row").select(*[F.col("_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
