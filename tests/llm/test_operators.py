@@ -346,6 +346,45 @@ def test_packing(spark, docs):
     assert packing.packed(docs.limit(0), path, cap).count() == 0
 
 
+def item_by_item(sizes, capacity):
+    """Bins of best-two-fit, one item at a time."""
+    left, bins = sorted(sizes), collections.Counter()
+    while left:
+        own = []
+        while fits := [n for n in left if n <= capacity - sum(own)]:
+            own.append(fits[-1])
+            left.remove(fits[-1])
+        small = min(own)
+        room = capacity - sum(own) + small
+        pairs = [(left[i] + left[j], left[j]) for j in range(len(left)) for i in range(j) if left[i] + left[j] <= room]
+        if room > small and pairs and max(pairs)[0] > small:
+            total, large = max(pairs)
+            own.remove(small)
+            own += [large, total - large]
+            left.remove(large)
+            left.remove(total - large)
+            left = sorted([*left, small])
+        bins[tuple(sorted(own))] += 1
+    return bins
+
+
+def test_best_two_fit_is_the_item_by_item_one():
+    dice = random.Random(9)
+    for _ in range(60):
+        sizes = [dice.randint(1, 40) for _ in range(dice.randint(1, 70))]
+        plan = packing.best_two_fit(dict(collections.Counter(sizes)), 40)
+        got = collections.Counter(tuple(sorted(collections.Counter(used).elements())) for used, times in plan for _ in range(times))
+        assert got == item_by_item(sizes, 40)
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    texts = ["Two  Words\n and MORE", "", None, "é x"]
+    assert not e.by_chunk and packing.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")).by_chunk
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_chunks_give_the_tokenizers_ids():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, e, dice = Tokenizer.from_file(path), packing.ChunkEncoder(path, most=200), random.Random(6)
@@ -379,3 +418,38 @@ def test_vectors(spark):
         got = {r["vec_id"]: tuple(r)[1:] for r in vectors.near_vectors(df, **how).collect()}
         assert got.pop(None) == (0, None, None) and got == want and len(pairs) > 50
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_recall_with_hundreds_of_lists(spark):
+    """400 lists: at least nine of ten linked pairs of different vectors meet."""
+    dice, rows = np.random.default_rng(17), []
+    for _ in range(1600):
+        base = dice.normal(size=32)
+        for _ in range(4):
+            rows.append((len(rows), [float(x) for x in base + dice.normal(scale=0.12, size=32)], 0))
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, per_list=16).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and want.sum() > 2000
+    assert sum(got.values()) >= 0.9 * want.sum(), (sum(got.values()), want.sum())
+
+
+def test_clashing_columns_of_vectors_and_urls(spark):
+    """Further columns with names that the operators use inside change nothing."""
+    dice = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in dice.normal(size=4).round(1)], i % 2) for i in range(60)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    more = plain
+    for c in ("v", "q", "n", "k1", "cid", "list", "b", "block", "ids", "rank", "score", "query_id", "least", "kept"):
+        more = more.withColumn(c, F.lit("x"))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(topk.top_k(more, F.col("vec_id") % 20 == 0)) == order(topk.top_k(plain, F.col("vec_id") % 20 == 0))
+    assert order(vectors.near_vectors(more)) == order(vectors.near_vectors(plain))
+    captures = spark.createDataFrame([(1, "http://a.b/c", 5), (2, "http://a.b/d", 5)], "capture long, url string, fetched long")
+    entries = spark.createDataFrame([("host", "a.b", "block", 1)], "kind string, key string, verdict string, at long")
+    wide, odd = captures, entries
+    for c in ("host", "rest", "u", "k", "span", "time", "point"):
+        wide, odd = wide.withColumn(c, F.lit("x")), odd.withColumn(c, F.lit("x"))
+    assert order(urls.judged(wide, odd)) == order(urls.judged(captures, entries))

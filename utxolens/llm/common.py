@@ -108,7 +108,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def dealt_rank(df: DataFrame, groups: list[str], by: Column, name: str, buckets: int = 1024) -> DataFrame:
     """Add name: a gapless rank from 0 inside each group, ordered by the 64-bit hash `by` and cut into buckets.
 
-    A group of any size is spread over `buckets` windows; only one count per bucket is summed up along the group.
+    A group of any size is spread over `buckets` windows; only one count per bucket is summed up along the group. Groups
+    hold no nulls.
     """
     df = df.withColumn("_by", by).withColumn("_bucket", F.pmod(F.col("_by"), F.lit(buckets)).cast("int"))
     sums = df.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
@@ -116,9 +117,8 @@ def dealt_rank(df: DataFrame, groups: list[str], by: Column, name: str, buckets:
     sums = sums.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.Window.partitionBy(*groups, "_bucket").orderBy("_by")
     ranked = df.withColumn("_in", F.row_number().over(inside))
-    on = [ranked[g].eqNullSafe(sums[g]) for g in [*groups, "_bucket"]]
-    out = ranked.join(sums, on)
-    return out.select(*[ranked[c] for c in df.columns if c[0] != "_"], (F.col("_start") + F.col("_in") - 1).alias(name))
+    out = ranked.join(sums, [*groups, "_bucket"])
+    return out.select(*[c for c in df.columns if c[0] != "_"], (F.col("_start") + F.col("_in") - 1).alias(name))
 
 
 def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:

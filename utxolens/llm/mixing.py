@@ -57,7 +57,7 @@ def shares(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     parts = sized.groupBy("source", part.alias("part")).agg(F.sum("size").alias("words"))
     parts = parts.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
     parts = parts.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    full = parts.groupBy("s").agg(F.max(F.when(F.col("ahead") + F.col("words") <= F.col("rest"), F.concat("part", F.lit("g")))).alias("cut"))
+    full = parts.groupBy("s").agg(F.max(F.when((F.col("rest") > 0) & (F.col("ahead") + F.col("words") <= F.col("rest")), F.concat("part", F.lit("g")))).alias("cut"))
     last = parts.filter((F.col("ahead") < F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("words"))).select("s", F.col("part").alias("p"), "ahead", "rest")
     ends = sized.join(last, F.col("source").eqNullSafe(F.col("s")) & (part == F.col("p")))
     ends = ends.groupBy("s", "p", "order", "ahead", "rest").agg(F.sum("size").alias("words"))
@@ -97,7 +97,10 @@ def mix_table(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
-    """docs as the mix has them: each row as many times as it is taken (rows taken zero times are not in the mix)."""
+    """docs as the mix has them: each row as many times as it is taken (rows taken zero times are not in the mix).
+
+    Columns of any name are kept, nulls too; see repetitions() for null sources and texts. An empty table gives an empty mix.
+    """
     plan = repetitions(docs, seed=seed, **how)[1].select(F.col("source").alias("s"), "whole", "cut")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), _order(F.col("doc_id").cast("long"), seed).alias("order"))
     taken = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("n", _repeats().cast("int"))

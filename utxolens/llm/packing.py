@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utxolens.llm.common import staged
+from utxolens.llm.common import dealt_rank, staged
 
 _MARK = b"\x01"
+# The form of tokenizer files whose ids of a text are those of its chunks.
+_CHUNKED_FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ENCODERS: dict[str, object] = {}
 _LATIN = frozenset([*range(0xA0, 0xB7), *range(0xB8, 0xC0)])  # second bytes of the lower-case letters U+00E0 to U+00FF
 
@@ -54,7 +66,8 @@ class ChunkEncoder:
 
     The tokenizer (byte-level BPE over runs of letters, single digits and runs of other signs; lower case; NFC) never joins
     characters across ASCII white space, so a text's ids are those of its chunks in a row. A new chunk of Latin letters is
-    one run and goes to the BPE model itself; other new chunks are encoded together, a mark of one id between them.
+    one run and goes to the BPE model itself; other new chunks are encoded together, a mark of one id between them. With a
+    tokenizer file of any other form, whole texts are encoded.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -62,6 +75,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        form = json.loads(Path(path).read_text())
+        self.by_chunk = all(form.get(k) == v for k, v in _CHUNKED_FORM.items()) and form["model"]["type"] == "BPE" and not form["model"].get("dropout")
         mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.marks = {ord(c): self._ids(c).tobytes() for c in ".,"}
@@ -103,6 +118,9 @@ class ChunkEncoder:
             self.known[c] = self.known[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.by_chunk:
+            yield from (self._ids(t or "").tobytes() for t in texts)
+            return
         for i in range(0, len(texts), 64):
             split = [chunks(t) for t in texts[i : i + 64]]
             found = [list(map(self.known.get, words)) for words in split]
@@ -122,10 +140,10 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece, with the task that made it and its rank there among its length."""
+    """doc_id, piece, start, length, ids_crc32 of each piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, seen, step = TaskContext.get().partitionId(), {}, 4 * capacity
+        step = 4 * capacity
         end = np.array([end_id], "<u4").tobytes()
         ids_of = encoder(path)
         for pdf in batches:
@@ -134,14 +152,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
-                    n = len(own) // 4
-                    seen[n] = rank = seen.get(n, -1) + 1
-                    rows.append((doc, k, at // 4, n, zlib.crc32(own), task, rank))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return texts.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -210,11 +226,10 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
     A document is its ids and end_id; only one longer than capacity is cut, into pieces of capacity. Null or empty text is
     the end id alone. Repeated rows and null doc_ids are packed like any others; other columns are not read; an empty
     table gives an empty result. The plan comes from the counts of the at most `capacity` lengths, the one thing that
-    reaches the driver; tasks number their own pieces and sums of those numbers place every piece.
+    reaches the driver; pieces of a length are ranked over 256 buckets, so at most 256 * `capacity` sums place every piece.
     """
     made = staged(pieces(docs, path, capacity, end_id), "pieces")
-    own = staged(made.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
-    counts = {r[0]: r[1] for r in own.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
+    counts = {r[0]: r[1] for r in made.groupBy("length").agg(F.count("*")).collect()}  # at most `capacity` rows
     seg = _segments(best_two_fit(counts, capacity))
     key = seg["length"] * (1 << 48) + seg["first"]
 
@@ -225,8 +240,5 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
         inside = r - seg["first"][i]
         return pd.DataFrame({"sequence_id": seg["bin"][i] + inside % seg["times"][i], "offset": seg["place"][i] + inside // seg["times"][i] * n})
 
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    start = own.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = made.join(start, ["length", "task"])
-    ranked = ranked.withColumn("p", place("length", F.col("before") + F.col("rank")))
+    ranked = dealt_rank(made, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), "rank", 256).withColumn("p", place("length", "rank"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("p.sequence_id").alias("sequence_id"), F.col("p.offset").alias("offset"))
