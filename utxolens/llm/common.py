@@ -38,6 +38,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Write df as a table bucketed by keys, in the shared folder, so that joins on the keys needn't shuffle it again.
+
+    The files go when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.table(table)
+
+
 def row_key(*columns: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a row; equal rows share them, nulls are allowed."""
     return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("second"), *columns).alias("k2")]

@@ -11,11 +11,11 @@ import pandas as pd
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utxolens.llm.common import staged, words_of
+from utxolens.llm.common import bucketed, staged, words_of
 
 _BASE = 0x9E3779B97F4A7C15  # any odd number
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -62,24 +62,25 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _packed(first: np.ndarray, place: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A candidate in one LONG: its first window, from there to the seed, and its number of windows."""
+    return (first << 16) | ((place - first) << 8) | windows
+
+
 def _seeds(width: int, seed: int):
-    """Rows (h, c, doc, v): seed, its context, document, and packed the text's tag, first window and number of windows."""
+    """Rows (h, d, t, v): hash of a seed, the row's document and text, and the candidate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
-            for doc, tag, text in zip(pdf["doc"], pdf["tag"], pdf["text"], strict=True):
+            for d, t, text in zip(pdf["d"], pdf["t"], pdf["text"], strict=True):
                 words = words_of(text)
                 if len(words) < width:
                     continue
-                roll = Rolling(words)
-                h, place, first, windows = _anchors(roll, width, seed)
-                low, high = np.maximum(place - (width - seed), 0), np.minimum(place + width, roll.n)
-                context = _mixed(roll.of(low, high) + (place - low).astype(np.uint64))
-                v = (tag << 40) | (first << 8) | windows
-                parts.append((_signed(h), _signed(context), np.full(len(h), doc), v))
+                h, place, first, windows = _anchors(Rolling(words), width, seed)
+                parts.append((_signed(h), np.full(len(h), d), np.full(len(h), t), _packed(first, place, windows)))
             if parts:
-                yield pd.DataFrame({k: np.concatenate(p) for k, p in zip("hcdv", zip(*parts, strict=True), strict=True)})
+                yield pd.DataFrame({k: np.concatenate(p) for k, p in zip("hdtv", zip(*parts, strict=True), strict=True)})
 
     return run
 
@@ -92,30 +93,53 @@ def levels(width: int, seed: int) -> list[int]:
     return out
 
 
-def _extended(width: int, seed: int):
-    """Rows (h, n, d, tag, side, l0.., first, windows) of each candidate: hashes at every level and of the full windows."""
-    steps = levels(width, seed)
-    reach = width - steps[-1]
+def _extended(width: int, seed: int, length: int):
+    """Rows (key, n, d, t, v): hash of the `length` words from each candidate's seed on, or up to it.
+
+    Windows that end too close behind the seed are a candidate of their own, extended to the left.
+    """
+    reach = width - levels(width, seed)[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
         for pdf in batches:
-            rows = []
-            for doc, tag, packed, found in zip(pdf["d"], pdf["tag"], pdf["zipped"], pdf["found"], strict=True):
-                roll = Rolling(unzip.decompress(packed).split())
-                _, place, first, windows = _anchors(roll, width, seed)
-                at = dict(zip(first.tolist(), zip(place.tolist(), windows.tolist(), strict=True), strict=True))
-                for f in found:
-                    p = f["p"]
-                    x, n = at[p]
-                    starts = np.arange(p, p + n)
-                    right = x - starts <= reach
-                    for side, own in ((0, starts[right]), (1, starts[~right])):
-                        if len(own):
-                            lows = np.array([x if side == 0 else x + seed - s for s in steps])
-                            hashes = _signed(roll.of(lows, lows + np.array(steps))).tolist()
-                            rows.append((f["h"], f["n"], doc, tag, side, *hashes, int(own[0]), _signed(roll.of(own, own + width)).tolist()))
-            yield pd.DataFrame(rows, columns=["h", "n", "d", "tag", "side", *[f"l{i}" for i in range(len(steps))], "first", "windows"])
+            parts = []
+            for d, t, n, packed, found in zip(pdf["d"], pdf["t"], pdf["n"], pdf["zipped"], pdf["found"], strict=True):
+                v = np.asarray(found, np.int64)
+                first, windows = v >> 16, v & 255
+                x = first + (v >> 8 & 255)
+                right = np.maximum(first, x - reach)
+                more = np.maximum(first + windows - right, 0)
+                a, b = more > 0, windows > more
+                own = np.concatenate([_packed(right[a], x[a], more[a]), _packed(first[b], x[b], (windows - more)[b])])
+                low = np.concatenate([x[a], x[b] + seed - length])
+                side = np.repeat(np.array([0, 1], np.uint64), [a.sum(), b.sum()])
+                key = _mixed(Rolling(unzip.decompress(packed).split()).of(low, low + length) + side)
+                parts.append((_signed(key), np.full(len(own), n), np.full(len(own), d), np.full(len(own), t), own))
+            if parts:
+                yield pd.DataFrame({k: np.concatenate(p) for k, p in zip(("key", "n", "d", "t", "v"), zip(*parts, strict=True), strict=True)})
+
+    return run
+
+
+def _windows(width: int, seed: int):
+    """Rows (h, b, n, d, t, v, windows) of each candidate: hashes of its seed, of all its words, and of its windows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unzip = zstandard.ZstdDecompressor()
+        for pdf in batches:
+            parts = []
+            for d, t, n, packed, found in zip(pdf["d"], pdf["t"], pdf["n"], pdf["zipped"], pdf["found"], strict=True):
+                v, roll = np.asarray(found, np.int64), Rolling(unzip.decompress(packed).split())
+                first, count = v >> 16, v & 255
+                x = first + (v >> 8 & 255)
+                ends = np.cumsum(count)
+                starts = np.repeat(first - (ends - count), count) + np.arange(count.sum())
+                block = _mixed(roll.of(first, first + count - 1 + width) + (x - first).astype(np.uint64))
+                own = np.split(_signed(roll.of(starts, starts + width)), ends[:-1])
+                parts.append(pd.DataFrame({"h": _signed(roll.of(x, x + seed)), "b": _signed(block), "n": n, "d": d, "t": t, "v": v, "windows": own}))
+            if parts:
+                yield pd.concat(parts)
 
     return run
 
@@ -125,7 +149,7 @@ def _digest(width: int, texts: bool):
         unzip = zstandard.ZstdDecompressor()
         for pdf in batches:
             rows = []
-            for doc, packed, spans in zip(pdf["doc_id"], pdf["zipped"], pdf["spans"], strict=True):
+            for d, t, packed, spans in zip(pdf["d"], pdf["t"], pdf["zipped"], pdf["spans"], strict=True):
                 words = unzip.decompress(packed).split()
                 kept = words
                 if spans is not None and len(spans):
@@ -135,9 +159,8 @@ def _digest(width: int, texts: bool):
                         edge[s["p"] + s["k"] - 1 + width] -= 1
                     kept = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
                 text = b" ".join(kept)
-                rows.append((doc, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if texts else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-            yield out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"))
+                rows.append((d, t, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if texts else None))
+            yield pd.DataFrame(rows, columns=["d", "t", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -148,44 +171,37 @@ def _zipped(texts: pd.Series) -> pd.Series:
     return pd.Series([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
 
-def repeated_spans(docs: DataFrame, width: int = 35, seed: int = 5) -> DataFrame:
-    """(d, tag, spans): for each document with repeated windows, runs of them (first window p, number k). See removed()."""
-    own = _keyed(docs)
-    slim = own.select(F.col("d").alias("doc"), "tag", "text")
-    seeds = staged(slim.mapInPandas(_seeds(width, seed), "h long, c long, d long, v long"), "seeds")
-
-    # Seeds that occur once can't be part of a repeated window. One context for all: each window there is repeated.
-    # Staged, for only a join of two plain shuffles can be split where a seed is very common.
-    again = seeds.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("open")).filter("n > 1")
-    again = staged(again, "again")
-    seeds = staged(seeds.join(again.select("h", "open"), "h"), "candidates")
-    contexts = staged(seeds.groupBy("h", "c", "open").agg(F.count("*").alias("n"), F.min(F.struct("d", "v")).alias("at")), "contexts")
-    settled = seeds.join(contexts.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    tag, first, count = F.shiftright("v", 40), F.shiftright("v", 8).bitwiseAND((1 << 32) - 1), F.col("v").bitwiseAND(255)
-    settled = settled.select("d", tag.alias("tag"), F.struct(first.alias("p"), count.alias("k")).alias("s"))
-
-    # One document stands for each of several contexts of a seed; its windows are extended from level to level.
-    pool = contexts.filter("open").select("h", "n", "at.*")
-    pool = pool.groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("h", "n", first.alias("p"))).alias("found"))
-    texts = own.select("d", "tag", _zipped("text").alias("zipped"))
-    names = [f"l{i}" for i in range(len(levels(width, seed)))]
-    schema = f"h long, n long, d long, tag long, side int, {', '.join(f'{x} long' for x in names)}, first long, windows array<long>"
-    left = staged(texts.join(pool, ["d", "tag"]).mapInPandas(_extended(width, seed), schema), "extended")
-    for name in names:
-        alive = left.groupBy("h", "side", name).agg(F.sum("n").alias("all")).filter("all > 1")
-        left = left.join(alive.select("h", "side", name), ["h", "side", name], "left_semi")
-    left = staged(left.drop(*names), "survivors")
-    window = left.select("h", "n", "d", "tag", "first", F.posexplode("windows").alias("i", "w"))
-    alive = window.groupBy("h", "w").agg(F.sum("n").alias("all")).filter("all > 1").select("h", "w")
-    alone = window.filter("n = 1").join(alive, ["h", "w"], "left_semi")
-    alone = alone.select("d", "tag", F.struct((F.col("first") + F.col("i")).alias("p"), F.lit(1).cast("long").alias("k")).alias("s"))
-    return settled.unionByName(alone).groupBy("d", "tag").agg(F.collect_set("s").alias("spans"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """d and tag name a row by doc_id (its text's hash where null) and 23 bits of its text's hash."""
-    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(F.lit("d"), text)).alias("d"), F.pmod(F.xxhash64(text), F.lit(1 << 23)).alias("tag"))
+def _repeated(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """The keys that stand in rows more than once. They are written, for only a join of two plain shuffles can be split where
+    a key is very common."""
+    return staged(rows.groupBy(*keys).agg(F.sum(weight).alias("_n")).filter("_n > 1").select(*keys), "repeated")
+
+
+def repeated_spans(keyed: DataFrame, texts: DataFrame, width: int = 35, seed: int = 5) -> DataFrame:
+    """(d, t, spans): for each document with repeated windows, runs of them (first window p, number k). See removed().
+
+    keyed has a row (d, t, text) for every row, texts one (d, t, n, zipped) for each n equal rows.
+    """
+    def found_in(candidates: DataFrame) -> DataFrame:
+        return texts.join(candidates.groupBy("d", "t").agg(F.collect_set("v").alias("found")), ["d", "t"])
+
+    seeds = staged(keyed.select("d", "t", "text").mapInPandas(_seeds(width, seed), "h long, d long, t long, v long"), "seeds")
+    alive = seeds.join(_repeated(seeds, ["h"], F.lit(1)), "h")
+    for length in levels(width, seed):
+        rows = staged(found_in(alive).mapInPandas(_extended(width, seed, length), "key long, n long, d long, t long, v long"), f"level{length}")
+        alive = rows.join(_repeated(rows, ["key"], F.col("n")), "key")
+    rows = staged(found_in(alive).mapInPandas(_windows(width, seed), "h long, b long, n long, d long, t long, v long, windows array<long>"), "windows")
+
+    # Equal candidates repeat each other's windows; one of them stands for all where single windows are compared.
+    blocks = rows.groupBy("h", "b").agg(F.sum("n").alias("n"), F.first(F.struct("d", "t", "v", "windows")).alias("at"))
+    blocks = staged(blocks.select("h", "b", "n", "at.*"), "blocks")
+    first = F.shiftright("v", 16)
+    settled = rows.select("h", "b", "d", "t", "v").join(blocks.filter("n > 1").select("h", "b"), ["h", "b"])
+    settled = settled.select("d", "t", F.struct(first.alias("p"), F.col("v").bitwiseAND(255).alias("k")).alias("s"))
+    window = blocks.select("h", "n", "d", "t", "v", F.posexplode("windows").alias("i", "w"))
+    alone = window.filter("n = 1").join(_repeated(window, ["h", "w"], F.col("n")), ["h", "w"])
+    alone = alone.select("d", "t", F.struct((first + F.col("i")).alias("p"), F.lit(1).cast("long").alias("k")).alias("s"))
+    return settled.unionByName(alone).groupBy("d", "t").agg(F.collect_set("s").alias("spans"))
 
 
 def removed(docs: DataFrame, width: int = 35, seed: int = 5, texts: bool = True) -> DataFrame:
@@ -193,12 +209,16 @@ def removed(docs: DataFrame, width: int = 35, seed: int = 5, texts: bool = True)
 
     Each word under a window of `width` words whose words also start anywhere else (in any row, the same one included) goes.
     Seeds are sampled so that equal windows have the same one: the seed of least hash in the window. Seeds that occur twice
-    alone are extended to windows of twice the length, again and again, and at last to the full windows; what occurs once at
-    a level goes no further. Seeds whose whole context is the same wherever they occur need no extension. Whole texts
-    count; null texts have no words. Repeated rows repeat each other's windows. Rows of the same doc_id are told apart by
-    their texts. An empty table gives an empty result; other columns are not read.
+    alone are extended to twice the length, and what occurs twice there to twice that, as long as windows allow; then to the
+    full windows. What occurs once at a level goes no further, and no longer words of it are hashed. Whole texts count; null
+    texts have no words. Repeated rows repeat each other's windows. Rows of the same doc_id are told apart by their texts. An
+    empty table gives an empty result; other columns are not read.
     """
-    spans = staged(repeated_spans(docs, width, seed), "spans")
-    own = _keyed(docs).select("doc_id", "d", "tag", _zipped("text").alias("zipped"))
-    joined = own.join(spans, ["d", "tag"], "left").select("doc_id", "zipped", "spans")
-    return joined.mapInPandas(_digest(width, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.xxhash64(F.lit("d"), text)).alias("d"), F.xxhash64(text).alias("t"))
+    pressed = keyed.select("d", "t", _zipped("text").alias("zipped")).groupBy("d", "t").agg(F.count("*").alias("n"), F.first("zipped").alias("zipped"))
+    pressed = bucketed(pressed, ["d", "t"], "texts")
+    spans = staged(repeated_spans(keyed, pressed, width, seed), "spans")
+    joined = pressed.join(spans, ["d", "t"], "left").select("d", "t", "zipped", "spans")
+    done = staged(joined.mapInPandas(_digest(width, texts), "d long, t long, n_words long, n_removed long, kept_sha256 string, kept string"), "digests")
+    return keyed.select("doc_id", "d", "t").join(done, ["d", "t"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
