@@ -118,6 +118,8 @@ def test_urls(spark):
     got = urls.judged(spark.createDataFrame(captures, "capture long, url string, fetched long"), entries)
     want = {1: None, 2: "block", 3: "allow", 4: None, 5: "block", 6: "block", 7: "allow", 8: None, 9: None, 10: None, 11: "block"}
     assert got.count() == len(captures) and {r["capture"]: r["verdict"] for r in got.collect()} == want
+    dealt = urls.judged(spark.createDataFrame(captures, "capture long, url string, fetched long"), entries, per_window=1)
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
     assert urls.judged(spark.createDataFrame([], "capture long, url string, fetched long"), entries).count() == 0
     assert urls.judged(spark.createDataFrame(captures, "capture long, url string, fetched long"), entries.limit(0)).filter("verdict is not null").count() == 0
 

@@ -48,28 +48,35 @@ def intervals(entries: DataFrame, width: int = 86_400) -> DataFrame:
     return spans.select("kind", "key", "span", "verdict", "since", F.coalesce("next", "later").alias("until"))
 
 
-def as_of(points: DataFrame, spans: DataFrame, width: int = 86_400) -> DataFrame:
+def as_of(points: DataFrame, spans: DataFrame, width: int = 86_400, per_window: int = 1_000_000) -> DataFrame:
     """points (kind, key, fetched, and more) with the interval of their key that holds at `fetched`: verdict, since, until.
 
     An as-of join by sorting: intervals and points of a key and span stand in time order, and each point takes the last
     interval before it. What holds at the start of a span comes from the last intervals of the spans before, one row each.
+    A key and span with more than `per_window` points is dealt over several windows, each with all of its intervals.
     """
     state = F.struct("verdict", "since", "until")
     at = points.withColumn("span", F.floor(F.col("fetched") / width))
     last = spans.groupBy("kind", "key", "span").agg(F.max_by(state, "since").alias("last"))
-    cells = at.groupBy("kind", "key", "span").agg(F.lit(1).alias("asked")).join(last, ["kind", "key", "span"], "full")
+    cells = at.groupBy("kind", "key", "span").agg(F.count("*").alias("asked")).join(last, ["kind", "key", "span"], "full")
     before = Window.partitionBy("kind", "key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.withColumn("state", F.last("last", ignorenulls=True).over(before)).filter("asked = 1 and state is not null")
+    carried = cells.withColumn("state", F.last("last", ignorenulls=True).over(before)).filter("asked > 0 and state is not null")
     carried = carried.select("kind", "key", "span", F.lit(-(2**62)).alias("time"), "state")
-    rows = at.withColumn("time", F.col("fetched")).withColumn("point", F.lit(1))
-    rows = rows.unionByName(spans.select("kind", "key", "span", F.col("since").alias("time"), state.alias("state")).unionByName(carried).withColumn("point", F.lit(0)), allowMissingColumns=True)
-    so_far = Window.partitionBy("kind", "key", "span").orderBy("time", "point").rowsBetween(Window.unboundedPreceding, 0)
+    states = spans.select("kind", "key", "span", F.col("since").alias("time"), state.alias("state")).unionByName(carried)
+
+    hot = cells.filter(F.col("asked") > per_window).select("kind", "key", "span", F.ceil(F.col("asked") / per_window).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    states = states.join(hot, ["kind", "key", "span"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    dealt = F.pmod(F.xxhash64(*points.columns), parts)
+    rows = at.join(hot, ["kind", "key", "span"], "left").withColumn("part", dealt).drop("parts")
+    rows = rows.withColumn("time", F.col("fetched")).withColumn("point", F.lit(1)).unionByName(states.withColumn("point", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("kind", "key", "span", "part").orderBy("time", "point").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("now", F.last("state", ignorenulls=True).over(so_far)).filter("point = 1")
     rows = rows.filter("now is not null and (now.until is null or fetched < now.until)")
     return rows.select(*points.columns, "now.verdict", "now.since", "now.until")
 
 
-def judged(captures: DataFrame, entries: DataFrame, width: int = 86_400) -> DataFrame:
+def judged(captures: DataFrame, entries: DataFrame, width: int = 86_400, per_window: int = 1_000_000) -> DataFrame:
     """capture, host, fetched, verdict, kind, key, since, until, n_active for every row of captures (capture, url, fetched).
 
     n_active list entries match the URL and hold at its fetch time (LONG seconds); the narrowest kind decides (url, prefix,
@@ -77,15 +84,17 @@ def judged(captures: DataFrame, entries: DataFrame, width: int = 86_400) -> Data
     unusable URLs and null fetch times. Repeated rows come back as often. Empty captures give an empty result, empty entries
     no verdicts; other columns are not read.
 
-    Equal (host, path, time) captures are one row before keys are made. A host with a third of all rows is spread over
-    spans of time, in the as-of join and in the list itself.
+    Equal (host, path, time) captures are one row before keys are made, and only keys that the list has go on to the as-of
+    join, where a key with a third of all rows is spread over spans of time and, in a span, over several windows.
     """
     parts = captures.select("capture", F.col("fetched").cast("long").alias("fetched"), normalised(F.col("url").cast("string")).alias("u"))
     parts = parts.select("capture", "fetched", F.col("u.host").alias("host"), F.col("u.rest").alias("rest"))
     distinct = parts.filter("host is not null and fetched is not null").select("host", "rest", "fetched").distinct()
     keyed = distinct.select("host", "rest", "fetched", F.explode(keys_of(F.col("host"), F.col("rest"))).alias("k"))
     keyed = keyed.select("host", "rest", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
-    active = as_of(keyed, intervals(entries, width), width).filter("verdict is not null")
+    listed = intervals(entries, width)
+    keyed = keyed.join(listed.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("host", "rest", "fetched", "kind", "key")
+    active = as_of(keyed, listed, width, per_window).filter("verdict is not null")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     best = F.max(F.struct(rank.alias("rank"), F.length("key").alias("n"), "key", "kind", "verdict", "since", "until")).alias("best")
     found = active.groupBy("host", "rest", "fetched").agg(F.count("*").alias("n_active"), best)
