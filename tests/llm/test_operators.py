@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -71,6 +72,50 @@ def test_toxicity_exceptions_void_hits():
     assert toxicity.hits_of(found, toxicity.folded("Trash can, trash!")) == {10: 5.0}
 
 
+def test_toxicity_hits_against_a_plain_scan():
+    dice = random.Random(21)
+    terms = {" bad ": 3.0, " bad": 1.0, " ugl": 2.0, " worse ": 4.0, " ba": 0.5}
+    phrases = [" not bad ", " ugly duck ", " bad bad "]
+    automaton = toxicity.Lexicon(terms, phrases).automaton()
+    for _ in range(300):
+        text = toxicity.folded(" ".join(dice.choices(["bad", "b4d", "badly", "ugly", "UGL1", "duck", "not", "worse", "bat", "x"], k=dice.randint(0, 12))))
+        want = {}
+        for at in range(len(text)):
+            weights = [w for t, w in terms.items() if text[at : at + len(t)] == t]
+            if weights and not any(text[lo : lo + len(p)] == p and lo <= at < lo + len(p) - 1 for p in phrases for lo in range(len(text))):
+                want[at] = max(weights)
+        assert toxicity.hits_of(automaton, text) == want
+
+
+def test_toxicity_counts_against_a_plain_count():
+    dice = random.Random(22)
+    texts = [" ".join(dice.choices(["alpha", "alphabet", "beta", "be", "gamma", "gammas"], k=dice.randint(0, 15))) for _ in range(450)]
+    labels = [dice.randint(0, 1) for _ in texts]
+    got = collections.Counter()
+    for part in toxicity._terms((4, 5))(iter([pd.DataFrame({"text": texts, "_toxic": labels})])):
+        for r in part.itertuples():
+            for name in ("toxic", "clean", "times_toxic", "times_clean", "twice_toxic", "twice_clean"):
+                got[r.term, name] += getattr(r, name)
+    want = collections.Counter()
+    for text, toxic in zip(texts, labels, strict=True):
+        side = "toxic" if toxic else "clean"
+        own = collections.Counter(t for w in text.split() for t in [f" {w} ", *[f" {w[:n]}" for n in (4, 5) if len(w) > n]])
+        want["", f"times_{side}"] += len(text.split())
+        for term, n in own.items():
+            want[term, side] += 1
+            want[term, f"times_{side}"] += n
+            want[term, f"twice_{side}"] += n > 1
+    assert +got == +want
+
+
+def test_stages_on_empty_tables(spark, docs):
+    none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(none, labels)
+    assert toxicity.scored(none, lexicon).count() == 0 and toxicity.without_toxic(none, lexicon).columns == docs.columns
+    for stage in (simhash.one_of_each, secrets.masked, mixing.mixed):
+        assert stage(none).columns == docs.columns and stage(none).count() == 0
+
+
 def test_toxicity_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.scored(docs, toxicity.fit(docs, empty)).filter("predicted = 1").count() == 0

@@ -70,7 +70,7 @@ class ChunkEncoder:
     tokenizer file of any other form, whole texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

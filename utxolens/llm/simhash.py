@@ -97,7 +97,8 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, seed: int =
 def representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without the rows of each group(doc_id, component_id) that are not its representative (the smallest doc_id).
 
-    Repeated rows of the representative's doc_id are cut to one. Rows with a null doc_id are kept.
+    Repeated rows of the representative's doc_id are cut to one. Rows with a null doc_id are kept. Columns of any name are
+    kept, nulls too; an empty table stays empty.
     """
     keep = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_more"))
     once = docs.join(keep.filter("not _more"), F.col("doc_id") == F.col("_keep"), "left_semi")

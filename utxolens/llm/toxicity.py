@@ -156,15 +156,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, max_terms: int = 2000, evidence: float = 24.0, stems: tuple[int, ...] = (4, 5, 6)) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, evidence: float = 24.0, stems: tuple[int, ...] = (4, 5, 6)) -> Lexicon:
     """Learn a lexicon from at most most_toxic + most_clean labelled rows whose crc32(doc_id) mod 4 is not 2.
 
-    A term is a word, or a stem that starts three words or more. It enters if a likelihood-ratio statistic of at least `evidence` (about
-    one in a million by chance) ties it, or it
-    twice, to toxic rows; its toxic rows count at most once for each different word before it,
-    so that copied passages are no evidence. Its weight is the log ratio of
-    its rates in toxic and clean words. Pairs of words around a hit that only clean rows
-    show (two at least) become exception phrases. A ridge logistic fit turns hits into a score. No usable labels: no terms.
+    A term is a word, or a stem that starts three words or more. It enters if a likelihood-ratio statistic of at least
+    `evidence` (about one in a million by chance) ties it, or it twice, to toxic rows; its toxic rows count at most once for
+    each different word before it, so that copied passages are no evidence. Its weight is the log ratio of its rates in toxic
+    and clean words. Pairs of words around a hit that only clean rows show (two at least) become exception phrases. A ridge
+    logistic fit turns hits into a score. The size of the lexicon is bounded by the words of the sample. Labels of null
+    doc_ids or other values say nothing; no usable labels, or empty tables: no terms.
     """
     sample = staged(_labelled(docs, labels, most_toxic, most_clean), "labelled")
     sizes = {r[0]: r[1] for r in sample.groupBy("_toxic").count().collect()}
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
     usable = usable.withColumns({"t": F.least("t", "m").cast("double"), "c": F.col("c").cast("double"), "t2": F.least("t2", "m").cast("double"), "c2": F.col("c2").cast("double")})
     usable = usable.withColumn("llr", F.greatest(evidence_of(F.col("t"), F.col("c")), evidence_of(F.col("t2"), F.col("c2"))))
     usable = usable.withColumn("w", F.log((F.col("ot") + 0.5) / (F.col("oc") + 0.5) * F.lit((words["oc"] + 1) / (words["ot"] + 1))))
-    best = usable.filter((F.col("llr") >= evidence) & (F.col("w") >= 1.0)).orderBy(F.desc("llr"), "term").limit(max_terms)
+    best = usable.filter((F.col("llr") >= evidence) & (F.col("w") >= 1.0)).orderBy(F.desc("llr"), "term")
     lexicon = Lexicon({r["term"]: float(r["w"]) for r in best.collect()})
     if not lexicon.terms:
         return lexicon
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
             yield pd.DataFrame(rows, columns=["phrase", "toxic"])
 
     seen = sample.mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    lexicon.exceptions = sorted(r[0] for r in seen.filter("t = 0 and n >= 2").orderBy(F.desc("n"), "phrase").limit(max_terms).collect())
+    lexicon.exceptions = sorted(r[0] for r in seen.filter("t = 0 and n >= 2").collect())
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -242,7 +242,10 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFra
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, columns unchanged, whose score stays under the threshold."""
+    """The rows of docs, columns unchanged, whose score stays under the threshold.
+
+    Null and empty texts stay, as do null doc_ids and repeated rows; an empty table stays empty.
+    """
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
