@@ -129,45 +129,72 @@ def _name(own: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(own.tobytes(), 42)], np.uint64).view(np.int64)[0])
 
 
-def wide_fingerprint(own: np.ndarray, bits: int, segments: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of a set in `segments` integers, and for each a mask of the `near` bits that are nearest to the majority's edge."""
+def wide_fingerprint(own: np.ndarray, bits: int, segments: int, width: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash of a set, in 64-bit words; its first `segments` segments of `width` bits; and for each a mask of its edge, the
+    `near` bits whose majority is the closest."""
     salts = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(bits, np.int64)
     for at in range(0, len(own), 4096):
         drawn = _mixed(own[at : at + 4096, None] + salts[None, :])
         ones += np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    margin = (2 * ones - len(own)).reshape(segments, -1)
-    place = 1 << np.arange(margin.shape[1])
+    margin = 2 * ones - len(own)
+    words = np.packbits(margin > 0, bitorder="little").view(np.int64)
+    margin, place = margin[: segments * width].reshape(segments, width), 1 << np.arange(width)
     edge = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :near]
-    return ((margin > 0) @ place).astype(np.int32), place[edge].sum(axis=1).astype(np.int32)
+    return words, ((margin > 0) @ place).astype(np.int32), place[edge].sum(axis=1).astype(np.int32)
 
 
-def wide_fingerprints(docs: DataFrame, width: int, bits: int, segments: int, near: int) -> DataFrame:
-    """(doc_id, t, id, n, seg, edge) of every row: t hashes the text, id names its set of n shingles; no seg for an empty set."""
+def wide_fingerprints(docs: DataFrame, width: int, bits: int, segments: int, segment_bits: int, near: int) -> DataFrame:
+    """(doc_id, t, id, n, fp, seg, edge) of every row: t hashes the text, id names its set of n shingles; no fp for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [shingle_set(t, width) for t in pdf["text"]]
-            found = [wide_fingerprint(s, bits, segments, near) if len(s) else (None, None) for s in own]
+            found = [wide_fingerprint(s, bits, segments, segment_bits, near) if len(s) else (None, None, None) for s in own]
             out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t": pdf["t"], "id": [_name(s) for s in own], "n": [len(s) for s in own]})
-            out["seg"], out["edge"] = [f[0] for f in found], [f[1] for f in found]
+            for i, c in enumerate(("fp", "seg", "edge")):
+                out[c] = [f[i] for f in found]
             yield out
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, t long, id long, n long, seg array<int>, edge array<int>")
+    return rows.mapInPandas(run, "doc_id long, t long, id long, n long, fp array<long>, seg array<int>, edge array<int>")
 
 
-def _bucketed(nodes: DataFrame, bits: int, segments: int) -> DataFrame:
+def _bucketed(nodes: DataFrame, w: int) -> DataFrame:
     """(key, id, n, check): each node under its key of every segment, and under those of the ball that flips one edge bit."""
-    w = bits // segments
-    part = nodes.select("id", "n", "check", F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
+    part = nodes.select("id", "n", F.get("fp", F.lit(0)).alias("check"), F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
     flips = F.filter(F.array(*[F.lit(1 << i) for i in range(w)]), lambda b: b.bitwiseAND(F.col("z.edge")) != 0)
     ball = part.select("id", "n", "check", "s", "z.seg", F.explode(F.concat(F.array(F.lit(0)), flips)).alias("flip"))
     key = F.shiftleft(F.col("s").cast("long"), w).bitwiseOR(F.col("seg").bitwiseXOR(F.col("flip")).cast("long"))
     return ball.select(key.alias("key"), "id", "n", "check")
 
 
+def _meet_first(key: Column, w: int) -> Column:
+    """True for one of the keys that nodes a and b share, that each pair comes once: (aseg, aedge) and (bseg, bedge) of both."""
+
+    def meet(p, pe, q, qe):
+        d = p.bitwiseXOR(q)
+        n, either = F.bit_count(d), d.bitwiseAND(pe.bitwiseOR(qe))
+        both = (either == d) & (d.bitwiseAND(pe) != 0) & (d.bitwiseAND(qe) != 0)
+        return (n == 0) | ((n == 1) & (either != 0)) | ((n == 2) & both)
+
+    s = F.shiftright(key, w).cast("int")
+    places = F.transform(F.arrays_zip("aseg", "aedge", "bseg", "bedge"), lambda z: meet(z["aseg"], z["aedge"], z["bseg"], z["bedge"]))
+    p, pe, q, qe = (F.get(c, s) for c in ("aseg", "aedge", "bseg", "bedge"))
+    d = p.bitwiseXOR(q)
+    low = d.bitwiseAND(-d)
+    high = d.bitwiseXOR(low)
+    two = F.when((low.bitwiseAND(pe) != 0) & (high.bitwiseAND(qe) != 0), low).otherwise(high)
+    flip = F.when(F.bit_count(d) == 2, two).otherwise(F.when(d.bitwiseAND(pe) != 0, d).otherwise(0))
+    own = key.bitwiseAND((1 << w) - 1) == p.bitwiseXOR(flip).cast("long")
+    return own & (F.array_position(places, True) == s + 1)
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, own): 32-bit hashes of the shingles of each set in wanted(id, t), from one text each."""
 
@@ -183,23 +210,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int, most_bits: int) -> DataFrame:
     """The pairs (a, b) with at most most_bits different bits whose sets have percent or more of their union in common."""
-    x = sets.select(F.col("id").alias("a"), F.col("seg").alias("as"), F.col("own").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("seg").alias("bs"), F.col("own").alias("y"))
-    apart = F.aggregate(F.zip_with("as", "bs", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    x = sets.select(F.col("id").alias("a"), F.col("fp").alias("afp"), F.col("own").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("fp").alias("bfp"), F.col("own").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     alike = common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    return pairs.join(x, "a").join(y, "b").filter((apart <= most_bits) & alike).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter((_apart("afp", "bfp") <= most_bits) & alike).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 384, segments: int = 16, near: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 1024, segments: int = 16, segment_bits: int = 24, near: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, component_id, for links between texts whose sets of `width`-word shingles have a Jaccard
     similarity of at least percent / 100; component_id is the smallest doc_id that links reach.
 
     At a similarity of 0.8 about 15 in 100 bits of a SimHash differ, too many for balls that are complete. So the fingerprint
-    has `bits` bits, and each of its segments stands in the table under its own key and under those with one of its `near`
-    bits flipped whose majority was the closest; two texts meet where a segment differs in up to two such bits. Of 120 pairs
-    at exactly 0.8 all met in a segment (a test plants more). Complete distances and then the sets themselves (32-bit
-    hashes) decide. Tables far beyond 2 ** 30 different texts want more bits per segment, and more segments.
+    has `bits` bits; each of its first segments stands in the table under its own key and under those with one of its `near`
+    bits flipped whose majority was the closest, and two texts meet where a segment differs in up to two such bits. Of 120
+    pairs at exactly 0.8 all met in a segment (a test plants more). Complete distances (18 in 100 bits at most, three
+    standard deviations above those at 0.8) and then the sets themselves (32-bit hashes) decide. Tables far beyond 2 ** 30
+    different texts want more bits per segment, and more segments.
 
     Equal sets are one node. A node is first compared with that smallest node of its buckets that it meets most often, then
     with the other smallest ones, and what is still apart with all nodes of other components in its buckets but for those of
@@ -207,12 +234,11 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int
     are near-duplicates of each other only. Repeated rows stay; rows with null doc_id get the group's smallest doc_id (null
     if it has none); an empty table gives an empty result; other columns are not read.
     """
-    most_check, most_bits = 21, bits * 15 // 64
-    rows = staged(wide_fingerprints(docs, width, bits, segments, near), "wide")
-    first = F.min_by(F.struct("t", "n", "seg", "edge"), "t")
+    most_check, most_bits = 21, bits * 18 // 100
+    rows = staged(wide_fingerprints(docs, width, bits, segments, segment_bits, near), "wide")
+    first = F.min_by(F.struct("t", "n", "fp", "seg", "edge"), "t")
     nodes = staged(rows.groupBy("id").agg(F.min("doc_id").alias("least"), first.alias("f")).select("id", "least", "f.*"), "nodes")
-    check = F.shiftleft(F.get("seg", F.lit(0)).cast("long"), 40).bitwiseOR(F.shiftleft(F.get("seg", F.lit(1)).cast("long"), 16)).bitwiseOR(F.get("seg", F.lit(2)).cast("long").bitwiseAND(0xFFFF))
-    keyed = _bucketed(nodes.filter("n > 0").withColumn("check", check), bits, segments)
+    keyed = _bucketed(nodes.filter("n > 0"), segment_bits)
     state = F.struct("id", "n", "check")
     hubs = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(state).alias("hub"), F.max(state).alias("last")).filter("c > 1")
 
@@ -225,7 +251,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int
     stars = member.filter("id != hub.id").filter(may_be("n", "hub.n", "check", "hub.check"))
     stars = staged(stars.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count("*").alias("c")), "stars")
     wanted = member.select("id").distinct().join(nodes.select("id", "t"), "id")
-    sets = staged(_sets(docs, wanted, width).join(nodes.select("id", "seg"), "id"), "sets")
+    sets = staged(_sets(docs, wanted, width).join(nodes.select("id", "fp"), "id"), "sets")
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
     links = staged(_similar(best, sets, percent, most_bits), "links")
 
@@ -240,10 +266,12 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int
     own = staged(placed(member.select("key", "id", "n", "check"), "id", "component", reached), "placed")
     counts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
     open_ = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
-    own = own.join(open_, "key")
-    x = own.filter("component != most").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("check").alias("ak"), F.col("component").alias("ac"))
-    y = own.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("check").alias("bk"), F.col("component").alias("bc"))
-    crossed = x.join(y, "key").filter("ac != bc").filter(may_be("an", "bn", "ak", "bk"))
+    own = own.join(open_, "key").join(nodes.select("id", "fp", "seg", "edge"), "id")
+    side = lambda p: [F.col(c).alias(f"{p}{d}") for c, d in (("id", ""), ("n", "n"), ("component", "c"), ("fp", "fp"), ("seg", "seg"), ("edge", "edge"))]
+    x, y = own.filter("component != most").select("key", *side("a")), own.select("key", *side("b"), (F.col("component") != F.col("most")).alias("bout"))
+    sizes = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
+    once = (F.col("ac") != F.col("bc")) & (~F.col("bout") | (F.col("a") < F.col("b")))
+    crossed = x.join(y, "key").filter(once & sizes & (_apart("afp", "bfp") <= most_bits) & _meet_first(F.col("key"), segment_bits))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crossed = crossed.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(staged(_similar(crossed, sets, percent, most_bits), "links"))
