@@ -100,3 +100,29 @@ def test_splitting_a_case_changes_nothing(spark):
     both = G.taint(two, spark.createDataFrame([("k", "s"), ("other", "s")], "case_id string, node string"))
     one = {r["node"]: r["taint"] for r in both.filter("case_id = 'other'").collect()}
     assert one == values(G.taint(edges(spark, *rows), seeds(spark, "s")))
+
+
+def test_limits_are_errors_not_results(spark):
+    chain = edges(spark, *[(f"n{i}", f"n{i + 1}", 10) for i in range(12)])
+    with pytest.raises(RuntimeError):
+        G.ranks(chain, max_rounds=5)
+    with pytest.raises(RuntimeError):
+        G.taint(chain, seeds(spark, "n0"), max_rounds=4)
+    assert values(G.ranks(chain, max_rounds=20), "rank")["n12"] == 12
+
+
+def test_paths_on_empty_tables(spark):
+    none = edges(spark, ("a", "b", 5)).limit(0)
+    for job in (G.money_trail, G.routes):
+        assert job(none, seeds(spark)).count() == 0 and job(none, seeds(spark, "a")).count() == 0
+        assert job(edges(spark, ("a", "b", 5)), seeds(spark)).count() == 0
+    assert G.money_trail(none, seeds(spark, "a")).columns == G.money_trail(edges(spark, ("a", "b", 5)), seeds(spark, "a")).columns
+
+
+def test_digests_count_repeated_rows(spark):
+    from utxolens.operators import cases as C
+
+    def digest(*rows):
+        return C.snapshot_digest(spark.createDataFrame([("k", r) for r in rows], "case_id string, value string"), "case_id").first()["digest"]
+
+    assert digest("a", "a", "b") != digest("c", "c", "b") and digest("a", "b", "a") == digest("b", "a", "a") != digest("a", "b", "b")

@@ -130,11 +130,12 @@ def top_leads(found: DataFrame, k: int = 5) -> DataFrame:
 
 
 def snapshot_digest(df: DataFrame, by: str) -> DataFrame:
-    """(by, rows, digest): an order-free digest of the rows of each group, from one digest per row."""
+    """(by, rows, digest): an order-free digest of the rows of each group: sums of parts of one digest per row, so that repeated
+    rows count as often as they stand there."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    part = [F.expr(f"bit_xor(cast(conv(substring(_row, {1 + 8 * i}, 8), 16, 10) as bigint))").alias(f"_p{i}") for i in range(8)]
+    part = [F.expr(f"sum(cast(conv(substring(_row, {1 + 8 * i}, 8), 16, 10) as decimal(20, 0)))").alias(f"_p{i}") for i in range(8)]
     own = df.withColumn("_row", row).groupBy(by).agg(F.count("*").alias("rows"), *part)
-    return own.select(by, "rows", F.concat(F.lit("SHA256:"), F.upper(F.sha2(F.concat_ws(":", "rows", *[f"_p{i}" for i in range(8)]), 256))).alias("digest"))
+    return own.select(by, "rows", F.concat(F.lit("SHA256:"), F.upper(F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"_p{i}").cast("string") for i in range(8)]), 256))).alias("digest"))
 
 
 def verify_snapshot(df: DataFrame, stored: DataFrame, by: str) -> DataFrame:

@@ -57,7 +57,7 @@ def taint(edges: DataFrame, seeds: DataFrame, model: str = "haircut", max_rounds
     """(case_id, node, taint) of nodes with taint, under model haircut or fifo. Seeds stay at 1; no seeds, no taint.
 
     All nodes are updated in each round from the round before. The updates only grow from zero, so this reaches the least
-    fixpoint, on an acyclic graph in as many rounds as its longest path.
+    fixpoint, on an acyclic graph in as many rounds as its longest path. States are equal where all taints are, to 1e-9.
     """
     live = settled(edges.filter("value_sats > 0").select("case_id", "src", "dst", "value_sats", "edge_idx"))
     seeds = settled(seeds.select("case_id", "node").distinct())
@@ -73,7 +73,11 @@ def taint(edges: DataFrame, seeds: DataFrame, model: str = "haircut", max_rounds
         own = own.select("case_id", "node", F.round(F.least(F.lit(1.0), F.col("came") / F.col("inflow")), digits).alias("taint"))
         return pinned.unionByName(own)
 
-    return fixpoint(pinned, step, lambda df: tuple(df.agg(F.count("*"), F.sum(F.round(F.col("taint") * 1e9).cast("long"))).first()), max_rounds)[0]
+    state = F.xxhash64("case_id", "node", F.round(F.col("taint") * 1e9).cast("long"))
+    out, _, done = fixpoint(pinned, step, lambda df: tuple(df.agg(F.count("*"), F.bit_xor(state)).first()), max_rounds)
+    if not done:
+        raise RuntimeError(f"taint did not settle in {max_rounds} rounds")
+    return out
 
 
 def edge_taint(edges: DataFrame, taint_: DataFrame) -> DataFrame:
@@ -136,6 +140,8 @@ def ranks(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
         gone = free.select("case_id", F.col("node").alias("src"))
         nodes = settled(nodes.join(free, ["case_id", "node"], "left_anti"))
         open_ = settled(open_.join(gone, ["case_id", "src"], "left_anti"))
+    else:
+        raise RuntimeError(f"graphs have more than {max_rounds} levels")
     last = done.groupBy("case_id").agg(F.max("rank").alias("last")) if done is not None else nodes.groupBy("case_id").agg(F.lit(-1).cast("long").alias("last"))
     left = nodes.join(last, "case_id", "left").select("case_id", "node", (F.coalesce("last", F.lit(-1)) + 1).alias("rank"), F.lit(True).alias("cyclic"))
     return left if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(left)
@@ -155,6 +161,8 @@ def money_trail(edges: DataFrame, starts: DataFrame, max_hops: int = 10) -> Data
             break
         own = now.groupBy("case_id").agg(F.max(F.struct("total", F.array_join("path", ">").alias("path"))).alias("b"))
         best = own if best is None else best.unionByName(own)
+    if best is None:
+        return now.filter(F.lit(False)).select("case_id", F.array_join("path", ">").alias("path"), F.col("total").alias("total_sats"))
     best = best.groupBy("case_id").agg(F.max("b").alias("b"))
     return best.select("case_id", F.col("b.path").alias("path"), F.col("b.total").alias("total_sats"))
 
@@ -186,6 +194,7 @@ def routes(edges: DataFrame, starts: DataFrame, max_hops: int = 10, most: int =
             break
         own = now.join(ends, ["case_id", "at"], "left_semi")
         found = own if found is None else found.unionByName(own)
+    found = now.filter(F.lit(False)) if found is None else found
     best = Window.partitionBy("case_id").orderBy(F.desc("bottleneck"), "path")
     found = found.select("case_id", F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("nodes"), "bottleneck")
     return found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= most)

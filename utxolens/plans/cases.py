@@ -1,4 +1,4 @@
-"""Queries over cases: each customer of one segment is a case, the parts it ordered are its nodes."""
+"""Queries over cases: each customer is a case, the parts it ordered are its nodes."""
 
 from __future__ import annotations
 
@@ -16,14 +16,14 @@ from utxolens.sources.views import VIEW_SQL, Views
 VIEW_SQL["case_node"] = (["placed"], """
 select case_id, ord, address, case when ord = 1 then 'suspect' when ord = n then 'receiver' when part % 29 = 0 then 'mixer' when part % 31 = 0 then 'bridge' else 'hop' end as type, value_sats, txid, block_height from (
   select 'C' || o_custkey as case_id, row_number() over w as ord, count(*) over (partition by o_custkey) as n, address, substr(address, 2)::bigint as part, value_sats, txid, block_height
-  from placed join orders on o_orderkey = txid join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' and c_custkey % 3 = 0 window w as (partition by o_custkey order by block_height, txid, vout))""")
+  from placed join orders on o_orderkey = txid window w as (partition by o_custkey order by block_height, txid, vout))""")
 VIEW_SQL["case_edge"] = (["case_node"], """
 select case_id, src, dst, value_sats, edge_idx, src_height, dst_height from (select case_id, address as src, lead(address) over w as dst, value_sats, ord as edge_idx, block_height as src_height, lead(block_height) over w as dst_height
   from case_node window w as (partition by case_id order by ord)) where dst is not null""")
 
 
 def nodes(v: Views):
-    own = v.placed.join(v.table("orders").select(F.col("o_orderkey").alias("txid"), "o_custkey"), "txid").join(v.table("customer").filter("c_mktsegment = 'BUILDING' and c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    own = v.placed.join(v.table("orders").select(F.col("o_orderkey").alias("txid"), "o_custkey"), "txid")
     order = Window.partitionBy("o_custkey").orderBy("block_height", "txid", "vout")
     own = own.withColumn("ord", F.row_number().over(order).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("o_custkey"))).withColumn("part", F.expr("cast(substring(address, 2) as bigint)"))
     kind = F.when(F.col("ord") == 1, "suspect").when(F.col("ord") == F.col("n"), "receiver").when(F.col("part") % 29 == 0, "mixer").when(F.col("part") % 31 == 0, "bridge").otherwise("hop")
@@ -62,19 +62,19 @@ def jn_case_overlap(v):
     return C.overlap(nodes(v))
 
 
-@query("jn_joint_tx", "case_node txi", """, m as (select distinct i.txid, i.address, c.case_id from txi i join (select distinct address, case_id from case_node where ord <= 6) c on c.address = i.address),
+@query("jn_joint_tx", "case_node txi", """, m as (select distinct i.txid, i.address, c.case_id from txi i join (select distinct address, case_id from case_node) c on c.address = i.address),
 s as (select txid, case_id, list(address) as own from m group by all)
 select a.case_id as case_a, b.case_id as case_b, count(*) as joint_txs from s a join s b on a.txid = b.txid and a.case_id < b.case_id where len(list_filter(a.own, lambda x: not list_contains(b.own, x))) > 0 and len(list_filter(b.own, lambda x: not list_contains(a.own, x))) > 0 group by all""")
 def jn_joint_tx(v):
-    m = v.txi.select("txid", "address").distinct().join(nodes(v).filter("ord <= 6").select("address", "case_id").distinct(), "address")
+    m = v.txi.select("txid", "address").distinct().join(nodes(v).select("address", "case_id").distinct(), "address")
     return C.joint_transactions(m)
 
 
-@query("jn_joint_record", "case_node txi", """, o as (select distinct txid, address from txi), k as (select distinct case_id, address from case_node where ord <= 3), n as (select txid, count(*) as inputs from o group by txid),
+@query("jn_joint_record", "case_node txi", """, o as (select distinct txid, address from txi), k as (select distinct case_id, address from case_node), n as (select txid, count(*) as inputs from o group by txid),
 h as (select txid, count(distinct o.address) as matched, count(distinct case_id) as cases from o join k on k.address = o.address group by txid)
 select n.txid, inputs, coalesce(matched, 0) as matched, coalesce(cases, 0) as cases, case when inputs < 2 then 'TOO_FEW_INPUTS' when coalesce(matched, 0) = 0 then 'NO_CASE' when cases < 2 then 'ONE_CASE' when matched < 2 then 'ONE_ADDRESS' else 'RECORDED' end as reason from n left join h on h.txid = n.txid""")
 def jn_joint_record(v):
-    return C.joint_records(v.txi.select("txid", "address"), nodes(v).filter("ord <= 3").select("case_id", "address"))
+    return C.joint_records(v.txi.select("txid", "address"), nodes(v).select("case_id", "address"))
 
 
 @query("jn_manual_assoc", "case_node", """, r as (select distinct a.case_id as by_case, b.case_id as other_case, 'part ' || a.address as rationale from case_node a join case_node b on a.address = b.address and a.case_id <> b.case_id where (a.ord + b.ord) % 3 = 0 or a.ord % 2 = 0)
@@ -237,9 +237,9 @@ def aud_value(v):
     return C.audit_value(e, e.select("case_id", F.col("src").alias("node")).distinct())
 
 
-@query("aud_time", "case_edge", "select case_id, edge_idx, src_height, dst_height from case_edge where edge_idx % 5 = 0 and src_height - 10000 * (edge_idx % 2) < dst_height - 100000")
+@query("aud_time", "case_edge", "select case_id, edge_idx, src_height, dst_height from case_edge where src_height - 10000 * (edge_idx % 2) < dst_height - 100000")
 def aud_time(v):
-    turned = edges(v).filter("edge_idx % 5 = 0").select("case_id", "edge_idx", F.col("dst_height").alias("src_height"), (F.col("src_height") - 10_000 * (F.col("edge_idx") % 2)).alias("dst_height"), F.col("src_height").alias("s"), F.col("dst_height").alias("d"))
+    turned = edges(v).select("case_id", "edge_idx", F.col("dst_height").alias("src_height"), (F.col("src_height") - 10_000 * (F.col("edge_idx") % 2)).alias("dst_height"), F.col("src_height").alias("s"), F.col("dst_height").alias("d"))
     return C.audit_time(turned, 100_000).select("case_id", "edge_idx", F.col("s").alias("src_height"), F.col("d").alias("dst_height"))
 
 
@@ -255,10 +255,10 @@ def eval_fixtures(v):
 
 
 @query("eval_chain_facts", "txo", """select case when a.txid is null then 'EXTRA' when b.txid is null then 'INCOMPLETE' when a.value_sats = b.value_sats and a.script_type = b.script_type then 'MATCH' else 'MISMATCH' end as status, count(*) as n
-from (select * from txo where txid % 10 = 0 and vout % 4 <> 3) a full join (select txid, vout, value_sats + case when vout % 5 = 0 then 1 else 0 end as value_sats, script_type from txo where txid % 10 = 0 and vout % 3 <> 2) b on a.txid = b.txid and a.vout = b.vout group by 1""")
+from (select * from txo where vout % 4 <> 3) a full join (select txid, vout, value_sats + case when vout % 5 = 0 then 1 else 0 end as value_sats, script_type from txo where vout % 3 <> 2) b on a.txid = b.txid and a.vout = b.vout group by 1""")
 def eval_chain_facts(v):
-    a = v.txo.filter("txid % 10 = 0 and vout % 4 != 3").select("txid", "vout", "value_sats", "script_type")
-    b = v.txo.filter("txid % 10 = 0 and vout % 3 != 2").select("txid", "vout", (F.col("value_sats") + F.when(F.col("vout") % 5 == 0, 1).otherwise(0)).alias("v"), F.col("script_type").alias("s"))
+    a = v.txo.filter("vout % 4 != 3").select("txid", "vout", "value_sats", "script_type")
+    b = v.txo.filter("vout % 3 != 2").select("txid", "vout", (F.col("value_sats") + F.when(F.col("vout") % 5 == 0, 1).otherwise(0)).alias("v"), F.col("script_type").alias("s"))
     both = a.join(b, ["txid", "vout"], "full")
     status = F.when(F.col("value_sats").isNull(), "EXTRA").when(F.col("v").isNull(), "INCOMPLETE").when((F.col("v") == F.col("value_sats")) & (F.col("s") == F.col("script_type")), "MATCH").otherwise("MISMATCH")
     return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))

@@ -38,7 +38,7 @@ def opcode_census(v):
     return E.opcodes(scripts(v))
 
 
-_MIX = ", d as (" + _DENOM + "), e as (" + _ENTROPY.format(t="d") + "), mx as (select txid, modal_sats, equal_outputs from e where is_coinjoin and equal_outputs <= 6)"
+_MIX = ", d as (" + _DENOM + "), e as (" + _ENTROPY.format(t="d") + "), mx as (select txid, modal_sats, equal_outputs from e where is_coinjoin)"
 _CAND = _MIX + """, ii as (select txid, list(struct_pack(i := vin, v := value_sats * 5) order by vin) as i from txi where txid in (select txid from mx) group by txid having count(*) <= 8),
 mk as (select txid, mask, list_sum(list_transform(i, lambda x: case when (mask >> x.i::int) & 1 = 1 then x.v else 0 end))::bigint as total from (select *, unnest(range(1, (1 << len(i))::bigint)) as mask from ii)),
 ch as (select d.txid, vout as change_vout, d.value_sats as change from d join mx on mx.txid = d.txid where d.value_sats <> modal_sats union all select txid, -1, 0 from mx)
@@ -46,7 +46,7 @@ select mk.txid, mask::int as mask, change_vout, total - modal_sats - change as f
 
 
 def mixes(v):
-    return X.entropy(denom(v)).filter("is_coinjoin and equal_outputs <= 6").select("txid", "modal_sats", "equal_outputs")
+    return X.entropy(denom(v)).filter("is_coinjoin").select("txid", "modal_sats", "equal_outputs")
 
 
 def candidates(v):

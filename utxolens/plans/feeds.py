@@ -86,10 +86,9 @@ def st_latest(v):
     return streamed(v, "newest").select("address", "txid", "amount_sats")
 
 
-@query("src_mempool", "feed", "select count(*) as txs, count(distinct txid) as distinct_txs, sum(fee)::bigint as fees from feed where event_id < 2000")
+@query("src_mempool", "feed", "select count(*) as txs, count(distinct txid) as distinct_txs, sum(fee)::bigint as fees from feed")
 def src_mempool(v):
-    txs = feed(v).withColumn("n", F.expr("cast(substring(txid, 2) as bigint)"))
-    own = txs.join(v.table("events").filter("event_id < 2000").select(F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts")), ["n", "ts"]).drop("n")
+    own = feed(v)
     plain = own.filter("weight % 8 = 0").select(F.to_json(F.struct(F.array(F.struct(*own.columns)).alias("address-transactions"))).alias("value"))
     multi = own.filter("weight % 8 != 0").select(F.to_json(F.struct(F.create_map(F.lit("x"), F.struct(F.array(F.struct(*own.columns)).alias("mempool"))).alias("multi-address-transactions"))).alias("value"))
     return A.parsed(plain.unionByName(multi)).agg(F.count("*").alias("txs"), F.count_distinct("txid").alias("distinct_txs"), F.sum("fee").alias("fees"))

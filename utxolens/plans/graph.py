@@ -26,8 +26,8 @@ cmp as (select fl.case_id, fl.node, out_degree = 0 as terminal, coalesce(round(h
   from fl left join hc on hc.case_id = fl.case_id and hc.node = fl.node left join ff on ff.case_id = fl.case_id and ff.node = fl.node left join po on po.case_id = fl.case_id and po.node = fl.node)
 """
 _TIER = "case when {x} >= 0.75::double then 'High' when {x} >= 0.35::double then 'Medium' when {x} > 0.02::double then 'Low' else 'Clean' end as tier"
-_LOOSE = "select c_mktsegment as case_id, 'n' || s_nationkey as src, 'n' || c_nationkey as dst, sum(round(l_extendedprice * 100)::bigint)::bigint as value_sats from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where (s_nationkey * 7 + c_nationkey * 3) % 5 = 0 group by all"
-_POOL = "select distinct l_orderkey as txid, 'A' || l_partkey as address from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT' and l_returnflag = 'R' and l_quantity <= 25"
+_LOOSE = "select c_mktsegment as case_id, 'n' || s_nationkey as src, 'n' || c_nationkey as dst, sum(round(l_extendedprice * 100)::bigint)::bigint as value_sats from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all"
+_POOL = "select distinct l_orderkey as txid, 'A' || l_partkey as address from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R'"
 
 
 def seeds(v):
@@ -38,7 +38,6 @@ def seeds(v):
 def nations(v):
     li = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(v.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
-    li = li.filter("(s_nationkey * 7 + c_nationkey * 3) % 5 = 0")
     return li.groupBy(F.col("c_mktsegment").alias("case_id"), name("s_nationkey").alias("src"), name("c_nationkey").alias("dst")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("value_sats"))
 
 
@@ -149,28 +148,28 @@ def gr_paths(v):
 
 
 @query("gr_collapse", "g2", """
-, g as (select * from g2 where txid % 3 = 0), n as (select case_id, node from (select case_id, src as node from g union all select case_id, dst from g) group by case_id, node having count(*) = 1),
+, g as (select * from g2), n as (select case_id, node from (select case_id, src as node from g union all select case_id, dst from g) group by case_id, node having count(*) = 1),
 l as (select g.* from g join n on n.case_id = g.case_id and n.node = g.src), k as (select case_id, dst, count(*) as members, sum(value_sats)::bigint as value_sats from l group by case_id, dst having count(*) >= 2)
 select case_id, 'cluster:' || dst as src, dst, value_sats, members from k union all
 select case_id, src, dst, value_sats, 1 from g where not exists (select 1 from l join k on k.case_id = l.case_id and k.dst = l.dst where l.case_id = g.case_id and l.src = g.src and l.dst = g.dst)""")
 def gr_collapse(v):
-    return G.collapse(v.g2.filter("txid % 3 = 0"), 2)
+    return G.collapse(v.g2, 2)
 
 
 @query("gr_clusters", "", f"""with recursive p as ({_POOL}), o as (select * from p where txid % 17 <> 0), l as (select distinct a.address as a, b.address as b from o a join o b on a.txid = b.txid and a.address <> b.address),
 r as (select distinct address, address as c from o union select l.b, r.c from r join l on l.a = r.address) select address, min(c) as cluster from r group by address""")
 def gr_clusters(v):
-    li = v.table("lineitem").filter("l_returnflag = 'R' and l_quantity <= 25").join(v.table("orders").filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = v.table("lineitem").filter("l_returnflag = 'R'").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     pool = li.select(F.col("l_orderkey").alias("txid"), F.concat(F.lit("A"), F.col("l_partkey").cast("string")).alias("address"))
     return G.clusters(pool, pool.filter("txid % 17 = 0").select("txid").distinct())
 
 
-_TRACE = """, r as (select txid as trace_id, txid, 0::bigint as depth from tx where txid % 400 = 0 union select r.trace_id, o.spend_txid, r.depth + 1 from r join txo o on o.txid = r.txid and o.spend_txid is not null and o.value_sats >= 546 where r.depth < 3),
+_TRACE = """, r as (select txid as trace_id, txid, 0::bigint as depth from tx where txid % 50 = 0 union select r.trace_id, o.spend_txid, r.depth + 1 from r join txo o on o.txid = r.txid and o.spend_txid is not null and o.value_sats >= 546 where r.depth < 3),
 d as (select trace_id, txid, min(depth) as depth from r group by trace_id, txid)"""
 
 
 def traced(v):
-    return G.trace(v.txo, v.tx.filter("txid % 400 = 0").select(F.col("txid").alias("trace_id"), "txid"), 3)
+    return G.trace(v.txo, v.tx.filter("txid % 50 = 0").select(F.col("txid").alias("trace_id"), "txid"), 3)
 
 
 @query("gr_trace", "tx txo", _TRACE + " select * from d")

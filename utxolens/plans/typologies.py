@@ -122,7 +122,7 @@ def jn_entity_tag(v):
 
 
 _BANDS = """
-, d as (select src, value_sats as v from g2 where starts_with(src, 's') and value_sats >= 546 and txid % 11 = 0),
+, d as (select src, value_sats as v from g2 where starts_with(src, 's') and value_sats >= 546),
 o as (select src, v, row_number() over (partition by src order by v) as i from d),
 w as (select src, 1::bigint as i, v, 1::bigint as n, v::hugeint as s, v as low, 1::bigint as band from o where i = 1
   union all select o.src, o.i, o.v, case when (o.v * w.n - w.s) * 20 <= w.s then w.n + 1 else 1 end, case when (o.v * w.n - w.s) * 20 <= w.s then w.s + o.v else o.v end,
@@ -137,7 +137,7 @@ select src, bands, top.n as largest, floor(-top.m / top.n + 0.5)::bigint as mean
 
 @query("fold_bands", "g2", _BANDS)
 def fold_bands(v):
-    return Y.value_bands(v.g2.filter("src like 's%' and txid % 11 = 0"), ["src"])
+    return Y.value_bands(v.g2.filter("src like 's%'"), ["src"])
 
 
 @query("fold_peel_tx", "txo tx", """

@@ -32,7 +32,7 @@ def flows(txs: DataFrame, watched: DataFrame) -> DataFrame:
     valid = txs.filter(F.col("txid").isNotNull() & ~F.coalesce("confirmed", F.lit(False)) & F.col("ts").isNotNull())
     ends = F.array_distinct(F.transform(F.concat(F.coalesce("ins", F.array()), F.coalesce("outs", F.array())), lambda x: x["address"]))
     own = valid.withColumn("address", F.explode(ends)).filter("address is not null")
-    own = own.join(F.broadcast(watched.select(F.lower("address").alias("_w"), "tag")), F.lower("address") == F.col("_w"))  # watch lists hold at most 100 entries
+    own = own.join(watched.select(F.lower("address").alias("_w"), "tag"), F.lower("address") == F.col("_w"))
 
     def moved(side: str):
         mine = F.filter(F.coalesce(side, F.array()), lambda x: x["address"] == F.col("address"))
