@@ -84,8 +84,8 @@ def judged(captures: DataFrame, entries: DataFrame, width: int = 86_400, per_win
     unusable URLs and null fetch times. Repeated rows come back as often. Empty captures give an empty result, empty entries
     no verdicts; other columns are not read.
 
-    Equal (host, path, time) captures are one row before keys are made, and only keys that the list has go on to the as-of
-    join, where a key with a third of all rows is spread over spans of time and, in a span, over several windows.
+    Equal (host, path, time) captures are one row before keys are made, and only keys that the list has (looked up under 32
+    salts, since a top-level domain is a key of a third of all rows) go on to the as-of join, where a key with a third of all rows is spread over spans of time and, in a span, over several windows.
     """
     parts = captures.select("capture", F.col("fetched").cast("long").alias("fetched"), normalised(F.col("url").cast("string")).alias("u"))
     parts = parts.select("capture", "fetched", F.col("u.host").alias("host"), F.col("u.rest").alias("rest"))
@@ -93,7 +93,9 @@ def judged(captures: DataFrame, entries: DataFrame, width: int = 86_400, per_win
     keyed = distinct.select("host", "rest", "fetched", F.explode(keys_of(F.col("host"), F.col("rest"))).alias("k"))
     keyed = keyed.select("host", "rest", "fetched", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
     listed = intervals(entries, width)
-    keyed = keyed.join(listed.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("host", "rest", "fetched", "kind", "key")
+    salt, salts = F.pmod(F.xxhash64("host", "rest", "fetched"), F.lit(32)), F.sequence(F.lit(0), F.lit(31)).cast("array<bigint>")
+    known = listed.select("kind", "key").distinct().withColumn("salt", F.explode(salts))
+    keyed = keyed.withColumn("salt", salt).join(known, ["kind", "key", "salt"], "left_semi").select("host", "rest", "fetched", "kind", "key")
     active = as_of(keyed, listed, width, per_window).filter("verdict is not null")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     best = F.max(F.struct(rank.alias("rank"), F.length("key").alias("n"), "key", "kind", "verdict", "since", "until")).alias("best")
