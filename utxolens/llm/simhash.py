@@ -266,9 +266,12 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int
     own = staged(placed(member.select("key", "id", "n", "check"), "id", "component", reached), "placed")
     counts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
     open_ = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
-    own = own.join(open_, "key").join(nodes.select("id", "fp", "seg", "edge"), "id")
-    side = lambda p: [F.col(c).alias(f"{p}{d}") for c, d in (("id", ""), ("n", "n"), ("component", "c"), ("fp", "fp"), ("seg", "seg"), ("edge", "edge"))]
-    x, y = own.filter("component != most").select("key", *side("a")), own.select("key", *side("b"), (F.col("component") != F.col("most")).alias("bout"))
+    # One row for each node, with its open buckets, so that fingerprints are joined once.
+    own = own.join(open_, "key").groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("c"), F.collect_list(F.struct("key", "most")).alias("at"))
+    own = staged(own.join(nodes.select("id", "fp", "seg", "edge"), "id"), "open")
+    side = lambda p: [F.col(c).alias(f"{p}{d}") for c, d in (("id", ""), ("n", "n"), ("c", "c"), ("fp", "fp"), ("seg", "seg"), ("edge", "edge"))]
+    x = own.select(*side("a"), F.explode(F.filter("at", lambda z: z["most"] != F.col("c"))).alias("z")).withColumn("key", F.col("z.key")).drop("z")
+    y = own.select(*side("b"), F.explode("at").alias("z")).withColumn("key", F.col("z.key")).withColumn("bout", F.col("bc") != F.col("z.most")).drop("z")
     sizes = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
     once = (F.col("ac") != F.col("bc")) & (~F.col("bout") | (F.col("a") < F.col("b")))
     crossed = x.join(y, "key").filter(once & sizes & (_apart("afp", "bfp") <= most_bits) & _meet_first(F.col("key"), segment_bits))
