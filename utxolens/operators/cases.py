@@ -6,6 +6,8 @@ case_node(case_id, ord, address, type, value_sats) holds the nodes of each case
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,14 +59,31 @@ def mutual_associations(recorded: DataFrame) -> DataFrame:
     return recorded.join(back, ["by_case", "other_case", "rationale"], "left_semi").filter("by_case < other_case").distinct()
 
 
-def syndicates(pairs: DataFrame) -> DataFrame:
-    """(case_id, syndicate): components of linked cases, numbered SYN-01 and on by their smallest case."""
-    ends = pairs.select(F.concat_ws("|", "case_a", "case_b").alias("txid"), F.explode(F.array("case_a", "case_b")).alias("address"))
-    found = G.clusters(ends, ends.limit(0)).withColumnRenamed("address", "case_id")
-    names = numbered(found.select("cluster").distinct(), [F.col("cluster")], "n")
+def syndicates(nodes: DataFrame, inputs: DataFrame, associations: DataFrame) -> DataFrame:
+    """(case_id, syndicate): components of linked cases, numbered SYN-01 and on by their smallest case; cases without link go.
+
+    Cases are linked by a shared address, nodes(case_id, address); by a joint transaction, inputs(txid, address); and by mutual
+    associations(case_a, case_b). No pairs are made: the cases of an address are one group, a transaction is a group of one case
+    for each of its addresses. Of two cases in a joint transaction either share an address, or each has one that the other lacks.
+    """
+    own = nodes.filter("address is not null").select("address", "case_id").distinct()
+    first = own.groupBy("address").agg(F.min("case_id").alias("case_id"))
+    shared = own.select(F.concat(F.lit("a:"), "address").alias("txid"), F.col("case_id").alias("address"))
+    joint = inputs.join(first, "address").select(F.concat(F.lit("t:"), F.col("txid").cast("string")).alias("txid"), F.col("case_id").alias("address")).distinct()
+    mutual = associations.select(F.concat_ws("|", F.lit("m:"), "case_a", "case_b").alias("txid"), F.explode(F.array("case_a", "case_b")).alias("address"))
+    found = G.clusters(shared.unionByName(joint).unionByName(mutual), shared.limit(0)).withColumnRenamed("address", "case_id")
+    linked = found.groupBy("cluster").agg(F.count("*").alias("cases")).filter("cases > 1").select("cluster")
+    names = numbered(linked, [F.col("cluster")], "n")
     return found.join(names, "cluster").select("case_id", F.concat(F.lit("SYN-"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("syndicate"))
 
 
+def search_cases(cases: DataFrame, text: str) -> DataFrame:
+    """Cases (id, title, description, suspect) with the text in any of the four, in any case; a blank text finds all, null fields nothing."""
+    if not text.strip():
+        return cases
+    return cases.filter(reduce(or_, [F.coalesce(F.lower(c).contains(text.lower()), F.lit(False)) for c in ("title", "description", "id", "suspect")]))
+
+
 def risk(nodes: DataFrame, sweeps: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
     """Risk of each case and its parts; null without any signal. sweeps(case_id, confidence); weights are clamped to 0..100."""
     w = {k: max(0, min(100, weights.get(k, v))) for k, v in WEIGHTS.items()}
@@ -209,6 +228,36 @@ def timeline(*parts: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+def filter_timeline(entries: DataFrame, text: str = "", kind: str = "all") -> DataFrame:
+    """Entries (kind, summary, reference) of one kind, or of all, with the text in summary and reference, in any case."""
+    own = entries if kind == "all" else entries.filter(F.col("kind") == kind)
+    said = F.lower(F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("reference", F.lit(""))))
+    return own.filter(said.contains(text.strip().lower())) if text.strip() else own
+
+
+EDITABLE = ("evidence", "nextFollowUpAt", "outcomeEvidence")  # fixed values
+
+
+def action_edits(edits: DataFrame) -> DataFrame:
+    """(action_id, seq, outcome, changes) of edits(action_id, seq, fields: map of names to texts), each on what the ones before left.
+
+    A field beyond EDITABLE refuses the edit, as does a follow-up that is no date; an empty follow-up clears it, a null value
+    is no value. Else the edit's changes are its fields that differ from their last accepted values; without any it is UNCHANGED.
+    """
+    foreign = F.size(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, EDITABLE)))) > 0
+    due = F.col("fields")["nextFollowUpAt"]
+    refused = F.when(foreign, "UNSUPPORTED_FIELDS").when((due != "") & F.try_to_timestamp(due).isNull(), "INVALID_DATE")
+    own = edits.withColumn("_refused", refused)
+    before = Window.partitionBy("action_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    changed = []
+    for f in EDITABLE:
+        last = F.last(F.when(F.col("_refused").isNull(), F.col("fields")[f]), ignorenulls=True).over(before)
+        own = own.withColumn(f"_{f}", F.coalesce(last, F.lit("")) if f == "nextFollowUpAt" else last)
+        changed.append(F.when(F.col("fields")[f].isNotNull() & ~F.col("fields")[f].eqNullSafe(F.col(f"_{f}")), f))
+    own = own.withColumn("changes", F.when(F.col("_refused").isNull(), F.array_join(F.array_compact(F.array(*changed)), ",")))
+    return own.select("action_id", "seq", F.coalesce("_refused", F.when(F.col("changes") == "", "UNCHANGED"), F.lit("UPDATED")).alias("outcome"), "changes")
+
+
 def shape_errors(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
     """(case_id, error) of cases that break a shape rule: too large, repeated nodes, dangling ends."""
     n = nodes.groupBy("case_id").agg(F.count("*").alias("n"), F.count_distinct("address").alias("d"))

@@ -51,11 +51,11 @@ def unmix_candidates(mixes: DataFrame, txi: DataFrame, txo: DataFrame, least_fee
     return masks.join(change, "txid").withColumn("fee", fee).filter(F.col("fee").between(least_fee, most_fee)).select("txid", "mask", "change_vout", "fee")
 
 
-def unmix_partitions(candidates: DataFrame, equal_outputs: DataFrame, most: int = 10) -> DataFrame:
+def unmix_partitions(candidates: DataFrame, equal_outputs: DataFrame, most: int = 10, tried: DataFrame | None = None) -> DataFrame:
     """Per mix (txid, equal_outputs): solutions of as many disjoint candidates as equal outputs, the verdict and its confidence.
 
     Candidates join in rising order of (mask, change), so each set comes once; a change is used once. Only the count up to
-    more than `most` matters: it tells unique from ambiguous.
+    more than `most` matters: it tells unique from ambiguous. Mixes beyond tried(txid), where given, come out as untried.
     """
     own = candidates.select("txid", "mask", "change_vout").distinct()
     own = settled(own.withColumn("k", F.row_number().over(Window.partitionBy("txid").orderBy("mask", "change_vout"))))
@@ -69,6 +69,9 @@ def unmix_partitions(candidates: DataFrame, equal_outputs: DataFrame, most: int
     found = need.join(done.groupBy("txid").agg(F.count("*").alias("solutions")), "txid", "left").withColumn("solutions", F.coalesce("solutions", F.lit(0)))
     verdict = F.when(F.col("solutions") == 0, "unsolved").when(F.col("solutions") == 1, "unique").otherwise("ambiguous")
     confidence = F.when(F.col("solutions") == 0, 30).when(F.col("solutions") == 1, 92).when(F.col("solutions") <= most, 75).otherwise(55)
+    if tried is not None:
+        found = found.join(tried.select("txid", F.lit(True).alias("_tried")).distinct(), "txid", "left")
+        verdict, confidence = F.when(F.col("_tried"), verdict).otherwise("untried"), F.when(F.col("_tried"), confidence)
     return found.select("txid", F.least("solutions", F.lit(most + 1)).alias("solutions"), verdict.alias("verdict"), confidence.cast("long").alias("confidence"))
 
 

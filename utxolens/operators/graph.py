@@ -234,22 +234,27 @@ def clusters(txi: DataFrame, mixes: DataFrame, max_rounds: int = 100) -> DataFra
     return out
 
 
-def trace(outputs: DataFrame, roots: DataFrame, max_depth: int = 2, beam: int | None = None) -> DataFrame:
+def trace(outputs: DataFrame, roots: DataFrame, max_depth: int = 2, beam: int | None = None, mixes: DataFrame | None = None) -> DataFrame:
     """(trace_id, txid, depth): transactions reached from roots (trace_id, txid), level by level, each at its first depth.
 
-    outputs(txid, spend_txid, value_sats) are the outputs to follow: spent, not dust, not of a mix. With `beam`, only that
-    many of the largest outputs of a trace go on from each level.
+    outputs(txid, spend_txid, value_sats, and optionally peel) are followed where they are spent and not dust. Transactions of
+    mixes(txid) are reached but not left. A trace ends at depth max_depth; each output with `peel` (a change of high confidence)
+    on the way moves that limit one further, to max_depth + 2 at most. Of several ways to a transaction at its first depth the
+    furthest limit counts. With `beam`, only that many of the largest outputs of a trace go on from each level.
     """
-    follow = settled(outputs.filter("spend_txid is not null").filter(~L.is_dust(F.col("value_sats"))).select("txid", "spend_txid", "value_sats"))
-    frontier = seen = settled(roots.select("trace_id", "txid", F.lit(0).cast("long").alias("depth")))
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(follow, "txid")
+    peel = F.coalesce("peel", F.lit(False)) if "peel" in outputs.columns else F.lit(False)
+    follow = outputs.filter("spend_txid is not null").filter(~L.is_dust(F.col("value_sats"))).select("txid", "spend_txid", "value_sats", peel.cast("int").alias("more"))
+    follow = settled(follow if mixes is None else follow.join(mixes.select("txid").distinct(), "txid", "left_anti"))
+    frontier = seen = settled(roots.select("trace_id", "txid", F.lit(0).cast("long").alias("depth"), F.lit(max_depth).alias("limit")).distinct())
+    for depth in range(1, max_depth + 3):
+        step = frontier.filter(F.col("limit") >= depth).join(follow, "txid")
         if beam:
             order = Window.partitionBy("trace_id").orderBy(F.desc("value_sats"), "spend_txid")
             step = step.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= beam)
-        step = step.select("trace_id", F.col("spend_txid").alias("txid")).distinct().join(seen, ["trace_id", "txid"], "left_anti")
-        frontier = settled(step.withColumn("depth", F.lit(depth).cast("long")))
+        reach = F.least(F.lit(max_depth + 2), F.col("limit") + F.col("more"))
+        step = step.groupBy("trace_id", F.col("spend_txid").alias("txid")).agg(F.max(reach).alias("limit")).join(seen, ["trace_id", "txid"], "left_anti")
+        frontier = settled(step.select("trace_id", "txid", F.lit(depth).cast("long").alias("depth"), "limit"))
         if frontier.isEmpty():
             break
         seen = settled(seen.unionByName(frontier))
-    return seen
+    return seen.drop("limit")

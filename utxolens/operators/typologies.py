@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +95,26 @@ def bridge_entities(labels: DataFrame, providers: DataFrame) -> DataFrame:
     return hit.withColumn("n", F.row_number().over(first)).filter("n = 1").select("label", "provider", "pattern")
 
 
+def swap_routers(nodes: DataFrame, routers: Sequence[tuple[str, str, str, str]], words: Sequence[str]) -> DataFrame:
+    """Nodes (node, address, name) of swap routers or bridges: the first router (pattern, name, category, risk) whose pattern the
+    address or whose name the node's name contains, in any case; else, by a word in the name, a suspected bridge under its own name.
+
+    Routers are a fixed short list and become one expression: no join. A null address or name matches nothing.
+    """
+    address, name = F.lower(F.coalesce("address", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))
+    told = lambda *parts: F.struct(*[p.alias(c) for p, c in zip(parts, ("router", "category", "risk"), strict=True)])
+    known = [F.when(address.contains(p.lower()) | name.contains(n.lower()), told(F.lit(n), F.lit(c), F.lit(r))) for p, n, c, r in routers]
+    word = F.when(reduce(or_, [name.contains(w) for w in words]), told(F.col("name"), F.lit("suspected-bridge"), F.lit("high")))
+    return nodes.withColumn("_r", F.coalesce(*known, word)).filter("_r is not null").select("node", "address", "_r.router", "_r.category", "_r.risk")
+
+
+def dimension_hits(addresses: DataFrame, dims: Sequence[tuple[str, ...]]) -> DataFrame:
+    """(kind, key, hits): addresses(address) that contain the pattern of each dimension row (kind, key, ...), in any case."""
+    text = F.lower("address")
+    found = F.array_compact(F.array(*[F.when(text.contains(d[1].lower()), F.struct(F.lit(d[0]).alias("kind"), F.lit(d[1]).alias("key"))) for d in dims]))
+    return addresses.select(F.explode(found).alias("d")).groupBy("d.kind", "d.key").agg(F.count("*").alias("hits"))
+
+
 def entity_tags(addresses: DataFrame, entities: DataFrame) -> DataFrame:
     """Verified entity of an address by full-length match, else a tag from its form, else null."""
     known = entities.filter(F.col("verified") & (F.length("entity_address") >= 30)).select(F.lower("entity_address").alias("k"), "entity")

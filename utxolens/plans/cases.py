@@ -86,11 +86,19 @@ def jn_manual_assoc(v):
     return C.mutual_associations(r.select("by_case", "other_case", F.concat(F.lit("part "), "address").alias("rationale")).distinct())
 
 
-@query("gr_syndicates", "case_node", _OVERLAP + """, l as (select case_a as a, case_b as b from ov where score >= 75 union select case_b, case_a from ov where score >= 75),
-r as (select distinct a as case_id, a as c from l union select l.b, r.c from r join l on l.a = r.case_id), m as (select case_id, min(c) as c from r group by case_id)
+@query("gr_syndicates", "case_node txi", """, ow as (select distinct address, case_id from case_node), fi as (select address, min(case_id) as hub from ow group by address),
+jt as (select distinct i.txid, hub from txi i join fi on fi.address = i.address), jh as (select txid, min(hub) as h from jt group by txid),
+p as (select case_id as a, hub as b from ow join fi on fi.address = ow.address union select hub, h from jt join jh on jh.txid = jt.txid union select 'C' || (c_custkey - 1), 'C' || c_custkey from customer where c_custkey % 3 = 0 and c_custkey > 0),
+l as (select a, b from p where a <> b union select b, a from p where a <> b), s as (select a from l group by a having min(b) > a),
+r as (select a as case_id, a as c from s union select l.b, r.c from r join l on l.a = r.case_id), m as (select case_id, min(c) as c from r group by case_id)
 select case_id, 'SYN-' || lpad(dense_rank() over (order by c)::varchar, greatest(2, length((dense_rank() over (order by c))::varchar))::int, '0') as syndicate from m""")
 def gr_syndicates(v):
-    return C.syndicates(C.overlap(nodes(v)).filter("score >= 75"))
+    key = F.col("c_custkey")
+    case = lambda k: F.concat(F.lit("C"), k.cast("string"))
+    said = v.table("customer").select(case(key).alias("by_case"), case(key + 1).alias("other_case"), F.lit("next").alias("rationale"))
+    said = said.unionByName(v.table("customer").filter(key % 3 == 0).select(case(key).alias("by_case"), case(key - 1).alias("other_case"), F.lit("next").alias("rationale")))
+    mutual = C.mutual_associations(said).select(F.col("by_case").alias("case_a"), F.col("other_case").alias("case_b"))
+    return C.syndicates(nodes(v), v.txi.select("txid", "address"), mutual)
 
 
 @query("risk_score", "case_node case_edge", _RISK + " select case_id, nodes, hops, mixer, bridge, obfuscation, layering, velocity, consolidation, risk from rs")

@@ -39,7 +39,7 @@ def opcode_census(v):
 
 
 _MIX = ", d as (" + _DENOM + "), e as (" + _ENTROPY.format(t="d") + "), mx as (select txid, modal_sats, equal_outputs from e where is_coinjoin)"
-_CAND = _MIX + """, ii as (select txid, list(struct_pack(i := vin, v := value_sats * 5) order by vin) as i from txi where txid in (select txid from mx) group by txid having count(*) <= 8),
+_CAND = _MIX + """, ii as (select txid, list(struct_pack(i := vin, v := value_sats * 5) order by vin) as i from txi where txid in (select txid from mx) group by txid having count(*) <= 16),
 mk as (select txid, mask, list_sum(list_transform(i, lambda x: case when (mask >> x.i::int) & 1 = 1 then x.v else 0 end))::bigint as total from (select *, unnest(range(1, (1 << len(i))::bigint)) as mask from ii)),
 ch as (select d.txid, vout as change_vout, d.value_sats as change from d join mx on mx.txid = d.txid where d.value_sats <> modal_sats union all select txid, -1, 0 from mx)
 select mk.txid, mask::int as mask, change_vout, total - modal_sats - change as fee from mk join mx on mx.txid = mk.txid join ch on ch.txid = mk.txid where total - modal_sats - change between -400000 and 400000"""
@@ -51,7 +51,7 @@ def mixes(v):
 
 def candidates(v):
     few = v.txi.withColumn("value_sats", F.col("value_sats") * 5)
-    return E.unmix_candidates(mixes(v), few, denom(v), -400_000, 400_000, 8)
+    return E.unmix_candidates(mixes(v), few, denom(v), -400_000, 400_000, 16)
 
 
 @query("jn_unmix_candidates", "txi txo", _CAND)
@@ -59,9 +59,16 @@ def jn_unmix_candidates(v):
     return candidates(v)
 
 
-@query("jn_unmix_partitions")
+@query("jn_unmix_partitions", "txi txo", _CAND.replace("select mk.txid, mask::int", ", cd as (select mk.txid, mask::int") + """),
+ow as (select *, row_number() over (partition by txid order by mask, change_vout) as k from (select distinct txid, mask, change_vout from cd)),
+tr as (select ow.txid, mask as used, [change_vout] as ch, k, 1::bigint as n, equal_outputs as need from ow join mx on mx.txid = ow.txid
+  union all select tr.txid, used | mask, list_append(ch, change_vout), ow.k, n + 1, need from tr join ow on ow.txid = tr.txid and ow.k > tr.k where n < need and used & mask = 0 and (change_vout = -1 or not list_contains(ch, change_vout))),
+so as (select txid, count(*) as n from tr where n = need group by txid),
+al as (select mx.txid, least(coalesce(so.n, 0), 11)::bigint as s, exists (select 1 from ii where ii.txid = mx.txid) as tried from mx left join so on so.txid = mx.txid)
+select txid, s as solutions, case when not tried then 'untried' when s = 0 then 'unsolved' when s = 1 then 'unique' else 'ambiguous' end as verdict, (case when tried then case when s = 0 then 30 when s = 1 then 92 when s <= 10 then 75 else 55 end end)::bigint as confidence from al""")
 def jn_unmix_partitions(v):
-    return E.unmix_partitions(candidates(v), mixes(v))
+    tried = v.txi.groupBy("txid").agg(F.count("*").alias("n")).filter("n <= 16")
+    return E.unmix_partitions(candidates(v), mixes(v), tried=tried)
 
 
 @query("typ_bridge_case", "case_node", """, f as (select *, substr(address, 2)::bigint as part from case_node),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
+from utxolens.operators import cases as C
+from utxolens.operators import typologies as Y
+from utxolens.operators.iterate import settled
 from utxolens.plans.cases import nodes
 from utxolens.plans.registry import query
+from utxolens.sources import dims as D
 from utxolens.sources import imports as I
 from utxolens.sources.views import VIEW_SQL
 from utxolens.streaming import alerts as A
@@ -52,12 +57,8 @@ def topk_alerts(v):
 
 def streamed(v, out: str):
     """The alert query over the feed written as files, replayed to its end; the sink folder is in the shared folder."""
-    from utxolens.operators.iterate import settled
-
     settled(v.spark.range(1))
     base = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getCheckpointDir()
-    import uuid
-
     root = f"{base}/stream-{uuid.uuid4().hex}"
     feed(v).write.parquet(f"{root}/in")
     stream = v.spark.readStream.schema(feed(v).schema).parquet(f"{root}/in")
@@ -65,7 +66,7 @@ def streamed(v, out: str):
     writer = found.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
     if out == "newest":
         writer.foreachBatch(A.keep_newest(f"{root}/newest")).start().awaitTermination()
-        return v.spark.read.parquet(f"{root}/newest/v0")
+        return A.read_newest(v.spark, f"{root}/newest")
     writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
     return v.spark.read.parquet(f"{root}/out")
 
@@ -128,14 +129,25 @@ def sink_csv(v):
     return I.guarded_frame(v.table("part").select("p_partkey", F.when(k == 0, F.concat(F.lit("="), "p_name")).when(k == 1, F.concat(F.lit("-"), "p_name")).otherwise(F.col("p_name")).alias("name")))
 
 
-@query("flt_case_search", "", "select p_partkey, p_name from part where contains(lower(p_name), 'ring') or contains(lower(p_brand), 'ring')")
+_CASES = """, ca as (select 'C' || c_custkey as id, c_name as title, 'Segment ' || c_mktsegment as description, s.address as suspect from customer left join case_node s on s.case_id = 'C' || c_custkey and s.type = 'suspect')"""
+
+
+@query("flt_case_search", "case_node", _CASES + " select * from ca where contains(lower(id), 'a1') or contains(lower(title), 'a1') or contains(lower(description), 'a1') or contains(lower(suspect), 'a1')")
 def flt_case_search(v):
-    return v.table("part").filter(F.lower("p_name").contains("ring") | F.lower("p_brand").contains("ring")).select("p_partkey", "p_name")
+    suspects = nodes(v).filter("type = 'suspect'").select(F.col("case_id").alias("id"), F.col("address").alias("suspect"))
+    own = v.table("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("title"), F.concat(F.lit("Segment "), "c_mktsegment").alias("description"))
+    return C.search_cases(own.join(suspects, "id", "left"), "A1")
 
 
-@query("flt_timeline", "", "select event_id, event_type from events where event_type in ('click', 'error') and contains(props, '7')")
+@query("flt_timeline", "case_node", """, p as (select case_id, 'flow' as kind, txid::varchar as id, block_height as t, 'Sent to ' || address as summary, txid::varchar as reference from case_node
+union all select case_id, 'note', ord::varchar, block_height + 1, 'Note on ' || type, case when ord % 4 <> 0 then address end from case_node where ord % 2 = 0),
+q as (select *, row_number() over (partition by case_id order by t desc nulls last, kind, id) as place from p)
+select case_id, kind, id, t as "at", summary, reference, place from q where kind = 'note' and contains(lower(summary || ' ' || coalesce(reference, '')), 'hop a1')""")
 def flt_timeline(v):
-    return v.table("events").filter(F.col("event_type").isin("click", "error") & F.col("props").contains("7")).select("event_id", "event_type")
+    n = nodes(v)
+    flows = n.select("case_id", F.lit("flow").alias("kind"), F.col("txid").cast("string").alias("id"), F.col("block_height").alias("at"), F.concat(F.lit("Sent to "), "address").alias("summary"), F.col("txid").cast("string").alias("reference"))
+    notes = n.filter("ord % 2 = 0").select("case_id", F.lit("note").alias("kind"), F.col("ord").cast("string").alias("id"), (F.col("block_height") + 1).alias("at"), F.concat(F.lit("Note on "), "type").alias("summary"), F.when(F.col("ord") % 4 != 0, F.col("address")).alias("reference"))
+    return C.filter_timeline(C.timeline(flows, notes), " Hop A1 ", "note")
 
 
 @query("flt_attribution", "case_node", "select case_id, address from case_node where type in ('suspect', 'receiver') and address is not null")
@@ -143,16 +155,57 @@ def flt_attribution(v):
     return nodes(v).filter(F.col("type").isin("suspect", "receiver") & F.col("address").isNotNull()).select("case_id", "address")
 
 
-@query("ref_dims", "", "select n_name, r_name, count(s_suppkey) as suppliers from nation join region on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey group by all")
-def ref_dims(v):
-    n = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(v.table("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return n.groupBy("n_name", "r_name").agg(F.count("s_suppkey").alias("suppliers"))
+#: Starts of labelled addresses.
+_STARTS = ("1Fixed", "BC1QCHG", "3Side", "bc1qthor", "1Swap", "bc1qmaya", "symbiosis", "1Suex", "3E8t", "bc1pq", "qz")
+LABELLED = f"""select p_partkey as node, {list(_STARTS)}[(p_partkey % {len(_STARTS)} + 1)::int] || 'x' || p_partkey as address,
+  case p_partkey % 7 when 0 then p_name || ' Cross-Chain hub' when 1 then 'my simpleswap custodial bridge' when 2 then 'Swapper ' || p_name else p_name end as name from part"""
 
 
-@query("win_action_fields", "", """with g as (select user_id as action_id, event_id as seq, event_type as field, round(value)::bigint as v from events), l as (select *, lag(v) over (partition by action_id, field order by seq) as b from g)
-select action_id, seq, field, case when field = 'error' then 'NOT_EDITABLE' when b = v then 'NO_CHANGE' when v < 0 then 'INVALID' end as reason from l where field = 'error' or b = v or v < 0""")
+def labelled(v):
+    """Parts as nodes with an address and a name."""
+    key, k = F.col("p_partkey"), F.col("p_partkey") % 7
+    start = F.element_at(F.array(*map(F.lit, _STARTS)), (key % len(_STARTS) + 1).cast("int"))
+    name = F.when(k == 0, F.concat("p_name", F.lit(" Cross-Chain hub"))).when(k == 1, "my simpleswap custodial bridge").when(k == 2, F.concat(F.lit("Swapper "), "p_name")).otherwise(F.col("p_name"))
+    return v.table("part").select(key.alias("node"), F.concat(start, F.lit("x"), key.cast("string")).alias("address"), name.alias("name"))
+
+
+def _values(rows) -> str:
+    quoted = lambda x: "null" if x is None else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+@query("ref_dims", "txo", f""", n as ({LABELLED}), dm(kind, key, name, category, risk) as (values {_values(D.rows())}),
+h as (select kind, key, count(*) as hits from dm join n on contains(lower(n.address), lower(key)) where kind in ('entity', 'provider', 'router') group by 1, 2
+union all select 'pool', denom_sats::varchar, count(*) from txo group by 2)
+select dm.*, coalesce(hits, 0) as hits from dm left join h on h.kind = dm.kind and h.key = dm.key""")
+def ref_dims(v):
+    """Each row of the reference dimensions with how many addresses (of pools: outputs) of the given tables it names."""
+    patterns = [r for r in D.rows() if r[0] in ("entity", "provider", "router")]
+    pools = v.txo.groupBy(F.lit("pool").alias("kind"), F.col("denom_sats").cast("string").alias("key")).agg(F.count("*").alias("hits"))
+    hits = Y.dimension_hits(labelled(v), patterns).unionByName(pools)
+    return D.frame(v.spark).join(hits, ["kind", "key"], "left").na.fill(0, ["hits"])
+
+
+@query("jn_swap_router", "tx", f""", n as ({LABELLED}), ro(pattern, router, category, risk) as (values {_values(D.ROUTERS)}), rk as (select *, row_number() over () as k from ro),
+h as (select node, arg_min(struct_pack(router := router, category := category, risk := risk), k) as f from n join rk on contains(lower(n.address), lower(pattern)) or contains(lower(n.name), lower(router)) group by node),
+w as (select n.node, n.address, coalesce(f.router, n.name) as router, coalesce(f.category, 'suspected-bridge') as category, coalesce(f.risk, 'high') as risk from n left join h on h.node = n.node
+  where f is not null or regexp_matches(lower(n.name), 'swap|bridge|cross-chain')) select * from w""")
+def jn_swap_router(v):
+    return Y.swap_routers(labelled(v), D.ROUTERS, D.ROUTER_WORDS)
+
+
+@query("win_action_fields", "tx", """, p as (select user_id as action_id, event_id as seq, case when event_id % 7 in (0, 3) then 'note ' || event_id % 4 end as e,
+  case event_id % 7 when 1 then '2024-02-0' || (event_id % 3 + 1) when 3 then '' when 4 then 'soon' end as f, case when event_id % 7 in (2, 3) then 'paid ' || event_id % 2 end as o, event_id % 7 = 5 as x from events),
+a as (select *, case when x then 'UNSUPPORTED_FIELDS' when f <> '' and try_cast(f as timestamp) is null then 'INVALID_DATE' end as refused from p),
+l as (select *, last_value(case when refused is null then e end ignore nulls) over w as le, coalesce(last_value(case when refused is null then f end ignore nulls) over w, '') as lf, last_value(case when refused is null then o end ignore nulls) over w as lo
+  from a window w as (partition by action_id order by seq rows between unbounded preceding and 1 preceding)),
+c as (select *, case when refused is null then array_to_string(list_filter([case when e is not null and e is distinct from le then 'evidence' end, case when f is not null and f is distinct from lf then 'nextFollowUpAt' end, case when o is not null and o is distinct from lo then 'outcomeEvidence' end], lambda x: x is not null), ',') end as changes from l)
+select action_id, seq, coalesce(refused, case when changes = '' then 'UNCHANGED' else 'UPDATED' end) as outcome, changes from c""")
 def win_action_fields(v):
-    e = v.table("events").select(F.col("user_id").alias("action_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("field"), F.round("value").cast("long").alias("v"))
-    own = e.withColumn("b", F.lag("v").over(Window.partitionBy("action_id", "field").orderBy("seq")))
-    reason = F.when(F.col("field") == "error", "NOT_EDITABLE").when(F.col("b") == F.col("v"), "NO_CHANGE").when(F.col("v") < 0, "INVALID")
-    return own.withColumn("reason", reason).filter("reason is not null").select("action_id", "seq", "field", "reason")
+    i = F.col("event_id")
+    k = i % 7
+    tail = lambda text, m, add=0: F.concat(F.lit(text), (i % m + add).cast("string"))
+    due = F.when(k == 1, tail("2024-02-0", 3, 1)).when(k == 3, "").when(k == 4, "soon")
+    given = {"evidence": F.when(k.isin(0, 3), tail("note ", 4)), "nextFollowUpAt": due, "outcomeEvidence": F.when(k.isin(2, 3), tail("paid ", 2)), "state": F.when(k == 5, "closed")}
+    fields = F.map_filter(F.create_map(*[c for f, x in given.items() for c in (F.lit(f), x)]), lambda _, x: x.isNotNull())
+    return C.action_edits(v.table("events").select(F.col("user_id").alias("action_id"), i.alias("seq"), fields.alias("fields")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from utxolens.operators import graph as G
+from utxolens.operators import transactions as X
 from utxolens.plans.registry import query
+from utxolens.plans.transactions import _DENOM, _ENTROPY, _classified, denom
 
 _FLOW = """select case_id, node, sum(i)::bigint as inflow, sum(o)::bigint as outflow, sum(ni)::bigint as in_degree, sum(no)::bigint as out_degree from (
   select case_id, dst as node, value_sats as i, 0 as o, 1 as ni, 0 as no from g2 where value_sats > 0 union all select case_id, src, 0, value_sats, 0, 1 from g2 where value_sats > 0) group by case_id, node"""
@@ -164,20 +166,39 @@ def gr_clusters(v):
     return G.clusters(pool, pool.filter("txid % 17 = 0").select("txid").distinct())
 
 
-_TRACE = """, r as (select txid as trace_id, txid, 0::bigint as depth from tx where txid % 50 = 0 union select r.trace_id, o.spend_txid, r.depth + 1 from r join txo o on o.txid = r.txid and o.spend_txid is not null and o.value_sats >= 546 where r.depth < 3),
-d as (select trace_id, txid, min(depth) as depth from r group by trace_id, txid)"""
+_DEPTH = 2
+
+
+def _trace_sql() -> str:
+    """One CTE for each level; a level's rows are those that no level before has reached."""
+    sql = ", fm as (" + _DENOM + "), em as (" + _ENTROPY.format(t="fm") + "), mx as (select txid from em where is_coinjoin)" + _classified("null::bigint") + f"""
+, fo as (select o.txid, o.spend_txid, case when cl.verdict = 'change' and cl.confidence_ppm > 600000 then 1 else 0 end as more from txo o join cl on cl.txid = o.txid and cl.vout = o.vout
+  where o.spend_txid is not null and o.value_sats >= 546 and o.txid not in (select txid from mx)),
+l0 as (select txid as trace_id, txid, {_DEPTH} as lim from tx where txid % 50 = 0)"""
+    for k in range(1, _DEPTH + 3):
+        before = " union all ".join(f"select trace_id, txid from l{i}" for i in range(k))
+        sql += f""", l{k} as (select trace_id, spend_txid as txid, max(least({_DEPTH + 2}, lim + more)) as lim from l{k - 1} join fo on fo.txid = l{k - 1}.txid where lim >= {k}
+  and not exists (select 1 from ({before}) s where s.trace_id = l{k - 1}.trace_id and s.txid = fo.spend_txid) group by 1, 2)"""
+    return sql + ", d as (" + " union all ".join(f"select trace_id, txid, {k}::bigint as depth from l{k}" for k in range(_DEPTH + 3)) + ")"
+
+
+_TRACE = _trace_sql()
 
 
 def traced(v):
-    return G.trace(v.txo, v.tx.filter("txid % 50 = 0").select(F.col("txid").alias("trace_id"), "txid"), 3)
+    """Traces from every fiftieth transaction; the outputs of mixes are not followed, changes of high confidence extend them."""
+    peel = X.classify(v.tx, v.txi, v.txo).select("txid", "vout", ((F.col("verdict") == "change") & (F.col("confidence_ppm") > 600_000)).alias("peel"))
+    roots = v.tx.filter("txid % 50 = 0").select(F.col("txid").alias("trace_id"), "txid")
+    mixes = X.entropy(denom(v)).filter("is_coinjoin").select("txid")
+    return G.trace(v.txo.join(peel, ["txid", "vout"]), roots, _DEPTH, mixes=mixes)
 
 
-@query("gr_trace", "tx txo", _TRACE + " select * from d")
+@query("gr_trace", "txo txi tx", _TRACE + " select * from d")
 def gr_trace(v):
     return traced(v)
 
 
-@query("trace_stats", "tx txo", _TRACE + """
+@query("trace_stats", "txo txi tx", _TRACE + """
 select trace_id, count(distinct d.txid) as txs, max(depth) as depth, count(o.vout) as outputs, count(o.vout) filter (where o.spend_txid is null) as unspent, coalesce(sum(o.value_sats) filter (where o.spend_txid is null), 0)::bigint as resting_sats
 from d left join txo o on o.txid = d.txid group by trace_id""")
 def trace_stats(v):

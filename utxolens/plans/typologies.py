@@ -107,12 +107,6 @@ def jn_bridge_entity(v):
     return Y.bridge_entities(v.table("part").select(F.col("p_name").alias("label")).distinct(), providers)
 
 
-@query("jn_swap_router", "", "select p_name as label, count(*) as parts, case when contains(p_name, 'small') then 'router' else 'words' end as how from part where contains(p_name, 'small') or regexp_matches(p_name, 'widget|bolt') group by 1, 3")
-def jn_swap_router(v):
-    name = F.col("p_name")
-    return v.table("part").filter(name.contains("small") | name.rlike("widget|bolt")).groupBy(name.alias("label"), F.when(name.contains("small"), "router").otherwise("words").alias("how")).agg(F.count("*").alias("parts"))
-
-
 @query("jn_entity_tag", "", f"""with a as ({_ADDR}), e as (select lower(address) as k, min('entity ' || p_partkey % 5) as entity from a where p_partkey % 3 = 0 and length(address) >= 30 group by 1)
 select a.address, coalesce(e.entity, case when starts_with(a.address, '3') then 'script custody?' when starts_with(a.address, 'bc1p') then 'taproot custody?' end) as tag, e.entity is not null as verified from a left join e on e.k = lower(a.address)""")
 def jn_entity_tag(v):

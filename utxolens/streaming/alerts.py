@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,12 +65,31 @@ def poll(txs: DataFrame, watched: DataFrame) -> DataFrame:
     return own.select("address", F.when(F.col("txid").isNull(), "clear").otherwise("activity").alias("state"), "txid", F.coalesce("txs", F.lit(0)).alias("txs"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of the alerts under path, oldest first, on any file system that Spark can write."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName()[1:]) for s in done)
+
+
 def keep_newest(path: str, k: int = 50):
-    """A foreachBatch function that keeps the newest k alerts in versioned folders under path."""
+    """A foreachBatch function that keeps the newest k alerts in versioned folders under path.
+
+    A batch that is repeated after a failure starts again from the version before it. Versions before that are removed.
+    """
 
     def keep(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
+        before = [n for n in _versions(spark, path) if n < epoch]
+        old = spark.read.schema(batch.schema).parquet(f"{path}/v{before[-1]}") if before else batch.limit(0)
         newest(old.unionByName(batch), k).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        for n in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}")
+            gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
 
     return keep
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of the newest version under path."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
