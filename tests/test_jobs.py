@@ -102,3 +102,23 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
     key = lambda d: sorted((r["address"].lower(), r["txid"].lower(), r["amount_sats"]) for r in d.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(A.alerts(df, watched)) == [("a", "t1", 5), ("a", "t2", 7)]
     assert A.poll(df, watched).first()["state"] == "activity" and A.newest(A.alerts(df, watched), 1).count() == 1
+
+
+def test_streamed_folds_keep_keys_apart(spark):
+    rows = [("a", i, "p" if i % 3 else None) for i in range(20_000)] + [("b", 0, "p"), (None, 0, "q")]
+    chain = C.custody_chain(spark.createDataFrame(rows, "case_id string, seq long, payload string"))
+    got = {r["case_id"]: (r["events"], r["first_break"]) for r in C.verify_custody(chain).collect()}
+    assert got == {"a": (20_000, None), "b": (1, None), None: (1, None)}
+    assert C.custody_chain(chain.limit(0)).count() == 0
+
+
+def test_bands_of_an_open_mean(spark):
+    rows = [("s", 1_000_000 + 9_000 * i, False) for i in range(12)] + [("e", 2_000_000, True)] * 4 + [("n", None, False), ("n", 600, None)]
+    got = Y.value_bands(spark.createDataFrame(rows, "src string, value_sats long, many_inputs boolean"), ["src"]).collect()
+    assert [(r["src"], r["bands"], r["largest"]) for r in got] == [("s", 1, 12)]
+
+
+def test_peels_over_the_last_hop_are_passed_over(spark):
+    rows = [("x", 1, 1, [100_000, 900_000]), ("x", 2, 2, [200_000, 1_800_000]), ("x", 3, 3, [80_000, 800_000]), ("y", 1, 4, [100_000, 900_000])]
+    got = Y.peel_chains(spark.createDataFrame(rows, "entity string, ord long, txid long, values array<long>")).collect()
+    assert [(r["entity"], r["hops"], r["mean_tenths"], r["confidence"]) for r in got] == [("x", 2, 95, 76)]

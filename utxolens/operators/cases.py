@@ -5,15 +5,17 @@ case_node(case_id, ord, address, type, value_sats) holds the nodes of each case
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utxolens.operators import graph as G
-from utxolens.operators.iterate import numbered
+from utxolens.operators.iterate import in_order, numbered
 
 # Fixed values of the risk model.
 WEIGHTS = {"base": 20, "mixer": 35, "hop": 12}
@@ -174,20 +176,29 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
 
 
 def custody_chain(events: DataFrame) -> DataFrame:
-    """Hash chain of events(case_id, seq, payload): each hash covers the one before it. Sequential inside a case only."""
-    own = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("e"))
-    start = F.array(F.lit("GENESIS"))
-    chain = F.aggregate("e", start, lambda h, e: F.concat(h, F.array(F.sha2(F.concat(F.element_at(h, -1), F.lit("|"), e["payload"]), 256))))
-    own = own.withColumn("h", chain)
-    own = own.select("case_id", F.posexplode("e").alias("i", "x"), "h")
-    return own.select("case_id", "x.seq", "x.payload", F.get("h", F.col("i")).alias("prev_hash"), F.get("h", F.col("i") + 1).alias("event_hash"))
+    """Hash chain of events(case_id, seq, payload): each hash covers the one before it; a null payload counts as empty.
+
+    Sequential inside a case only: its events stream through one task in their order, which keeps the last hash.
+    """
+
+    def fold(rows):
+        for _, case in groupby(rows, key=lambda r: r["case_id"]):
+            last = "GENESIS"
+            for r in case:
+                digest = hashlib.sha256(f"{last}|{r['payload'] or ''}".encode()).hexdigest()
+                yield r | {"prev_hash": last, "event_hash": digest}
+                last = digest
+
+    own = events.select("case_id", "seq", "payload")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    return in_order(own, ["case_id"], ["seq", "payload"], fold, f"{types}, prev_hash string, event_hash string")
 
 
 def verify_custody(chain: DataFrame) -> DataFrame:
     """(case_id, events, first_break): the first event whose link or digest does not hold."""
     order = Window.partitionBy("case_id").orderBy("seq")
     link = F.coalesce(F.lag("event_hash").over(order), F.lit("GENESIS")) != F.col("prev_hash")
-    digest = F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), F.col("payload")), 256) != F.col("event_hash")
+    digest = F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), F.coalesce("payload", F.lit(""))), 256) != F.col("event_hash")
     own = chain.withColumn("broken", link | digest)
     return own.groupBy("case_id").agg(F.count("*").alias("events"), F.min(F.when(F.col("broken"), F.col("seq"))).alias("first_break"))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -42,3 +45,23 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_range")) if starts else F.lit(0)
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn(name, (start + inside).cast("long")).drop("_range")
+
+
+def in_order(df: DataFrame, key: list[str], order: list[str], fold: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """The rows that fold yields from df's rows, a partition at a time: rows of a key follow each other in their order.
+
+    Rows pass in Arrow batches behind a sort that spills: a task holds one batch and the fold's state, however long a key is.
+    """
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        out = []
+        for row in fold(r for b in batches for r in b.to_pylist()):
+            out.append(row)
+            if len(out) == 8192:
+                yield pa.RecordBatch.from_pylist(out, schema=made)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=made)
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)

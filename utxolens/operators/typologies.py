@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from utxolens.functions import ledger as L
 from utxolens.functions import texts as T
+from utxolens.operators.iterate import in_order
 
 
 def value_bands(values: DataFrame, by: list[str], least: int = 3, cap: int = 50_000_000) -> DataFrame:
@@ -21,50 +23,59 @@ def value_bands(values: DataFrame, by: list[str], least: int = 3, cap: int = 50_
     above cap, from half a percent of the group's sum, and not if all are equal and many_inputs holds.
     """
     many = F.col("many_inputs") if "many_inputs" in values.columns else F.lit(False)
-    groups = values.filter(F.col("value_sats") >= L.DUST_SATS).withColumn("_many", many).groupBy(*by).agg(F.array_sort(F.collect_list("value_sats")).alias("vs"), F.sum("value_sats").alias("total"), F.bool_or("_many").alias("many")).filter(F.size("vs") >= least)
-    band = "struct<n:bigint,sum:bigint,low:bigint,high:bigint>"
-    empty = F.array().cast(f"array<{band}>")
-
-    def step(bands, v):
-        last = F.element_at(bands, -1)
-        one = F.struct(F.lit(1).cast("long").alias("n"), v.alias("sum"), v.alias("low"), v.alias("high"))
-        joined = F.struct((last["n"] + 1).alias("n"), (last["sum"] + v).alias("sum"), last["low"].alias("low"), v.alias("high"))
-        fits = (v * last["n"] - last["sum"]) * 20 <= last["sum"]
-        return F.when(F.size(bands) == 0, F.array(one)).when(fits, F.concat(F.slice(bands, 1, F.size(bands) - 1), F.array(joined))).otherwise(F.concat(bands, F.array(one)))
-
-    folded = groups.withColumn("bands", F.aggregate("vs", empty, step))
-    kept = F.filter("bands", lambda b: (b["n"] >= least) & (b["high"] <= cap) & (b["sum"] * 200 >= F.col("total")) & ~(F.col("many") & (b["low"] == b["high"])))
-    found = folded.withColumn("bands", kept).filter(F.size("bands") > 0)
-    top = F.array_max(F.transform("bands", lambda b: F.struct(b["n"].alias("n"), (-b["sum"]).alias("neg"))))
-    found = found.withColumn("top", top).withColumn("size", F.col("top.n"))
-    mean = F.floor(-F.col("top.neg") / F.col("size") + 0.5).cast("long")
-    confidence = F.least(F.lit(95), 25 + F.least(F.lit(55), (F.col("size") - least + 1) * 18) + F.when(mean < cap / 2, 15).otherwise(5) + F.when(F.size("bands") > 1, 10).otherwise(0))
-    return found.select(*by, F.size("bands").cast("long").alias("bands"), F.col("size").alias("largest"), mean.alias("mean_sats"), confidence.cast("long").alias("confidence"))
+    own = values.filter(F.col("value_sats") >= L.DUST_SATS).select(*by, "value_sats", F.coalesce(many, F.lit(False)).alias("_many"))
+    types = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in by)
+
+    def fold(rows):
+        for k, group in groupby(rows, key=lambda r: [r[c] for c in by]):
+            n = total = low = high = 0
+            several = False
+            for r in group:
+                v = r["value_sats"]
+                if n and (v * n - total) * 20 > total:
+                    yield dict(zip(by, k, strict=True), n=n, sum=total, low=low, high=high, many=several)
+                    n = total = 0
+                n, total, low, high, several = n + 1, total + v, low if n else v, v, several or r["_many"]
+            yield dict(zip(by, k, strict=True), n=n, sum=total, low=low, high=high, many=several)
+
+    bands = in_order(own, by, ["value_sats"], fold, f"{types}, n long, sum long, low long, high long, many boolean")
+    every = Window.partitionBy(*by)
+    bands = bands.withColumn("total", F.sum("sum").over(every)).withColumn("many", F.bool_or("many").over(every))
+    kept = bands.filter((F.col("n") >= least) & (F.col("high") <= cap) & (F.col("sum") * 200 >= F.col("total")) & ~(F.col("many") & (F.col("low") == F.col("high"))))
+    top = F.max(F.struct(F.col("n"), (-F.col("sum")).alias("neg")))
+    found = kept.groupBy(*by).agg(F.count("*").alias("bands"), top.alias("top")).withColumn("largest", F.col("top.n"))
+    mean = F.floor(-F.col("top.neg") / F.col("largest") + 0.5).cast("long")
+    points = F.least(F.lit(55), (F.col("largest") - least + 1) * 18) + F.when(mean < cap / 2, 15).otherwise(5) + F.when(F.col("bands") > 1, 10).otherwise(0)
+    return found.select(*by, "bands", "largest", mean.alias("mean_sats"), F.least(F.lit(95), 25 + points).cast("long").alias("confidence"))
 
 
 def peel_chains(hops: DataFrame) -> DataFrame:
     """Peel chains per entity over hops(entity, ord, txid, values): two-way or dominant splits in time order.
 
-    A hop whose largest output is over 1.02 times the last hop's is passed over. Confidence from two hops on. The history of
-    one entity is folded in its order; entities run in parallel.
+    A hop whose largest output is over 1.02 times the last hop's is passed over. Confidence from two hops on. The peels of an
+    entity stream through one task in their order, which keeps four numbers of it; entities run in parallel.
     """
     total, vs = F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x), F.array_sort("values")
     own = hops.filter(F.size("values") >= 2).withColumn("vs", vs).withColumn("total", total).filter("total > 0")
     own = own.withColumn("top", F.element_at("vs", -1)).withColumn("rest", F.slice("vs", 1, F.size("vs") - 1))
     two = (F.size("vs") == 2) & (F.element_at("vs", 1) * 1000 >= F.col("total") * 8) & (F.element_at("vs", 1) * 100 <= F.col("total") * 45)
     more = (F.size("vs").between(3, 5)) & (F.col("top") * 10 >= F.col("total") * 6) & F.forall("rest", lambda x: x * 10 < F.col("total") * 3) & F.exists("rest", lambda x: x >= L.DUST_SATS)
-    own = own.withColumn("peel", two | more).withColumn("tenths", F.floor((F.col("total") - F.col("top")) * 1000 / F.col("total") + 0.5).cast("long"))
-    seq = own.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("ord", "txid", "top", "peel", "tenths"))).alias("h"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(True).alias("falls"))
-
-    def step(s, h):
-        ok = h["peel"] & (s["last"].isNull() | (h["top"] * 100 <= s["last"] * 102))
-        taken = F.struct(h["top"].alias("last"), (s["n"] + 1).alias("n"), (s["sum"] + h["tenths"]).alias("sum"), (s["falls"] & (s["last"].isNull() | (h["top"] <= s["last"]))).alias("falls"))
-        return F.when(ok, taken).otherwise(s)
-
-    out = seq.withColumn("s", F.aggregate("h", start, step)).filter("s.n >= 2")
-    confidence = F.least(F.lit(96), 58 + F.col("s.n") * 9 + F.when((F.col("s.n") >= 3) & F.col("s.falls"), 8).otherwise(0))
-    return out.select("entity", F.col("s.n").alias("hops"), F.floor(F.col("s.sum") / F.col("s.n")).cast("long").alias("mean_tenths"), confidence.cast("long").alias("confidence"))
+    tenths = F.floor((F.col("total") - F.col("top")) * 1000 / F.col("total") + 0.5).cast("long")
+    peels = own.filter(two | more).select("entity", "ord", "txid", "top", tenths.alias("tenths"))
+
+    def fold(rows):
+        for entity, history in groupby(rows, key=lambda r: r["entity"]):
+            last, n, total, falls = None, 0, 0, True
+            for r in history:
+                if last is None or r["top"] * 100 <= last * 102:
+                    falls = falls and (last is None or r["top"] <= last)
+                    last, n, total = r["top"], n + 1, total + r["tenths"]
+            yield {"entity": entity, "hops": n, "sum": total, "falls": falls}
+
+    entity = peels.schema["entity"].dataType.simpleString()
+    out = in_order(peels, ["entity"], ["ord", "txid"], fold, f"entity {entity}, hops long, sum long, falls boolean").filter("hops >= 2")
+    confidence = F.least(F.lit(96), 58 + F.col("hops") * 9 + F.when((F.col("hops") >= 3) & F.col("falls"), 8).otherwise(0))
+    return out.select("entity", "hops", F.floor(F.col("sum") / F.col("hops")).cast("long").alias("mean_tenths"), confidence.cast("long").alias("confidence"))
 
 
 def graph_sweeps(flows: DataFrame, least: int = 4) -> DataFrame:
