@@ -9,7 +9,7 @@ import hashlib
 from collections.abc import Mapping
 from functools import reduce
 from itertools import groupby
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,18 +86,82 @@ def search_cases(cases: DataFrame, text: str) -> DataFrame:
     return cases.filter(reduce(or_, [F.coalesce(F.lower(c).contains(text.lower()), F.lit(False)) for c in ("title", "description", "id", "suspect")]))
 
 
-def risk(nodes: DataFrame, sweeps: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
-    """Risk of each case and its parts; null without any signal. sweeps(case_id, confidence); weights are clamped to 0..100."""
+def risk(nodes: DataFrame, sweeps: DataFrame, signals: DataFrame | None = None, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
+    """Risk of each case and its parts; null without any signal, and for simulated cases and manual hypotheses.
+
+    sweeps(case_id, confidence); signals(case_id, era, rbf, sanctioned, darknet, trace_type), at most one row a case, null for no:
+    early-era funds, replaceable fees, contact with tagged entities, and how the case was traced. An early-era case scores its base
+    and a tenth of layering only, 25 at most. Weights are clamped to 0..100.
+    """
     w = {k: max(0, min(100, weights.get(k, v))) for k, v in WEIGHTS.items()}
-    own = nodes.groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "hop").alias("hops"), F.bool_or(F.col("type") == "mixer").alias("mixer"), F.bool_or(F.col("type") == "bridge").alias("bridge"))
+    kind = lambda t: F.coalesce(F.bool_or(F.col("type") == t), F.lit(False))
+    own = nodes.groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "hop").alias("hops"), kind("mixer").alias("mixer"), kind("bridge").alias("bridge"))
     own = own.join(sweeps.groupBy("case_id").agg(F.max("confidence").alias("sweep")), "case_id", "left")
-    obfuscation = F.when(F.col("mixer"), w["mixer"]).when(F.col("bridge"), round(w["mixer"] * 0.8)).otherwise(0)
-    layering, velocity = F.least(F.lit(40), F.col("hops") * w["hop"]), F.when(F.col("nodes") > 4, 6).when(F.col("nodes") > 2, 3).otherwise(0)
-    sweep = F.when(F.col("sweep") >= 80, 15).when(F.col("sweep").isNotNull(), 8).otherwise(0)
-    own = own.withColumn("obfuscation", obfuscation).withColumn("layering", layering.cast("long")).withColumn("velocity", velocity).withColumn("consolidation", sweep)
-    raw = F.least(F.lit(99), F.greatest(F.lit(5), w["base"] + F.col("obfuscation") + F.col("layering") + F.col("velocity") + F.col("consolidation")))
-    signal = F.col("mixer") | F.col("bridge") | (F.col("hops") > 0) | (F.col("consolidation") > 0)
-    return own.select("case_id", "nodes", "hops", "mixer", "bridge", "obfuscation", "layering", "velocity", "consolidation", F.when(signal, raw).cast("long").alias("risk"))
+    told = ("era", "rbf", "sanctioned", "darknet")
+    if signals is not None:
+        own = own.join(signals.select("case_id", *told, "trace_type"), "case_id", "left")
+    else:
+        own = own.select("*", *[F.lit(None).cast("boolean").alias(c) for c in told], F.lit(None).cast("string").alias("trace_type"))
+    own = own.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in told})
+
+    later = lambda c, early=0: F.when(F.col("era"), early).otherwise(c)
+    own = own.withColumn("obfuscation", later(F.when(F.col("mixer"), w["mixer"]).when(F.col("bridge"), round(w["mixer"] * 0.8)).otherwise(0)))
+    own = own.withColumn("layering", later(F.least(F.lit(40), F.col("hops") * w["hop"]), F.least(F.lit(10), F.col("hops") * 2)).cast("long"))
+    own = own.withColumn("destination", later(F.lit(0), 5))
+    own = own.withColumn("velocity", later(F.when(F.col("nodes") > 4, 6).when(F.col("nodes") > 2, 3).otherwise(0), 5))
+    own = own.withColumn("anomaly", later(F.when(F.col("rbf"), 6).otherwise(0)))
+    own = own.withColumn("consolidation", later(F.when(F.col("sweep") >= 80, 15).when(F.col("sweep").isNotNull(), 8).otherwise(0)))
+    own = own.withColumn("attribution", later(F.when(F.col("sanctioned"), 15).when(F.col("darknet"), 10).otherwise(0)))
+
+    parts = ("obfuscation", "layering", "destination", "velocity", "anomaly", "consolidation", "attribution")
+    raw = later(w["base"] + reduce(add, [F.col(c) for c in parts]), F.least(F.lit(25), 10 + F.col("layering")))
+    unreal = F.when(F.col("trace_type") == "SIMULATED_ESTIMATE", "SIMULATED").when(F.col("trace_type") == "MANUAL_HYPOTHESIS", "USER_SUPPLIED")
+    signal = F.col("era") | F.col("mixer") | F.col("bridge") | (F.col("hops") + F.col("anomaly") + F.col("consolidation") + F.col("attribution") > 0)
+    own = own.withColumn("status", F.coalesce(unreal, F.when(signal, "ASSESSED").otherwise("INSUFFICIENT_EVIDENCE")))
+    score = F.when(F.col("status") == "ASSESSED", F.least(F.lit(99), F.greatest(F.lit(5), raw))).cast("long")
+    return own.select("case_id", "nodes", "hops", "mixer", "bridge", "era", *parts, "status", score.alias("risk"))
+
+
+def risk_signatures(scored: DataFrame) -> DataFrame:
+    """(case_id, place, category, name, points, detected): the findings behind each score of risk(), in the order they are shown.
+
+    An early-era case has three, all mitigated; any other has three and one more for a bridge, a sweep and a tagged entity each.
+    """
+
+    def row(category, name, points, detected):
+        return F.struct(F.lit(category).alias("category"), (name if not isinstance(name, str) else F.lit(name)).alias("name"), points.cast("long").alias("points"), detected.alias("detected"))
+
+    no, yes = F.lit(False), F.lit(True)
+    # Categories and names of the signatures.
+    early = F.array(
+        row("Era check", "Early Bitcoin era (pre-2014)", F.lit(0), no),
+        row("Split analysis", "Direct on-chain routing", F.col("layering"), no),
+        row("Destination check", "Final output status", F.col("destination"), no),
+    )
+    others = F.array_compact(F.array(
+        row("Mixing check", F.when(F.col("mixer"), "Mixer interaction").otherwise("Standard routing"), F.col("obfuscation"), F.col("mixer")),
+        row("Split analysis", "Split pattern", F.col("layering"), F.col("hops") > 1),
+        row("Destination check", "End receiver check", F.col("destination"), yes),
+        F.when(F.col("bridge"), row("Chain-hopping check", "Cross-chain bridge exit", F.lit(28), yes)),
+        F.when(F.col("consolidation") > 0, row("Sweep check", F.when(F.col("consolidation") == 15, "Consolidation sweep (custodial cash-out)").otherwise("Consolidation sweep (watch)"), F.col("consolidation"), yes)),
+        F.when(F.col("attribution") > 0, row("Attribution check", F.when(F.col("attribution") == 15, "Sanctioned entity contact").otherwise("Darknet entity contact"), F.col("attribution"), yes)),
+    ))
+    own = scored.select("case_id", F.posexplode(F.when(F.col("era"), early).otherwise(others)).alias("place", "s"))
+    return own.select("case_id", (F.col("place") + 1).cast("long").alias("place"), "s.category", "s.name", "s.points", "s.detected")
+
+
+def risk_actions(scored: DataFrame) -> DataFrame:
+    """(case_id, urgency, recommendations): how urgent a review of each case is, and what it should do, as codes joined by commas."""
+    score = F.col("risk")
+    high, medium = score >= 70, score >= 35
+    urgency = F.when(F.col("era"), "INFORMATIONAL").when(score.isNull(), "NOT_ASSESSED").when(high, "PRIORITY_ANALYST_REVIEW").when(medium, "ANALYST_REVIEW").otherwise("ROUTINE")
+    imminent, sanctioned = F.when(F.col("consolidation") == 15, ",REVIEW_SWEEP").otherwise(""), F.when(F.col("attribution") == 15, ",REVIEW_SANCTIONS_SOURCE").otherwise("")
+    codes = (
+        F.when(F.col("era"), "ERA_PROVES_NOTHING,REVIEW_PROVENANCE").when(score.isNull(), "NO_ACTION_ON_THIS_EVIDENCE,OBTAIN_EVIDENCE")
+        .when(high, F.concat(F.lit("VERIFY_TRACE,INFER_NO_OWNERSHIP,CONSULT_COUNSEL"), imminent, sanctioned))
+        .when(medium, F.concat(F.lit("VALIDATE_SCOPE,CONSULT_COUNSEL"), imminent)).otherwise("NOT_A_FINDING_OF_BENIGN,PRESERVE_SOURCES")
+    )
+    return scored.select("case_id", urgency.alias("urgency"), codes.alias("recommendations"))
 
 
 def risk_bands(scored: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from utxolens.plans.transactions import NOW
 from utxolens.sources.views import VIEW_SQL, Views
 
 VIEW_SQL["case_node"] = (["placed"], """
-select case_id, ord, address, case when ord = 1 then 'suspect' when ord = n then 'receiver' when part % 29 = 0 then 'mixer' when part % 31 = 0 then 'bridge' else 'hop' end as type, value_sats, txid, block_height from (
-  select 'C' || o_custkey as case_id, row_number() over w as ord, count(*) over (partition by o_custkey) as n, address, substr(address, 2)::bigint as part, value_sats, txid, block_height
+select case_id, ord, address, case when ord = 1 then 'suspect' when ord = n then 'receiver' when part % 29 = 0 then 'mixer' when part % 31 = 0 then 'bridge' else 'hop' end as type, value_sats, txid, block_height, script_type from (
+  select 'C' || o_custkey as case_id, row_number() over w as ord, count(*) over (partition by o_custkey) as n, address, substr(address, 2)::bigint as part, value_sats, txid, block_height, script_type
   from placed join orders on o_orderkey = txid window w as (partition by o_custkey order by block_height, txid, vout))""")
 VIEW_SQL["case_edge"] = (["case_node"], """
 select case_id, src, dst, value_sats, edge_idx, src_height, dst_height from (select case_id, address as src, lead(address) over w as dst, value_sats, ord as edge_idx, block_height as src_height, lead(block_height) over w as dst_height
@@ -27,7 +27,7 @@ def nodes(v: Views):
     order = Window.partitionBy("o_custkey").orderBy("block_height", "txid", "vout")
     own = own.withColumn("ord", F.row_number().over(order).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("o_custkey"))).withColumn("part", F.expr("cast(substring(address, 2) as bigint)"))
     kind = F.when(F.col("ord") == 1, "suspect").when(F.col("ord") == F.col("n"), "receiver").when(F.col("part") % 29 == 0, "mixer").when(F.col("part") % 31 == 0, "bridge").otherwise("hop")
-    return own.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("case_id"), "ord", "address", kind.alias("type"), "value_sats", "txid", "block_height")
+    return own.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("case_id"), "ord", "address", kind.alias("type"), "value_sats", "txid", "block_height", "script_type")
 
 
 def edges(v: Views):
@@ -41,15 +41,39 @@ ov as (select *, least(99, shared * 20 + endpoint_shares * 15) as score, case wh
   from (select a.case_id as case_a, b.case_id as case_b, count(*) as shared, count(*) filter (where a.e or b.e) as endpoint_shares from ro a join ro b on a.address = b.address and a.case_id < b.case_id group by all))"""
 _RISK = """, sw as (select case_id, max(case when od = 1 then 88 else 70 end) as sweep from (select case_id, node, sum(i) as inflow, sum(o) as outflow, sum(ni) as ind, sum(no) as od from (select case_id, dst as node, value_sats as i, 0 as o, 1 as ni, 0 as no from case_edge union all select case_id, src, 0, value_sats, 0, 1 from case_edge) group by all)
   where ind >= 2 and od between 1 and 2 and outflow * 10 >= inflow * 8 group by case_id),
-ri as (select c.*, (case when mixer then 35 when bridge then 28 else 0 end)::int as obfuscation, least(40, hops * 12)::bigint as layering, (case when nodes > 4 then 6 when nodes > 2 then 3 else 0 end)::int as velocity, (case when sweep >= 80 then 15 when sweep is not null then 8 else 0 end)::int as consolidation from (
-  select case_id, count(*) as nodes, count(*) filter (where type = 'hop') as hops, bool_or(type = 'mixer') as mixer, bool_or(type = 'bridge') as bridge from case_node group by case_id) c left join sw on sw.case_id = c.case_id),
-rs as (select *, case when mixer or bridge or hops > 0 or consolidation > 0 then least(99, greatest(5, 20 + obfuscation + layering + velocity + consolidation)) end::bigint as risk from ri)"""
+tg as (select p_partkey, p_type = 'PROMO' and p_size <= 2 as sanctioned, p_type = 'ECONOMY' and p_size <= 2 as darknet from part),
+rb as (select distinct txid from txi where sequence < 4294967294),
+sg as (select n.case_id, bool_or(n.type = 'suspect' and n.script_type = 'p2pk') as era, bool_or(rb.txid is not null) as rbf, bool_or(coalesce(sanctioned, false)) as sanctioned, bool_or(coalesce(darknet, false)) as darknet
+  from case_node n left join rb on rb.txid = n.txid left join tg on 'A' || p_partkey = n.address group by n.case_id),
+tt as (select 'C' || c_custkey as case_id, case when c_acctbal < 0 and c_mktsegment = 'MACHINERY' then 'SIMULATED' when c_acctbal < 0 and c_mktsegment = 'FURNITURE' then 'USER_SUPPLIED' end as unreal from customer),
+rc as (select c.*, sweep, era, rbf, sanctioned, darknet, unreal from (
+  select case_id, count(*) as nodes, count(*) filter (where type = 'hop') as hops, bool_or(type = 'mixer') as mixer, bool_or(type = 'bridge') as bridge from case_node group by case_id) c
+  left join sw using (case_id) join sg using (case_id) left join tt using (case_id)),
+ri as (select *, (case when era then 0 when mixer then 35 when bridge then 28 else 0 end)::int as obfuscation, (case when era then least(10, hops * 2) else least(40, hops * 12) end)::bigint as layering, (case when era then 5 else 0 end)::int as destination,
+  (case when era then 5 when nodes > 4 then 6 when nodes > 2 then 3 else 0 end)::int as velocity, (case when not era and rbf then 6 else 0 end)::int as anomaly, (case when era then 0 when sweep >= 80 then 15 when sweep is not null then 8 else 0 end)::int as consolidation,
+  (case when era then 0 when sanctioned then 15 when darknet then 10 else 0 end)::int as attribution from rc),
+rt as (select *, coalesce(unreal, case when era or mixer or bridge or hops > 0 or anomaly > 0 or consolidation > 0 or attribution > 0 then 'ASSESSED' else 'INSUFFICIENT_EVIDENCE' end) as status from ri),
+rs as (select *, case when status <> 'ASSESSED' then null when era then greatest(5, least(25, 10 + layering)) else least(99, greatest(5, 20 + obfuscation + layering + destination + velocity + anomaly + consolidation + attribution)) end::bigint as risk from rt)"""
 _DOSSIER = _RISK + """, ds as (select case_id, score, case when score >= 75 then 'High' when score >= 45 then 'Medium' else 'Low' end as rating from (
   select case_id, least(100, 10 + case when mixer then 40 else 0 end + least(30, hops * 8) + case when bridge then 25 else 0 end + consolidation)::bigint as score from rs))"""
 
 
+def signals(v):
+    """Signals of each case: its suspect's script, replaceable fees of its transactions, tags and trace types of the given tables."""
+    tag = lambda kind: (F.col("p_type") == kind) & (F.col("p_size") <= 2)
+    tags = v.table("part").select(F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("address"), tag("PROMO").alias("sanctioned"), tag("ECONOMY").alias("darknet"))
+    replaceable = v.txi.filter("sequence < 4294967294").select("txid", F.lit(True).alias("rbf")).distinct()
+    own = nodes(v).join(replaceable, "txid", "left").join(tags, "address", "left")
+    some = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    era = some((F.col("type") == "suspect") & (F.col("script_type") == "p2pk"))
+    own = own.groupBy("case_id").agg(era.alias("era"), *[some(F.col(c)).alias(c) for c in ("rbf", "sanctioned", "darknet")])
+    kind = F.when(F.col("c_acctbal") < 0, F.when(F.col("c_mktsegment") == "MACHINERY", "SIMULATED_ESTIMATE").when(F.col("c_mktsegment") == "FURNITURE", "MANUAL_HYPOTHESIS"))
+    kinds = v.table("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("case_id"), kind.alias("trace_type"))
+    return own.join(kinds, "case_id", "left")
+
+
 def scored(v):
-    return C.risk(nodes(v), Y.graph_sweeps(G.flows(edges(v)), 2))
+    return C.risk(nodes(v), Y.graph_sweeps(G.flows(edges(v)), 2), signals(v))
 
 
 def dossiers(v):
@@ -101,22 +125,47 @@ def gr_syndicates(v):
     return C.syndicates(nodes(v), v.txi.select("txid", "address"), mutual)
 
 
-@query("risk_score", "case_node case_edge", _RISK + " select case_id, nodes, hops, mixer, bridge, obfuscation, layering, velocity, consolidation, risk from rs")
+@query("risk_score", "case_node case_edge txi", _RISK + " select case_id, nodes, hops, mixer, bridge, era, obfuscation, layering, destination, velocity, anomaly, consolidation, attribution, status, risk from rs")
 def risk_score(v):
     return scored(v)
 
 
-@query("risk_bands", "case_node case_edge", _RISK + " select case when risk is null then 'unassessed' when risk < 35 then 'low' when risk < 70 then 'medium' else 'high' end as band, count(*) as cases, sum(risk)::bigint as sum_risk from rs group by 1")
+@query("risk_bands", "case_node case_edge txi", _RISK + " select case when risk is null then 'unassessed' when risk < 35 then 'low' when risk < 70 then 'medium' else 'high' end as band, count(*) as cases, sum(risk)::bigint as sum_risk from rs group by 1")
 def risk_bands(v):
     return C.risk_bands(scored(v))
 
 
-@query("dossier", "case_node case_edge", _DOSSIER + " select * from ds")
+_SIGNATURES = _RISK + """, sn as (
+  select case_id, 1 as k, 'Era check' as category, 'Early Bitcoin era (pre-2014)' as name, 0 as points, false as detected from rs where era
+  union all select case_id, 2, 'Split analysis', 'Direct on-chain routing', layering, false from rs where era union all select case_id, 3, 'Destination check', 'Final output status', destination, false from rs where era
+  union all select case_id, 1, 'Mixing check', case when mixer then 'Mixer interaction' else 'Standard routing' end, obfuscation, mixer from rs where not era
+  union all select case_id, 2, 'Split analysis', 'Split pattern', layering, hops > 1 from rs where not era union all select case_id, 3, 'Destination check', 'End receiver check', destination, true from rs where not era
+  union all select case_id, 4, 'Chain-hopping check', 'Cross-chain bridge exit', 28, true from rs where not era and bridge
+  union all select case_id, 5, 'Sweep check', case when consolidation = 15 then 'Consolidation sweep (custodial cash-out)' else 'Consolidation sweep (watch)' end, consolidation, true from rs where consolidation > 0
+  union all select case_id, 6, 'Attribution check', case when attribution = 15 then 'Sanctioned entity contact' else 'Darknet entity contact' end, attribution, true from rs where attribution > 0)
+select case_id, row_number() over (partition by case_id order by k) as place, category, name, points::bigint as points, detected from sn"""
+_ACTIONS = _RISK + """ select case_id, case when era then 'INFORMATIONAL' when risk is null then 'NOT_ASSESSED' when risk >= 70 then 'PRIORITY_ANALYST_REVIEW' when risk >= 35 then 'ANALYST_REVIEW' else 'ROUTINE' end as urgency,
+  case when era then 'ERA_PROVES_NOTHING,REVIEW_PROVENANCE' when risk is null then 'NO_ACTION_ON_THIS_EVIDENCE,OBTAIN_EVIDENCE'
+    when risk >= 70 then 'VERIFY_TRACE,INFER_NO_OWNERSHIP,CONSULT_COUNSEL' || case when consolidation = 15 then ',REVIEW_SWEEP' else '' end || case when attribution = 15 then ',REVIEW_SANCTIONS_SOURCE' else '' end
+    when risk >= 35 then 'VALIDATE_SCOPE,CONSULT_COUNSEL' || case when consolidation = 15 then ',REVIEW_SWEEP' else '' end else 'NOT_A_FINDING_OF_BENIGN,PRESERVE_SOURCES' end as recommendations from rs"""
+
+
+@query("risk_signatures", "case_node case_edge txi", _SIGNATURES)
+def risk_signatures(v):
+    return C.risk_signatures(scored(v))
+
+
+@query("risk_actions", "case_node case_edge txi", _ACTIONS)
+def risk_actions(v):
+    return C.risk_actions(scored(v))
+
+
+@query("dossier", "case_node case_edge txi", _DOSSIER + " select * from ds")
 def dossier(v):
     return dossiers(v)
 
 
-@query("case_narrative", "case_node case_edge", _DOSSIER + """ select rs.case_id, 'Case ' || rs.case_id || ': ' || rating || ' obfuscation, risk ' || coalesce(risk::varchar, 'not assessed') as headline,
+@query("case_narrative", "case_node case_edge txi", _DOSSIER + """ select rs.case_id, 'Case ' || rs.case_id || ': ' || rating || ' obfuscation, risk ' || coalesce(risk::varchar, 'not assessed') as headline,
   array_to_string(list_filter([case when mixer then 'mixer on the path' end, case when bridge then 'bridge exit' end, case when hops >= 5 then 'deep layering' end, case when consolidation > 0 then 'consolidation' end], lambda x: x is not null), '; ') as findings from rs join ds on ds.case_id = rs.case_id""")
 def case_narrative(v):
     return C.narratives(scored(v), dossiers(v))
