@@ -138,3 +138,22 @@ def test_risk_signals(spark):
     assert urgency["z"] == ("PRIORITY_ANALYST_REVIEW", "VERIFY_TRACE,INFER_NO_OWNERSHIP,CONSULT_COUNSEL,REVIEW_SWEEP,REVIEW_SANCTIONS_SOURCE")
     shown = [(r["place"], r["category"], r["points"]) for r in C.risk_signatures(scored).filter("case_id = 'z'").orderBy("place").collect()]
     assert shown == [(1, "Mixing check", 35), (2, "Split analysis", 36), (3, "Destination check", 0), (4, "Sweep check", 15), (5, "Attribution check", 15)]
+
+
+def test_joint_transactions_of_few_and_many_addresses(spark):
+    few = [(1, "x", "a"), (1, "y", "b"), (1, "x", "c"), (1, "y", "c"), (2, "x", "a"), (2, "x", "b"), (2, None, "b")]
+    many = [(3, f"n{i:03}", "a" if i < 70 else "b") for i in range(80)] + [(3, f"n{i:03}", "c") for i in range(80)] + [(3, "n000", "b")]
+    got = {(r["case_a"], r["case_b"]): r["joint_txs"] for r in C.joint_transactions(spark.createDataFrame(few + many, "txid long, address string, case_id string")).collect()}
+    assert got == {("a", "b"): 2}
+
+
+def test_ground_truth_counts(spark):
+    expected = [("k", 1, 0, "bc1A", 5, "payment", "payee"), ("k", 1, 1, "x", None, "change", "change"), ("k", 2, 0, "y", 7, "payment", "end_receiver"), ("k", 2, 1, "z", 7, "payment", "intermediate"), ("q", 9, 0, "w", 1, "change", "change")]
+    predicted = [("k", 1, 0, "BC1a", 5, None, 2, True, False), ("k", 1, 1, "x", 3, None, 1, True, True), ("k", 2, 0, "y", 7, "change", None, False, False), ("k", 2, 1, "z", 8, "receiver", None, True, True), ("k", 5, 0, "v", 1, None, None, None, None)]
+    e = spark.createDataFrame(expected, "case_id string, txid long, vout long, address string, value_sats long, role string, node_role string")
+    p = spark.createDataFrame(predicted, "case_id string, txid long, vout long, address string, value_sats long, kind string, score int, spent boolean, followed boolean")
+    got = {r["case_id"]: r for r in C.ground_truth(e, p).collect()}
+    names = ("expected", "predicted", "matched", "classified", "right_class", "right_role", "known_role", "precision_ppm", "recall_ppm", "f1_ppm", "class_ppm", "role_ppm", "coverage_ppm")
+    assert [got["k"][n] for n in names] == [4, 5, 3, 2, 1, 2, 2, 600_000, 750_000, 666_666, 500_000, 500_000, 500_000]
+    assert [got["q"][n] for n in names] == [1, 0, 0, 0, 0, 0, 0, 0, 0, 0, None, 0, 0] and got[None]["expected"] == 5
+    assert C.ground_truth(e.limit(0), p.limit(0)).count() == 0

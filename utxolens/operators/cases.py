@@ -366,3 +366,42 @@ def evaluate(expected: DataFrame, predicted: DataFrame, key: list[str]) -> DataF
     own = a.join(b, "class", "full").na.fill(0)
     ratio = lambda d: F.when(F.col(d) > 0, F.floor(F.col("hits") * 1_000_000 / F.col(d)).cast("long"))
     return own.select("class", "support", "predicted", "hits", ratio("predicted").alias("precision_ppm"), ratio("support").alias("recall_ppm"))
+
+
+def ground_truth(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Traced outputs against reviewed ones, by case and (total = 1, null case) over all: counts, and ratios in millionths.
+
+    expected(case_id, txid, vout, address, value_sats, role, node_role); role is payment or change, node_role payee, change,
+    intermediate or end_receiver; a null value fits any. predicted(case_id, txid, vout, address, value_sats, kind, score, spent,
+    followed); kind change or receiver decides, else a score beyond one. An output is matched if the prediction of its outpoint
+    has its address (in any case) and value. Payees and changes are held against the classification, the other node roles against the
+    path: unspent ends, followed goes on, else spent is a boundary of the trace. Outpoints are unique in either table. Ratios over
+    nothing are 0 for precision, recall, F1 and coverage, else null.
+    """
+    key = ["case_id", "txid", "vout"]
+    kind = F.when(F.col("kind") == "change", "change").when(F.col("kind") == "receiver", "payment").when(F.col("score") < -1, "change").when(F.col("score") > 1, "payment")
+    path = F.when(~F.col("spent"), "end_receiver").when(F.col("followed"), "intermediate").when(F.col("spent"), "boundary")
+    guess = predicted.select(*key, F.lower("address").alias("_address"), F.col("value_sats").alias("_value"), kind.alias("_kind"), path.alias("_path"), F.lit(True).alias("_there"))
+    both = expected.join(guess, key, "full")
+
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    fits = yes(F.col("_there") & F.col("role").isNotNull() & (F.lower("address") == F.col("_address")) & (F.col("value_sats").isNull() | (F.col("value_sats") == F.col("_value"))))
+    both = both.withColumn("_fits", fits)
+    by_class = F.col("node_role").isin("payee", "change")
+    right = F.when(F.col("node_role") == "payee", F.col("_kind") == "payment").when(F.col("node_role") == "change", F.col("_kind") == "change").otherwise(F.col("_path") == F.col("node_role"))
+    known = F.when(by_class, F.col("_kind").isNotNull()).otherwise(F.col("_path").isin("intermediate", "end_receiver"))
+    counts = {
+        "expected": F.col("role").isNotNull(), "predicted": F.col("_there"), "matched": F.col("_fits"), "classified": F.col("_fits") & F.col("_kind").isNotNull(),
+        "right_class": F.col("_fits") & (F.col("_kind") == F.col("role")), "right_role": F.col("_fits") & right, "known_role": F.col("_fits") & known,
+    }
+    own = both.rollup("case_id").agg(*[F.count_if(yes(c)).alias(n) for n, c in counts.items()], F.grouping("case_id").cast("int").alias("total"))
+    own = own.filter("total = 0 or expected + predicted > 0")
+
+    def ppm(top, bottom, none=None):
+        return F.when(bottom > 0, F.floor(top * 1_000_000 / bottom)).otherwise(F.lit(none)).cast("long")
+
+    c = F.col
+    return own.select(
+        "case_id", "total", *counts, ppm(c("matched"), c("predicted"), 0).alias("precision_ppm"), ppm(c("matched"), c("expected"), 0).alias("recall_ppm"), ppm(2 * c("matched"), c("predicted") + c("expected"), 0).alias("f1_ppm"),
+        ppm(c("right_class"), c("classified")).alias("class_ppm"), ppm(c("right_role"), c("expected")).alias("role_ppm"), ppm(c("known_role"), c("expected"), 0).alias("coverage_ppm"),
+    )

@@ -142,11 +142,36 @@ def aud_labels(v):
     return v.tx.select("txid", F.array_join(errors, ",").alias("errors")).filter("errors != ''")
 
 
-@query("eval_ground_truth", "txo", """, j as (select txid % 5 as c, (txid + vout) % 3 < 2 as expected, spend_txid is null or value_sats % 2 = 0 as predicted from txo)
-select c as case_id, count(*) filter (where expected) as expected, count(*) filter (where predicted) as predicted, count(*) filter (where expected and predicted) as hits, grouping(c)::int as total from j group by grouping sets ((c), ())""")
+_TRUTH = """, ex as (select 'C' || entity as case_id, o.txid, vout, address, case when vout % 7 <> 6 then value_sats end as value_sats, case when denom_sats * 2 < value_sats then 'change' else 'payment' end as role,
+  case when spend_txid is null then 'end_receiver' when vout % 3 = 0 then 'intermediate' when denom_sats * 2 < value_sats then 'change' else 'payee' end as node_role from txo o join tx on tx.txid = o.txid where script_type <> 'p2sh'),
+pr as (select 'C' || entity as case_id, o.txid, vout, case when vout = 5 then 'B' || substr(address, 2) else address end as a, value_sats + case when vout = 4 then 1 else 0 end as v,
+  case when denom_sats < 12000000 then 'change' when denom_sats >= 32000000 then 'payment' end as k, case when spend_txid is null then 'end_receiver' when spend_height - o.block_height < 14400 then 'intermediate' else 'boundary' end as p
+  from txo o join tx on tx.txid = o.txid where script_type <> 'p2pkh'),
+j as (select coalesce(ex.case_id, pr.case_id) as case_id, ex.role, node_role, pr.k, pr.p, pr.txid is not null as there, coalesce(ex.address = pr.a and (ex.value_sats is null or ex.value_sats = pr.v), false) as fits
+  from ex full join pr on pr.case_id = ex.case_id and pr.txid = ex.txid and pr.vout = ex.vout),
+g as (select case_id, grouping(case_id)::int as total, count(role) as expected, count(*) filter (where there) as predicted, count(*) filter (where fits) as matched, count(*) filter (where fits and k is not null) as classified, count(*) filter (where fits and k = role) as right_class,
+  count(*) filter (where fits and case node_role when 'payee' then k = 'payment' when 'change' then k = 'change' else p = node_role end) as right_role,
+  count(*) filter (where fits and case when node_role in ('payee', 'change') then k is not null else p <> 'boundary' end) as known_role from j group by grouping sets ((case_id), ()))
+select *, case when predicted > 0 then matched * 1000000 // predicted else 0 end as precision_ppm, case when expected > 0 then matched * 1000000 // expected else 0 end as recall_ppm, case when predicted + expected > 0 then 2000000 * matched // (predicted + expected) else 0 end as f1_ppm,
+  case when classified > 0 then right_class * 1000000 // classified end as class_ppm, case when expected > 0 then right_role * 1000000 // expected end as role_ppm, case when expected > 0 then known_role * 1000000 // expected else 0 end as coverage_ppm
+from g where total = 0 or expected + predicted > 0"""
+
+
+@query("eval_ground_truth", "txo tx", _TRUTH)
 def eval_ground_truth(v):
-    own = v.txo.select((F.col("txid") % 5).alias("case_id"), ((F.col("txid") + F.col("vout")) % 3 < 2).alias("e"), (F.col("spend_txid").isNull() | (F.col("value_sats") % 2 == 0)).alias("p"))
-    return own.rollup("case_id").agg(F.count_if("e").alias("expected"), F.count_if("p").alias("predicted"), F.count_if(F.col("e") & F.col("p")).alias("hits"), F.grouping("case_id").cast("int").alias("total"))
+    """Reviewed labels by value and face value, predictions by face value and spend; some addresses and values are told wrongly."""
+    own = v.txo.join(v.tx.select("txid", F.concat(F.lit("C"), F.col("entity").cast("string")).alias("case_id")), "txid")
+    large = F.col("denom_sats") * 2 < F.col("value_sats")
+    unspent, key = F.col("spend_txid").isNull(), ["case_id", "txid", "vout"]
+    node_role = F.when(unspent, "end_receiver").when(F.col("vout") % 3 == 0, "intermediate").when(large, "change").otherwise("payee")
+    expected = own.filter("script_type != 'p2sh'").select(*key, "address", F.when(F.col("vout") % 7 != 6, F.col("value_sats")).alias("value_sats"), F.when(large, "change").otherwise("payment").alias("role"), node_role.alias("node_role"))
+    address = F.when(F.col("vout") == 5, F.concat(F.lit("B"), F.substring("address", 2, 100))).otherwise(F.col("address"))
+    value = F.col("value_sats") + F.when(F.col("vout") == 4, 1).otherwise(0)
+    kind = F.when(F.col("denom_sats") < 6_000_000, "change").when(F.col("denom_sats") >= 45_000_000, "receiver")
+    score = F.when(F.col("denom_sats") < 12_000_000, -2).when(F.col("denom_sats") >= 32_000_000, 2).otherwise(0)
+    followed = F.coalesce(F.col("spend_height") - F.col("block_height") < 14_400, F.lit(False))
+    predicted = own.filter("script_type != 'p2pkh'").select(*key, address.alias("address"), value.alias("value_sats"), kind.alias("kind"), score.alias("score"), (~unspent).alias("spent"), followed.alias("followed"))
+    return C.ground_truth(expected, predicted)
 
 
 @query("src_case_json", "case_node", "select case_id as id, count(*) as nodes, sum(value_sats)::bigint as sats from case_node group by case_id order by id limit 50")
