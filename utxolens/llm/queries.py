@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from utxolens.llm import mixing, packing, secrets, sharding, simhash, substrings, topk, toxicity, urls, vectors
+from utxolens.llm import infill, mixing, negatives, packing, secrets, sharding, simhash, substrings, topk, toxicity, urls, vectors
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,18 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(page_captures(pages), page_entries(pages)).withColumnRenamed("capture", "page_id")
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op4_urls": op4_urls, "op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.transformed(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).drop("output")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are first made wrong."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op11_infill": op11_infill, "op12_negatives": op12_negatives, "pipeline": corpus_pipeline.run, "op4_urls": op4_urls, "op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_urls": r"""
@@ -147,6 +158,46 @@ s as (
   from v q join v c on len(q.v) = len(c.v) and q.vec_id != c.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+""",
+    "op11_infill": r"""
+with d as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (
+  select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as w, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+         ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (
+  select *, len(w)::bigint as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle, array_to_string(w[b + 1:], '') as suffix from c),
+o as (
+  select *, case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                 else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end as output from p),
+x as (select *, strpos(output, '<P>') as p1, strpos(output, '<S>') as s1, strpos(output, '<M>') as m1 from o)
+select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars,
+       case when form <> 'plain' then length(middle)::bigint end as middle_chars, sha256(output) as output_sha256,
+       sha256(case form when 'plain' then output
+              when 'psm' then substr(output, 4, s1 - 4) || substr(output, m1 + 3) || substr(output, s1 + 3, m1 - s1 - 3)
+              else substr(output, p1 + 3, m1 - p1 - 3) || substr(output, m1 + 3) || substr(output, 4, p1 - 4) end) as restored_sha256
+from x
+""",
+    "op12_negatives": """
+with v as (
+  select distinct vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and s.label <> s.anchor_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
 """,
     "op5_mixing": r"""
 with d as (
