@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from utxolens.llm import infill, mixing, negatives, packing, secrets, sharding, simhash, substrings, topk, toxicity, urls, vectors
+from utxolens.llm import infill, mixing, negatives, packing, repeats, secrets, sharding, simhash, substrings, topk, toxicity, urls, vectors
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,11 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op11_infill": op11_infill, "op12_negatives": op12_negatives, "pipeline": corpus_pipeline.run, "op4_urls": op4_urls, "op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).drop("kept")
+
+
+QUERIES = {"op13_repeats": op13_repeats, "op11_infill": op11_infill, "op12_negatives": op12_negatives, "pipeline": corpus_pipeline.run, "op4_urls": op4_urls, "op10_vectors": op10_vectors, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op6_secrets": op6_secrets, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op1_toxicity": op1_toxicity, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_urls": r"""
@@ -180,6 +184,22 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint en
               when 'psm' then substr(output, 4, s1 - 4) || substr(output, m1 + 3) || substr(output, s1 + 3, m1 - s1 - 3)
               else substr(output, p1 + 3, m1 - p1 - 3) || substr(output, m1 + 3) || substr(output, 4, p1 - 4) end) as restored_sha256
 from x
+""",
+    "op13_repeats": r"""
+with d as (select row_number() over () as k, doc_id, hex(encode(coalesce(text, ''))) as t from documents),
+e as (select k, length(t) // 2 as n, regexp_extract_all(t, '.{1,1000}') as q from d),
+f as (select k, n, q[j] || coalesce(q[j + 1], '') as s, (j - 1) * 500 as z, unnest(range(1, 501)) as o from (select k, n, q, unnest(range(1, len(q) + 1)) as j from e)),
+w as (select k, n, z + o as i, substr(s, 2 * o - 1, 2) as x, case when z + o + 199 <= n then md5_number(substr(s, 2 * o - 1, 400)) end as m from f where z + o <= n),
+r as (select m from w where m is not null group by m having count(*) > 1),
+c as (
+  select w.k, i, x, coalesce(i - max(case when r.m is not null then i end) over (
+           partition by w.k order by i rows between unbounded preceding and current row) < 200, false) as gone from w left join r using (m)),
+s as (select *, gone and not coalesce(lag(gone) over (partition by k order by i), false) as begins from c),
+g as (
+  select k, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where begins) as n_spans,
+         sha256(unhex(coalesce(string_agg(x, '' order by i) filter (where not gone), ''))) as kept_sha256 from s group by k)
+select d.doc_id, coalesce(n_bytes, 0)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join g using (k)
 """,
     "op12_negatives": """
 with v as (
