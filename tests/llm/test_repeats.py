@@ -4,7 +4,9 @@ import collections
 import hashlib
 import random
 
+import pandas as pd
 import pytest
+import zstandard
 
 from utxolens.llm import repeats
 
@@ -61,19 +63,22 @@ def test_empty_table_and_bad_parameters(spark):
 
 def test_long_texts_are_read_by_segments():
     dice = random.Random(9)
-    text = bytes(dice.choice(b"abcd") for _ in range(30_000))
+    texts = [bytes(dice.choice(b"abcd") for _ in range(k)) for k in (30_000, 19, 0, 20, 25, 500)]
+    press = zstandard.ZstdCompressor()
+    frame = pd.DataFrame({"d": range(6), "n": 1, "zipped": [press.compress(t) for t in texts]})
     whole = {}
     for segment in (1 << 20, 1000, 64):
-        key, first, number = repeats.candidates(text, 20, 4, segment)
-        assert number.sum() == len(text) - 19 and number.min() > 0
-        own = {}
-        for k, f, n in zip(key.tolist(), first.tolist(), number.tolist(), strict=True):
-            own.update({f + i: k for i in range(n)})
+        own, keys, hashes = {}, collections.defaultdict(set), {}
+        for row in pd.concat(list(repeats._runs(20, 4, segment)(iter([frame.iloc[:2], frame.iloc[2:]])))).itertuples():
+            first, number = row.v >> 16, row.v & 0xFFFF
+            stretch = texts[row.d][first : first + number + 19]
+            assert number > 0 and len(stretch) == number + 19 and hashes.setdefault(row.b, stretch) == stretch
+            for i in range(number):
+                assert (row.d, first + i) not in own
+                own[row.d, first + i] = row.key
+                keys[stretch[i : i + 20]].add(row.key)
+        assert len(own) == sum(max(0, len(t) - 19) for t in texts) and all(len(k) == 1 for k in keys.values())
         assert whole.setdefault("keys", own) == own
-    keys = collections.defaultdict(set)
-    for i, k in own.items():
-        keys[text[i : i + 20]].add(k)
-    assert all(len(k) == 1 for k in keys.values())
 
 
 def test_groups_have_all_their_occurrences(spark):
@@ -111,8 +116,6 @@ def plain_tree(rows, length):
 
 @pytest.mark.parametrize("seed", range(25))
 def test_pieces_of_the_suffix_array_make_the_whole_tree(seed):
-    import pandas as pd
-
     dice = random.Random(seed)
     rows = sorted((b"abc"[: dice.randint(2, 3)] + bytes(dice.choice(b"ab") for _ in range(dice.randint(3, 7))), dice.choice([1, 1, 1, 3]), dice.choice([-1, 97, 98])) for _ in range(dice.randint(1, 60)))
     cuts = sorted({0, len(rows), *(dice.randint(0, len(rows)) for _ in range(dice.randint(0, 8)))})

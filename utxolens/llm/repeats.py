@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,32 +72,38 @@ def sliding_minimum(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(right[:n], left[span - 1 : span - 1 + n])
 
 
-def anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each seed that is the least by hash, the first of equals, among some `span` neighbours: place, first window, number of windows."""
-    key = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    chosen = (sliding_minimum(key, span) & _PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-    return chosen[first], first, np.diff(np.append(first, len(chosen)))
+def candidates(pieces: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(piece, first, number, key, b): runs of windows of `length` bytes in pieces of text, a MB or so in all.
 
-
-def candidates(text: bytes, length: int, seed: int, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, number): runs of windows of `length` bytes, each with the hash of half a window that is in all of them.
-
-    A window belongs to its least seed: windows that hold half a length from the seed on have that half's hash, others the hash
-    of the half up to the seed's end. So equal windows have the same key, at the same place in them. Every window is in one run.
+    A window belongs to its least seed, by hash, the first of equals. Windows that hold half a length from the seed on have that half's
+    hash as key, others the hash of the half up to the seed's end. So equal windows have the same key, at the same place in them. Every window
+    is in one run; b is the hash of the stretch that the run's windows make up.
     """
-    half, parts = length // 2, []
-    for at in range(0, len(text) - length + 1, segment):
-        roll = Rolling(text[at : at + segment + length - 1])
-        place, first, number = anchors(roll.each(seed), length - seed + 1)
-        late = np.maximum(first, place - (length - half))  # windows from here on have half a length from the seed on
-        right = first + number - late
-        a, b = right > 0, late > first
-        key = np.concatenate([roll.of(place[a], place[a] + half), roll.of(place[b] + seed - half, place[b] + seed) + np.uint64(1)])
-        parts.append((key, np.concatenate([late[a], first[b]]) + at, np.concatenate([right[a], np.minimum(late - first, number)[b]])))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    begin = np.cumsum(sizes) - sizes
+    data = b"".join(pieces)
+    total, half = len(data) - length + 1, length // 2
+    if total <= 0:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    edge = np.zeros(total + 1, np.int8)
+    np.add.at(edge, begin[sizes >= length], 1)
+    np.add.at(edge, (begin + sizes - length + 1)[sizes >= length], -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    roll = Rolling(data)
+    order = (roll.each(seed) & ~_PLACE) | np.arange(len(data) - seed + 1, dtype=np.uint64)
+    chosen = (sliding_minimum(order, length - seed + 1) & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (inside[1:] != inside[:-1])]))
+    number = np.diff(np.append(first, total))[inside[first]]
+    first = first[inside[first]]
+    place = chosen[first]
+    late = np.maximum(first, place - (length - half))  # windows from here on have half a length from the seed on
+    right = first + number - late
+    a, c = right > 0, late > first
+    key = np.concatenate([roll.of(place[a], place[a] + half), roll.of(place[c] + seed - half, place[c] + seed) + np.uint64(1)])
+    number = np.concatenate([right[a], np.minimum(late - first, number)[c]])
+    first = np.concatenate([late[a], first[c]])
+    piece = np.searchsorted(begin, first, side="right") - 1
+    return piece, first - begin[piece], number, key, roll.of(first, first + number - 1 + length)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -106,48 +112,64 @@ def _zipped(texts: pd.Series) -> pd.Series:
     return pd.Series([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
 
-def _runs(length: int, seed: int):
-    """Rows (key, t, u, n, v) of each text's candidates; v has the first window and the number of windows."""
+def _runs(length: int, seed: int, segment: int = 1 << 20):
+    """Rows (key, b, d, n, v) of each text's candidates; v has the first window and the number of windows. Long texts go by segments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for t, u, n, zipped in pdf[["t", "u", "n", "zipped"]].itertuples(index=False):
-                key, first, number = candidates(unzip.decompress(zipped), length, seed)
-                if len(key):
-                    yield pd.DataFrame({"key": key.view(np.int64), "t": t, "u": u, "n": n, "v": first << 16 | number})
-
-    return run
-
+        held, room = [], segment
 
-def _stretches(length: int):
-    """Rows (key, b, t, u, n, v): what has come twice, with a hash of its stretch of text, which all its windows make up."""
+        def made() -> pd.DataFrame:
+            piece, first, number, key, b = candidates([x[3] for x in held], length, seed)
+            d, n, at = (np.array([x[i] for x in held], np.int64)[piece] for i in range(3))
+            return pd.DataFrame({"key": key.view(np.int64), "b": b.view(np.int64), "d": d, "n": n, "v": at + first << 16 | number})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unzip = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for t, u, n, zipped, found in pdf[["t", "u", "n", "zipped", "found"]].itertuples(index=False):
+            for d, n, zipped in pdf[["d", "n", "zipped"]].itertuples(index=False):
                 text = unzip.decompress(zipped)
-                v = np.array([x["v"] for x in found], np.int64)
-                hashes = [xxhash.xxh3_64_intdigest(text[a : a + k - 1 + length]) for a, k in zip((v >> 16).tolist(), (v & 0xFFFF).tolist(), strict=True)]
-                yield pd.DataFrame({"key": [x["key"] for x in found], "b": np.array(hashes, np.uint64).view(np.int64), "t": t, "u": u, "n": n, "v": v})
+                for at in range(0, len(text) - length + 1, segment):
+                    piece = text[at : at + segment + length - 1]
+                    held.append((d, n, at, piece))
+                    room -= len(piece)
+                    if room <= 0:
+                        yield made()
+                        held, room = [], segment
+        if held:
+            yield made()
 
     return run
 
 
-def _windows(length: int):
-    """Rows (key, b, n, t, u, p, stretch, w, left) of single stretches: text, hashes of the windows, and the byte before each; -1 before the first."""
+def _windows(length: int, segment: int = 1 << 20):
+    """Rows (r, n, d, p, stretch, w, left) of single stretches: text, hashes of the windows, and the byte before each; -1 before the first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
+        held, room = [], segment
+
+        def made() -> pd.DataFrame:
+            out = pd.DataFrame(held, columns=["r", "n", "d", "p", "stretch"])
+            data = b"".join(out["stretch"])
+            w, before = Rolling(data).each(length).view(np.int64), np.frombuffer(b"\0" + data, np.uint8).astype(np.int16)
+            ends = np.cumsum([len(x) for x in out["stretch"]])
+            begins = ends - [len(x) for x in out["stretch"]]
+            before[begins] = -1
+            out["w"] = [w[a : b - length + 1] for a, b in zip(begins, ends, strict=True)]
+            out["left"] = [before[a : b - length + 1] for a, b in zip(begins, ends, strict=True)]
+            return out
+
         for pdf in batches:
-            for t, u, zipped, found in pdf[["t", "u", "zipped", "found"]].itertuples(index=False):
-                text, rows = unzip.decompress(zipped), []
+            for d, zipped, found in pdf[["d", "zipped", "found"]].itertuples(index=False):
+                text = unzip.decompress(zipped)
                 for x in found:
                     first, number = x["v"] >> 16, x["v"] & 0xFFFF
-                    stretch = text[first : first + number - 1 + length]
-                    rows.append((x["key"], x["b"], x["n"], t, u, first, stretch, Rolling(stretch).each(length).view(np.int64), np.concatenate([[-1], np.frombuffer(stretch, np.uint8)[: number - 1]])))
-                yield pd.DataFrame(rows, columns=["key", "b", "n", "t", "u", "p", "stretch", "w", "left"])
+                    held.append((x["r"], x["n"], d, first, text[first : first + number - 1 + length]))
+                    room -= number + length
+                    if room <= 0:
+                        yield made()
+                        held, room = [], segment
+        if held:
+            yield made()
 
     return run
 
@@ -213,7 +235,7 @@ def _arrayed(length: int, piece: Callable[[], int] = _task):
                 yield out
         if at:
             # `back` is nearest last; all of a piece that stays open reaches its other edge with the least common prefix in it.
-            edge = {"suffix": first, "part": part, "i": -1, "n": 0, "left": 0, "key": 0, "b": 0, "t": 0, "u": 0, "p": 0, "o": 0, "common": front.low if front.open else 0}
+            edge = {"suffix": first, "part": part, "i": -1, "n": 0, "left": 0, "r": 0, "d": 0, "p": 0, "o": 0, "common": front.low if front.open else 0}
             edge |= {"front": front.groups, "back": back[::-1], "whole": before}
             yield pd.DataFrame([edge])
 
@@ -322,7 +344,7 @@ def _scanned(length: int, around: dict[int, tuple[list, list]]):
             if name:
                 own.append((name, nodes[k][0], nodes[k][1], None))
                 rows.append(row)
-        members = pd.concat([pd.DataFrame(own, columns=columns), pdf[["key", "b", "t", "u", "p", "o", "n"]].iloc[rows].reset_index(drop=True).astype("Int64")], axis=1)
+        members = pd.concat([pd.DataFrame(own, columns=columns), pdf[["r", "d", "p", "o", "n"]].iloc[rows].reset_index(drop=True).astype("Int64")], axis=1)
         tree = [(named(k)[1], x[0], x[1], named(x[4])[1]) for k, x in enumerate(nodes) if maximal[k] and x[5] >= 0]
         return pd.concat([members, pd.DataFrame(tree, columns=columns).reindex(columns=members.columns).astype({c: "Int64" for c in members.columns[4:]})])
 
@@ -348,6 +370,11 @@ def _digest(texts: bool):
     return run
 
 
+def _several(rows: DataFrame, weight: Column) -> DataFrame:
+    """The keys that stand for more than one row. They are written, for only a join of two plain shuffles can be split where a key is very common."""
+    return staged(rows.groupBy("key").agg(weight.alias("_n")).filter("_n > 1").select("key"), "several")
+
+
 class Repeats:
     """The maximal repeats of all texts of docs, of `length` bytes or more.
 
@@ -368,45 +395,45 @@ class Repeats:
         t, u = row_key(text)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("t"), u.alias("u"), text.alias("text"))
         own = self.docs.select("t", "u", _zipped("text").alias("zipped")).groupBy("t", "u").agg(F.count("*").alias("n"), F.first("zipped").alias("zipped"))
-        self.texts = staged(own, "texts")
-        runs = staged(self.texts.mapInPandas(_runs(length, seed), "key long, t long, u long, n long, v long"), "runs")
-        again = staged(runs.groupBy("key").agg(F.sum("n").alias("_n")).filter("_n > 1").select("key"), "again")
-        alive = runs.join(again, "key").groupBy("t", "u").agg(F.collect_list(F.struct("key", "v")).alias("found"))
-        rows = self.texts.join(alive, ["t", "u"]).mapInPandas(_stretches(length), "key long, b long, t long, u long, n long, v long")
-        #: Every stretch of every text, and the different ones with the number of their copies.
-        self.stretches = staged(rows, "stretches")
-        classes = self.stretches.groupBy("key", "b").agg(F.sum("n").alias("n"), F.first(F.struct("t", "u", "v")).alias("at"))
-        self.classes = staged(classes.select("key", "b", "n", "at.*"), "classes")
-        mixed = staged(self.classes.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "mixed")
-        self.members = staged(self._members(self._suffixes(mixed)), "members")
-        self.mixed = mixed
-
-    def _suffixes(self, mixed: DataFrame) -> DataFrame:
-        """Suffixes of single stretches that start where a window repeats and the bytes before it vary."""
-        found = self.classes.join(mixed, "key").groupBy("t", "u").agg(F.collect_list(F.struct("key", "b", "n", "v")).alias("found"))
-        schema = "key long, b long, n long, t long, u long, p long, stretch binary, w array<long>, left array<int>"
-        single = staged(self.texts.join(found, ["t", "u"]).mapInPandas(_windows(self.length), schema), "single")
-        window = single.select("key", "b", "n", F.posexplode(F.arrays_zip("w", "left")).alias("o", "x")).select("key", "b", "n", "o", "x.*")
-        names = window.groupBy("key", "w").agg(F.sum("n").alias("_n"), F.min("left").alias("low"), F.max("left").alias("high"))
-        names = staged(names.filter("_n > 1 and (low < 0 or low <> high)").select("key", "w"), "names")
-        starts = window.select("key", "b", "w", "o", "left").join(names, ["key", "w"]).groupBy("key", "b").agg(F.collect_list(F.struct("o", "left")).alias("starts"))
-        own = single.drop("w", "left").join(starts, ["key", "b"]).select("*", F.explode("starts").alias("x"))
-        return own.select("key", "b", "n", "t", "u", (F.col("p") + F.col("x.o")).alias("p"), F.col("x.o").cast("long").alias("o"), F.col("x.left").alias("left"), F.expr("substring(stretch, x.o + 1)").alias("suffix"))
+        #: The different texts; d is a number that stands for one, from here on.
+        self.texts = staged(own.withColumn("d", F.monotonically_increasing_id()), "texts")
+        runs = staged(self.texts.mapInPandas(_runs(length, seed), "key long, b long, d long, n long, v long"), "runs")
+        #: Stretches of text around halves that come again, and the different ones with the number of their copies.
+        self.stretches = staged(runs.join(_several(runs, F.sum("n")), "key"), "stretches")
+        classes = self.stretches.groupBy("key", "b").agg(F.sum("n").alias("n"), F.first(F.struct("d", "v")).alias("at"))
+        self.classes = staged(classes.select("key", "b", "n", "at.*").withColumn("r", F.monotonically_increasing_id()), "classes")
+        self.mixed = _several(self.classes, F.count("*"))
+        self.members = staged(self._members(self._suffixes()), "members")
+
+    def _suffixes(self) -> DataFrame:
+        """Suffixes of single stretches that start where a window repeats and the bytes before it vary.
+
+        Windows are told by their hashes here, which can only add suffixes: the suffix array compares bytes.
+        """
+        found = self.classes.join(self.mixed, "key").groupBy("d").agg(F.collect_list(F.struct("r", "n", "v")).alias("found"))
+        schema = "r long, n long, d long, p long, stretch binary, w array<long>, left array<short>"
+        single = staged(self.texts.select("d", "zipped").join(found, "d").mapInPandas(_windows(self.length), schema), "single")
+        window = single.select("r", "n", F.posexplode(F.arrays_zip("w", "left")).alias("o", "x")).select("r", "n", "o", "x.*")
+        names = window.groupBy("w").agg(F.sum("n").alias("_n"), F.min("left").alias("low"), F.max("left").alias("high"))
+        names = staged(names.filter("_n > 1 and (low < 0 or low <> high)").select("w"), "names")
+        starts = window.select("r", "w", "o", "left").join(names, "w").groupBy("r").agg(F.collect_list(F.struct("o", "left")).alias("starts"))
+        own = single.drop("w", "left").join(starts, "r").select("*", F.explode("starts").alias("x"))
+        return own.select("r", "n", "d", (F.col("p") + F.col("x.o")).alias("p"), F.col("x.o").cast("long").alias("o"), F.col("x.left").cast("int").alias("left"), F.expr("substring(stretch, x.o + 1)").alias("suffix"))
 
     def _members(self, suffixes: DataFrame) -> DataFrame:
-        order = ["suffix", "key", "b", "o"]
+        order = ["suffix", "r", "o"]
         group = "array<array<long>>"
-        schema = f"key long, b long, n long, t long, u long, p long, o long, left int, suffix binary, part int, i long, common int, front {group}, back {group}, whole binary"
-        array = suffixes.select("key", "b", "n", "t", "u", "p", "o", "left", "suffix").repartitionByRange(*order).sortWithinPartitions(*order)
+        schema = f"r long, n long, d long, p long, o long, left int, suffix binary, part int, i long, common int, front {group}, back {group}, whole binary"
+        array = suffixes.select("r", "n", "d", "p", "o", "left", "suffix").repartitionByRange(*order).sortWithinPartitions(*order)
         array = staged(array.mapInPandas(_arrayed(self.length), schema), "array")
         edges = [r.asDict() for r in array.filter("i < 0").select("part", "suffix", "whole", "common", "front", "back").collect()]  # one row a task, two stretches each
         rows = array.filter("i >= 0").drop("front", "back", "whole")
-        schema = "name string, length int, copies long, parent string, key long, b long, t long, u long, p long, o long, n long"
+        schema = "name string, length int, copies long, parent string, r long, d long, p long, o long, n long"
         return rows.groupBy("part").applyInPandas(_scanned(self.length, outside(edges, self.length)), schema)
 
     def groups(self) -> DataFrame:
         """(name, length, copies, parent): the maximal repeats; parent is the next shorter one that it starts with, if any."""
-        tree = self.members.filter("key is null").select("name", "length", "copies", "parent").distinct()
+        tree = self.members.filter("r is null").select("name", "length", "copies", "parent").distinct()
         return tree.unionByName(self._alone().select("name", "length", F.col("n").alias("copies"), F.lit(None).cast("string").alias("parent")))
 
     def _alone(self) -> DataFrame:
@@ -417,23 +444,24 @@ class Repeats:
 
     def occurrences(self) -> DataFrame:
         """(name, doc_id, start): where the repeats stand, each place under the longest one that starts there; it belongs to the parents too."""
-        own = self.members.filter("key is not null").select("name", "key", "b", "o")
+        own = self.members.filter("r is not null").select("name", "r", "o").join(self.classes.select("r", "key", "b"), "r").drop("r")
         own = own.unionByName(self._alone().select("name", "key", "b", F.lit(0).cast("long").alias("o")))
-        place = self.stretches.select("key", "b", "t", "u", F.shiftright("v", 16).alias("first"))
-        placed = own.join(place, ["key", "b"]).select("name", "t", "u", (F.col("first") + F.col("o")).alias("start"))
-        return placed.join(self.docs.select("doc_id", "t", "u"), ["t", "u"]).select("name", "doc_id", "start")
+        place = self.stretches.select("key", "b", "d", F.shiftright("v", 16).alias("first"))
+        placed = own.join(place, ["key", "b"]).select("name", "d", (F.col("first") + F.col("o")).alias("start"))
+        docs = self.docs.select("doc_id", "t", "u").join(self.texts.select("t", "u", "d"), ["t", "u"])
+        return placed.join(docs, "d").select("name", "doc_id", "start")
 
     def covered(self) -> DataFrame:
-        """(t, u, spans): for each text with repeats, the bytes p to e of them."""
+        """(d, spans): for each text with repeats, the bytes p to e of them."""
         end = F.shiftright("v", 16) + F.col("v").bitwiseAND(0xFFFF) - 1 + self.length
         again = self.stretches.join(self.classes.filter("n > 1").select("key", "b"), ["key", "b"])
-        spans = again.select("t", "u", F.struct(F.shiftright("v", 16).alias("p"), end.alias("e")).alias("s"))
-        single = self.members.filter("n = 1").select("t", "u", F.struct("p", (F.col("p") + F.col("length")).alias("e")).alias("s"))
-        return spans.unionByName(single).groupBy("t", "u").agg(F.collect_set("s").alias("spans"))
+        spans = again.select("d", F.struct(F.shiftright("v", 16).alias("p"), end.alias("e")).alias("s"))
+        single = self.members.filter("n = 1").select("d", F.struct("p", (F.col("p") + F.col("length")).alias("e")).alias("s"))
+        return spans.unionByName(single).groupBy("d").agg(F.collect_set("s").alias("spans"))
 
     def removed(self, texts: bool = True) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of docs. See removed()."""
-        joined = self.texts.join(staged(self.covered(), "covered"), ["t", "u"], "left").select("t", "u", "zipped", "spans")
+        joined = self.texts.join(self.covered(), "d", "left").select("t", "u", "zipped", "spans")
         done = staged(joined.mapInPandas(_digest(texts), "t long, u long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"), "digests")
         return self.docs.select("doc_id", "t", "u").join(done, ["t", "u"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
