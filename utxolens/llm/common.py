@@ -37,13 +37,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = jvm_path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing unwritten needs any more, to free disk before the driver ends."""
+    for df in tables:
+        df._staged_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._staged_at, True)
 
 
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Write df as a table bucketed by keys, in the shared folder, so that joins on the keys needn't shuffle it again.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends; the catalog forgets the table at once.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
@@ -51,7 +59,9 @@ def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # an external table's files stay, and what was read of it keeps the buckets
+    return out
 
 
 def row_key(*columns: Column) -> list[Column]:

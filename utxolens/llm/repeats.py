@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utxolens.llm.common import row_key, staged
+from utxolens.llm.common import dropped, row_key, staged
 
 _BASE = 0x9E3779B97F4A7C15  # any odd number
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -399,14 +399,18 @@ class Repeats:
         self.texts = staged(own.withColumn("d", F.monotonically_increasing_id()), "texts")
         runs = staged(self.texts.mapInPandas(_runs(length, seed), "key long, b long, d long, n long, v long"), "runs")
         #: Stretches of text around halves that come again, and the different ones with the number of their copies.
-        self.stretches = staged(runs.join(_several(runs, F.sum("n")), "key"), "stretches")
+        again = _several(runs, F.sum("n"))
+        self.stretches = staged(runs.join(again, "key"), "stretches")
+        dropped(runs, again)
         classes = self.stretches.groupBy("key", "b").agg(F.sum("n").alias("n"), F.first(F.struct("d", "v")).alias("at"))
         self.classes = staged(classes.select("key", "b", "n", "at.*").withColumn("r", F.monotonically_increasing_id()), "classes")
         self.mixed = _several(self.classes, F.count("*"))
-        self.members = staged(self._members(self._suffixes()), "members")
+        array = self._array()
+        self.members = staged(self._tree(array), "members")
+        dropped(array)
 
-    def _suffixes(self) -> DataFrame:
-        """Suffixes of single stretches that start where a window repeats and the bytes before it vary.
+    def _array(self) -> DataFrame:
+        """Sorted suffixes of single stretches that start where a window repeats and the bytes before it vary, by pieces, with an edge row a piece.
 
         Windows are told by their hashes here, which can only add suffixes: the suffix array compares bytes.
         """
@@ -418,14 +422,16 @@ class Repeats:
         names = staged(names.filter("_n > 1 and (low < 0 or low <> high)").select("w"), "names")
         starts = window.select("r", "w", "o", "left").join(names, "w").groupBy("r").agg(F.collect_list(F.struct("o", "left")).alias("starts"))
         own = single.drop("w", "left").join(starts, "r").select("*", F.explode("starts").alias("x"))
-        return own.select("r", "n", "d", (F.col("p") + F.col("x.o")).alias("p"), F.col("x.o").cast("long").alias("o"), F.col("x.left").cast("int").alias("left"), F.expr("substring(stretch, x.o + 1)").alias("suffix"))
-
-    def _members(self, suffixes: DataFrame) -> DataFrame:
+        own = own.select("r", "n", "d", (F.col("p") + F.col("x.o")).alias("p"), F.col("x.o").cast("long").alias("o"), F.col("x.left").cast("int").alias("left"), F.expr("substring(stretch, x.o + 1)").alias("suffix"))
         order = ["suffix", "r", "o"]
         group = "array<array<long>>"
         schema = f"r long, n long, d long, p long, o long, left int, suffix binary, part int, i long, common int, front {group}, back {group}, whole binary"
-        array = suffixes.select("r", "n", "d", "p", "o", "left", "suffix").repartitionByRange(*order).sortWithinPartitions(*order)
-        array = staged(array.mapInPandas(_arrayed(self.length), schema), "array")
+        array = staged(own.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_arrayed(self.length), schema), "array")
+        dropped(single, names)
+        return array
+
+    def _tree(self, array: DataFrame) -> DataFrame:
+        """Maximal repeats and members of all pieces."""
         edges = [r.asDict() for r in array.filter("i < 0").select("part", "suffix", "whole", "common", "front", "back").collect()]  # one row a task, two stretches each
         rows = array.filter("i >= 0").drop("front", "back", "whole")
         schema = "name string, length int, copies long, parent string, r long, d long, p long, o long, n long"
