@@ -1,5 +1,7 @@
 """Literal micro-cases of the graph jobs, and properties that must hold for any input."""
 
+import random
+
 import pytest
 
 from utxolens.operators import graph as G
@@ -126,3 +128,79 @@ def test_digests_count_repeated_rows(spark):
         return C.snapshot_digest(spark.createDataFrame([("k", r) for r in rows], "case_id string, value string"), "case_id").first()["digest"]
 
     assert digest("a", "a", "b") != digest("c", "c", "b") and digest("a", "b", "a") == digest("b", "a", "a") != digest("a", "b", "b")
+
+
+def best_of_all(edges, starts, ends=None):
+    """The highest total of all simple paths from starts, to ends if one of them can be reached."""
+    links = {}
+    for a, b, v in edges:
+        if a != b and v > 0:
+            links.setdefault(a, {})[b] = links.get(a, {}).get(b, 0) + v
+    best = {}
+
+    def walk(node, path, total):
+        if total > best.get(node, 0):
+            best[node] = total
+        for to, v in links.get(node, {}).items():
+            if to not in path:
+                walk(to, [*path, to], total + v)
+
+    for s in starts:
+        walk(s, [s], 0)
+    if ends and any(e in best for e in ends):
+        best = {e: best[e] for e in ends if e in best}
+    return max(best.values(), default=None), links
+
+
+def test_money_trail_on_any_graph(spark):
+    """Two hundred random graphs with cycles, chains longer than ten hops and dead ends, against all simple paths."""
+    dice, rows, starts, ends, graphs = random.Random(17), [], [], [], {}
+    for g in range(200):
+        n = dice.randint(2, 8)
+        own = [(f"n{dice.randrange(n)}", f"n{dice.randrange(n)}", dice.choice([0, 1, 2, 5, 9, 100])) for _ in range(dice.randint(1, 16))]
+        if g % 20 == 0:
+            own += [(f"n{n - 1}" if i == 0 else f"c{i}", f"c{i + 1}", 3) for i in range(14)]
+        first, last = {f"n{dice.randrange(n)}" for _ in range(2)}, [f"n{dice.randrange(n)}"] if g % 2 else []
+        graphs[f"g{g}"] = own, first, last
+        rows += [(f"g{g}", a, b, v, i) for i, (a, b, v) in enumerate(own)]
+        starts += [(f"g{g}", s) for s in first]
+        ends += [(f"g{g}", e) for e in last]
+    edges = spark.createDataFrame(rows, "case_id string, src string, dst string, value_sats long, edge_idx long")
+    node = "case_id string, node string"
+    got = {r["case_id"]: r for r in G.money_trail(edges, spark.createDataFrame(starts, node), spark.createDataFrame(ends, node)).collect()}
+    for case, (own, first, last) in graphs.items():
+        want, links = best_of_all(own, first, last)
+        assert (case in got) == (want is not None), case
+        if want is not None:
+            path = got[case]["path"].split(">")
+            assert got[case]["total_sats"] == want and got[case]["exact"] and path[0] in first and len(set(path)) == len(path)
+            assert sum(links[a][b] for a, b in zip(path, path[1:], strict=False)) == want
+    assert max(r["path"].count(">") for r in got.values()) > 12
+
+
+def test_strong_components_of_any_graph(spark):
+    dice, rows, want = random.Random(8), [], {}
+    for g in range(40):
+        own = {(dice.randrange(9), dice.randrange(9)) for _ in range(14)}
+        reach = {a: {a} for a in range(9)}
+        for _ in range(9):
+            for a, b in own:
+                for x in reach.values():
+                    if a in x:
+                        x.add(b)
+        for a in range(9):
+            both = {b for b in range(9) if b in reach[a] and a in reach[b]}
+            if len(both) > 1:
+                want[str(g), str(a)] = str(max(both))
+        rows += [(str(g), str(a), str(b)) for a, b in own]
+    got = G.strong_components(spark.createDataFrame(rows, "case_id string, src string, dst string")).collect()
+    assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == want
+
+
+def test_a_search_that_is_cut_says_so(spark):
+    rows = [("k", f"n{i:02}", f"n{j:02}", 1 + (i * 7 + j * 3) % 11, 0) for i in range(12) for j in range(12) if i != j]
+    edges = spark.createDataFrame(rows, "case_id string, src string, dst string, value_sats long, edge_idx long")
+    start = spark.createDataFrame([("k", "n00"), ("k", "alone"), ("none", "n00")], "case_id string, node string")
+    cut = G.money_trail(edges, start, steps=50).collect()
+    assert len(cut) == 1 and not cut[0]["exact"] and cut[0]["total_sats"] > 0
+    assert G.money_trail(edges.limit(0), start).collect() == []

@@ -3,6 +3,7 @@
 from utxolens.operators import cases as C
 from utxolens.operators import evidence as E
 from utxolens.operators import graph as G
+from utxolens.operators import transactions as X
 from utxolens.operators import typologies as Y
 from utxolens.sources import dims as D
 from utxolens.streaming import alerts as A
@@ -65,3 +66,29 @@ def test_newest_alerts_over_batches(spark, tmp_path):
         keep(spark.createDataFrame([(a, f"t{n}", n) for a, n in rows], "address string, txid string, ts int"), epoch)
     assert {r["address"] for r in A.read_newest(spark, path).collect()} == {"b", "c"}
     assert sorted(p.name for p in (tmp_path / "n").iterdir()) == ["v1", "v2"]
+
+
+def test_values_that_move_beside_a_null_are_changes(spark):
+    rows = lambda *x: spark.createDataFrame(x, "k long, a long, b long")
+    before = rows((1, None, 5), (2, None, None), (3, 1, 2), (None, 1, 1), (5, 1, 1))
+    after = rows((1, 5, None), (2, None, None), (3, 1, None), (None, 1, 1), (6, 1, 1))
+    got = {r["change"]: r["n"] for r in C.snapshot_diff(before, after, ["k"]).collect()}
+    assert got == {"changed": 2, "unchanged": 2, "removed": 1, "added": 1}
+
+
+def test_weight_zero_has_no_fee_rate(spark, tmp_path):
+    tx = spark.createDataFrame([(1, 100, 0), (2, 100, 400)], "txid long, fee long, weight long")
+    txi = spark.createDataFrame([(2, 1)], "txid long, sequence long")
+    assert {r["txid"]: r["fee_rate_x10"] for r in X.tx_metrics(tx, txi).collect()} == {1: None, 2: 10}
+    side = "array<struct<address:string,value_sats:long>>"
+    feed = spark.sql(f"select 't' as txid, 5L as fee, 0L as weight, false as confirmed, timestamp'2024-01-01' as ts, cast(array(('a', 7L)) as {side}) as ins, cast(array() as {side}) as outs")
+    watched = spark.createDataFrame([("A", "x")], "address string, tag string")
+    assert [(r["amount_sats"], r["fee_rate"]) for r in A.alerts(feed, watched).collect()] == [(7, None)]
+    none = A.read_newest(spark, str(tmp_path / "nothing"))
+    assert none.collect() == [] and none.columns == A.alerts(feed, watched).columns
+
+
+def test_pushed_data_of_any_length_is_no_opcode(spark):
+    scripts = ["4d0300aabbcc87", "4e02000000aabb88", "4c02aabb75", "02aabbac", "4dff", ""]
+    got = {r["opcode"]: r["n"] for r in E.opcodes(spark.createDataFrame([(s,) for s in scripts], "script string")).collect()}
+    assert got == {77: 2, 135: 1, 78: 1, 136: 1, 76: 1, 117: 1, 2: 1, 172: 1}

@@ -231,11 +231,14 @@ def verify_snapshot(df: DataFrame, stored: DataFrame, by: str) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
-    """Rows added, removed, changed and unchanged between two captures, by key."""
+    """Rows added, removed, changed and unchanged between two captures, by key (null keys are keys). Values are compared one by one;
+    a null equals a null and nothing else."""
     rest = sorted(set(before.columns) - set(key))
-    mark = F.xxhash64(*rest)
-    both = before.select(*key, mark.alias("_a")).join(after.select(*key, mark.alias("_b")), key, "full")
-    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").otherwise("unchanged")
+    side = lambda df, name: df.select(*key, F.struct(F.lit(True).alias("here"), *rest).alias(name))
+    a, b = side(before, "_a").alias("a"), side(after, "_b").alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    both = a.join(b, on, "full")
+    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a").eqNullSafe(F.col("_b")), "unchanged").otherwise("changed")
     return both.groupBy(kind.alias("change")).agg(F.count("*").alias("n"))
 
 

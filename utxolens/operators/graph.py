@@ -5,6 +5,7 @@ Edges without value carry nothing. Every loop works on all cases in each round a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,24 +148,166 @@ def ranks(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     return left if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(left)
 
 
-def money_trail(edges: DataFrame, starts: DataFrame, max_hops: int = 10) -> DataFrame:
-    """Per case: the simple path from a start (case_id, node) with the highest total value; ties to the path last in text order."""
-    live = settled(edges.filter("value_sats > 0").groupBy("case_id", "src", "dst").agg(F.sum("value_sats").alias("v")))
-    now = settled(starts.select("case_id", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0).cast("long").alias("total")))
-    best = None
-    for _ in range(max_hops):
-        grown = now.join(live.withColumnRenamed("src", "at"), ["case_id", "at"]).filter(~F.array_contains("path", F.col("dst")))
-        grown = grown.select("case_id", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("total") + F.col("v")).alias("total"))
-        # Of the paths to one end, in as many hops, only the best can be the start of the best (exact on acyclic graphs).
-        now = settled(grown.groupBy("case_id", "at").agg(F.max(F.struct("total", F.array_join("path", ">").alias("text"), "path")).alias("b")).select("case_id", "at", "b.path", "b.total"))
-        if now.isEmpty():
-            break
-        own = now.groupBy("case_id").agg(F.max(F.struct("total", F.array_join("path", ">").alias("path"))).alias("b"))
-        best = own if best is None else best.unionByName(own)
-    if best is None:
-        return now.filter(F.lit(False)).select("case_id", F.array_join("path", ">").alias("path"), F.col("total").alias("total_sats"))
-    best = best.groupBy("case_id").agg(F.max("b").alias("b"))
-    return best.select("case_id", F.col("b.path").alias("path"), F.col("b.total").alias("total_sats"))
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(case_id, node, component) of nodes on cycles; a component of nodes that all reach each other is named by its greatest node.
+
+    Ends that lie on no cycle are trimmed. Then the greatest node that reaches a node is its colour; of a colour the nodes that
+    reach back to the node it is named by are a component. Components leave, until no edge is left. Rounds have no limit: each takes something away.
+    """
+    left = settled(edges.select("case_id", "src", "dst").filter("src != dst").distinct())
+    found = left.select("case_id", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while True:
+        edges_before = left.count()
+        left = left.join(left.select("case_id", F.col("dst").alias("src")).distinct(), ["case_id", "src"], "left_semi")
+        left = settled(left.join(left.select("case_id", F.col("src").alias("dst")).distinct(), ["case_id", "dst"], "left_semi"))
+        if left.count() < edges_before:
+            continue
+        if left.isEmpty():
+            return found
+        colour = settled(left.select("case_id", F.col("src").alias("node"), F.col("src").alias("colour")).distinct())
+        moved = colour
+        while not moved.isEmpty():
+            came = moved.withColumnRenamed("node", "src").join(left, ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("node")).agg(F.max("colour").alias("came"))
+            moved = settled(came.join(colour, ["case_id", "node"]).filter("came > colour").select("case_id", "node", F.col("came").alias("colour")))
+            colour = settled(colour.join(moved.select("case_id", "node"), ["case_id", "node"], "left_anti").unionByName(moved))
+        inside = left.join(colour.select("case_id", F.col("node").alias("src"), "colour"), ["case_id", "src"]).join(colour.select("case_id", F.col("node").alias("dst"), "colour"), ["case_id", "dst", "colour"])
+        back = near = settled(colour.filter("node = colour"))
+        while not near.isEmpty():
+            step = near.withColumnRenamed("node", "dst").join(inside, ["case_id", "dst", "colour"]).select("case_id", F.col("src").alias("node"), "colour").distinct()
+            near = settled(step.join(back, ["case_id", "node"], "left_anti"))
+            back = settled(back.unionByName(near))
+        several = back.groupBy("case_id", "colour").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        found = settled(found.unionByName(back.join(several, ["case_id", "colour"]).select("case_id", "node", F.col("colour").alias("component"))))
+        for end in ("src", "dst"):
+            left = left.join(back.select("case_id", F.col("node").alias(end)), ["case_id", end], "left_anti")
+        left = settled(left)
+
+
+def best_inside(links: dict, entry: str, steps: int) -> tuple[dict, bool]:
+    """The simple path of highest value from entry to each node of links (node -> {next: value}), and whether the search was whole.
+
+    Depth first, most valuable edge first. A branch goes on only while its value, with the most that the nodes not on it can
+    bring in, beats what is known for some of them. After `steps` edges it stops, and says so.
+    """
+    brings: dict = {}
+    for own in links.values():
+        for to, value in own.items():
+            brings[to] = max(brings.get(to, 0), value)
+    order = {node: sorted(own, key=lambda to, own=own: (-own[to], to)) for node, own in links.items()}
+    best, path, on = {entry: (0, [entry])}, [entry], {entry}
+    rest = sum(v for node, v in brings.items() if node != entry)
+    stack, total, taken = [(iter(order.get(entry, [])), 0, 0)], 0, 0
+    while stack:
+        to = next((n for n in stack[-1][0] if n not in on), None)
+        if to is None:
+            _, value, brought = stack.pop()
+            if stack:
+                on.discard(path.pop())
+                total, rest = total - value, rest + brought
+            continue
+        taken += 1
+        if taken > steps:
+            return best, False
+        value = links[path[-1]][to]
+        on.add(to)
+        path.append(to)
+        total, rest = total + value, rest - brings[to]
+        stack.append((iter(order.get(to, [])), value, brings[to]))
+        if to not in best or total > best[to][0]:
+            best[to] = total, list(path)
+        if len(best) == len(brings | {entry: 0}) and total + rest <= min((best[n][0] for n in brings if n not in on), default=total + rest):
+            stack[-1] = (iter(()), value, brings[to])
+    return best, True
+
+
+def _trails_inside(steps: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links: dict = {}
+        for src, dst, v in pdf[pdf["dst"].notna()][["src", "dst", "v"]].itertuples(index=False):
+            links.setdefault(src, {})[dst] = v
+        rows = []
+        for entry in pdf[pdf["dst"].isna()]["src"]:
+            best, whole = best_inside(links, entry, steps)
+            rows += [(pdf["case_id"].iloc[0], entry, to, v, ">".join(path), whole) for to, (v, path) in best.items()]
+        return pd.DataFrame(rows, columns=["case_id", "entry", "to", "v", "way", "exact"])
+
+    return run
+
+
+def reached_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(case_id, node): starts and all nodes behind them."""
+    links = settled(edges.select("case_id", "src", "dst").distinct())
+    frontier = reached = settled(starts.select("case_id", "node").distinct())
+    while not frontier.isEmpty():
+        step = frontier.withColumnRenamed("node", "src").join(links, ["case_id", "src"]).select("case_id", F.col("dst").alias("node")).distinct()
+        frontier = settled(step.join(reached, ["case_id", "node"], "left_anti"))
+        reached = settled(reached.unionByName(frontier))
+    return reached
+
+
+def trail_ends(edges: DataFrame) -> DataFrame:
+    """(case_id, start, end): the source with the highest outflow and the sink with the highest inflow; ties to the first in text order.
+
+    A case without sources or sinks takes the node with the highest outflow or inflow.
+    """
+    own = flows(edges)
+    start = F.max_by("node", F.struct((F.col("in_degree") == 0).alias("a"), F.col("outflow").alias("b"), F.col("after").alias("c")))
+    end = F.max_by("node", F.struct((F.col("out_degree") == 0).alias("a"), F.col("inflow").alias("b"), F.col("after").alias("c")))
+    after = Window.partitionBy("case_id", "inflow", "outflow", "in_degree", "out_degree").orderBy(F.desc("node"))
+    return own.withColumn("after", F.row_number().over(after)).groupBy("case_id").agg(start.alias("start"), end.alias("end"))
+
+
+def money_trail(edges: DataFrame, starts: DataFrame, ends: DataFrame | None = None, steps: int = 200_000) -> DataFrame:
+    """(case_id, path, total_sats, exact): per case the simple path from a start (case_id, node) with the highest total value.
+
+    Of edges between two nodes the sum counts. With ends(case_id, node) it goes to one of them, where one can be reached; else anywhere. Of equal totals
+    the greater end, and of equal ways to a node the greater last step wins. Cases of starts without an outgoing edge have no row.
+
+    A simple path passes each strong component once, so nodes get their best totals in the order of the condensed graph, from one best
+    total and last step per node; only nodes that improved go on to the next round, and there is no limit of hops. Inside a
+    component the best simple paths are searched with a bound on what is left (the problem is NP-hard there); a component
+    that takes more than `steps` steps an entry ends with the best found, and the case's exact is false.
+    """
+    live = edges.filter("value_sats > 0 and src != dst").groupBy("case_id", "src", "dst").agg(F.sum("value_sats").alias("v"))
+    near = reached_from(live, starts)
+    live = settled(live.join(near.withColumnRenamed("node", "src"), ["case_id", "src"], "left_semi"))
+    component = strong_components(live)
+    of = lambda end: component.select("case_id", F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    live = settled(live.join(of("src"), ["case_id", "src"], "left").join(of("dst"), ["case_id", "dst"], "left").withColumn("inner", F.coalesce(F.col("src_of") == F.col("dst_of"), F.lit(False))))
+    begin = starts.select("case_id", "node").distinct()
+    cross = live.filter("not inner").select("case_id", "src", "dst", "v")
+    entries = cross.select("case_id", F.col("dst").alias("node")).unionByName(begin).distinct().join(component, ["case_id", "node"])
+    inner = live.filter("inner").select("case_id", F.col("src_of").alias("component"), "src", "dst", "v")
+    inner = inner.unionByName(entries.select("case_id", "component", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0).cast("long").alias("v")))
+    ways = settled(inner.groupBy("case_id", "component").applyInPandas(_trails_inside(steps), "case_id string, entry string, to string, v long, way string, exact boolean"))
+    onward = cross.join(ways.select("case_id", F.col("entry").alias("dst"), "to", F.col("v").alias("w"), "way"), ["case_id", "dst"], "left")
+    onward = settled(onward.select("case_id", "src", F.coalesce("to", "dst").alias("node"), (F.col("v") + F.coalesce("w", F.lit(0))).alias("v"), F.coalesce("way", "dst").alias("way")))
+    first = begin.join(ways.select("case_id", F.col("entry").alias("node"), "to", "v", "way"), ["case_id", "node"], "left")
+    first = first.select("case_id", F.coalesce("to", "node").alias("node"), F.coalesce("v", F.lit(0)).cast("long").alias("total"), F.lit(None).cast("string").alias("before"), F.coalesce("way", "node").alias("way"))
+    choice = F.max(F.struct("total", "before", "way")).alias("b")
+    best = moved = settled(first.groupBy("case_id", "node").agg(choice).select("case_id", "node", "b.*"))
+    while not moved.isEmpty():
+        came = moved.select("case_id", F.col("node").alias("src"), "total").join(onward, ["case_id", "src"]).select("case_id", "node", (F.col("total") + F.col("v")).alias("total"), F.col("src").alias("before"), "way")
+        came = came.groupBy("case_id", "node").agg(choice).select("case_id", "node", "b.*")
+        known = best.select("case_id", "node", F.col("total").alias("t"), F.col("before").alias("p"))
+        better = (F.col("t").isNull()) | (F.col("total") > F.col("t")) | ((F.col("total") == F.col("t")) & (F.col("before") > F.col("p")))
+        moved = settled(came.join(known, ["case_id", "node"], "left").filter(better).drop("t", "p"))
+        best = settled(best.join(moved.select("case_id", "node"), ["case_id", "node"], "left_anti").unionByName(moved))
+    last = best.filter("total > 0")
+    if ends is not None:
+        wanted = last.join(ends.select("case_id", "node").distinct(), ["case_id", "node"], "left_semi")
+        last = wanted.unionByName(last.join(wanted.select("case_id").distinct(), "case_id", "left_anti"))
+    last = last.groupBy("case_id").agg(F.max(F.struct("total", "node", "before", "way")).alias("b"))
+    done = None
+    open_ = settled(last.select("case_id", F.col("b.total").alias("total_sats"), F.col("b.before").alias("before"), F.col("b.way").alias("path")))
+    while not open_.isEmpty():
+        ended = open_.filter("before is null").select("case_id", "path", "total_sats")
+        done = ended if done is None else done.unionByName(ended)
+        step = best.select("case_id", F.col("node").alias("at"), F.col("before").alias("further"), "way")
+        open_ = settled(open_.join(step, (open_["case_id"] == step["case_id"]) & (F.col("before") == F.col("at"))).select(open_["case_id"], "total_sats", F.col("further").alias("before"), F.concat_ws(">", "way", "path").alias("path")))
+    cut = ways.filter("not exact").select("case_id").distinct().withColumn("cut", F.lit(True))
+    done = open_.select("case_id", "path", "total_sats") if done is None else done
+    return done.join(cut, "case_id", "left").select("case_id", "path", "total_sats", F.col("cut").isNull().alias("exact"))
 
 
 def cycles(edges: DataFrame, max_hops: int = 3) -> DataFrame:

@@ -49,9 +49,9 @@ def quarantine(txo: DataFrame, max_sats: int = 2_100_000_000_000_000) -> DataFra
 
 
 def tx_metrics(tx: DataFrame, txi: DataFrame) -> DataFrame:
-    """Per transaction: vsize, fee rate in tenths of sat/vB (rounded half up), replaceability, number of inputs."""
+    """Per transaction: vsize, fee rate in tenths of sat/vB (rounded half up; null at weight 0), replaceability, number of inputs."""
     flags = txi.groupBy("txid").agg(F.count("*").alias("n_in"), F.bool_or(F.col("sequence") < 0xFFFFFFFE).alias("rbf"))
-    tenth = F.floor(F.col("fee") * 10 / L.vsize(F.col("weight")) + 0.5).cast("long")
+    tenth = F.floor(F.col("fee") * 10 / F.nullif(L.vsize(F.col("weight")), F.lit(0)) + 0.5).cast("long")
     return tx.join(flags, "txid", "left").select("txid", L.vsize(F.col("weight")).alias("vsize"), tenth.alias("fee_rate_x10"), F.coalesce("rbf", F.lit(False)).alias("rbf"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 

@@ -102,7 +102,7 @@ def jn_joint_record(v):
 
 
 @query("jn_manual_assoc", "case_node", """, r as (select distinct a.case_id as by_case, b.case_id as other_case, 'part ' || a.address as rationale from case_node a join case_node b on a.address = b.address and a.case_id <> b.case_id where (a.ord + b.ord) % 3 = 0 or a.ord % 2 = 0)
-select r.* from r where by_case < other_case and exists (select 1 from r q where q.by_case = r.other_case and q.other_case = r.by_case and q.rationale = r.rationale)""")
+select r.* from r join r q on q.by_case = r.other_case and q.other_case = r.by_case and q.rationale = r.rationale where r.by_case < r.other_case""")
 def jn_manual_assoc(v):
     n = nodes(v)
     a, b = n.select("address", F.col("case_id").alias("by_case"), F.col("ord").alias("oa")), n.select("address", F.col("case_id").alias("other_case"), F.col("ord").alias("ob"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from utxolens.operators import graph as G
 from utxolens.operators import transactions as X
+from utxolens.operators.iterate import settled
 from utxolens.plans.registry import query
 from utxolens.plans.transactions import _DENOM, _ENTROPY, _classified, denom
 
@@ -128,11 +129,25 @@ def gr_rank(v):
 , e as (select case_id, src, dst, sum(value_sats) as v from g2 where value_sats > 0 group by all),
 s as (select case_id, src, dst, src || '>' || dst as path, v from e where starts_with(src, 's') and substr(src, 2)::bigint % 10 = 0),
 p as (select case_id, path, v from s union all select s.case_id, s.path || '>' || e.dst, s.v + e.v from s join e on e.case_id = s.case_id and e.src = s.dst),
-b as (select case_id, max(struct_pack(v := v, p := path)) as m from p group by case_id) select case_id, m.p as path, m.v::bigint as total_sats from b""")
+b as (select case_id, max(struct_pack(v := v, p := path)) as m from p group by case_id) select case_id, m.p as path, m.v::bigint as total_sats, true as exact from b""")
 def gr_money_trail(v):
     return G.money_trail(v.g2, seeds(v))
 
 
+@query("gr_money_trail_ends", "g2", f"""
+, e as (select case_id, src, dst, sum(value_sats) as v from g2 where value_sats > 0 group by all), fl as ({_FLOW}),
+s as (select case_id, node from fl where in_degree = 0 qualify row_number() over (partition by case_id order by outflow desc, node) = 1),
+t as (select case_id, node from fl where out_degree = 0 qualify row_number() over (partition by case_id order by inflow desc, node) = 1),
+p as (select e.case_id, e.src || '>' || e.dst as path, e.v, e.dst from e join s on s.case_id = e.case_id and s.node = e.src
+  union all select a.case_id, a.src || '>' || a.dst || '>' || b.dst, a.v + b.v, b.dst from e a join s on s.case_id = a.case_id and s.node = a.src join e b on b.case_id = a.case_id and b.src = a.dst),
+r as (select p.*, t.node is not null as wanted from p left join t on t.case_id = p.case_id and t.node = p.dst)
+select case_id, path, v::bigint as total_sats, true as exact from r qualify row_number() over (partition by case_id order by wanted desc, v desc, dst desc, path desc) = 1""")
+def gr_money_trail_ends(v):
+    """From the source with the highest outflow to the sink with the highest inflow, or as far as money goes."""
+    ends = settled(G.trail_ends(v.g2))
+    return G.money_trail(v.g2, ends.select("case_id", F.col("start").alias("node")), ends.select("case_id", F.col("end").alias("node")))
+
+
 @query("gr_cycles", "", f"""with e as ({_LOOSE}), d as (select * from e where src <> dst)
 select a.case_id, a.src || '>' || a.dst as path, 2::bigint as hops, least(a.value_sats, b.value_sats) as least_sats from d a join d b on a.case_id = b.case_id and a.dst = b.src and b.dst = a.src where a.src < a.dst
 union all select a.case_id, a.src || '>' || a.dst || '>' || b.dst, 3, least(a.value_sats, b.value_sats, c.value_sats) from d a join d b on a.case_id = b.case_id and a.dst = b.src join d c on c.case_id = a.case_id and c.src = b.dst and c.dst = a.src

@@ -24,6 +24,10 @@ def parsed(messages: DataFrame) -> DataFrame:
     return m.select(F.explode(txs).alias("t")).select("t.*")
 
 
+#: The columns of alerts.
+FOUND = "address string, tag string, txid string, ts timestamp, amount_sats long, direction string, fee_rate long"
+
+
 def flows(txs: DataFrame, watched: DataFrame) -> DataFrame:
     """One row per unconfirmed valid transaction and watched address with flow: amount, direction, fee rate (rounded half up).
 
@@ -40,7 +44,7 @@ def flows(txs: DataFrame, watched: DataFrame) -> DataFrame:
 
     own = own.withColumn("sent", moved("ins")).withColumn("received", moved("outs")).filter("sent + received > 0")
     direction = F.when(F.col("sent") == 0, "received").when(F.col("received") == 0, "sent").otherwise("self-mixed")
-    rate = F.floor(F.col("fee") / (F.col("weight") / 4) + 0.5).cast("long")
+    rate = F.floor(F.col("fee") / F.nullif(F.col("weight") / 4, F.lit(0)) + 0.5).cast("long")
     return own.select("address", "tag", "txid", "ts", F.greatest("sent", "received").alias("amount_sats"), direction.alias("direction"), rate.alias("fee_rate"))
 
 
@@ -69,7 +73,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     """Finished versions of the alerts under path, oldest first, on any file system that Spark can write."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS"))
-    return sorted(int(s.getPath().getParent().getName()[1:]) for s in done)
+    return sorted(int(s.getPath().getParent().getName()[1:]) for s in done or ())
 
 
 def keep_newest(path: str, k: int = 50):
@@ -91,5 +95,6 @@ def keep_newest(path: str, k: int = 50):
 
 
 def read_newest(spark: SparkSession, path: str) -> DataFrame:
-    """The alerts of the newest version under path."""
-    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+    """The alerts of the newest version under path; none where no batch has finished."""
+    done = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{done[-1]}") if done else spark.createDataFrame([], FOUND)
