@@ -71,3 +71,12 @@ def test_pipeline_stage_removes_near_copies(spark):
     kept = [r[0] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, DOC), "").select("doc_id").collect()]
     assert sorted(d for d in kept if d is not None) == sorted({d for d, c in brute(docs) if d is not None and d == c}) and kept.count(None) == 2
     assert not {100 + i for i in range(20) if i % 5 < 4} & set(kept)  # copies at 0.95, 0.90, 0.86 and 0.81 are gone
+
+
+def test_unrelated_texts_of_one_doc_id_stay(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, word("a"), "x"), (1, word("b"), "y"), (2, word("a"), "x"), (3, word("b"), "x"), (3, word("b"), "x"), (4, word("c"), "x"), (4, word("c"), "x"), (None, word("a"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[5], rows[7]]))

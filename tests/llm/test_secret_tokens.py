@@ -1,7 +1,10 @@
 """Planted random tokens of every encoding, keys inside paths and compound names, and look-alikes that must stay."""
 
+import math
 import random
+import time
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from utxolens.llm import secrets
@@ -64,3 +67,105 @@ def test_recall_and_paths_on_given_texts(spark):
     found = sum(got[i] > before[i] for i, _, k, _ in rows if k == 0)
     wrong = [t for i, _, k, t in rows if k and got[i] > before[i]]
     assert found >= 0.9 * planted and not wrong, (found, planted, wrong)
+
+
+def test_the_battery_decides(spark, monkeypatch):
+    """Tokens whose symbols are not uniform stay out, though no ordinary text would write them; without the battery they come in."""
+    dice = random.Random(23)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t][:400]
+    rows = list("qwertyuiop asdfghjkl zxcvbnm".split())
+
+    def crafted(i):
+        kind = i % 4
+        if kind == 0:  # a walk on the keyboard, a digit after each letter
+            row = dice.choice(rows)
+            return "".join(row[k % len(row)] + str((k + i) % 10) for k in range(13))
+        if kind == 1:
+            return "".join(dice.choice("Ab") + dice.choice("ab") for _ in range(13)) + str(i % 10) + "Q"
+        if kind == 2:
+            return "".join(f"{c}{c.lower()}{c}" for c in dice.choices("QXZJKVW", k=8)) + str(i % 10)
+        return "".join(dice.choice(["get", "User", "Account", "Balance", "2nd", "Attempt", "Of", "Client"]) for _ in range(5)) + str(i)
+
+    fixed = ["q1w2e3r4t5y6u7i8o9p0a1s2", "Abababababab1Abababababab1", "getUserAccountBalance2ndAttempt"]
+    planted = {}
+    for i in range(0, 400, 2):
+        planted[i] = ("".join(dice.choices(MIXED, k=dice.choice([24, 32, 40]))), True) if i % 8 == 0 else (fixed[i // 2] if i < 6 else crafted(i // 2), False)
+    docs = [(i, f"{t} {planted[i][0]} end" if i in planted else t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def found():
+        spans = {r["doc_id"]: r["spans"] for r in secrets.report(frame).collect()}
+        return {i for i, (token, _) in planted.items() if f"random:{len(texts[i]) + 1}:{len(texts[i]) + 1 + len(token)}" in spans[i]}
+
+    got, random_ones = found(), {i for i, (_, real) in planted.items() if real}
+    assert len(got & random_ones) >= 0.9 * len(random_ones)
+    assert not got & {i for i in range(0, 6) if i in planted and not planted[i][1]} and len(got - random_ones) <= 0.05 * len(planted)
+    monkeypatch.setattr(secrets, "battery", lambda token, encoding: 1.0)
+    without = found()
+    assert len(without - got) > 0.3 * len(planted), (len(without), len(got))
+
+
+def plain_added(texts, rate, level, step=0.1):
+    """Added spans by loops over all tokens, families and limits: (text, start, end)."""
+    tokens, totals, pairs = [], {}, np.zeros((67, 67))
+    for d, text in enumerate(texts):
+        base, own, others = secrets.tokens_of(text)
+        hidden = [(a, b) for a, _, b in base] + [(t["s"], t["e"]) for t in own if t["fit"] >= 0.001]
+        codes = [secrets._SYMBOL_OF[x] for x in text.encode()]
+        ordinary = [not any(a <= i < b for a, b in hidden) for i in range(len(codes))]
+        for i in range(len(codes) - 1):
+            if ordinary[i] or ordinary[i + 1]:
+                pairs[codes[i], codes[i + 1]] += 1
+        for t in own:
+            tokens.append((d, t))
+        for n in others + [t["n"] for t in own]:
+            totals[secrets._length_class(n)] = totals.get(secrets._length_class(n), 0) + 1
+    model = secrets.text_model(pairs.astype(np.int64))
+    out = []
+    for d, t in tokens:
+        family = [x for _, x in tokens if (x["encoding"], secrets._length_class(x["n"])) == (t["encoding"], secrets._length_class(t["n"]))]
+        grid = lambda p: int(-math.log10(max(p, 1e-300)) / step)
+        doubts = sorted((grid(x["fit"]) for x in family), reverse=True)
+        cut = [b for k, b in enumerate(doubts) if 10 ** (-step * b) * len(doubts) <= level * sum(y >= b for y in doubts)]
+        if cut and grid(t["fit"]) >= min(cut):
+            continue
+        bins = [int(model.evidence(x["token"], x["encoding"]) / step) for x in family]
+        least = [b for b in range(max(bins) + 1) if sum(x >= b for x in bins) and 10 ** (-step * b) * totals[secrets._length_class(t["n"])] <= rate * sum(x >= b for x in bins)]
+        mine = model.evidence(t["token"], t["encoding"])
+        if least and mine >= step * min(least):
+            out.append((-mine, t["s"] - t["e"], t["s"], d, t["e"]))
+    taken = []
+    for _, _, s, d, e in sorted(out):
+        if all(d != x or e <= a or b <= s for x, a, b in taken):
+            taken.append((d, s, e))
+    return sorted(taken)
+
+
+def test_added_spans_against_plain_loops(spark):
+    dice = random.Random(31)
+    words = "the path/to/some-file_name of HttpServerFactory2 and item2024order001 with /usr/lib/python3/site ".split()
+    texts = []
+    for i in range(60):
+        own = dice.choices(words, k=dice.randint(5, 40))
+        if i % 2:
+            own.insert(dice.randrange(len(own)), "".join(dice.choices(dice.choice([LOWER, MIXED, MIXED + "+/", "0123456789ABCDEF"]), k=dice.choice([18, 28, 44]))))
+        if i % 5 == 0:
+            own.append("key_" + "".join(dice.choices(MIXED, k=30)) + "/" + "".join(dice.choices(LOWER, k=22)))
+        texts.append(" ".join(own) + (" password=abc123456 AKIA" + "A" * 20 if i % 7 == 0 else ""))
+    got = []
+    for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got += [(r["doc_id"], int(a), int(b)) for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "random"]
+    want = plain_added(texts, 0.001, 0.02)
+    assert sorted(got) == want and len(want) > 20
+
+
+def test_ten_megabytes_take_seconds():
+    dice = random.Random(2)
+    part = " ".join(f"password={i}secretvalue {''.join(dice.choices(MIXED, k=24))} word{i} /a/b-{i}" for i in range(2000))
+    text = part * (10_000_000 // len(part))
+    began = time.process_time()
+    base, tokens, _ = secrets.tokens_of(text)
+    assert len(base) > 50_000 and len(tokens) > 50_000 and time.process_time() - began < 60
+    limits = secrets.Limits(secrets.text_model(np.ones((67, 67), np.int64)), {(t["encoding"], secrets._length_class(t["n"])): 0.0 for t in tokens}, {})
+    began = time.process_time()
+    assert len(limits.chosen(tokens)) > 50_000 and time.process_time() - began < 30

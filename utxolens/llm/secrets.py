@@ -1,10 +1,11 @@
-"""Secret scans: plain patterns, and a battery of randomness tests whose p-values enter a false-discovery control by length."""
+"""Secret scans: plain patterns, and tokens that a battery of randomness tests, under false-discovery control by length, can't reject."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,33 +65,56 @@ def _chi2_tail(x: float, df: int) -> float:
     return 0.5 * math.erfc((((x / df) ** (1 / 3)) - (1 - c)) / math.sqrt(2 * c))
 
 
-def battery(token: str, encoding: str) -> float:
-    """Fisher's combination of the p-values of three tests that the symbols are uniform and independent.
+def _poisson_tail(k: int, mean: float) -> float:
+    """The probability of k events or more."""
+    if k <= 0:
+        return 1.0
+    if k > mean + 12 * math.sqrt(mean) + 40:
+        return math.exp(max(-700.0, k - mean - k * math.log(k / mean)))  # Chernoff's bound
+    term = below = math.exp(-mean)
+    for i in range(1, k):
+        term *= mean / i
+        below += term
+    return max(1e-16, 1.0 - below)
 
-    Chi-squared over single symbols (over upper case, lower case, digits and signs as four kinds, where symbols would be
-    expected under five times), runs above and below the middle of the alphabet, and lag-one serial correlation of the symbol values.
-    """
-    alphabet, index = ALPHABETS[encoding], _INDEX[encoding]
-    values = np.array([index[c] for c in (token.lower() if encoding == "hex" else token)])
+
+def _alphabet_p(values: np.ndarray, alphabet: str) -> float:
+    """Chi-squared over single symbols; where they are expected under five times, the tail of its number of equal pairs, which rises with it,
+    or chi-squared over upper case, lower case, digits and signs as four kinds: twice the smaller."""
     n, size = len(values), len(alphabet)
+    seen = np.bincount(values, minlength=size)
     if n >= 5 * size:
-        seen, expected = np.bincount(values, minlength=size), np.full(size, n / size)
-    else:
-        kind = np.array([0 if c in _UPPER else 1 if c in _LOWER else 2 if c in _DIGIT else 3 for c in alphabet])
-        seen, expected = np.bincount(kind[values], minlength=4), n * np.bincount(kind, minlength=4) / size
-        seen, expected = seen[expected > 0], expected[expected > 0]
-    p = [_chi2_tail(float(((seen - expected) ** 2 / expected).sum()), len(seen) - 1)]
-    high = values >= size / 2
+        return _chi2_tail(float(((seen - n / size) ** 2 / (n / size)).sum()), size - 1)
+    equal = _poisson_tail(int((seen * (seen - 1) // 2).sum()), n * (n - 1) / 2 / size)
+    kind = np.array([0 if c in _UPPER else 1 if c in _LOWER else 2 if c in _DIGIT else 3 for c in alphabet])
+    seen, expected = np.bincount(kind[values], minlength=4), n * np.bincount(kind, minlength=4) / size
+    seen, expected = seen[expected > 0], expected[expected > 0]
+    return min(1.0, 2 * min(equal, _chi2_tail(float(((seen - expected) ** 2 / expected).sum()), len(seen) - 1)))
+
+
+def _runs_p(values: np.ndarray) -> float:
+    """Runs above the median and not above it (Wald and Wolfowitz)."""
+    high, n = values > np.median(values), len(values)
     a, b = int(high.sum()), int((~high).sum())
-    if a and b:
-        mean = 2 * a * b / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        p.append(_normal_tail((1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(spread)) if spread > 0 else 1.0)
-    else:
-        p.append(2.0 ** (1 - n))
-    centred = values - (size - 1) / 2
-    p.append(_normal_tail(float((centred[1:] * centred[:-1]).sum()) / ((size * size - 1) / 12) / math.sqrt(n - 1)))
-    half = -sum(math.log(max(x, 1e-300)) for x in p)
+    if not a:
+        return 2.0 ** (1 - n)
+    mean = 2 * a * b / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    return _normal_tail((1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(spread)) if spread > 0 else 1.0
+
+
+def _serial_p(values: np.ndarray) -> float:
+    """Lag-one serial correlation of the symbol values about their mean."""
+    centred, n = values - values.mean(), len(values)
+    total = float((centred * centred).sum())
+    return _normal_tail((float((centred[1:] * centred[:-1]).sum()) / total + 1 / n) * math.sqrt(n)) if total else 2.0 ** (1 - n)
+
+
+def battery(token: str, encoding: str) -> float:
+    """Fisher's combination of the p-values of three tests that the symbols are uniform and independent: chi-squared, runs, serial correlation."""
+    index = _INDEX[encoding]
+    values = np.array([index[c] for c in (token.lower() if encoding == "hex" else token)])
+    half = -sum(math.log(max(x, 1e-300)) for x in (_alphabet_p(values, ALPHABETS[encoding]), _runs_p(values), _serial_p(values)))
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
@@ -105,6 +129,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def merged(spans) -> tuple[list[int], list[int]]:
+    """Begins and ends of what spans (start, kind, end), sorted by start, cover together."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -123,11 +160,12 @@ def tokens_of(text: str) -> tuple[list[tuple[int, int, int]], list[dict], list[i
     Parts overlap their runs.
     """
     base, tokens, others = base_spans(text), [], []
+    begins, ends = merged(base)
     for m in _TOKEN.finditer(text):
         run = m[0].rstrip("=")
         for at, to in _parts(run):
             token, start, end = run[at:to], m.start() + at, m.end() if to == len(run) else m.start() + to
-            if any(a < end and start < b for a, _, b in base):
+            if bisect_right(ends, start) < bisect_left(begins, end):
                 continue
             if encoding := encoding_of(token):
                 token = token.lower() if encoding == "hex" else token
@@ -178,16 +216,15 @@ class TextModel:
     first: np.ndarray
     then: np.ndarray
 
-    def evidence(self, token: str, encoding: str, fit: float) -> float:
+    def evidence(self, token: str, encoding: str) -> float:
         """-log10 of the token's p-value against ordinary text: one over an e-value, 0 at least.
 
-        The e-value is the likelihood ratio of uniform symbols of the encoding to ordinary text, times 3 * fit ** 2, where fit
-        is the battery's p-value, over the number of encodings. As fit is uniform for uniform symbols, 3 * fit ** 2 is 1 in the
-        mean; so under ordinary text the e-value is 1 at most in the mean, and its inverse is a p-value (Markov's inequality).
+        The e-value is the likelihood ratio of uniform symbols of the encoding to ordinary text, over the number of encodings; under
+        ordinary text it is 1 at most in the mean, and so its inverse is a p-value (Markov's inequality).
         """
         at = _SYMBOL_OF[np.frombuffer(token.encode(), np.uint8)]
         ratio = -len(at) * math.log(len(ALPHABETS[encoding])) - self.first[at[0]] - self.then[at[:-1], at[1:]].sum()
-        return max(0.0, float(ratio + math.log(3 / len(ALPHABETS)) + 2 * math.log(max(fit, 1e-300))) / math.log(10))
+        return max(0.0, float(ratio - math.log(len(ALPHABETS))) / math.log(10))
 
 
 def text_model(pairs: np.ndarray, prior: float = 50.0) -> TextModel:
@@ -211,61 +248,94 @@ def thresholds(counts: dict[tuple[str, int], np.ndarray], tokens: dict[int, int]
     return out
 
 
+def rejected_from(counts: np.ndarray, level: float, step: float) -> float:
+    """The least -log10 p, on a grid, at which the battery's p-values reject: Benjamini-Hochberg in one family; infinity for none.
+
+    counts are the family's tokens by bin of -log10 p. Of the tokens rejected, `level` at most, in the mean, have uniform symbols.
+    """
+    above = np.cumsum(counts[::-1])[::-1]
+    ok = np.flatnonzero((above > 0) & (10.0 ** (-step * np.arange(len(counts))) * counts.sum() <= level * above))
+    return float(step * ok[0]) if len(ok) else math.inf
+
+
+def doubt(fit: float, step: float, most: int) -> int:
+    """The bin of a battery's p-value."""
+    return min(int(-math.log10(max(fit, 1e-300)) / step), most)
+
+
 @dataclass(frozen=True)
 class Limits:
-    """What decides which tokens are added: the model of all texts, and the least evidence by family."""
+    """What decides which tokens are added: where the battery rejects, by family; then, as a filter, the model of all texts and the least evidence by family."""
 
     model: TextModel
     least: dict[tuple[str, int], float]
+    rejected: dict[tuple[str, int], float]
+    step: float = 0.1
+
+    def uniform(self, t: dict) -> bool:
+        """The battery does not reject the token."""
+        return self.step * doubt(t["fit"], self.step, _DOUBTS) < self.rejected.get((t["encoding"], _length_class(t["n"])), math.inf)
 
     def chosen(self, tokens) -> list[dict]:
         """The tokens that pass, in order; of those that overlap the ones with the most evidence."""
         passed = []
         for t in tokens:
-            found = self.model.evidence(t["token"], t["encoding"], t["fit"])
-            if found >= self.least.get((t["encoding"], _length_class(t["n"])), math.inf):
-                passed.append((-found, t["s"] - t["e"], t["s"], t))
+            if self.uniform(t):
+                found = self.model.evidence(t["token"], t["encoding"])
+                if found >= self.least.get((t["encoding"], _length_class(t["n"])), math.inf):
+                    passed.append((-found, t["s"] - t["e"], t["s"], t))
+        taken: list[tuple[int, int]] = []
         out: list[dict] = []
         for *_, t in sorted(passed, key=lambda x: x[:3]):
-            if all(t["e"] <= x["s"] or x["e"] <= t["s"] for x in out):
+            at = bisect_left(taken, (t["s"], t["e"]))
+            if (at == 0 or taken[at - 1][1] <= t["s"]) and (at == len(taken) or t["e"] <= taken[at][0]):
+                insort(taken, (t["s"], t["e"]))
                 out.append(t)
         return sorted(out, key=lambda t: t["s"])
 
 
-def _limits(rows: DataFrame, rate: float, step: float = 0.1) -> Limits:
+_DOUBTS = 400
+
+
+def _limits(rows: DataFrame, rate: float, level: float, step: float = 0.1) -> Limits:
     """Limits from scanned rows (base, tokens, counts)."""
     total = np.zeros(_SYMBOLS * _SYMBOLS + _CLASSES, np.int64)
     for at, n in rows.filter("counts is not null").select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():  # 67 * 67 + 9 rows
         total[at] = n
     model = text_model(total[:-_CLASSES].reshape(_SYMBOLS, _SYMBOLS))
+    most = int(400 / step)
 
-    @F.pandas_udf("double")
-    def weighed(token: pd.Series, encoding: pd.Series, fit: pd.Series) -> pd.Series:
-        return pd.Series([model.evidence(*x) for x in zip(token, encoding, fit, strict=True)], dtype=float)
+    @F.pandas_udf("int")
+    def weighed(token: pd.Series, encoding: pd.Series) -> pd.Series:
+        return pd.Series([min(int(model.evidence(*x) / step), most) for x in zip(token, encoding, strict=True)], dtype="int32")
+
+    @F.pandas_udf("int")
+    def doubted(fit: pd.Series) -> pd.Series:
+        return pd.Series([doubt(x, step, _DOUBTS) for x in fit], dtype="int32")
 
-    most = int(400 / step)
     token = rows.select(F.explode("tokens").alias("t")).select("t.*")
-    token = token.withColumn("bin", F.least(F.floor(weighed("token", "encoding", "fit") / step), F.lit(most)).cast("int"))
-    token = token.groupBy("encoding", F.least(F.floor(F.log2("n")) - 3, F.lit(_CLASSES - 1)).cast("int").alias("length"), "bin").count()
-    counts: dict[tuple[str, int], np.ndarray] = {}
-    for e, length, b, n in token.collect():  # at most 7 encodings x 8 lengths x 4001 bins
-        counts.setdefault((e, length), np.zeros(most + 1))[b] += n
-    return Limits(model, thresholds(counts, dict(enumerate(total[-_CLASSES:].tolist())), rate, step))
+    token = token.select("encoding", F.least(F.floor(F.log2("n")) - 3, F.lit(_CLASSES - 1)).cast("int").alias("length"), weighed("token", "encoding").alias("w"), doubted("fit").alias("d"))
+    token = token.select("encoding", "length", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("w").alias("bin")), F.struct(F.lit(1).alias("kind"), F.col("d").alias("bin")))).alias("x")).groupBy("encoding", "length", "x.kind", "x.bin").count()
+    counts: tuple[dict[tuple[str, int], np.ndarray], ...] = {}, {}
+    for e, length, kind, b, n in token.collect():  # at most 7 encodings x 9 lengths x 4402 bins
+        counts[kind].setdefault((e, length), np.zeros((_DOUBTS if kind else most) + 1))[b] += n
+    return Limits(model, thresholds(counts[0], dict(enumerate(total[-_CLASSES:].tolist())), rate, step), {k: rejected_from(n, level, step) for k, n in counts[1].items()}, step)
 
 
-def report(docs: DataFrame, rate: float = 0.001) -> DataFrame:
+def report(docs: DataFrame, rate: float = 0.001, level: float = 0.02) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs.
 
-    A token of 16 characters or more outside the plain spans, in an inferred encoding, is tested: do its symbols look uniform
-    and independent (the battery's combined p-value), and how much likelier do uniform symbols make it than ordinary text,
-    by the pairs of symbols of all documents (plain spans and random-looking tokens aside)? Both make one p-value; see evidence(). It must pass a false-discovery rate of
-    `rate` in its encoding and length class, where all tokens of the length count as tried. Runs with signs are tried whole and in parts.
+    A token of 16 characters or more outside the plain spans, in an inferred encoding, goes through the battery: are its symbols
+    uniform, and independent of each other? Where its p-value rejects that, at a false-discovery rate of `level` among all tokens of its
+    encoding and length class, it is out; so few random tokens are lost (the tests are not quite independent: three to five in a hundred at 0.02). What stays is filtered: ordinary text, by the pairs of symbols of all documents (plain
+    spans and random-looking tokens aside), must be an unlikely writer of it, at a false-discovery rate of `rate` in its encoding and length
+    class, where all tokens of the length count as tried. Runs with signs are tried whole and in parts.
 
     Null texts are empty; repeated rows and null doc_ids are rows like any others; an empty table gives an empty result;
     other columns are not read.
     """
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_scan, _SCAN)(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*"), "secrets")
-    limits = _limits(rows, rate)
+    limits = _limits(rows, rate, level)
 
     @F.pandas_udf("array<struct<s:long,k:int,e:long>>")
     def added(tokens: pd.Series) -> pd.Series:
@@ -285,14 +355,14 @@ def report(docs: DataFrame, rate: float = 0.001) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_random"))
 
 
-def masked(docs: DataFrame, mask: str = "[secret]", rate: float = 0.001) -> DataFrame:
+def masked(docs: DataFrame, mask: str = "[secret]", rate: float = 0.001, level: float = 0.02) -> DataFrame:
     """docs with every span that report() lists replaced by mask in text, and n_chars to match; no row goes, nulls stay.
 
     Texts are scanned once; only those with spans or tokens go through Python again. Columns of any name are kept; an empty
     table gives an empty result.
     """
     rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.pandas_udf(_scan, _SCAN)(F.col("text").cast("string")).alias("x")).select("row", "x.*"), "scanned")
-    limits = _limits(rows, rate)
+    limits = _limits(rows, rate, level)
 
     @F.pandas_udf("string")
     def hide(texts: pd.Series, bases: pd.Series, tokens: pd.Series) -> pd.Series:

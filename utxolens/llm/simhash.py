@@ -218,7 +218,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int, most_bits: int) ->
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 1024, segments: int = 16, segment_bits: int = 24, near: int = 5) -> DataFrame:
-    """One row per row of docs: doc_id, component_id, for links between texts whose sets of `width`-word shingles have a Jaccard
+    """One row per row of docs: doc_id, component_id; see similar_rows()."""
+    return similar_rows(docs, width, percent, bits, segments, segment_bits, near).select("doc_id", "component_id")
+
+
+def similar_rows(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 1024, segments: int = 16, segment_bits: int = 24, near: int = 5) -> DataFrame:
+    """One row per row of docs: doc_id, t (hash of the text), component, component_id, for links between texts whose sets of `width`-word shingles have a Jaccard
     similarity of at least percent / 100; component_id is the smallest doc_id that links reach.
 
     At a similarity of 0.8 about 15 in 100 bits of a SimHash differ, too many for balls that are complete. So the fingerprint
@@ -281,9 +286,21 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, bits: int
 
     label = placed(nodes.select("id", "least"), "id", "component", components(links))
     smallest = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "id").join(label.join(smallest, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return rows.select("doc_id", "t", "id").join(label.join(smallest, "component").select("id", "component", "component_id"), "id").drop("id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows of each group of similar_groups() that are not its representative; see representatives()."""
-    return representatives(docs, similar_groups(docs, width, percent))
+    """docs with one row of each group of similar_rows(): of its smallest doc_id, and there of the smallest hash of the text.
+
+    Rows of one doc_id with unrelated texts are in different groups and stay. Groups without a doc_id keep all their rows. Columns of any
+    name are kept, nulls too; an empty table stays empty.
+    """
+    own = similar_rows(docs, width, percent).filter("doc_id = component_id")
+    keep = own.groupBy("component").agg(F.min("t").alias("_text"), F.first("doc_id").alias("_doc")).select("_doc", "_text")
+    copies = own.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_text")).agg((F.count("*") > 1).alias("_more"))
+    keep = staged(keep.join(copies, ["_doc", "_text"]), "kept")
+    text = F.col("text").cast("string")
+    here = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(text) == F.col("_text"))
+    once = docs.join(keep.filter("not _more"), here, "left_semi")
+    more = docs.join(keep.filter("_more"), here, "left_semi").withColumn("_text", F.xxhash64(text)).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
