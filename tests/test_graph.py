@@ -204,3 +204,44 @@ def test_a_search_that_is_cut_says_so(spark):
     cut = G.money_trail(edges, start, steps=50).collect()
     assert len(cut) == 1 and not cut[0]["exact"] and cut[0]["total_sats"] > 0
     assert G.money_trail(edges.limit(0), start).collect() == []
+
+
+def test_a_ledger_of_a_trace_has_every_output_met(spark):
+    """Random spending with peels, mixes, dust and all limits, against plain loops."""
+    dice, rows, roots = random.Random(12), [], []
+    for txid in range(150):
+        for vout in range(dice.randint(1, 4)):
+            rows.append((txid, vout, dice.choice([None, *range(txid + 1, txid + 6)]) if dice.random() < 0.9 else dice.randrange(150), dice.choice([100, 600, 5000, 5000, 9000, 70_000]), dice.random() < 0.3))
+    outputs = spark.createDataFrame(rows, "txid long, vout long, spend_txid long, value_sats long, peel boolean")
+    mixed = {t for t in range(150) if t % 11 == 3}
+    roots = [(f"t{r}", r) for r in range(0, 150, 4)]
+    start, mixes = spark.createDataFrame(roots, "trace_id string, txid long"), spark.createDataFrame([(t,) for t in mixed], "txid long")
+    for max_depth, beam, most in ((2, None, None), (3, 2, None), (3, None, 5), (2, 3, 6)):
+        want, reached = [], []
+        for trace, root in roots:
+            seen, level = {root}, {root: max_depth}
+            for depth in range(1, max_depth + 4):
+                open_ = []
+                for t, limit in level.items():
+                    for row in (r for r in rows if r[0] == t):
+                        halt = "unspent" if row[2] is None else "dust" if row[3] < 546 else "mix" if t in mixed else "depth" if limit < depth else None
+                        if halt:
+                            want.append((trace, depth - 1, *row[:4], halt))
+                        else:
+                            open_.append((row, limit))
+                open_.sort(key=lambda x: (-x[0][3], x[0][2], x[0][1]))
+                cut, goes = (open_[beam:] if beam else []), {}
+                for row, limit in open_[: beam or None]:
+                    big, on = goes.get(row[2], (0, 0))
+                    goes[row[2]] = max(big, row[3]), max(on, min(max_depth + 2, limit + row[4]))
+                new = sorted((t for t in goes if t not in seen), key=lambda t: (-goes[t][0], t))
+                late = set(new[max(0, most - len(seen)) :]) if most else set()
+                want += [(trace, depth - 1, *row[:4], "beam") for row, _ in cut]
+                want += [(trace, depth - 1, *row[:4], "again" if row[2] in seen else "budget" if row[2] in late else "new") for row, _ in open_[: beam or None]]
+                level = {t: goes[t][1] for t in new if t not in late}
+                seen |= set(level)
+            reached += [(trace, t) for t in seen]
+        got = G.trace_ledger(outputs, start, max_depth, beam, mixes, most).collect()
+        assert sorted(map(str, ((*r[:6], r["reason"]) for r in got))) == sorted(map(str, want))
+        assert {r["fate"] for r in got} == {"kept", "pruned", "halted"} and all((r["fate"] == "kept") == (r["reason"] in ("new", "again")) for r in got)
+        assert sorted((r["trace_id"], r["txid"]) for r in G.trace(outputs, start, max_depth, beam, mixes, most).collect()) == sorted(reached)

@@ -377,27 +377,58 @@ def clusters(txi: DataFrame, mixes: DataFrame, max_rounds: int = 100) -> DataFra
     return out
 
 
-def trace(outputs: DataFrame, roots: DataFrame, max_depth: int = 2, beam: int | None = None, mixes: DataFrame | None = None) -> DataFrame:
-    """(trace_id, txid, depth): transactions reached from roots (trace_id, txid), level by level, each at its first depth.
+def trace(outputs: DataFrame, roots: DataFrame, max_depth: int = 2, beam: int | None = None, mixes: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(trace_id, txid, depth): transactions reached from roots (trace_id, txid), level by level, each at its first depth; see trace_ledger()."""
+    return _traced(outputs, roots, max_depth, beam, mixes, most)[0].select("trace_id", "txid", "depth")
 
-    outputs(txid, spend_txid, value_sats, and optionally peel) are followed where they are spent and not dust. Transactions of
-    mixes(txid) are reached but not left. A trace ends at depth max_depth; each output with `peel` (a change of high confidence)
+
+def trace_ledger(outputs: DataFrame, roots: DataFrame, max_depth: int = 2, beam: int | None = None, mixes: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(trace_id, depth, txid, vout, spend_txid, value_sats, fate, reason): every output of every transaction a trace reaches, once.
+
+    Roots and outputs(txid, vout, spend_txid, value_sats, and optionally peel) as in trace(). Of fate `kept` are outputs that led to a transaction
+    (reason `new`, the parent edge of a transaction is the largest of these; or `again`, where the trace had it already); `halted`
+    are those that are unspent, dust or of a mix; `pruned` are those that a limit left out: `depth`, `beam` or `budget`. The three
+    make up all outputs met.
+
+    Transactions of mixes(txid) are reached but not left. A trace ends at depth max_depth; each output with `peel` (a change of high confidence)
     on the way moves that limit one further, to max_depth + 2 at most. Of several ways to a transaction at its first depth the
-    furthest limit counts. With `beam`, only that many of the largest outputs of a trace go on from each level.
+    furthest limit counts. With `beam`, only that many of the largest outputs of a trace go on from each level; with `most`, a trace
+    has that many transactions at most, and of a level the ones with the largest outputs come first.
     """
+    return _traced(outputs, roots, max_depth, beam, mixes, most)[1]
+
+
+def _traced(outputs: DataFrame, roots: DataFrame, max_depth: int, beam: int | None, mixes: DataFrame | None, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Transactions reached, and the ledger of outputs met. Each level is ranked once, and split into what goes on and what stays behind."""
     peel = F.coalesce("peel", F.lit(False)) if "peel" in outputs.columns else F.lit(False)
-    follow = outputs.filter("spend_txid is not null").filter(~L.is_dust(F.col("value_sats"))).select("txid", "spend_txid", "value_sats", peel.cast("int").alias("more"))
-    follow = settled(follow if mixes is None else follow.join(mixes.select("txid").distinct(), "txid", "left_anti"))
+    vout = F.col("vout") if "vout" in outputs.columns else F.lit(None).cast("long")
+    met = outputs.select("txid", vout.alias("vout"), "spend_txid", "value_sats", peel.cast("int").alias("more"))
+    mixed = mixes.select("txid", F.lit(True).alias("mixed")).distinct() if mixes is not None else None
+    met = settled(met.withColumn("mixed", F.lit(None).cast("boolean")) if mixed is None else met.join(mixed, "txid", "left"))
+    met = met.withColumn("halt", F.when(F.col("spend_txid").isNull(), "unspent").when(L.is_dust(F.col("value_sats")), "dust").when(F.col("mixed"), "mix"))
     frontier = seen = settled(roots.select("trace_id", "txid", F.lit(0).cast("long").alias("depth"), F.lit(max_depth).alias("limit")).distinct())
-    for depth in range(1, max_depth + 3):
-        step = frontier.filter(F.col("limit") >= depth).join(follow, "txid")
+    ledger = None
+    for depth in range(1, max_depth + 4):
+        step = frontier.join(met, "txid").withColumn("reason", F.when(F.col("halt").isNotNull(), F.col("halt")).when(F.col("limit") < depth, "depth"))
         if beam:
-            order = Window.partitionBy("trace_id").orderBy(F.desc("value_sats"), "spend_txid")
-            step = step.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= beam)
+            order = Window.partitionBy("trace_id", F.col("reason").isNull()).orderBy(F.desc("value_sats"), "spend_txid", "vout")
+            step = step.withColumn("place", F.row_number().over(order)).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("place") > beam), "beam").otherwise(F.col("reason"))).drop("place")
+        step = settled(step)
         reach = F.least(F.lit(max_depth + 2), F.col("limit") + F.col("more"))
-        step = step.groupBy("trace_id", F.col("spend_txid").alias("txid")).agg(F.max(reach).alias("limit")).join(seen, ["trace_id", "txid"], "left_anti")
-        frontier = settled(step.select("trace_id", "txid", F.lit(depth).cast("long").alias("depth"), "limit"))
+        goes = step.filter("reason is null").groupBy("trace_id", F.col("spend_txid").alias("to")).agg(F.max(reach).alias("on"), F.max("value_sats").alias("largest"))
+        goes = goes.join(seen.select("trace_id", F.col("txid").alias("to"), F.lit("again").alias("was")), ["trace_id", "to"], "left")
+        if most:
+            room = seen.groupBy("trace_id").agg((F.lit(most) - F.count("*")).alias("room"))
+            place = F.row_number().over(Window.partitionBy("trace_id", F.col("was").isNull()).orderBy(F.desc("largest"), "to"))
+            goes = goes.join(room, "trace_id").withColumn("was", F.coalesce("was", F.when(place > F.col("room"), "budget")))
+        goes = settled(goes)
+        told = step.join(goes.select("trace_id", F.col("to").alias("spend_txid"), F.coalesce("was", F.lit("new")).alias("went")), ["trace_id", "spend_txid"], "left")
+        why = F.coalesce("reason", "went")
+        fate = F.when(why.isin("new", "again"), "kept").when(why.isin("depth", "beam", "budget"), "pruned").otherwise("halted")
+        told = told.select("trace_id", "depth", "txid", "vout", "spend_txid", "value_sats", fate.alias("fate"), why.alias("reason"))
+        ledger = told if ledger is None else ledger.unionByName(told)
+        frontier = settled(goes.filter("was is null").select("trace_id", F.col("to").alias("txid"), F.lit(depth).cast("long").alias("depth"), F.col("on").alias("limit")))
         if frontier.isEmpty():
             break
         seen = settled(seen.unionByName(frontier))
-    return seen.drop("limit")
+    return seen, ledger

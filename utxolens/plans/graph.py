@@ -229,6 +229,23 @@ def topk_frontier(v):
     return G.trace(v.txo, v.tx.filter("txid % 50 = 0").select(F.col("txid").alias("trace_id"), "txid"), 1, beam=2)
 
 
+@query("gr_trace_ledger", "tx txi txo", ", fm as (" + _DENOM + "), em as (" + _ENTROPY.format(t="fm") + """), mx as (select txid from em where is_coinjoin),
+ro as (select txid as trace_id, txid from tx where txid % 50 = 0),
+s0 as (select trace_id, 0::bigint as depth, o.txid, o.vout, o.spend_txid, o.value_sats,
+  case when o.spend_txid is null then 'unspent' when o.value_sats < 546 then 'dust' when o.txid in (select txid from mx) then 'mix' end as halt from ro join txo o on o.txid = ro.txid),
+s1 as (select *, row_number() over (partition by trace_id, halt is null order by value_sats desc, spend_txid, vout) as place from s0),
+s2 as (select *, coalesce(halt, case when place > 2 then 'beam' when spend_txid = trace_id then 'again' else 'new' end) as reason from s1),
+r1 as (select distinct trace_id, spend_txid as txid from s2 where reason = 'new'),
+s3 as (select trace_id, 1::bigint as depth, o.txid, o.vout, o.spend_txid, o.value_sats,
+  case when o.spend_txid is null then 'unspent' when o.value_sats < 546 then 'dust' when o.txid in (select txid from mx) then 'mix' else 'depth' end as reason from r1 join txo o on o.txid = r1.txid),
+u as (select trace_id, depth, txid, vout, spend_txid, value_sats, reason from s2 union all select * from s3)
+select trace_id, depth, txid, vout, spend_txid, value_sats, case when reason in ('new', 'again') then 'kept' when reason in ('depth', 'beam', 'budget') then 'pruned' else 'halted' end as fate, reason from u""")
+def gr_trace_ledger(v):
+    """What traces of one level and two outputs met, and what became of it."""
+    mixes = X.entropy(denom(v)).filter("is_coinjoin").select("txid")
+    return G.trace_ledger(v.txo, v.tx.filter("txid % 50 = 0").select(F.col("txid").alias("trace_id"), "txid"), 1, beam=2, mixes=mixes)
+
+
 @query("src_manifest", "tx", "select txid, block_height, 'SHA256:' || upper(sha256('{\"block_height\":' || block_height || ',\"fee\":' || fee || ',\"txid\":' || txid || ',\"weight\":' || weight || '}')) as digest from tx")
 def src_manifest(v):
     return v.tx.select("txid", "block_height", F.concat(F.lit("SHA256:"), F.upper(F.sha2(F.to_json(F.struct("block_height", "fee", "txid", "weight")), 256))).alias("digest"))
