@@ -182,6 +182,9 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, width: int = 35, seed: in
 
     keyed has a row (d, t, text) for every row, texts one (d, t, n, zipped) for each n equal rows.
     """
+    if not 0 < seed <= width // 2 or width > 255:
+        raise ValueError("a seed has at most half the width, and a width at most 255 words")
+
     def found_in(candidates: DataFrame) -> DataFrame:
         return texts.join(candidates.groupBy("d", "t").agg(F.collect_set("v").alias("found")), ["d", "t"])
 
