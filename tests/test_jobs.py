@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from utxolens.functions import memos as M
+from utxolens.functions import scripts as S
 from utxolens.functions import texts as T
 from utxolens.operators import cases as C
 from utxolens.operators import evidence as E
@@ -26,11 +28,29 @@ def test_address_types(spark):
 
 def test_memos(spark):
     evm = "0x" + "ab" * 20
-    cases = {"=:ETH.USDT:" + evm: ("THORChain", "ETH", "USDT", evm), "SSH:usdt:" + evm: ("SideShift", "ETH", "USDT", evm), "RETURN bridge:sol:me:usdc": ("Bridge", "SOL", "USDC", "me"), "pay " + evm: ("EVM", "ETH", "ERC-20", evm), "m:BTC.BTC:x": ("Maya", "BTC", "BTC", "x"), "hello": None}
-    got = {r["a"]: tuple(r)[1:] if r["protocol"] else None for r in T.with_memo(column(spark, [*cases, None]), "a").collect()}
+    cases = {"=:ETH.USDT:" + evm: ("THORChain", "ETH", "USDT", evm), "SSH:usdt:" + evm: ("SideShift", "ETH", "USDT", evm), "RETURN bridge:sol:me:usdc": ("Bridge", "SOL", "USDC", "me"), "pay " + evm: ("EVM", "ETH", "ERC-20", evm), "m:BTC.BTC:x": ("Maya", "BTC", "BTC", "x"), "hello": None, "": None, "6a0b" + b"=:BTC.BTC:y".hex(): ("THORChain", "BTC", "BTC", "y"),
+        "0x" + b"SWAP:xmr:abc".hex(): ("Bridge", "XMR", "NATIVE", "abc"), "6a4c0f" + b"SSH:Taddr:usdt!".hex(): ("SideShift", "UNKNOWN", "USDT", "Taddr"), "to T" + "z" * 33 + " now": ("TRON", "TRX", "TRC-20", "T" + "z" * 33), "T" + "z" * 34: None,
+        "solana: " + "A" * 40: ("Solana", "SOL", "SPL", "A" * 40), "B" * 40 + " on Sol " + "C" * 32: ("Solana", "SOL", "SPL", "C" * 32), "D" * 40: None, "1x sol " + "E" * 40: None, "BRIDGE:" + evm: ("Bridge", "ETH", "NATIVE", evm), "SWAP:ETH": None, "s:a.b": None}
+    got = {r["a"]: tuple(r)[1:] if r["protocol"] else None for r in M.with_memo(column(spark, [*cases, None]), "a").collect()}
     assert got.pop(None) is None and got == cases
 
 
+def test_layer_two_by_opcodes(spark):
+    key, digest = "21" + "02" * 33, "20" + "a9" * 16 + "b1" * 8 + "63" * 8
+    cases = {"52" + key + key + "52ae": "channel funding", "52" + key + "52ae": "none", "a8" + digest + "876321" + "03" * 33 + "6703000001b17568ac": "swap service",
+        "63a8" + digest + "8867029000b27568ac": "hash-locked swap", digest + "ac": "none", "4d2000" + "a9b16367" * 8 + "87": "none", "": "none"}
+    spelled = column(spark, [*cases, None]).select("a", S.spelled(F.col("a")).alias("ops"))
+    got = {r["a"]: r["l"] for r in spelled.withColumn("l", S.layer_two(F.col("ops"))).collect()}
+    assert got.pop(None) == "none" and got == cases
+
+
+def test_bridge_entities(spark):
+    rows = [(1, "bc1qTHORx", None), (2, "a", "My SideShift desk"), (3, "b", "chain-hop desk"), (4, "crosschain1", ""), (5, "c", "plain"), (6, None, None)]
+    providers = (("sideshift", "3Side", "SideShift AI Router", "high"), ("thorchain", "bc1qthor", "Vault", "critical"))
+    got = {r["node"]: (r["id"], r["provider"], r["risk"]) for r in Y.bridge_entities(spark.createDataFrame(rows, "node int, address string, name string"), providers, ("chain-hop",), ("crosschain",)).collect()}
+    assert got == {1: ("thorchain", "Vault", "critical"), 2: ("sideshift", "SideShift AI Router", "high"), 3: ("generic-bridge", "chain-hop desk", "high"), 4: ("generic-bridge", "Unattributed bridge", "high")}
+
+
 def test_networks(spark):
     cases = {"0x" + "1" * 40: "EVM", "T" + "a" * 33: "TRON", "1abc": "BTC", "So11111111111111111111111111111111111111112": "SOL", "z" * 44: "none", "?": "none"}
     assert {r["a"]: r["n"] for r in column(spark, cases).withColumn("n", T.network_of(F.col("a"))).collect()} == cases

@@ -1,4 +1,4 @@
-"""Column expressions over addresses, scripts and memos. One Arrow UDF, where 256-bit numbers need it (network_of)."""
+"""Column expressions over addresses and script templates. One Arrow UDF, where 256-bit numbers need it (network_of)."""
 
 from __future__ import annotations
 
@@ -73,15 +73,6 @@ def network_of(address: Column) -> Column:
     return F.when(address.rlike("^0x[0-9a-fA-F]{40}$"), "EVM").when(address.rlike("^T[1-9A-HJ-NP-Za-km-z]{33}$"), "TRON").when(address.rlike("^(bc1|[13])"), "BTC").when(is_key(form), "SOL").otherwise("none")
 
 
-def layer_two(script_hex: Column) -> Column:
-    """Exit to another layer that a script spends to or from: channel funding, hash-locked swap, a swap service's form of it; else none."""
-    has = script_hex.contains
-    funding = script_hex.endswith("52ae") & (script_hex.startswith("52") | has("5221"))
-    lock = (has("a9") | has("a8")) & (has("b1") | has("b2")) & (has("63") | has("67") | has("68"))
-    swap = lock | (has("a9") & has("b1")) | (has("63") & has("67") & has("b1"))
-    return F.when(funding, "channel funding").when(swap & has("8763") & has("b175"), "swap service").when(swap, "hash-locked swap").otherwise("none")
-
-
 def printable(hexes: Column) -> Column:
     """Hex as ASCII with dots for other bytes; null with fewer than two printable characters."""
     text = F.regexp_replace(F.decode(F.unhex(hexes), "ISO-8859-1"), "[^ -~]", ".")
@@ -94,47 +85,6 @@ def carried_text(script_hex: Column) -> Column:
     return F.when(script_hex.startswith("6a"), F.coalesce(printable(body), printable(F.substring(body, 3, 1_000_000))))
 
 
-def with_memo(df: DataFrame, text: str) -> DataFrame:
-    """Adds protocol, chain, asset and destination of a bridge memo in column text, or nulls; the first form that fits counts.
-
-    The parts of each form are columns of a step of their own, so that each pattern is matched once.
-    """
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.col(text)), r"""^["']|["']$""", ""), r"(?i)^(?:OP_)?RETURN\s+", ""))
-    forms = {
-        "_swap": (r"(?i)^(?:SWAP|s|=|MAYAN|m):([A-Z0-9]+)\.([A-Z0-9_-]+):([a-zA-Z0-9_]+)", 3),
-        "_side": (r"(?i)^(?:SIDESHIFT|SSH):([a-zA-Z0-9_]+)(?::([a-zA-Z0-9_-]+))?", 2),
-        "_bridge": (r"(?i)^(?:BRIDGE|SWAP):([a-zA-Z0-9_]+)(?::([a-zA-Z0-9_]+))?(?::([a-zA-Z0-9_-]+))?", 3),
-        "_evm": (r"(0x[a-fA-F0-9]{40})", 1),
-    }
-    own = df.withColumn("_clean", clean)
-    own = own.withColumns({f"{n}{i}": F.nullif(F.regexp_extract("_clean", p, i), F.lit("")) for n, (p, k) in forms.items() for i in range(1, k + 1)})
-    turned = F.coalesce(F.col("_side2").startswith("0x") | F.col("_side2").startswith("T") | (F.length("_side2") > 25), F.lit(False))
-    known = F.upper("_bridge1").isin("ETH", "BSC", "TRX", "SOL", "AVAX", "LTC", "DOGE", "BTC")  # fixed values
-    own = own.withColumns({
-        "_at": F.when(turned, F.col("_side2")).otherwise(F.col("_side1")), "_coin": F.when(turned, F.upper("_side1")).otherwise(F.coalesce(F.upper("_side2"), F.lit("NATIVE"))), "_known": known,
-        "_to": F.when(known, F.col("_bridge2")).otherwise(F.col("_bridge1")), "_kind": F.coalesce(F.when(known, F.upper("_bridge3")).otherwise(F.upper("_bridge2")), F.lit("NATIVE")),
-    })
-
-    def chain_of(address: Column) -> Column:
-        return F.when(address.startswith("0x"), "ETH").when(address.startswith("T") & (F.length(address) >= 33), "TRX").when(address.rlike("^[1-9A-HJ-NP-Za-km-z]{32,44}$"), "SOL").otherwise("UNKNOWN")
-
-    own = own.withColumn("_form", F.when(F.col("_swap3").isNotNull(), 1).when(F.col("_side1").isNotNull(), 2).when(F.col("_bridge1").isNotNull() & F.col("_to").isNotNull(), 3).when(F.col("_evm1").isNotNull(), 4))
-
-    def by_form(*columns: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for i, c in enumerate(columns, 1):
-            out = F.when(F.col("_form") == i, c).otherwise(out)
-        return out
-
-    own = own.withColumn("destination", by_form(F.col("_swap3"), F.col("_at"), F.col("_to"), F.col("_evm1")))
-    own = own.withColumn("_guess", chain_of(F.col("destination")))
-    return own.select(
-        *df.columns, by_form(F.when(F.lower("_clean").startswith("m"), "Maya").otherwise("THORChain"), F.lit("SideShift"), F.lit("Bridge"), F.lit("EVM")).alias("protocol"),
-        by_form(F.upper("_swap1"), F.col("_guess"), F.when(F.col("_known"), F.upper("_bridge1")).otherwise(F.col("_guess")), F.lit("ETH")).alias("chain"),
-        by_form(F.upper("_swap2"), F.col("_coin"), F.col("_kind"), F.lit("ERC-20")).alias("asset"), "destination",
-    )
-
-
 def template(script_hex: Column) -> Column:
     """The standard form of an output script."""
     rules = (("^76a914[0-9a-f]{40}88ac$", "legacy"), ("^a914[0-9a-f]{40}87$", "script hash"), ("^0014[0-9a-f]{40}$", "segwit"), ("^0020[0-9a-f]{64}$", "segwit script"), ("^5120[0-9a-f]{64}$", "taproot"), ("^6a", "data"), ("^(41|21)[0-9a-f]+ac$", "bare key"))  # fixed values

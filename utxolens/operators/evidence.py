@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from utxolens.functions import scripts as S
 from utxolens.operators.iterate import settled
 
 
@@ -20,21 +21,8 @@ def graph_nodes(tx: DataFrame, txi: DataFrame, txo: DataFrame, mixes: DataFrame)
 
 
 def opcodes(scripts: DataFrame) -> DataFrame:
-    """(opcode, n): opcodes of scripts(script, hexadecimal); pushed data is passed over, after its length in 0, 1, 2 or 4 bytes, least byte first."""
-    size = F.floor(F.length("script") / 2).cast("int")
-    byte = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.conv(F.substring("script", i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    own = scripts.withColumn("_n", size).filter("_n > 0").withColumn("_b", byte)
-    state = lambda skip, digits, place, ops: F.struct(skip.alias("skip"), digits.alias("digits"), place.alias("place"), ops.alias("ops"))
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    start = state(none, F.lit(0), one, F.array().cast("array<int>"))
-
-    def step(s, b):
-        sized = state(s["skip"] + b * s["place"], s["digits"] - 1, s["place"] * 256, s["ops"])
-        passed = state(s["skip"] - 1, F.lit(0), one, s["ops"])
-        op = state(F.when(b.between(1, 75), b).otherwise(none), F.when(b == 76, 1).when(b == 77, 2).when(b == 78, 4).otherwise(0), one, F.concat(s["ops"], F.array(b.cast("int"))))
-        return F.when(s["digits"] > 0, sized).when(s["skip"] > 0, passed).otherwise(op)
-
-    return own.select(F.explode(F.aggregate("_b", start, step, lambda s: s["ops"])).alias("opcode")).groupBy("opcode").agg(F.count("*").alias("n"))
+    """(opcode, n): opcodes of scripts(script, hexadecimal), pushed data passed over. Null and empty scripts have none."""
+    return scripts.select(F.explode(S.opcodes(F.col("script"))).alias("opcode")).groupBy("opcode").agg(F.count("*").alias("n"))
 
 
 def unmix_candidates(mixes: DataFrame, txi: DataFrame, txo: DataFrame, least_fee: int, most_fee: int, most_inputs: int = 16) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utxolens.functions import ledger as L
-from utxolens.functions import texts as T
+from utxolens.functions import memos as M
 from utxolens.operators.iterate import in_order
 
 
@@ -95,15 +95,24 @@ def graph_peels(flows: DataFrame, hops: DataFrame) -> DataFrame:
 
 def bridge_exits(memos: DataFrame) -> DataFrame:
     """Value by protocol and chain of memos(memo, value_sats) that name a bridge."""
-    own = T.with_memo(memos, "memo").filter("protocol is not null")
+    own = M.with_memo(memos, "memo").filter("protocol is not null")
     return own.groupBy("protocol", "chain").agg(F.count("*").alias("memos"), F.sum("value_sats").alias("sats"), F.count_distinct("destination").alias("destinations"))
 
 
-def bridge_entities(labels: DataFrame, providers: DataFrame) -> DataFrame:
-    """Each label with the first provider (rank, pattern, provider) whose pattern it contains; providers are a fixed short list."""
-    hit = labels.join(F.broadcast(providers), F.lower("label").contains(F.col("pattern")))
-    first = Window.partitionBy("label").orderBy("rank")
-    return hit.withColumn("n", F.row_number().over(first)).filter("n = 1").select("label", "provider", "pattern")
+def bridge_entities(nodes: DataFrame, providers: Sequence[tuple[str, str, str, str]], labels: Sequence[str], addresses: Sequence[str]) -> DataFrame:
+    """Nodes (node, address, name) of bridges: the first provider (id, pattern, name, risk) whose pattern the address, or whose id or
+    name the node's name contains, in any case; else, by a word of `labels` in the name or of `addresses` in the address, a generic
+    bridge of high risk under the node's own name.
+
+    Providers are a fixed short list and become one expression: no join. A null address or name matches nothing.
+    """
+    address, name = F.lower(F.coalesce("address", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))
+    told = lambda *parts: F.struct(*[p.alias(c) for p, c in zip(parts, ("id", "provider", "risk"), strict=True)])
+    known = [F.when(address.contains(p.lower()) | name.contains(i) | name.contains(n.lower()), told(F.lit(i), F.lit(n), F.lit(r))) for i, p, n, r in providers]
+    word = reduce(or_, [name.contains(w) for w in labels] + [address.contains(w) for w in addresses])
+    own = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("Unattributed bridge"))
+    generic = F.when(word, told(F.lit("generic-bridge"), own, F.lit("high")))
+    return nodes.withColumn("_b", F.coalesce(*known, generic)).filter("_b is not null").select("node", "address", "_b.id", "_b.provider", "_b.risk")
 
 
 def swap_routers(nodes: DataFrame, routers: Sequence[tuple[str, str, str, str]], words: Sequence[str]) -> DataFrame:

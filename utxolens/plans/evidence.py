@@ -14,7 +14,7 @@ from utxolens.operators.iterate import settled
 from utxolens.plans.cases import edges, nodes
 from utxolens.plans.registry import query
 from utxolens.plans.transactions import _DENOM, _ENTROPY, _classified, denom
-from utxolens.plans.typologies import _SCRIPTS, scripts
+from utxolens.plans.typologies import _DECODED, _SCRIPTS, scripts
 from utxolens.sources import imports as I
 
 
@@ -30,9 +30,7 @@ def graph_build(v):
     return E.graph_nodes(v.tx, v.txi, v.txo, v.tx.filter("txid % 9 = 0"))
 
 
-@query("opcode_census", "", f"""with recursive s as ({_SCRIPTS}), b as (select p_partkey, script, length(script) // 2 as n from s),
-w as (select p_partkey, script, n, 0 as pos, ('0x' || script[1:2])::int as op from b where n > 0
-  union all select p_partkey, script, n, q, ('0x' || script[q * 2 + 1:q * 2 + 2])::int from (select *, case when op between 1 and 75 then pos + 1 + op when op = 76 then pos + 2 + ('0x' || coalesce(nullif(script[pos * 2 + 3:pos * 2 + 4], ''), '00'))::int else pos + 1 end as q from w) where q < n)
+@query("opcode_census", "", f"""with recursive s as ({_SCRIPTS}), {_DECODED}
 select op as opcode, count(*) as n from w group by op""")
 def opcode_census(v):
     return E.opcodes(scripts(v))

@@ -158,14 +158,14 @@ def flt_attribution(v):
 #: Starts of labelled addresses.
 _STARTS = ("1Fixed", "BC1QCHG", "3Side", "bc1qthor", "1Swap", "bc1qmaya", "symbiosis", "1Suex", "3E8t", "bc1pq", "qz")
 LABELLED = f"""select p_partkey as node, {list(_STARTS)}[(p_partkey % {len(_STARTS)} + 1)::int] || 'x' || p_partkey as address,
-  case p_partkey % 7 when 0 then p_name || ' Cross-Chain hub' when 1 then 'my simpleswap custodial bridge' when 2 then 'Swapper ' || p_name else p_name end as name from part"""
+  case p_partkey % 7 when 0 then p_name || ' Cross-Chain hub' when 1 then 'my simpleswap custodial bridge' when 2 then 'Swapper ' || p_name when 3 then 'SideShift AI Router ' || p_name when 4 then 'thorchain ' || p_name else p_name end as name from part"""
 
 
 def labelled(v):
     """Parts as nodes with an address and a name."""
     key, k = F.col("p_partkey"), F.col("p_partkey") % 7
     start = F.element_at(F.array(*map(F.lit, _STARTS)), (key % len(_STARTS) + 1).cast("int"))
-    name = F.when(k == 0, F.concat("p_name", F.lit(" Cross-Chain hub"))).when(k == 1, "my simpleswap custodial bridge").when(k == 2, F.concat(F.lit("Swapper "), "p_name")).otherwise(F.col("p_name"))
+    name = F.when(k == 0, F.concat("p_name", F.lit(" Cross-Chain hub"))).when(k == 1, "my simpleswap custodial bridge").when(k == 2, F.concat(F.lit("Swapper "), "p_name")).when(k == 3, F.concat(F.lit("SideShift AI Router "), "p_name")).when(k == 4, F.concat(F.lit("thorchain "), "p_name")).otherwise(F.col("p_name"))
     return v.table("part").select(key.alias("node"), F.concat(start, F.lit("x"), key.cast("string")).alias("address"), name.alias("name"))
 
 
@@ -194,6 +194,17 @@ def jn_swap_router(v):
     return Y.swap_routers(labelled(v), D.ROUTERS, D.ROUTER_WORDS)
 
 
+_BRIDGES = [(i, p, n, r) for i, (p, n, _, r) in zip(D.PROVIDER_IDS, D.PROVIDERS, strict=True)]
+
+
+@query("jn_bridge_entity", "tx", f""", n as ({LABELLED}), pv(id, pattern, provider, risk) as (values {_values(_BRIDGES)}), pk as (select *, row_number() over () as k from pv),
+h as (select node, arg_min(struct_pack(id := id, provider := provider, risk := risk), k) as f from n join pk on contains(lower(n.address), lower(pattern)) or contains(lower(n.name), id) or contains(lower(n.name), lower(provider)) group by node)
+select n.node, n.address, coalesce(f.id, 'generic-bridge') as id, coalesce(f.provider, n.name) as provider, coalesce(f.risk, 'high') as risk from n left join h on h.node = n.node
+where f is not null or regexp_matches(lower(n.name), 'bridge|cross-chain|instant swap|chain-hop') or regexp_matches(lower(n.address), 'bridge|crosschain')""")
+def jn_bridge_entity(v):
+    return Y.bridge_entities(labelled(v), _BRIDGES, D.BRIDGE_LABELS, D.BRIDGE_ADDRESSES)
+
+
 @query("win_action_fields", "tx", """, p as (select user_id as action_id, event_id as seq, case when event_id % 7 in (0, 3) then 'note ' || event_id % 4 end as e,
   case event_id % 7 when 1 then '2024-02-0' || (event_id % 3 + 1) when 3 then '' when 4 then 'soon' end as f, case when event_id % 7 in (2, 3) then 'paid ' || event_id % 2 end as o, event_id % 7 = 5 as x from events),
 a as (select *, case when x then 'UNSUPPORTED_FIELDS' when f <> '' and try_cast(f as timestamp) is null then 'INVALID_DATE' end as refused from p),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from utxolens.functions import scripts as S
 from utxolens.functions import texts as T
 from utxolens.operators import graph as G
 from utxolens.operators import typologies as Y
@@ -13,12 +14,19 @@ from utxolens.plans.registry import query
 _B58 = "^[1-9A-HJ-NP-Za-km-z]+$"
 _HEX40 = "substr(sha256('k' || p_partkey), 1, 40)"
 _SCRIPTS = f"""select p_partkey, case p_partkey % 8 when 0 then '76a914' || {_HEX40} || '88ac' when 1 then 'a914' || {_HEX40} || '87' when 2 then '0014' || {_HEX40} when 3 then '0020' || sha256('k' || p_partkey)
-  when 4 then '5120' || sha256('k' || p_partkey) when 5 then '6a' || lower(hex(p_name || '#' || p_partkey)) when 6 then '21' || '02' || sha256('k' || p_partkey) || 'ac' else '5221' || {_HEX40} || '52ae' end as script, p_size as n from part"""
+  when 4 then '5120' || sha256('k' || p_partkey) when 5 then '6a' || lower(hex(p_name || '#' || p_partkey)) when 6 then '21' || '02' || sha256('k' || p_partkey) || 'ac'
+  else case p_partkey // 8 % 3 when 0 then '522102' || sha256('k' || p_partkey) || '2103' || sha256('k' || p_partkey) || '52ae' when 1 then 'a914' || {_HEX40} || '87632102' || sha256('k' || p_partkey) || '670300a861b1752102' || sha256('k' || p_partkey) || '68ac'
+    else '63a820' || sha256('k' || p_partkey) || '882102' || sha256('k' || p_partkey) || '6703900000b2752103' || sha256('k' || p_partkey) || '68ac' end end as script, p_size as n from part"""
+_DECODED = """b as (select p_partkey, script, length(script) // 2 as n from s),
+w as (select p_partkey, script, n, 0 as pos, ('0x' || script[1:2])::int as op from b where n > 0
+  union all select p_partkey, script, n, q, ('0x' || script[q * 2 + 1:q * 2 + 2])::int from (select *, case when op between 1 and 75 then pos + 1 + op when op = 76 then pos + 2 + ('0x' || coalesce(nullif(script[pos * 2 + 3:pos * 2 + 4], ''), '00'))::int else pos + 1 end as q from w) where q < n)"""
 _ADDR = f"""select p_partkey, case p_size % 6 when 0 then '1' || translate(substr(sha256('a' || p_partkey), 1, 30), '0', 'Z') when 1 then '3' || translate(substr(sha256('a' || p_partkey), 1, 30), '0', 'z')
   when 2 then 'bc1qw508d6qejxtdg4y5r3zarvary0c5xw7k' || case when p_partkey % 2 = 0 then 'v8f3t4' else 'v8f3t5' end
   when 3 then 'bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj' || (p_partkey % 4) when 4 then '0x' || {_HEX40} else 'junk ' || p_partkey end as address from part"""
 _MEMO = """select c_custkey, case c_custkey % 7 when 0 then '=:ETH.USDT:0x' || lpad(to_hex(c_custkey), 40, '0') when 1 then 'SSH:0x' || lpad(to_hex(c_custkey), 40, '0') || ':usdt' when 2 then 'BRIDGE:SOL:dest' || c_custkey || ':sol'
-  when 3 then 'plain text ' || c_custkey when 4 then 'm:BTC.BTC:bc1' || c_custkey when 5 then 'pay 0x' || lpad(to_hex(c_custkey), 40, 'a') else 'OP_RETURN SWAP:target' || c_custkey end as memo, round(c_acctbal * 100)::bigint as value_sats from customer"""
+  when 3 then case c_custkey // 7 % 4 when 0 then 'plain text ' || c_custkey when 1 then '6a' || lpad(to_hex(length('=:ETH.ETH:d' || c_custkey)), 2, '0') || hex('=:ETH.ETH:d' || c_custkey)
+    when 2 then 'send to T' || translate(substr(sha256('t' || c_custkey), 1, 33), '0', 'Z') else 'sol wallet: ' || translate(substr(sha256('t' || c_custkey), 1, 40), '0', 'Z') end
+  when 4 then 'm:BTC.BTC:bc1' || c_custkey when 5 then 'pay 0x' || lpad(to_hex(c_custkey), 40, 'a') else 'OP_RETURN SWAP:target' || c_custkey end as memo, round(c_acctbal * 100)::bigint as value_sats from customer"""
 
 
 def scripts(v):
@@ -26,7 +34,11 @@ def scripts(v):
     digest = F.sha2(F.concat(F.lit("k"), key), 256)
     h40 = F.substring(digest, 1, 40)
     kinds = [F.concat(F.lit("76a914"), h40, F.lit("88ac")), F.concat(F.lit("a914"), h40, F.lit("87")), F.concat(F.lit("0014"), h40), F.concat(F.lit("0020"), digest), F.concat(F.lit("5120"), digest), F.concat(F.lit("6a"), F.lower(F.hex(F.concat("p_name", F.lit("#"), key)))), F.concat(F.lit("2102"), digest, F.lit("ac"))]
-    script = F.concat(F.lit("5221"), h40, F.lit("52ae"))
+    funding = F.concat(F.lit("522102"), digest, F.lit("2103"), digest, F.lit("52ae"))
+    service = F.concat(F.lit("a914"), h40, F.lit("87632102"), digest, F.lit("670300a861b1752102"), digest, F.lit("68ac"))
+    locked = F.concat(F.lit("63a820"), digest, F.lit("882102"), digest, F.lit("6703900000b2752103"), digest, F.lit("68ac"))
+    third = F.floor(F.col("p_partkey") / 8) % 3
+    script = F.when(third == 0, funding).when(third == 1, service).otherwise(locked)
     for i, k in enumerate(kinds):
         script = F.when(F.col("p_partkey") % 8 == i, k).otherwise(script)
     return v.table("part").select("p_partkey", script.alias("script"), F.col("p_size").alias("n"))
@@ -47,7 +59,10 @@ def memos(v):
     k, key = F.col("c_custkey") % 7, F.col("c_custkey")
     hexes = F.hex(key)
     evm = F.concat(F.lit("0x"), F.lpad(hexes, 40, "0"))
-    text = F.when(k == 0, F.concat(F.lit("=:ETH.USDT:"), evm)).when(k == 1, F.concat(F.lit("SSH:"), evm, F.lit(":usdt"))).when(k == 2, F.concat(F.lit("BRIDGE:SOL:dest"), key.cast("string"), F.lit(":sol"))).when(k == 3, F.concat(F.lit("plain text "), key.cast("string")))
+    swap, digest, part = F.concat(F.lit("=:ETH.ETH:d"), key.cast("string")), F.sha2(F.concat(F.lit("t"), key.cast("string")), 256), F.floor(key / 7) % 4
+    tron, sol = F.concat(F.lit("send to T"), F.translate(F.substring(digest, 1, 33), "0", "Z")), F.concat(F.lit("sol wallet: "), F.translate(F.substring(digest, 1, 40), "0", "Z"))
+    odd = F.when(part == 0, F.concat(F.lit("plain text "), key.cast("string"))).when(part == 1, F.concat(F.lit("6a"), F.lpad(F.hex(F.length(swap)), 2, "0"), F.hex(swap))).when(part == 2, tron).otherwise(sol)
+    text = F.when(k == 0, F.concat(F.lit("=:ETH.USDT:"), evm)).when(k == 1, F.concat(F.lit("SSH:"), evm, F.lit(":usdt"))).when(k == 2, F.concat(F.lit("BRIDGE:SOL:dest"), key.cast("string"), F.lit(":sol"))).when(k == 3, odd)
     text = text.when(k == 4, F.concat(F.lit("m:BTC.BTC:bc1"), key.cast("string"))).when(k == 5, F.concat(F.lit("pay 0x"), F.lpad(hexes, 40, "a"))).otherwise(F.concat(F.lit("OP_RETURN SWAP:target"), key.cast("string")))
     return v.table("customer").select("c_custkey", text.alias("memo"), F.round(F.col("c_acctbal") * 100).cast("long").alias("value_sats"))
 
@@ -64,11 +79,14 @@ def op_return_texts(v):
     return scripts(v).withColumn("text", T.carried_text(F.col("script"))).filter("text is not null").groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("l2_exits", "", f"""with s as ({_SCRIPTS}), c as (select script, script like '%a9%' as a9, script like '%a8%' as a8, script like '%b1%' as b1, script like '%b2%' as b2, script like '%63%' as s63, script like '%67%' as s67, script like '%68%' as s68 from s),
-k as (select script, ((a9 or a8) and (b1 or b2) and (s63 or s67 or s68)) or (a9 and b1) or (s63 and s67 and b1) as swap from c)
-select case when script like '%52ae' and (script like '52%' or script like '%5221%') then 'channel funding' when swap and script like '%8763%' and script like '%b175%' then 'swap service' when swap then 'hash-locked swap' else 'none' end as protocol, count(*) as scripts from k group by 1""")
+@query("l2_exits", "", f"""with recursive s as ({_SCRIPTS}), {_DECODED},
+o as (select p_partkey, list(op order by pos) as ops from w group by p_partkey),
+h as (select *, list_has_any(ops, [168, 169]) and list_has_any(ops, [177, 178]) and list_has_any(ops, [99, 103, 104]) or list_has_all(ops, [169, 177]) or list_has_all(ops, [99, 103, 177]) as swap,
+  len(list_filter(range(1, len(ops)), lambda i: ops[i] = 135 and ops[i + 1] = 99)) > 0 and len(list_filter(range(1, len(ops)), lambda i: ops[i] = 177 and ops[i + 1] = 117)) > 0 as service from o)
+select case when ops[-5:] = [82, 33, 33, 82, 174] then 'channel funding' when swap and service then 'swap service' when swap then 'hash-locked swap' else 'none' end as protocol, count(*) as scripts from h group by 1""")
 def l2_exits(v):
-    return scripts(v).groupBy(T.layer_two(F.col("script")).alias("protocol")).agg(F.count("*").alias("scripts"))
+    spelled = scripts(v).select(S.spelled(F.col("script")).alias("ops"))
+    return spelled.groupBy(S.layer_two(F.col("ops")).alias("protocol")).agg(F.count("*").alias("scripts"))
 
 
 @query("address_quality", "", f"""with recursive a as ({_ADDR}),
@@ -94,19 +112,14 @@ def flt_joinable(v):
     return T.with_address_type(addresses(v), "address").filter(F.col("type").isin("legacy", "script")).drop("type")
 
 
-@query("bridge_memos", "", f"""with m as ({_MEMO}), k as (select *, c_custkey % 7 as k from m)
-select case k when 0 then 'THORChain' when 1 then 'SideShift' when 4 then 'Maya' when 5 then 'EVM' else 'Bridge' end as protocol, case k when 0 then 'ETH' when 1 then 'ETH' when 2 then 'SOL' when 4 then 'BTC' when 5 then 'ETH' else 'UNKNOWN' end as chain,
-  count(*) as memos, sum(value_sats)::bigint as sats, count(distinct memo) as destinations from k where k <> 3 group by 1, 2""")
+@query("bridge_memos", "", f"""with m as ({_MEMO}), k as (select *, c_custkey % 7 as k, c_custkey // 7 % 4 as j from m)
+select case when k = 3 then case j when 1 then 'THORChain' when 2 then 'TRON' else 'Solana' end when k = 0 then 'THORChain' when k = 1 then 'SideShift' when k = 4 then 'Maya' when k = 5 then 'EVM' else 'Bridge' end as protocol,
+  case when k = 3 then case j when 1 then 'ETH' when 2 then 'TRX' else 'SOL' end when k in (0, 1, 5) then 'ETH' when k = 2 then 'SOL' when k = 4 then 'BTC' else 'UNKNOWN' end as chain,
+  count(*) as memos, sum(value_sats)::bigint as sats, count(distinct memo) as destinations from k where k <> 3 or j <> 0 group by 1, 2""")
 def bridge_memos(v):
     return Y.bridge_exits(memos(v))
 
 
-@query("jn_bridge_entity", "", "select p_name as label, case when contains(p_name, 'red') then 'Rubicon' when contains(p_name, 'ring') then 'RingBridge' else 'Gizmo' end as provider, case when contains(p_name, 'red') then 'red' when contains(p_name, 'ring') then 'ring' else 'gizmo' end as pattern from (select distinct p_name from part) where regexp_matches(p_name, 'red|ring|gizmo')")
-def jn_bridge_entity(v):
-    providers = v.spark.createDataFrame([(0, "red", "Rubicon"), (1, "ring", "RingBridge"), (2, "gizmo", "Gizmo")], "rank int, pattern string, provider string")
-    return Y.bridge_entities(v.table("part").select(F.col("p_name").alias("label")).distinct(), providers)
-
-
 @query("jn_entity_tag", "", f"""with a as ({_ADDR}), e as (select lower(address) as k, min('entity ' || p_partkey % 5) as entity from a where p_partkey % 3 = 0 and length(address) >= 30 group by 1)
 select a.address, coalesce(e.entity, case when starts_with(a.address, '3') then 'script custody?' when starts_with(a.address, 'bc1p') then 'taproot custody?' end) as tag, e.entity is not null as verified from a left join e on e.k = lower(a.address)""")
 def jn_entity_tag(v):

@@ -36,6 +36,7 @@ PROVIDERS = (
     ("1Fixed", "FixedFloat Lightning & Cross-Chain", "Automated Instant Cryptocurrency Exchanger", "high"),
     ("symbiosis", "Symbiosis Protocol", "Decentralized Cross-Chain AMM", "high"),
 )
+PROVIDER_IDS = ("thorchain", "mayaprotocol", "sideshift", "changenow", "fixedfloat", "symbiosis")
 ROUTERS = (
     ("1Fixed", "FixedFloat Instant Swap", "instant-exchanger", "high"),
     ("bc1qchg", "ChangeNOW Non-Custodial", "instant-exchanger", "high"),
@@ -43,6 +44,8 @@ ROUTERS = (
     ("bc1qthor", "ThorChain Asgard Vault", "cross-chain-bridge", "critical"),
     ("1Swap", "SimpleSwap Custodial Bridge", "bridge", "high"),
 )
+BRIDGE_LABELS = ("bridge", "cross-chain", "instant swap", "chain-hop")
+BRIDGE_ADDRESSES = ("bridge", "crosschain")
 ROUTER_WORDS = ("swap", "bridge", "cross-chain")
 POOLS_SATS = (500_000, 1_000_000, 5_000_000, 10_000_000, 50_000_000)
 NETWORKS = (
