@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,8 @@ def dwell(spend_height: Column, height: Column) -> Column:
 
 def tier(share: Column) -> Column:
     return F.when(share >= 0.75, "High").when(share >= 0.35, "Medium").when(share > 0.02, "Low").otherwise("Clean")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, wherever the optimizer moves the expression: it is bound by a lambda, not repeated in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

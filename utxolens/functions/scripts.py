@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from utxolens.functions.ledger import let
+
 # Opcodes in hexadecimal.
 HASHES, TIMES, BRANCHES = ("a8", "a9"), ("b1", "b2"), ("63", "67", "68")
 CHANNEL = "52 21 21 52 ae"  # two keys of 33 bytes, both must sign
@@ -37,9 +39,13 @@ def spelled(script: Column) -> Column:
     return F.array_join(F.transform(opcodes(script), lambda o: F.lpad(F.lower(F.hex(o)), 2, "0")), " ")
 
 
-def layer_two(spelled_: Column) -> Column:
-    """Exit to another layer by the opcodes that spelled() gives: channel funding, hash-locked swap, a swap service's form of it; else none."""
-    any_of = lambda codes: reduce(or_, [spelled_.contains(c) for c in codes])
-    swap = reduce(or_, [reduce(and_, [any_of(group) for group in lock]) for lock in LOCKS])
-    service = reduce(and_, [spelled_.contains(pair) for pair in SERVICE])
-    return F.when(spelled_.endswith(CHANNEL), "channel funding").when(swap & service, "swap service").when(swap, "hash-locked swap").otherwise("none")
+def layer_two(script: Column) -> Column:
+    """Exit to another layer that a script's opcodes spell: channel funding, hash-locked swap, a swap service's form of it; else none."""
+
+    def told(ops: Column) -> Column:
+        any_of = lambda codes: reduce(or_, [ops.contains(c) for c in codes])
+        swap = reduce(or_, [reduce(and_, [any_of(group) for group in lock]) for lock in LOCKS])
+        service = reduce(and_, [ops.contains(pair) for pair in SERVICE])
+        return F.when(ops.endswith(CHANNEL), "channel funding").when(swap & service, "swap service").when(swap, "hash-locked swap").otherwise("none")
+
+    return let(spelled(script), told)

@@ -85,8 +85,7 @@ h as (select *, list_has_any(ops, [168, 169]) and list_has_any(ops, [177, 178])
   len(list_filter(range(1, len(ops)), lambda i: ops[i] = 135 and ops[i + 1] = 99)) > 0 and len(list_filter(range(1, len(ops)), lambda i: ops[i] = 177 and ops[i + 1] = 117)) > 0 as service from o)
 select case when ops[-5:] = [82, 33, 33, 82, 174] then 'channel funding' when swap and service then 'swap service' when swap then 'hash-locked swap' else 'none' end as protocol, count(*) as scripts from h group by 1""")
 def l2_exits(v):
-    spelled = scripts(v).select(S.spelled(F.col("script")).alias("ops"))
-    return spelled.groupBy(S.layer_two(F.col("ops")).alias("protocol")).agg(F.count("*").alias("scripts"))
+    return scripts(v).select(S.layer_two(F.col("script")).alias("protocol")).groupBy("protocol").agg(F.count("*").alias("scripts"))
 
 
 @query("address_quality", "", f"""with recursive a as ({_ADDR}),
