@@ -67,6 +67,36 @@ def test_ranks_put_cycles_last(spark):
     assert values(G.ranks(e), "rank") == {"a": 0, "b": 1, "c": 2, "x": 3, "y": 3}
 
 
+def longest(pairs):
+    """Longest distance from a source, by relaxation; None for nodes on or behind cycles."""
+    nodes = {n for p in pairs for n in p}
+    rank, left = {}, set(nodes)
+    while free := {n for n in left if all(a not in left for a, b in pairs if b == n)}:
+        rank |= {n: max([rank[a] + 1 for a, b in pairs if b == n], default=0) for n in free}
+        left -= free
+    return rank | {n: max(rank.values(), default=-1) + 1 for n in left}
+
+
+def test_ranks_by_contraction_equal_plain_ones(spark):
+    """Many small graphs at once: sparse ones, that hold runs, diamonds and cycles."""
+    rng, rows, want = random.Random(3), [], {}
+    for case in range(60):
+        n = rng.randint(2, 14)
+        pairs = {(i, i + 1) for i in range(n) if rng.random() < 0.8} | {tuple(sorted(rng.sample(range(n + 1), 2))) for _ in range(rng.randint(0, 4))}
+        pairs |= {tuple(rng.sample(range(n + 1), 2)) for _ in range(rng.randint(0, 1))} | ({(0, 0)} if rng.random() < 0.1 else set())
+        rows += [(f"k{case}", f"n{a}", f"n{b}", 1, 0) for a, b in pairs] + [(f"k{case}", None, "n0", 1, 0)]
+        want |= {(f"k{case}", f"n{x}"): r for x, r in longest(pairs).items()}
+    got = G.ranks(spark.createDataFrame(rows + rows[:9], EDGE), patience=2).collect()
+    assert len(got) == len(want) and {(r["case_id"], r["node"]): r["rank"] for r in got} == want
+
+
+def test_ranks_of_a_long_chain_take_few_rounds(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("'k' as case_id", "cast(id as string) as src", "cast(id + 1 as string) as dst", "1L as value_sats", "id as edge_idx")
+    got = G.ranks(chain, max_rounds=40)
+    assert got.filter("cyclic or rank != cast(node as long)").isEmpty() and got.count() == n + 1
+
+
 def test_cycles_are_written_once(spark):
     e = edges(spark, ("a", "b", 3), ("b", "c", 2), ("c", "a", 4), ("b", "a", 9))
     assert sorted(r["path"] for r in G.cycles(e, 3).collect()) == ["a>b", "a>b>c"]
@@ -106,8 +136,10 @@ def test_splitting_a_case_changes_nothing(spark):
 
 def test_limits_are_errors_not_results(spark):
     chain = edges(spark, *[(f"n{i}", f"n{i + 1}", 10) for i in range(12)])
+    ladder = edges(spark, *[(f"{a}{i}", f"{b}{i + 1}", 1) for i in range(12) for a in "xy" for b in "xy"])
     with pytest.raises(RuntimeError):
-        G.ranks(chain, max_rounds=5)
+        G.ranks(ladder, max_rounds=5)
+    assert values(G.ranks(ladder, max_rounds=20), "rank")["x12"] == 12
     with pytest.raises(RuntimeError):
         G.taint(chain, seeds(spark, "n0"), max_rounds=4)
     assert values(G.ranks(chain, max_rounds=20), "rank")["n12"] == 12

@@ -139,28 +139,88 @@ def audit_taint(edges: DataFrame, taint_: DataFrame, seeds: DataFrame) -> DataFr
     )
 
 
-def ranks(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def _contracted(nodes: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Runs of nodes with one way in and one way out, taken out by pointer jumping: (nodes, edges, records of what left, jumps).
+
+    Such a node's rank is max(best, rank of a node before it + d). Maps of this form compose, so every jump doubles the stretch that a
+    pointer spans. A record (case_id, node, head, best, d) points at the node in front of the run. Runs that close on themselves
+    have no head: their nodes leave without a record, as nothing can free them.
+    """
+    ends = open_.groupBy("case_id", F.col("dst").alias("node")).agg(F.count("*").alias("ins"), F.first("src").alias("head"), F.first("w").alias("d")).filter("ins = 1")
+    outs = open_.groupBy("case_id", F.col("src").alias("node")).agg(F.count("*").alias("outs")).filter("outs = 1")
+    inner = settled(nodes.join(ends, ["case_id", "node"]).join(outs, ["case_id", "node"]).select("case_id", "node", "head", "best", "d"))
+    still = inner.select("case_id", F.col("node").alias("head"))
+    # a pointer is open while it ends at another node of a run
+    done, open_pointers = inner.join(still, ["case_id", "head"], "left_anti").select(*inner.columns), inner.join(still, ["case_id", "head"], "left_semi").select(*inner.columns)
+    parts, left, jumps = [settled(done)], settled(open_pointers), 0
+    count = left.count()
+    limit = count.bit_length() + 1
+    while count and jumps < limit:
+        before = parts[0]
+        for p in parts[1:]:
+            before = before.unionByName(p)
+        at = before.withColumn("last", F.lit(True)).unionByName(left.withColumn("last", F.lit(False)))
+        at = at.select("case_id", F.col("node").alias("head"), F.col("head").alias("head2"), F.col("best").alias("best2"), F.col("d").alias("d2"), "last")
+        jumped = left.join(at, ["case_id", "head"]).select("case_id", "node", F.col("head2").alias("head"), F.greatest("best", F.col("best2") + F.col("d")).alias("best"), (F.col("d") + F.col("d2")).alias("d"), "last")
+        jumped, jumps = settled(jumped), jumps + 1
+        parts.append(jumped.filter("last").drop("last"))
+        left = jumped.filter("not last").drop("last")
+        count = left.count()
+    gone = parts[0]
+    for p in parts[1:]:
+        gone = gone.unionByName(p)
+    gone = settled(gone)
+    # edges into runs go; edges out of runs start at the head, and carry the run's own floor to the node behind it
+    own = open_.join(inner.select("case_id", F.col("node").alias("dst")), ["case_id", "dst"], "left_anti")
+    out = own.join(gone.select("case_id", F.col("node").alias("src"), "head", "best", "d"), ["case_id", "src"])
+    floors = out.groupBy("case_id", F.col("dst").alias("node")).agg(F.max(F.col("best") + F.col("w")).alias("floor"))
+    kept = own.join(inner.select("case_id", F.col("node").alias("src")), ["case_id", "src"], "left_anti").select("case_id", "src", "dst", "w")
+    moved = out.select("case_id", F.col("head").alias("src"), "dst", (F.col("d") + F.col("w")).alias("w"))
+    edges = kept.unionByName(moved).groupBy("case_id", "src", "dst").agg(F.max("w").alias("w"))
+    rest = nodes.join(inner, ["case_id", "node"], "left_anti").join(floors, ["case_id", "node"], "left")
+    return settled(rest.select("case_id", "node", F.greatest("best", "floor").alias("best"))), settled(edges), gone, jumps
+
+
+def ranks(edges: DataFrame, max_rounds: int | None = None, patience: int = 8) -> DataFrame:
     """(case_id, node, rank, cyclic): longest distance from a source; nodes on or behind cycles come one after the last rank.
 
-    Kahn's rounds: nodes without open predecessors leave, and raise the rank of their successors.
+    Kahn's rounds: nodes without open predecessors leave, and raise what their successors have at best. After every `patience`
+    rounds runs of one-in-one-out nodes are contracted by pointer jumping, so long chains, and what becomes one when parallel
+    edges merge, take a logarithm of their length. Rounds have no limit (each takes a level away) unless max_rounds gives one; it counts jumps
+    too, and passing it is an error. Edges with a null end take no part; repeated edges count once; no edges, no rows.
     """
-    open_ = settled(edges.select("case_id", "src", "dst").distinct())
-    nodes = settled(open_.select("case_id", F.col("src").alias("node")).unionByName(open_.select("case_id", F.col("dst").alias("node"))).distinct())
-    done = None
-    for k in range(max_rounds):
-        free = nodes.join(open_.select("case_id", F.col("dst").alias("node")).distinct(), ["case_id", "node"], "left_anti")
-        free = settled(free.select("case_id", "node", F.lit(k).cast("long").alias("rank")))
+    open_ = settled(edges.select("case_id", "src", "dst").dropna().distinct().withColumn("w", F.lit(1).cast("long")))
+    all_ = settled(open_.select("case_id", F.col("src").alias("node")).unionByName(open_.select("case_id", F.col("dst").alias("node"))).distinct())
+    nodes, parts, records, rounds, extra = all_.withColumn("best", F.lit(0).cast("long")), [all_.limit(0).withColumn("rank", F.lit(0).cast("long"))], [], 0, 0
+    while True:
+        if max_rounds is not None and rounds + extra > max_rounds:
+            raise RuntimeError(f"graphs take more than {max_rounds} rounds")
+        free = settled(nodes.join(open_.select("case_id", F.col("dst").alias("node")).distinct(), ["case_id", "node"], "left_anti").select("case_id", "node", F.col("best").alias("rank")))
         if free.isEmpty():
             break
-        done = free if done is None else settled(done.unionByName(free))
-        gone = free.select("case_id", F.col("node").alias("src"))
-        nodes = settled(nodes.join(free, ["case_id", "node"], "left_anti"))
+        rounds += 1
+        parts.append(free)
+        if len(parts) > 32:
+            parts = [settled(reduce(DataFrame.unionByName, parts))]
+        gone = free.select("case_id", F.col("node").alias("src"), "rank")
+        raised = open_.join(gone, ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("node")).agg(F.max(F.col("rank") + F.col("w")).alias("floor"))
+        nodes = settled(nodes.join(free, ["case_id", "node"], "left_anti").join(raised, ["case_id", "node"], "left").select("case_id", "node", F.greatest("best", "floor").alias("best")))
         open_ = settled(open_.join(gone, ["case_id", "src"], "left_anti"))
-    else:
-        raise RuntimeError(f"graphs have more than {max_rounds} levels")
-    last = done.groupBy("case_id").agg(F.max("rank").alias("last")) if done is not None else nodes.groupBy("case_id").agg(F.lit(-1).cast("long").alias("last"))
-    left = nodes.join(last, "case_id", "left").select("case_id", "node", (F.coalesce("last", F.lit(-1)) + 1).alias("rank"), F.lit(True).alias("cyclic"))
-    return left if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(left)
+        if rounds % patience == 0 and not open_.isEmpty():
+            nodes, open_, record, jumps = _contracted(nodes, open_)
+            records.append(record)
+            extra += jumps
+    done = reduce(DataFrame.unionByName, parts)
+    for record in reversed(records):
+        done = settled(done)
+        ahead = done.select("case_id", F.col("node").alias("head"), F.col("rank").alias("before"))
+        found = record.join(ahead, ["case_id", "head"]).select("case_id", "node", F.greatest("best", F.col("before") + F.col("d")).alias("rank"))
+        done = done.unionByName(found)
+    done = settled(done)
+    last = done.groupBy("case_id").agg(F.max("rank").alias("last"))
+    left = all_.join(done, ["case_id", "node"], "left_anti").join(last, "case_id", "left")
+    left = left.select("case_id", "node", (F.coalesce("last", F.lit(-1)) + 1).alias("rank"), F.lit(True).alias("cyclic"))
+    return done.withColumn("cyclic", F.lit(False)).unionByName(left)
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
