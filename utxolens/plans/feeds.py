@@ -82,7 +82,7 @@ def st_dedup(v):
     return streamed(v, "files").agg(F.count("*").alias("alerts"), F.count_distinct(key).alias("distinct_alerts"))
 
 
-@query("st_latest")
+@query("st_latest", "feed", _FLOWS + " select address, txid, amount_sats from al order by ts desc, address, txid limit 50")
 def st_latest(v):
     return streamed(v, "newest").select("address", "txid", "amount_sats")
 
