@@ -30,7 +30,6 @@ cmp as (select fl.case_id, fl.node, out_degree = 0 as terminal, coalesce(round(h
 """
 _TIER = "case when {x} >= 0.75::double then 'High' when {x} >= 0.35::double then 'Medium' when {x} > 0.02::double then 'Low' else 'Clean' end as tier"
 _LOOSE = "select c_mktsegment as case_id, 'n' || s_nationkey as src, 'n' || c_nationkey as dst, sum(round(l_extendedprice * 100)::bigint)::bigint as value_sats from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all"
-_POOL = "select distinct l_orderkey as txid, 'A' || l_partkey as address from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R'"
 
 
 def seeds(v):
@@ -173,14 +172,6 @@ def gr_collapse(v):
     return G.collapse(v.g2, 2)
 
 
-@query("gr_clusters", "", f"""with recursive p as ({_POOL}), o as (select * from p where txid % 17 <> 0), l as (select distinct a.address as a, b.address as b from o a join o b on a.txid = b.txid and a.address <> b.address),
-r as (select distinct address, address as c from o union select l.b, r.c from r join l on l.a = r.address) select address, min(c) as cluster from r group by address""")
-def gr_clusters(v):
-    li = v.table("lineitem").filter("l_returnflag = 'R'").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    pool = li.select(F.col("l_orderkey").alias("txid"), F.concat(F.lit("A"), F.col("l_partkey").cast("string")).alias("address"))
-    return G.clusters(pool, pool.filter("txid % 17 = 0").select("txid").distinct())
-
-
 _DEPTH = 2
 
 
