@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from utxolens.operators.iterate import settled
+from utxolens.sources import store
+
 
 def address_rows(lines: DataFrame) -> DataFrame:
     """Rows of an address list, lines(n, value): address, tag, notes, tier, duplicate. Byte-order mark and header are skipped.
@@ -50,6 +53,20 @@ def read_cases(spark: SparkSession, path: str, schema: str, most: int = 50, mult
     return own.orderBy("id").limit(most)
 
 
+def merge_cases(raw: DataFrame, path: str, replace: bool = False, of: int = 64) -> tuple[int, int]:
+    """Merge cases, raw(id, nodes, links, ...), into the store at path: (version, cases skipped). A case takes the place of the one of its id.
+
+    A case without id, nodes or links is skipped. With replace, stored cases that raw doesn't hold go; unless no case of raw is whole,
+    in which case nothing changes.
+    """
+    ok = F.coalesce(F.col("id") != "", F.lit(False)) & F.col("nodes").isNotNull() & F.col("links").isNotNull()
+    own = settled(raw.withColumn("_ok", ok))
+    good = own.filter("_ok").drop("_ok")
+    skipped, spark = own.filter("NOT _ok").count(), raw.sparkSession
+    gone = store.read(spark, path).select("id") if replace and store.versions(spark, path) and not good.isEmpty() else None
+    return store.upsert(good, path, ["id"], gone=gone, of=of), skipped
+
+
 def normalised_watchlist(entries: DataFrame, most: int = 100) -> DataFrame:
     """Watch entries (n, address, tag) trimmed, without blanks, each address once in any case, at most `most` in order."""
     own = entries.withColumn("address", F.trim("address")).filter("address != ''")
