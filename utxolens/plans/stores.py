@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from utxolens.operators.iterate import settled
 from utxolens.plans.cases import edges, nodes
 from utxolens.plans.evidence import folder
 from utxolens.plans.registry import query
@@ -34,9 +35,8 @@ def src_case_merge(v):
     return found.select("id", F.size("nodes").cast("long").alias("nodes"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + x["value_sats"]).alias("sats"))
 
 
-def captured(v, height: int | None) -> dict[str, tuple[list[str], DataFrame]]:
-    """{part: (key, rows)} of all cases as they stood below a height: nodes, links, transactions read, warnings."""
-    n, e = nodes(v), edges(v)
+def captured(n: DataFrame, e: DataFrame, height: int | None) -> dict[str, tuple[list[str], DataFrame]]:
+    """{part: (key, rows)} of all cases of nodes n and links e as they stood below a height: nodes, links, transactions read, warnings."""
     if height is not None:
         n, e = n.filter(F.col("block_height") < height), e.filter(F.col("dst_height") < height)
     last = F.max("ord").over(Window.partitionBy("case_id"))
@@ -68,7 +68,8 @@ w{side} as (select case_id, 'mixer crossed' as warning from n{side} group by cas
 @query("set_snapshot_parts", "case_node case_edge", _capture_sql())
 def set_snapshot_parts(v):
     """Every case as it stood below a height against all that is known: changes of nodes, links, transactions read and warnings."""
-    before, after, out = captured(v, HEIGHT), captured(v, None), None
+    n, e = settled(nodes(v)), settled(edges(v))
+    before, after, out = captured(n, e, HEIGHT), captured(n, e, None), None
     for part, (key, rows) in before.items():
         old, new = folder(v), folder(v)
         S.upsert(rows, old, key)
