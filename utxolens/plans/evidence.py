@@ -10,7 +10,7 @@ from utxolens.operators import cases as C
 from utxolens.operators import evidence as E
 from utxolens.operators import transactions as X
 from utxolens.operators import typologies as Y
-from utxolens.operators.iterate import settled
+from utxolens.operators.iterate import shared_dir
 from utxolens.plans.cases import edges, nodes
 from utxolens.plans.registry import query
 from utxolens.plans.transactions import _DENOM, _ENTROPY, _classified, denom
@@ -19,8 +19,7 @@ from utxolens.sources import imports as I
 
 
 def folder(v) -> str:
-    settled(v.spark.range(1))
-    return f"{v.spark.conf.get('spark.checkpoint.dir', None) or v.spark.sparkContext.getCheckpointDir()}/export-{uuid.uuid4().hex}"
+    return f"{shared_dir(v.spark)}/export-{uuid.uuid4().hex}"
 
 
 @query("graph_build", "tx txi txo", """, n as (select txid, 'tx_' || txid as node_id, case when txid % 9 = 0 then 'mixer' else 'hop' end as type, sum(value_sats)::bigint as balance_sats from txo group by txid
@@ -108,10 +107,10 @@ def set_gaps(v):
 
 @query("aud_heuristic", "txo txi tx", _classified("null::bigint") + """, l as (select *, case (txid + vout) % 3 when 0 then 'payment' when 1 then 'change' end as label from cl)
 select txid, vout, case when value_sats % 1000 < 546 and value_sats % 1000 > 0 and spend_txid is null then 'DUST_RECEIVER' else 'CONTRADICTION' end as finding from l
-where (label = 'change' and score_milli > 2000) or (label = 'payment' and score_milli < -2000) or (value_sats % 1000 < 546 and value_sats % 1000 > 0 and spend_txid is null)""")
+where (label = 'change' and score_milli > 2000) or (label = 'payment' and score_milli < -2000) or (value_sats % 1000 < 546 and value_sats % 1000 > 0 and spend_txid is null)""", kept=True)
 def aud_heuristic(v):
     k, small = (F.col("txid") + F.col("vout")) % 3, F.col("value_sats") % 1000
-    own = X.classify(v.tx, v.txi, v.txo).join(v.txo.select("txid", "vout", "value_sats", "spend_txid"), ["txid", "vout"])
+    own = X.classified(v.tx, v.txi, v.txo)
     dust = (small < 546) & (small > 0) & F.col("spend_txid").isNull()
     against = ((k == 1) & (F.col("score_milli") > 2000)) | ((k == 0) & (F.col("score_milli") < -2000))
     return own.filter(dust | against).select("txid", "vout", F.when(dust, "DUST_RECEIVER").otherwise("CONTRADICTION").alias("finding"))

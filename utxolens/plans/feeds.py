@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from utxolens.operators import cases as C
 from utxolens.operators import typologies as Y
-from utxolens.operators.iterate import settled
+from utxolens.operators.iterate import shared_dir
 from utxolens.plans.cases import nodes
 from utxolens.plans.registry import query
 from utxolens.sources import dims as D
@@ -57,8 +57,7 @@ def topk_alerts(v):
 
 def streamed(v, out: str):
     """The alert query over the feed written as files, replayed to its end; the sink folder is in the shared folder."""
-    settled(v.spark.range(1))
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getCheckpointDir()
+    base = shared_dir(v.spark)
     root = f"{base}/stream-{uuid.uuid4().hex}"
     feed(v).write.parquet(f"{root}/in")
     stream = v.spark.readStream.schema(feed(v).schema).parquet(f"{root}/in")
