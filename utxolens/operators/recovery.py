@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utxolens.operators.graph import edge_taint, taint
+from utxolens.operators.iterate import settled
 
 DAY = 86_400
 
@@ -36,7 +37,7 @@ def arrivals(nodes: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
     Nodes of one address are one destination, told by its least node; of a sender's flows to it the one to the least node counts.
     The newest link between two nodes stands for them. Repeated links count once; case links without txid make ambiguous true.
     """
-    own = distinct_links(links)
+    own = settled(distinct_links(links))
     unsure = own.groupBy("case_id").agg(F.bool_or(F.col("txid").isNull()).alias("ambiguous"))
     live = own.filter("value_sats > 0")
     named = F.when(F.col("destination.verified") & (F.col("destination.source") != ""), F.col("destination.type"))
@@ -44,8 +45,7 @@ def arrivals(nodes: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
     ends = nodes.withColumn("held", named).filter(~F.coalesce(F.col("kind"), F.lit("")).isin("suspect", "transaction", "tx", "op_return")).filter(kept)
     ends = ends.join(live.select("case_id", F.col("src").alias("node")).distinct(), ["case_id", "node"], "left_anti")
     newest = F.max(F.struct(F.coalesce("at", F.lit(0)), (-F.col("edge_idx")).alias("i"), "at", "txid", "height")).alias("l")
-    flows = live.groupBy("case_id", "src", "dst").agg(newest)
-    flows = flows.join(edge_taint(live, taint(live, seeds)).select("case_id", "src", "dst", "total_sats", "tainted_sats"), ["case_id", "src", "dst"])
+    flows = edge_taint(live, taint(live, seeds), newest)
     into = flows.withColumnRenamed("dst", "node").join(ends.select("case_id", "node", F.coalesce("address", "node").alias("address")), ["case_id", "node"])
     one = into.groupBy("case_id", "address", "src").agg(F.min(F.struct("node", "total_sats", "tainted_sats", F.col("l.at").alias("at"), F.col("l.txid").alias("txid"), F.col("l.height").alias("height"))).alias("f"))
     return one.select("case_id", "address", "src", "f.*").join(unsure, "case_id")

@@ -58,12 +58,12 @@ def found(v):
     return R.recovery_leads(nodes, links, seeds(v), actions, NOW)
 
 
-@query("gr_recovery_leads", "g2 tx", _LEADS + " select * from ld")
+@query("gr_recovery_leads", "g2 tx", _LEADS + " select * from ld", kept=True)
 def gr_recovery_leads(v):
     """Leads by taint; a fifth of all links are given twice, and must count once."""
     return found(v)
 
 
-@query("topk_recovery_leads", "g2 tx", _LEADS + " select * from (select *, row_number() over (partition by case_id order by schedule desc, rank desc, address) as place from ld) where place <= 5")
+@query("topk_recovery_leads", "g2 tx", _LEADS + " select * from (select *, row_number() over (partition by case_id order by schedule desc, rank desc, address) as place from ld) where place <= 5", kept=True)
 def topk_recovery_leads(v):
     return R.best_leads(found(v))
