@@ -1,11 +1,13 @@
 """Work that must not grow faster than the input: views read once, no pairs made twice, results as before."""
 
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from utxolens import plans
+from utxolens.operators import cases as C
 from utxolens.operators import transactions as X
 from utxolens.sources.views import Views
 
@@ -32,3 +34,25 @@ def test_one_pass_scores_both_orders(spark):
     one = X.turned(v.tx, v.txi, v.txo)
     assert sorted(map(tuple, one.select("txid", "vout", "flipped").collect())) == sorted(map(tuple, two.collect()))
     assert sorted(map(tuple, one.select("txid", "vout", "score_milli").collect())) == sorted(map(tuple, X.classify(v.tx, v.txi, v.txo).select("txid", "vout", "score_milli").collect()))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+@pytest.mark.parametrize("name", ["gr_recovery_leads", "agg_taint_ledger", "agg_edge_taint"])
+def test_edges_are_computed_once(spark, name):
+    assert not reads(plans.QUERIES[name](spark, str(DATA)), "lineitem")
+
+
+def test_pairs_in_parts_equal_pairs_at_once(spark):
+    draw = random.Random(5)
+    rows = [(draw.randrange(9), f"A{draw.randrange(6)}", draw.choice(("hop", "receiver")), draw.randrange(12)) for _ in range(60)] + [(3, None, "hop", 1)]
+    nodes = spark.createDataFrame(rows, "case_id long, address string, type string, ord long")
+    txi = spark.createDataFrame([(t, draw.choice((f"A{draw.randrange(8)}", None))) for t in range(12) for _ in range(4)], "txid long, address string")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(C.overlap(nodes, most=2), C.overlap(nodes))
+    whole = {r["txid"]: (r["inputs"], r["matched"], r["cases"]) for r in C.joint_records(txi, nodes).collect()}
+    assert same(C.joint_records(txi, nodes, most=1), C.joint_records(txi, nodes))
+    held = {a: {c for c, b, _, _ in rows if b == a} for a in {r[1] for r in rows if r[1]}}
+    spends = {t: {a for u, a in map(tuple, txi.collect()) if u == t and a} for t in range(12)}
+    assert whole == {t: (len(s), len(s & held.keys()), len(set().union(*[held.get(a, set()) for a in s]))) for t, s in spends.items() if s}
+    said = {(p, q, a) for p, a, _, x in rows for q, b, _, y in rows if a and a == b and p != q and ((x + y) % 3 == 0 or x % 2 == 0)}
+    assert sorted(map(tuple, C.mutual_at(nodes).collect())) == sorted((p, q, a) for p, q, a in said if p < q and (q, p, a) in said)
