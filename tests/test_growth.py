@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from utxolens import plans
 from utxolens.operators import cases as C
 from utxolens.operators import transactions as X
+from utxolens.operators.iterate import components
 from utxolens.sources.views import Views
 
 DATA = Path("/root/testdata/sf0.001")
@@ -56,3 +57,21 @@ def test_pairs_in_parts_equal_pairs_at_once(spark):
     assert whole == {t: (len(s), len(s & held.keys()), len(set().union(*[held.get(a, set()) for a in s]))) for t, s in spends.items() if s}
     said = {(p, q, a) for p, a, _, x in rows for q, b, _, y in rows if a and a == b and p != q and ((x + y) % 3 == 0 or x % 2 == 0)}
     assert sorted(map(tuple, C.mutual_at(nodes).collect())) == sorted((p, q, a) for p, q, a in said if p < q and (q, p, a) in said)
+
+
+def test_components_shrink_and_settle(spark):
+    draw = random.Random(3)
+    chain = [("p", f"{i:03d}", f"{i + 1:03d}") for i in range(200)]
+    loose = [("q", f"{draw.randrange(300):03d}", f"{draw.randrange(300):03d}") for _ in range(180)]
+    links = chain + loose
+    low = {(g, x): x for g, *ends in links for x in ends}
+    moved = True
+    while moved:
+        moved = False
+        for g, a, b in links:
+            least = min(low[g, a], low[g, b])
+            moved = moved or low[g, a] != least or low[g, b] != least
+            low[g, a] = low[g, b] = least
+    linked = {(g, x) for g, a, b in links if a != b for x in (a, b)}
+    found = components(spark.createDataFrame(links, "g string, a string, b string"), ["g"], max_rounds=6)
+    assert {(r["g"], r["node"]): r["component"] for r in found.collect()} == {k: v for k, v in low.items() if k in linked}

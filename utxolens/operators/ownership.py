@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utxolens.operators.iterate import fixpoint, settled
+from utxolens.operators.iterate import components, settled
 from utxolens.operators.transactions import entropy
 
 
@@ -30,24 +30,8 @@ def common_spends(pool: DataFrame, txi: DataFrame, txo: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """(pool_id, address, cluster) of linked addresses, links(pool_id, a, b): the smallest address reached names the cluster.
-
-    Labels fall along links and jump to their own label's label in each round, so long chains halve.
-    """
-    both = links.unionByName(links.select("pool_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = settled(both.filter("a != b").distinct())
-    start = both.groupBy("pool_id", F.col("a").alias("address")).agg(F.min("b").alias("b")).select("pool_id", "address", F.least("address", "b").alias("cluster"))
-
-    def step(now: DataFrame) -> DataFrame:
-        near = both.join(now.withColumnRenamed("address", "b"), ["pool_id", "b"]).groupBy("pool_id", F.col("a").alias("address")).agg(F.min("cluster").alias("near"))
-        low = now.join(near, ["pool_id", "address"]).select("pool_id", "address", F.least("cluster", "near").alias("cluster"))
-        jump = low.select("pool_id", F.col("address").alias("cluster"), F.col("cluster").alias("further"))
-        return low.join(jump, ["pool_id", "cluster"]).select("pool_id", "address", F.least("cluster", "further").alias("cluster"))
-
-    out, _, done = fixpoint(start, step, lambda df: df.agg(F.expr("bit_xor(xxhash64(pool_id, address, cluster))")).first()[0], 200)
-    if not done:
-        raise RuntimeError("clusters did not settle")
-    return out
+    """(pool_id, address, cluster) of linked addresses, links(pool_id, a, b): the smallest address reached names the cluster."""
+    return components(links, ["pool_id"]).select("pool_id", F.col("node").alias("address"), F.col("component").alias("cluster"))
 
 
 def _stars(spends: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from utxolens.operators import ownership as O
+from utxolens.operators.iterate import settled
 from utxolens.plans.registry import query
 from utxolens.plans.transactions import _DENOM, _ENTROPY, denom
 from utxolens.sources.views import SCRIPTS
@@ -36,12 +37,12 @@ def spends(v):
     return O.common_spends(pools(v), v.txi, denom(v))
 
 
-@query("gr_common_spends", "txo txi", _SPENDS + "select pool_id, txid, n_in, array_to_string(inputs, ',') as inputs, is_mix from co")
+@query("gr_common_spends", "txo txi", _SPENDS + "select pool_id, txid, n_in, array_to_string(inputs, ',') as inputs, is_mix from co", kept=True)
 def gr_common_spends(v):
     return spends(v).withColumn("inputs", F.array_join("inputs", ","))
 
 
-@query("gr_clusters", "txo txi", _SPENDS + _LABELS + "select * from lb")
+@query("gr_clusters", "txo txi", _SPENDS + _LABELS + "select * from lb", kept=True)
 def gr_clusters(v):
     return O.clusters(pools(v), spends(v))
 
@@ -52,15 +53,15 @@ sn as (select pool_id, count(*) filter (where not is_mix) as spends, count(*) fi
 ow as (select pool_id, count(distinct address) as addresses, case when count(distinct kind) = 1 then min(kind) end as kind from pool group by pool_id)
 select ow.*, groups, largest, coalesce(spends, 0) as spends, coalesce(mixes, 0) as mixes, (case when addresses >= 3 then 3 else 0 end
   + case when coalesce(spends, 0) = 0 then 30 else 50 + least(30, spends * 15) + case when kind = 'segwit' then 4 else 0 end end)::bigint as confidence
-from ow join sz on sz.pool_id = ow.pool_id left join sn on sn.pool_id = ow.pool_id""")
+from ow join sz on sz.pool_id = ow.pool_id left join sn on sn.pool_id = ow.pool_id""", kept=True)
 def gr_cluster_report(v):
-    found = spends(v)
+    found = settled(spends(v))
     return O.pool_report(pools(v), found, O.clusters(pools(v), found))
 
 
-@query("gr_clusters_update", "txo txi", _SPENDS + _LABELS + "select * from lb")
+@query("gr_clusters_update", "txo txi", _SPENDS + _LABELS + "select * from lb", kept=True)
 def gr_clusters_update(v):
     """Labels of transactions before block zero, brought up to date with those from it on."""
-    found = spends(v).join(v.tx.select("txid", "block_height"), "txid")
+    found = settled(spends(v).join(v.tx.select("txid", "block_height"), "txid"))
     stored = O.clusters(pools(v), found.filter("block_height < 0"))
     return O.update_clusters(stored, found.filter("block_height >= 0")).drop("moved")
