@@ -80,3 +80,30 @@ def test_unrelated_texts_of_one_doc_id_stay(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[1], rows[5], rows[7]]))
+
+def test_a_pair_meets_under_one_key_in_either_order(spark):
+    dice, w = random.Random(4), 12
+    rows = []
+    for _ in range(300):
+        seg = dice.getrandbits(w)
+        edges = [sum(1 << b for b in dice.sample(range(w), 5)) for _ in range(2)]
+        rows.append(([seg], [edges[0]], [seg ^ sum(1 << b for b in dice.sample(range(w), dice.randrange(3)))], [edges[1]]))
+    keys = spark.range(1 << w).withColumnRenamed("id", "key")
+    pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, pseg array<int>, pedge array<int>, qseg array<int>, qedge array<int>")
+    side = lambda a, b: [simhash.F.lit(1 + (a == "q")).alias("a"), simhash.F.lit(1 + (b == "q")).alias("b"), *[simhash.F.col(x + c).alias(y + c) for x, y in ((a, "a"), (b, "b")) for c in ("seg", "edge")]]
+    met = [sorted(map(tuple, pairs.select("i", *side(*o)).crossJoin(keys).filter(simhash._meet_first(simhash.F.col("key"), w)).select("i", "key").collect())) for o in ("pq", "qp")]
+    assert met[0] == met[1] and len({i for i, _ in met[0]}) == len(met[0]) > 50
+
+
+def test_buckets_of_one_component_are_not_listed(spark, monkeypatch):
+    text, counts, staged = rows()[29][1], {}, simhash.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    docs = [(i, edited(text, 1, f"c{i}")) for i in range(60)]
+    assert {r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(docs, DOC)).collect()} == {0}
+    assert sum(counts["buckets"]) < 60 * 48  # each node has 96 keys; 5276 of 5760 rows before

@@ -162,16 +162,30 @@ def wide_fingerprints(docs: DataFrame, width: int, bits: int, segments: int, seg
 
 
 def _bucketed(nodes: DataFrame, w: int) -> DataFrame:
-    """(key, id, n, check): each node under its key of every segment, and under those of the ball that flips one edge bit."""
-    part = nodes.select("id", "n", F.get("fp", F.lit(0)).alias("check"), F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
+    """(key, id, n, check, component): each node under its key of every segment, and under those of the ball that flips one edge bit."""
+    part = nodes.select("id", "n", "component", F.get("fp", F.lit(0)).alias("check"), F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
     flips = F.filter(F.array(*[F.lit(1 << i) for i in range(w)]), lambda b: b.bitwiseAND(F.col("z.edge")) != 0)
-    ball = part.select("id", "n", "check", "s", "z.seg", F.explode(F.concat(F.array(F.lit(0)), flips)).alias("flip"))
+    ball = part.select("id", "n", "check", "component", "s", "z.seg", F.explode(F.concat(F.array(F.lit(0)), flips)).alias("flip"))
     key = F.shiftleft(F.col("s").cast("long"), w).bitwiseOR(F.col("seg").bitwiseXOR(F.col("flip")).cast("long"))
-    return ball.select(key.alias("key"), "id", "n", "check")
+    return ball.select(key.alias("key"), "id", "n", "check", "component")
+
+
+def _ends(nodes: DataFrame, w: int) -> DataFrame:
+    """(x, y), each (id, n, check): of every segment's own key the smallest node and two drawn ones, as pairs, without a row for each node."""
+    own = nodes.select("id", "n", F.get("fp", F.lit(0)).alias("check"), F.posexplode("seg").alias("s", "seg"))
+    own = own.withColumn("key", F.shiftleft(F.col("s").cast("long"), w).bitwiseOR(F.col("seg").cast("long")))
+    state = F.struct("id", "n", "check")
+    drawn = F.struct(F.xxhash64("key", "id").alias("h"), state.alias("e"))
+    three = own.groupBy("key").agg(F.min(state).alias("hub"), F.min(drawn)["e"].alias("p"), F.max(drawn)["e"].alias("q")).filter("p.id != q.id")
+    pairs = F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("hub", "p"), ("hub", "q"), ("p", "q"))])
+    return three.select(F.explode(pairs).alias("z")).select("z.x", "z.y").filter("x.id != y.id")
 
 
 def _meet_first(key: Column, w: int) -> Column:
-    """True for one of the keys that nodes a and b share, that each pair comes once: (aseg, aedge) and (bseg, bedge) of both."""
+    """True for one of the keys that nodes a and b share, that each pair comes once: (aseg, aedge) and (bseg, bedge) of both.
+
+    It is the same key whichever of the two is a, as a pair may come in one order from one bucket and in the other from the next.
+    """
 
     def meet(p, pe, q, qe):
         d = p.bitwiseXOR(q)
@@ -181,7 +195,9 @@ def _meet_first(key: Column, w: int) -> Column:
 
     s = F.shiftright(key, w).cast("int")
     places = F.transform(F.arrays_zip("aseg", "aedge", "bseg", "bedge"), lambda z: meet(z["aseg"], z["aedge"], z["bseg"], z["bedge"]))
-    p, pe, q, qe = (F.get(c, s) for c in ("aseg", "aedge", "bseg", "bedge"))
+    first = F.col("a") < F.col("b")
+    p, q = (F.when(first, F.get(c, s)).otherwise(F.get(d, s)) for c, d in (("aseg", "bseg"), ("bseg", "aseg")))
+    pe, qe = (F.when(first, F.get(c, s)).otherwise(F.get(d, s)) for c, d in (("aedge", "bedge"), ("bedge", "aedge")))
     d = p.bitwiseXOR(q)
     low = d.bitwiseAND(-d)
     high = d.bitwiseXOR(low)
@@ -233,9 +249,10 @@ def similar_rows(docs: DataFrame, width: int = 5, percent: int = 80, bits: int =
     standard deviations above those at 0.8) and then the sets themselves (32-bit hashes) decide. Tables far beyond 2 ** 30
     different texts want more bits per segment, and more segments.
 
-    Equal sets are one node. A node is first compared with that smallest node of its buckets that it meets most often, then
-    with the other smallest ones, and what is still apart with all nodes of other components in its buckets but for those of
-    the bucket's largest component among each other; only pairs that are connected anyway are left out. Null or blank texts
+    Equal sets are one node. A few nodes of each segment's own key are compared first (_ends); buckets that hold one component
+    only are then never listed by node. In the others a node is compared with that smallest node of its buckets that it meets
+    most often, then with the other smallest ones, and what is still apart with all nodes of other components in its buckets but
+    for those of the smallest node's component among each other; only pairs that are connected anyway are left out. Null or blank texts
     are near-duplicates of each other only. Repeated rows stay; rows with null doc_id get the group's smallest doc_id (null
     if it has none); an empty table gives an empty result; other columns are not read.
     """
@@ -243,37 +260,45 @@ def similar_rows(docs: DataFrame, width: int = 5, percent: int = 80, bits: int =
     rows = staged(wide_fingerprints(docs, width, bits, segments, segment_bits, near), "wide")
     first = F.min_by(F.struct("t", "n", "fp", "seg", "edge"), "t")
     nodes = staged(rows.groupBy("id").agg(F.min("doc_id").alias("least"), first.alias("f")).select("id", "least", "f.*"), "nodes")
-    keyed = _bucketed(nodes.filter("n > 0"), segment_bits)
-    state = F.struct("id", "n", "check")
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(state).alias("hub"), F.max(state).alias("last")).filter("c > 1")
+    solid = nodes.filter("n > 0").select("id", "n", "fp", "seg", "edge")
 
     def may_be(an, bn, ac, bc):
         sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * percent
         return sizes & (F.bit_count(F.col(ac).bitwiseXOR(F.col(bc))) <= most_check)
 
+    def placed(frame: DataFrame, node: str, name: str, reached: DataFrame) -> DataFrame:
+        return frame.join(reached.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    def read(ids: DataFrame) -> DataFrame:
+        return staged(_sets(docs, ids.join(nodes.select("id", "t"), "id"), width).join(nodes.select("id", "fp"), "id"), "sets")
+
+    ends = _ends(solid, segment_bits).filter(may_be("x.n", "y.n", "x.check", "y.check"))
+    ends = staged(ends.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "ends")
+    sets = read(ends.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = staged(_similar(ends, sets, percent, most_bits), "links")
+
+    keyed = _bucketed(placed(solid, "id", "component", components(links)), segment_bits)
+    state = F.struct("id", "n", "check")
+    hubs = keyed.groupBy("key").agg(
+        F.count("*").alias("c"), F.min(state).alias("hub"), F.max(state).alias("last"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low != high")
     hubs = hubs.filter((F.col("c") > 2) | may_be("hub.n", "last.n", "hub.check", "last.check"))
-    member = staged(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
+    member = staged(keyed.drop("component").join(hubs.select("key", "hub"), "key"), "buckets")
     stars = member.filter("id != hub.id").filter(may_be("n", "hub.n", "check", "hub.check"))
     stars = staged(stars.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count("*").alias("c")), "stars")
-    wanted = member.select("id").distinct().join(nodes.select("id", "t"), "id")
-    sets = staged(_sets(docs, wanted, width).join(nodes.select("id", "fp"), "id"), "sets")
+    sets = sets.unionByName(read(member.select("id").distinct().join(sets.select("id"), "id", "left_anti")))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    links = staged(_similar(best, sets, percent, most_bits), "links")
-
-    def placed(frame: DataFrame, node: str, name: str, reached: DataFrame) -> DataFrame:
-        return frame.join(reached.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    links = links.unionByName(staged(_similar(best, sets, percent, most_bits), "links"))
 
     reached = components(links)
     rest = placed(placed(stars, "a", "ac", reached), "b", "bc", reached).filter("ac != bc").join(best, ["a", "b"], "left_anti").select("a", "b")
     links = links.unionByName(staged(_similar(rest, sets, percent, most_bits), "links"))
 
+    # One row for each node, with its buckets and the component of their smallest node, so that fingerprints are joined once.
     reached = components(links)
-    own = staged(placed(member.select("key", "id", "n", "check"), "id", "component", reached), "placed")
-    counts = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-    open_ = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "most")
-    # One row for each node, with its open buckets, so that fingerprints are joined once.
-    own = own.join(open_, "key").groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("c"), F.collect_list(F.struct("key", "most")).alias("at"))
-    own = staged(own.join(nodes.select("id", "fp", "seg", "edge"), "id"), "open")
+    own = placed(member.select("key", "id", F.col("hub.id").alias("hub")), "hub", "most", reached)
+    own = own.groupBy("id").agg(F.collect_list(F.struct("key", "most")).alias("at"))
+    own = staged(placed(own, "id", "c", reached).join(solid, "id"), "open")
     side = lambda p: [F.col(c).alias(f"{p}{d}") for c, d in (("id", ""), ("n", "n"), ("c", "c"), ("fp", "fp"), ("seg", "seg"), ("edge", "edge"))]
     x = own.select(*side("a"), F.explode(F.filter("at", lambda z: z["most"] != F.col("c"))).alias("z")).withColumn("key", F.col("z.key")).drop("z")
     y = own.select(*side("b"), F.explode("at").alias("z")).withColumn("key", F.col("z.key")).withColumn("bout", F.col("bc") != F.col("z.most")).drop("z")
@@ -281,7 +306,8 @@ def similar_rows(docs: DataFrame, width: int = 5, percent: int = 80, bits: int =
     once = (F.col("ac") != F.col("bc")) & (~F.col("bout") | (F.col("a") < F.col("b")))
     crossed = x.join(y, "key").filter(once & sizes & (_apart("afp", "bfp") <= most_bits) & _meet_first(F.col("key"), segment_bits))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = crossed.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(ends)
+    crossed = crossed.join(seen, ["a", "b"], "left_anti")
     links = links.unionByName(staged(_similar(crossed, sets, percent, most_bits), "links"))
 
     label = placed(nodes.select("id", "least"), "id", "component", components(links))
