@@ -75,3 +75,23 @@ def test_components_shrink_and_settle(spark):
     linked = {(g, x) for g, a, b in links if a != b for x in (a, b)}
     found = components(spark.createDataFrame(links, "g string, a string, b string"), ["g"], max_rounds=6)
     assert {(r["g"], r["node"]): r["component"] for r in found.collect()} == {k: v for k, v in low.items() if k in linked}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+def test_tasks_follow_the_input(spark, monkeypatch):
+    twins = [plans.QUERIES[n](spark, str(DATA)).collect() for n in ("src_addr_history", "agg_is_mix")]
+    monkeypatch.setattr("utxolens.sources.views.PART_BYTES", 8 << 10)
+    v = Views(spark, str(DATA))
+    assert v.parts > 10 and v.parts * (8 << 10) >= (DATA / "lineitem.parquet").stat().st_size
+    for n, was in zip(("src_addr_history", "agg_is_mix"), twins, strict=True):
+        now = plans.QUERIES[n](spark, str(DATA))
+        assert n != "src_addr_history" or now.rdd.getNumPartitions() == v.parts
+        assert sorted(map(tuple, now.collect())) == sorted(map(tuple, was))
+
+
+def test_history_in_one_pass(spark):
+    outs = [("a", 1, 5, 2, 7), ("a", 2, 7, None, None), ("a", 2, 7, 4, 7), ("a", 1, 5, 4, 7), (None, 3, 6, 9, None), (None, 3, None, None, None), ("b", 5, 7, None, None)]
+    txo = spark.createDataFrame(outs, "address string, txid long, block_height long, spend_txid long, spend_height long")
+    txi = txo.filter("spend_txid is not null").select("address", X.F.col("spend_txid").alias("txid"), X.F.col("spend_height").alias("block_height"))
+    rows = lambda df: sorted(map(tuple, df.select("address", "txid", "block_height", "seq").collect()), key=str)
+    assert rows(X.address_log(txo)) == rows(X.address_history(txo, txi)) and X.address_log(txo).count() == 7
