@@ -88,3 +88,10 @@ def test_cases_merge(spark, tmp_path):
     assert [r["id"] for r in S.read(spark, path).collect()] == ["d"]
     assert I.merge_cases(spark.createDataFrame([("e", None, [], "bad")], case), path, replace=True)[1] == 1
     assert [r["id"] for r in S.read(spark, path).collect()] == ["d"]
+
+
+def test_a_first_version_is_written_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "settled", lambda df: 1 / 0)  # nothing to compare with, nothing to keep
+    path = str(tmp_path / "first")
+    assert S.upsert(spark.createDataFrame([("x", 1), ("x", 3), (None, 2), ("y", 4)], "id string, a long"), path, ["id"], ["a"], of=32) == 1
+    assert sorted(map(tuple, S.read(spark, path).select("id", "a").collect()), key=str) == [("x", 3), ("y", 4), (None, 2)] and S.version(spark, path).of == 32

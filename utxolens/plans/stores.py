@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utxolens.operators.iterate import settled
-from utxolens.plans.cases import edges, nodes
+from utxolens.plans.cases import edges, links_of, nodes
 from utxolens.plans.evidence import folder
 from utxolens.plans.registry import query
 from utxolens.sources import imports as I
@@ -68,12 +68,13 @@ w{side} as (select case_id, 'mixer crossed' as warning from n{side} group by cas
 @query("set_snapshot_parts", "case_node case_edge", _capture_sql())
 def set_snapshot_parts(v):
     """Every case as it stood below a height against all that is known: changes of nodes, links, transactions read and warnings."""
-    n, e = settled(nodes(v)), settled(edges(v))
+    n = settled(nodes(v).drop("script_type"))
+    e, of = settled(links_of(n).drop("src_height")), max(64, v.parts)
     before, after, out = captured(n, e, HEIGHT), captured(n, e, None), None
     for part, (key, rows) in before.items():
         old, new = folder(v), folder(v)
-        S.upsert(rows, old, key)
-        S.upsert(after[part][1], new, key)
+        S.upsert(rows, old, key, of=of)
+        S.upsert(after[part][1], new, key, of=of)
         one = S.change_counts(v.spark, old, 1, new, 1).select(F.lit(part).alias("part"), "change", "n")
         out = one if out is None else out.unionByName(one)
     return out

@@ -111,21 +111,28 @@ def upsert(rows: DataFrame, path: str, key: list[str], order: list[str] | None =
         raise ValueError("bucket, _k and _new are names of the store's own")
     of, names = (old.of, old.schema.names) if old else (of, rows.columns)
     by = [F.col(c).desc_nulls_last() for c in order or []] + [F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}).desc()]
-    last = rows.select(names).withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).filter("_k = 1").drop("_k")
+    one = lambda df, *at: df.withColumn("_k", F.row_number().over(Window.partitionBy(*at, *key).orderBy(*by))).filter("_k = 1").drop("_k")
+    if old is None:  # nothing to compare with: one shuffle, by bucket, and one write
+        wide = of > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select(names).withColumn("bucket", _bucket(key, of)).repartition(*[of] * wide, "bucket")
+        return _committed(spark, path, one(dealt, "bucket"), None, key, of, rows.select(names).schema, None)
+    last = one(rows.select(names))
     new = last.withColumn("bucket", _bucket(key, of)).withColumn("_new", F.lit(True))
     if gone is not None:
         out = gone.select(key).distinct().withColumn("bucket", _bucket(key, of))
         new = new.unionByName(out.alias("g").join(last.select(key).alias("l"), [F.col(f"g.{k}").eqNullSafe(F.col(f"l.{k}")) for k in key], "left_anti"), allowMissingColumns=True)
     new = settled(new)
     touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
-    whole = new.filter("_new").drop("_new")
-    if old:
-        stored, mine = _rows(spark, path, old, touched).alias("s"), new.select(*key).alias("m")
-        kept = stored.join(mine, [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key], "left_anti")
-        whole = kept.unionByName(whole)
-    folder = uuid.uuid4().hex
-    whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
-    shape = old.schema if old else rows.select(names).schema
+    stored, mine = _rows(spark, path, old, touched).alias("s"), new.select(*key).alias("m")
+    kept = stored.join(mine, [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key], "left_anti")
+    whole = kept.unionByName(new.filter("_new").drop("_new")).repartition("bucket")
+    return _committed(spark, path, whole, old, key, of, old.schema, touched)
+
+
+def _committed(spark: SparkSession, path: str, whole: DataFrame, old: Version | None, key: list[str], of: int, shape: StructType, touched: list[int] | None) -> int:
+    """Write whole, dealt by bucket, as the new contents of the touched buckets, and then the manifest: the new version."""
+    folder, names = uuid.uuid4().hex, shape.names
+    whole.write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
     fresh = spark.read.schema(_with_bucket(shape)).parquet(f"{path}/data/{folder}")
     found = {r["bucket"]: (folder, r["n"], r["digest"]) for r in fresh.groupBy("bucket").agg(F.count("*").alias("n"), _digest(names).alias("digest")).collect()}
     buckets = {b: x for b, x in (old.buckets if old else {}).items() if b not in touched} | found
