@@ -107,3 +107,18 @@ def test_buckets_of_one_component_are_not_listed(spark, monkeypatch):
     docs = [(i, edited(text, 1, f"c{i}")) for i in range(60)]
     assert {r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(docs, DOC)).collect()} == {0}
     assert sum(counts["buckets"]) < 60 * 48  # each node has 96 keys; 5276 of 5760 rows before
+
+
+def test_keys_are_summed_in_small_tasks_without_sorting(spark, monkeypatch):
+    plans, staged = {}, simhash.staged
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(simhash, "staged", noted)
+    docs = rows()
+    got = simhash.similar_groups(spark.createDataFrame(docs, DOC))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(docs), key=str)
+    assert len(plans["buckets"]) == 1 and "SortAggregate" not in plans["buckets"][0]  # six tasks of 3.4 million keys each were sorted at 0.5 GB
+    assert simhash._dealt(spark.range(20_000)).rdd.getNumPartitions() == 5 and simhash._dealt(spark.range(0)).count() == 0

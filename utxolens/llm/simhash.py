@@ -161,18 +161,23 @@ def wide_fingerprints(docs: DataFrame, width: int, bits: int, segments: int, seg
     return rows.mapInPandas(run, "doc_id long, t long, id long, n long, fp array<long>, seg array<int>, edge array<int>")
 
 
-def _bucketed(nodes: DataFrame, w: int) -> DataFrame:
-    """(key, id, n, check, component): each node under its key of every segment, and under those of the ball that flips one edge bit."""
-    part = nodes.select("id", "n", "component", F.get("fp", F.lit(0)).alias("check"), F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
+def _dealt(nodes: DataFrame, each: int = 4096) -> DataFrame:
+    """nodes over so many tasks that each has about `each` of them: lists of keys are many times as long as the files they come from."""
+    return nodes.repartition(1 + nodes.count() // each, "id")
+
+
+def _bucketed(nodes: DataFrame, w: int, *kept: str) -> DataFrame:
+    """(key, *kept): each node under its key of every segment, and under those of the ball that flips one edge bit."""
+    part = nodes.select(*kept, F.posexplode(F.arrays_zip("seg", "edge")).alias("s", "z"))
     flips = F.filter(F.array(*[F.lit(1 << i) for i in range(w)]), lambda b: b.bitwiseAND(F.col("z.edge")) != 0)
-    ball = part.select("id", "n", "check", "component", "s", "z.seg", F.explode(F.concat(F.array(F.lit(0)), flips)).alias("flip"))
+    ball = part.select(*kept, "s", "z.seg", F.explode(F.concat(F.array(F.lit(0)), flips)).alias("flip"))
     key = F.shiftleft(F.col("s").cast("long"), w).bitwiseOR(F.col("seg").bitwiseXOR(F.col("flip")).cast("long"))
-    return ball.select(key.alias("key"), "id", "n", "check", "component")
+    return ball.select(key.alias("key"), *kept)
 
 
 def _ends(nodes: DataFrame, w: int) -> DataFrame:
     """(x, y), each (id, n, check): of every segment's own key the smallest node and two drawn ones, as pairs, without a row for each node."""
-    own = nodes.select("id", "n", F.get("fp", F.lit(0)).alias("check"), F.posexplode("seg").alias("s", "seg"))
+    own = nodes.select("id", "n", "check", F.posexplode("seg").alias("s", "seg"))
     own = own.withColumn("key", F.shiftleft(F.col("s").cast("long"), w).bitwiseOR(F.col("seg").cast("long")))
     state = F.struct("id", "n", "check")
     drawn = F.struct(F.xxhash64("key", "id").alias("h"), state.alias("e"))
@@ -261,6 +266,7 @@ def similar_rows(docs: DataFrame, width: int = 5, percent: int = 80, bits: int =
     first = F.min_by(F.struct("t", "n", "fp", "seg", "edge"), "t")
     nodes = staged(rows.groupBy("id").agg(F.min("doc_id").alias("least"), first.alias("f")).select("id", "least", "f.*"), "nodes")
     solid = nodes.filter("n > 0").select("id", "n", "fp", "seg", "edge")
+    dealt = _dealt(solid.select("id", "n", F.get("fp", F.lit(0)).alias("check"), "seg", "edge"))
 
     def may_be(an, bn, ac, bc):
         sizes = F.least(an, bn) * 100 >= F.greatest(an, bn) * percent
@@ -272,18 +278,21 @@ def similar_rows(docs: DataFrame, width: int = 5, percent: int = 80, bits: int =
     def read(ids: DataFrame) -> DataFrame:
         return staged(_sets(docs, ids.join(nodes.select("id", "t"), "id"), width).join(nodes.select("id", "fp"), "id"), "sets")
 
-    ends = _ends(solid, segment_bits).filter(may_be("x.n", "y.n", "x.check", "y.check"))
+    ends = _ends(dealt, segment_bits).filter(may_be("x.n", "y.n", "x.check", "y.check"))
     ends = staged(ends.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "ends")
     sets = read(ends.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = staged(_similar(ends, sets, percent, most_bits), "links")
 
-    keyed = _bucketed(placed(solid, "id", "component", components(links)), segment_bits)
-    state = F.struct("id", "n", "check")
+    # Nearly all keys have one node, so a sum by key holds plain numbers only; sizes and checks are joined to the few that stay.
+    keyed = _bucketed(placed(dealt, "id", "component", components(links)), segment_bits, "id", "component")
     hubs = keyed.groupBy("key").agg(
-        F.count("*").alias("c"), F.min(state).alias("hub"), F.max(state).alias("last"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low != high")
+        F.count("*").alias("c"), F.min("id").alias("hub"), F.max("id").alias("last"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low != high").select("key", "c", "hub", "last")
+    for end in ("hub", "last"):
+        state = solid.select(F.col("id").alias(end), F.struct("id", "n", F.get("fp", F.lit(0)).alias("check")).alias("state"))
+        hubs = hubs.join(state, end).drop(end).withColumnRenamed("state", end)
     hubs = hubs.filter((F.col("c") > 2) | may_be("hub.n", "last.n", "hub.check", "last.check"))
-    member = staged(keyed.drop("component").join(hubs.select("key", "hub"), "key"), "buckets")
+    member = staged(_bucketed(dealt, segment_bits, "id", "n", "check").join(hubs.select("key", "hub"), "key"), "buckets")
     stars = member.filter("id != hub.id").filter(may_be("n", "hub.n", "check", "hub.check"))
     stars = staged(stars.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(F.count("*").alias("c")), "stars")
     sets = sets.unionByName(read(member.select("id").distinct().join(sets.select("id"), "id", "left_anti")))
