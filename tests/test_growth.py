@@ -10,6 +10,7 @@ from utxolens import plans
 from utxolens.operators import cases as C
 from utxolens.operators import transactions as X
 from utxolens.operators.iterate import components
+from utxolens.operators.joint import joint_cases
 from utxolens.sources.views import Views
 
 DATA = Path("/root/testdata/sf0.001")
@@ -95,3 +96,17 @@ def test_history_in_one_pass(spark):
     txi = txo.filter("spend_txid is not null").select("address", X.F.col("spend_txid").alias("txid"), X.F.col("spend_height").alias("block_height"))
     rows = lambda df: sorted(map(tuple, df.select("address", "txid", "block_height", "seq").collect()), key=str)
     assert rows(X.address_log(txo)) == rows(X.address_history(txo, txi)) and X.address_log(txo).count() == 7
+
+
+def test_joint_cases_shuffle_no_pairs(spark):
+    draw = random.Random(11)
+    members = [(f"A{draw.randrange(12)}", draw.randrange(25)) for _ in range(90)] + [(None, 3), ("A1", None), ("Z", 4)]
+    inputs = [(t, draw.choice((f"A{draw.randrange(14)}", None))) for t in range(30) for _ in range(5)]
+    m = spark.createDataFrame(members, "address string, case_id long")
+    i = spark.createDataFrame(inputs, "txid long, address string")
+    want = sorted(map(tuple, C.joint_transactions(i.distinct().join(m.filter("case_id is not null").distinct(), "address")).collect()))
+    for limits in ({}, {"work": 2000, "most": 20}, {"work": 1 << 40, "most": 9}):
+        assert sorted(map(tuple, joint_cases(i, m, **limits).collect())) == want
+    assert len(want) > 100 and joint_cases(i, m.limit(0)).count() == 0
+    few = joint_cases(i, m, work=2000)
+    assert "HashAggregate(keys=[case_a" not in few._jdf.queryExecution().toString() and few.rdd.getNumPartitions() > 4
