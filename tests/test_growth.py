@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from utxolens import plans
 from utxolens.operators import cases as C
+from utxolens.operators import graph as G
 from utxolens.operators import transactions as X
 from utxolens.operators.iterate import components
 from utxolens.operators.joint import joint_cases
@@ -110,3 +111,18 @@ def test_joint_cases_shuffle_no_pairs(spark):
     assert len(want) > 100 and joint_cases(i, m.limit(0)).count() == 0
     few = joint_cases(i, m, work=2000)
     assert "HashAggregate(keys=[case_a" not in few._jdf.queryExecution().toString() and few.rdd.getNumPartitions() > 4
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+def test_edges_take_one_scan_of_the_lines(spark):
+    assert Views(spark, str(DATA)).g2._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 1
+
+
+def test_only_edges_that_seeds_reach_are_kept(spark):
+    rows = [(f"n{i}", f"n{i + 1}", 5) for i in range(9)] + [("n9", "n4", 1), ("x", "y", 3), ("y", "n2", 3), ("n3", "z", 0), ("s", "n0", 2), ("s", "n0", 2), ("end", "far", 7)]
+    edges = spark.createDataFrame([("k", a, b, v, i) for i, (a, b, v) in enumerate(rows)], "case_id string, src string, dst string, value_sats long, edge_idx long")
+    seeds = spark.createDataFrame([("k", "s"), ("k", "lone")], "case_id string, node string")
+    for hops in (1, 3, 4, 20):
+        got = sorted(r["edge_idx"] for r in G.reached_links(edges, seeds, hops).collect())
+        assert got == [i for i, (a, b, v) in enumerate(rows) if v and a not in ("x", "y", "end")]
+    assert {r["node"] for r in G.taint_poison(edges, seeds).collect()} == {"s", "lone", *(f"n{i}" for i in range(10))}
