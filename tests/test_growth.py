@@ -10,7 +10,7 @@ from utxolens import plans
 from utxolens.operators import cases as C
 from utxolens.operators import graph as G
 from utxolens.operators import transactions as X
-from utxolens.operators.iterate import components
+from utxolens.operators.iterate import components, settled
 from utxolens.operators.joint import joint_cases
 from utxolens.sources.views import Views
 
@@ -126,3 +126,28 @@ def test_only_edges_that_seeds_reach_are_kept(spark):
         got = sorted(r["edge_idx"] for r in G.reached_links(edges, seeds, hops).collect())
         assert got == [i for i, (a, b, v) in enumerate(rows) if v and a not in ("x", "y", "end")]
     assert {r["node"] for r in G.taint_poison(edges, seeds).collect()} == {"s", "lone", *(f"n{i}" for i in range(10))}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+def test_classification_shuffles_outputs_once(spark):
+    v = Views(spark, str(DATA))
+    v.outs = settled(v.outs)
+    spent = v.outs.filter("spend_txid is not null").select(X.F.col("spend_txid").alias("txid"), "address", "script_type", X.F.struct("txid", "vout").alias("vin"))
+    one = X.with_mix(X.classified(v.tx, spent, v.outs), "denom_sats")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 2  # outputs with inputs, and transactions
+    assert sorted(r["txid"] for r in X.entropy(v.outs.withColumn("value_sats", F.col("denom_sats"))).filter("is_coinjoin").collect()) == sorted(r["txid"] for r in one.filter("mixed").select("txid").distinct().collect())
+    plain = X.classified(v.tx, v.txi, v.outs.drop("seen"))
+    columns = ["txid", "vout", "self", "seen", "majority", "n_in", "score_milli", "verdict"]
+    assert sorted(map(tuple, one.select(columns).collect()), key=str) == sorted(map(tuple, plain.select(columns).collect()), key=str)
+
+
+def test_light_trace_equals_the_ledgers(spark):
+    draw = random.Random(7)
+    outs = [(t, k, draw.choice((None, draw.randrange(40), draw.randrange(40))), draw.choice((100, 5000, None, 9000)), draw.random() < 0.3) for t in range(40) for k in range(3)]
+    outputs = spark.createDataFrame(outs, "txid long, vout long, spend_txid long, value_sats long, peel boolean")
+    roots = spark.createDataFrame([(100 + t, t) for t in range(30)] + [(3, 1), (3, 1), (3, 7)], "trace_id long, txid long")
+    mixes = spark.createDataFrame([(5,), (9,)], "txid long")
+    want = sorted(map(tuple, G._traced(outputs, roots, 2, None, mixes, None)[0].select("trace_id", "txid", "depth").collect()))
+    assert sorted(map(tuple, G.trace(outputs, roots, 2, mixes=mixes).collect())) == want
+    assert sorted(map(tuple, G.trace(outputs.withColumn("mixed", F.col("txid").isin(5, 9)), roots, 2).collect())) == want and len(want) > 100
