@@ -151,3 +151,18 @@ def test_light_trace_equals_the_ledgers(spark):
     want = sorted(map(tuple, G._traced(outputs, roots, 2, None, mixes, None)[0].select("trace_id", "txid", "depth").collect()))
     assert sorted(map(tuple, G.trace(outputs, roots, 2, mixes=mixes).collect())) == want
     assert sorted(map(tuple, G.trace(outputs.withColumn("mixed", F.col("txid").isin(5, 9)), roots, 2).collect())) == want and len(want) > 100
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+def test_significant_takes_one_pass_by_address(spark):
+    plan = plans.QUERIES["topk_significant"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning(address") == 1
+    v = Views(spark, str(DATA))
+    want = X.address_volume(v.txo, v.txi).join(v.tx.select("txid", "block_height"), "txid").select("address", "txid", "volume_sats", "block_height")
+    assert sorted(map(tuple, X.address_moves(v.txo).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_significant_stops_for_outputs_without_address(spark):
+    rows = [(a, t, 60_000_000 if t == 3 else 1, t) for a in ("x", None) for t in range(1, 5)]
+    got = {r["address"]: (r["txid"], r["scanned"], r["pages"]) for r in X.significant(spark.createDataFrame(rows, "address string, txid long, volume_sats long, block_height long"), page=2).collect()}
+    assert got == {"x": (3, 2, 1), None: (3, 2, 1)}
