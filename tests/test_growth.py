@@ -166,3 +166,18 @@ def test_significant_stops_for_outputs_without_address(spark):
     rows = [(a, t, 60_000_000 if t == 3 else 1, t) for a in ("x", None) for t in range(1, 5)]
     got = {r["address"]: (r["txid"], r["scanned"], r["pages"]) for r in X.significant(spark.createDataFrame(rows, "address string, txid long, volume_sats long, block_height long"), page=2).collect()}
     assert got == {"x": (3, 2, 1), None: (3, 2, 1)}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+def test_joint_record_takes_one_pass_of_the_lines(spark):
+    assert not reads(plans.QUERIES["jn_joint_record"](spark, str(DATA)), "lineitem")
+
+
+@pytest.mark.parametrize("ids", [(1, 255, 256), (-1, 0, 1 << 40), (0, 65_535, 65_536), (7, None, 8)])
+def test_joint_records_of_any_ids(spark, ids):
+    members = spark.createDataFrame([(c, a) for c in ids for a in ("x", "y")] + [(ids[0], "z")], "case_id long, address string")
+    inputs = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (2, "w"), (3, "x"), (3, None), (4, "w"), (4, "v")], "txid long, address string")
+    n = sum(i is not None for i in ids)
+    want = [(1, 2, 2, n, "RECORDED"), (2, 2, 1, 1, "ONE_CASE"), (3, 1, 1, n, "TOO_FEW_INPUTS"), (4, 2, 0, 0, "NO_CASE")]
+    assert sorted(map(tuple, C.joint_records(inputs, members).collect())) == want
+    assert sorted(map(tuple, C.joint_records(inputs, members, most=1).collect())) == want
